@@ -66,13 +66,29 @@ VIEWS = {
                    || substr(CAST(year(l_shipdate) AS STRING), 3, 2) AS season,
                CASE WHEN l_returnflag = 'R' THEN 'NULL'
                     ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING) END AS price,
-               l_orderkey, l_linenumber, l_suppkey
+               l_orderkey, l_linenumber, l_suppkey, l_shipdate
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    # Products known before the feed arrives, with the feed's own sku spelling.
+    "known_feed_products": """
+        SELECT p_partkey AS product_id, CAST(p_partkey % 7 + 1 AS INT) AS seller_id,
+               CAST(p_partkey AS STRING) AS sku
+        FROM {part} WHERE p_type = 'ECONOMY'""",
+    # Products known before a crawl.
+    "known_products": """
+        SELECT p_partkey AS product_id, CAST(substr(p_brand, 7) AS INT) AS seller_id,
+               CASE WHEN p_size > 20 THEN 'SKU' || CAST(p_partkey AS STRING) END AS sku,
+               p_name AS name, p_type AS category, '' AS url
+        FROM {part} WHERE p_type <> 'SMALL'""",
     # Items found on pages: page = order, position = line and supplier.
     "page_items": """
         SELECT l_orderkey AS crawl, CAST(l_linenumber AS INT) AS page_idx,
-               l_suppkey AS pos, l_partkey, p_name AS name,
+               l_suppkey AS pos, l_partkey, l_shipdate, p_name AS name,
                CAST(substr(p_brand, 7) AS INT) AS seller_id,
+               CASE WHEN p_partkey % 3 = 0 THEN NULL
+                    ELSE 'SKU' || CAST(p_partkey AS STRING) END AS sku,
+               CASE WHEN l_linestatus = 'F' THEN p_type ELSE '' END AS category,
+               'https://shop.example/' || CAST(l_orderkey AS STRING) || '/'
+                   || CAST(l_linenumber AS STRING) AS url,
                CASE WHEN l_returnflag = 'R' THEN NULL
                     ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END AS price
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
