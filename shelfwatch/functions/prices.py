@@ -25,7 +25,7 @@ def parse_availability(col: Column) -> Column:
 def parse_season(col: Column) -> Column:
     """F25 -> 2025-09-01, S26 -> 2026-03-01; null when not a season code."""
     code = strip(col)
-    year = F.lit(2000) + F.regexp_extract(code, K.SEASON_CODE, 2).try_cast("int")
+    year = F.lit(2000) + F.substring(code, 2, 2).try_cast("int")
     month = F.when(F.upper(F.left(code, F.lit(1))) == "S", 3).otherwise(9)
     first = F.lit(1)
     return F.when(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .. import constants as K
 
@@ -19,7 +19,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norms != 0, F.lit(1.0) - dot(a, b) / norms)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_similarity(previous: pd.Series, current: pd.Series) -> pd.Series:
     """Matching-block ratio 2M/T of two texts; two empty texts score 1."""
     from difflib import SequenceMatcher
@@ -33,7 +33,7 @@ def sequence_similarity(previous: pd.Series, current: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _looks_recycled(previous: pd.Series, current: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 

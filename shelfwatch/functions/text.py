@@ -7,9 +7,15 @@ from pyspark.sql import Column, functions as F
 from .. import constants as K
 
 
+_WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column) -> Column:
     """Trim any Unicode white space at both ends."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(_WHITE_SPACE))
 
 
 def blank_to_null(col: Column) -> Column:

@@ -41,9 +41,10 @@ def read_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """The same seven string columns from CSV text held in a column."""
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    fields = F.from_csv(F.col(line), RAW_SCHEMA, options).alias("f")
+    fields = F.from_csv(F.col(line), RAW_SCHEMA, options)
     kept = [c for c in lines.columns if c != line]
-    return lines.select(*kept, fields).select(*kept, "f.*").fillna("", subset=K.FEED_COLUMNS)
+    # inline() parses each line once; plain field access would repeat the parse per field.
+    return lines.select(*kept, F.inline(F.array(fields))).fillna("", subset=K.FEED_COLUMNS)
 
 
 def _problem(columns: list[str]) -> Column:
@@ -68,20 +69,34 @@ def rejects(raw: DataFrame) -> DataFrame:
 
 
 def parse_feed(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """Typed feed rows. Strict: any bad row fails the job. Lenient: see ``rejects``."""
-    problem = _problem(raw.columns)
+    """Typed feed rows. Strict: any bad value fails the job. Lenient: see ``rejects``."""
+    brand = strip(F.col("brand_num")).try_cast("int")
+    season = P.parse_season(F.col("season"))
+    price = P.parse_feed_price(F.col("price"))
+    sku = strip(F.col("sku"))
     if strict:
-        checked = raw.where(F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(True))
+        # Each failing column raises its own error, so nothing is evaluated twice.
+        brand = _or_fail(brand, "brand_num", "bad brand number: ")
+        season = _or_fail(season, "season", "unrecognised season code: ")
+        given = ~P.is_null_marker(F.col("price"))
+        price = F.when(given, _or_fail(price, "price", "unparseable price: "))
+        if _CORRUPT in raw.columns:
+            broken = F.raise_error(F.concat(F.lit("bad feed row: "), _CORRUPT)).cast("string")
+            sku = F.when(F.col(_CORRUPT).isNotNull(), broken).otherwise(sku)
     else:
-        checked = raw.where(problem.isNull())
+        raw = raw.where(_problem(raw.columns).isNull())
     kept = [c for c in raw.columns if c not in K.FEED_COLUMNS and c != _CORRUPT]
-    return checked.select(
-        strip(F.col("sku")).alias("sku"),
-        strip(F.col("brand_num")).try_cast("int").alias("brand_num"),
+    return raw.select(
+        sku.alias("sku"),
+        brand.alias("brand_num"),
         strip(F.col("category")).alias("category"),
         strip(F.col("name")).alias("name"),
         strip(F.col("grade")).alias("grade"),
-        P.parse_season(F.col("season")).alias("observed_at"),
-        P.parse_feed_price(F.col("price")).alias("price"),
+        season.alias("observed_at"),
+        price.alias("price"),
         *kept,
     )
+
+
+def _or_fail(parsed: Column, column: str, reason: str) -> Column:
+    return F.coalesce(parsed, F.raise_error(F.concat(F.lit(reason), F.col(column))))
