@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
+from .binding import let
 
 # scheme, authority, path, query and fragment (RFC 3986, appendix B)
 _PARTS = (
@@ -18,34 +19,36 @@ def _clean(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
 
 
-def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(_clean(url), _PARTS, 1))
+def _part(clean: Column, group: int) -> Column:
+    return F.regexp_extract(clean, _PARTS, group)
 
 
-def authority(url: Column) -> Column:
-    return F.regexp_extract(_clean(url), _PARTS, 2)
+def parts(url: Column) -> Column:
+    """scheme, host, path, query and fragment as a struct."""
+    return let(
+        _clean(url),
+        lambda u: F.struct(
+            F.lower(_part(u, 1)).alias("scheme"),
+            _part(u, 2).alias("host"),
+            _part(u, 3).alias("path"),
+            _part(u, 4).alias("query"),
+            _part(u, 5).alias("fragment"),
+        ),
+    )
 
 
-def _full_path(url: Column) -> Column:
-    return F.regexp_extract(_clean(url), _PARTS, 3)
+def _without_params(full_path: Column) -> Column:
+    return F.regexp_extract(full_path, r"(?s)^(.*/[^/;]*|[^/;]*)", 1)
 
 
 def path(url: Column) -> Column:
     """Path without the ';parameters' of its last segment."""
-    return F.regexp_extract(_full_path(url), r"(?s)^(.*/[^/;]*|[^/;]*)", 1)
-
-
-def _path_params(url: Column) -> Column:
-    return F.regexp_extract(_full_path(url), r"(?s)(;[^/]*)$", 1)
-
-
-def query(url: Column) -> Column:
-    return F.regexp_extract(_clean(url), _PARTS, 4)
+    return _without_params(_part(_clean(url), 3))
 
 
 def site(url: Column) -> Column:
     """Host (and port) in lower case without a leading 'www.'; other subdomains stay."""
-    return F.regexp_replace(F.lower(authority(url)), r"^www\.", "")
+    return F.regexp_replace(F.lower(_part(_clean(url), 2)), r"^www\.", "")
 
 
 def same_site(url: Column, other: Column) -> Column:
@@ -63,52 +66,76 @@ def _rebuild(sch: Column, host: Column, rest: Column, qry: Column) -> Column:
 
 def _remove_dot_segments(joined: Column) -> Column:
     """Resolve '.' and '..' and drop empty inner segments of an absolute path."""
-    segments = F.split(joined, "/", -1)
-    total = F.size(segments)
-    inner = F.filter(
-        segments, lambda s, i: (s != "") | (i == 0) | (i == total - 1)
-    )
-    resolved = F.aggregate(
-        inner,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    closed = F.when(
-        F.element_at(inner, -1).isin(".", ".."), F.concat(resolved, F.array(F.lit("")))
-    ).otherwise(resolved)
-    out = F.array_join(closed, "/")
-    return F.when(out == "", F.lit("/")).otherwise(out)
+
+    def drop_empty(segments: Column) -> Column:
+        last = F.size(segments) - 1
+        return F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == last))
+
+    def walk(segments: Column) -> Column:
+        kept = F.aggregate(
+            segments,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        ends_in_dots = F.element_at(segments, -1).isin(".", "..")
+        closing = F.when(ends_in_dots, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(kept, closing), "/")
+
+    resolved = let(let(F.split(joined, "/", -1), drop_empty), walk)
+    return F.coalesce(F.nullif(resolved, F.lit("")), F.lit("/"))
+
+
+def resolve_with_fragment(base: Column, href: Column) -> Column:
+    """``resolve`` that keeps the fragment of ``href``."""
+
+    def join(given: Column) -> Column:
+        target = F.regexp_extract(given, r"(?s)(#.+)$", 1)
+        return let(
+            resolve(base, given),
+            lambda whole: F.when(F.instr(whole, "#") > 0, whole).otherwise(F.concat(whole, target)),
+        )
+
+    return let(href, join)
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """``href`` as seen from the page at ``base`` (fragment dropped)."""
-    ref = _clean(href)
-    ref_scheme, base_scheme = scheme(href), scheme(base)
-    effective = F.when(ref_scheme == "", base_scheme).otherwise(ref_scheme)
-    ref_host, ref_path, ref_query = authority(href), _full_path(href), query(href)
-    base_path = _full_path(base)
-    base_dir = F.regexp_replace(base_path, r"(?s)[^/]*$", "")
-    merged = F.when(ref_path.startswith("/"), ref_path).otherwise(
-        F.when(base_dir == "", F.concat(F.lit("/"), ref_path)).otherwise(
-            F.concat(base_dir, ref_path)
+    """``href`` as seen from the page at ``base``, without its fragment.
+
+    An href of another scheme (mailto:, tel:, ...) is returned as it is.
+    """
+
+    def combine(x: Column) -> Column:
+        base_parts, ref = x["base"], x["ref"]
+        scheme = F.when(ref["scheme"] == "", base_parts["scheme"]).otherwise(ref["scheme"])
+        foreign = (scheme != base_parts["scheme"]) | ~scheme.isin(_RELATIVE_SCHEMES)
+        directory = F.regexp_replace(base_parts["path"], r"(?s)[^/]*$", "")
+        merged = (
+            F.when(ref["path"].startswith("/"), ref["path"])
+            .when(directory == "", F.concat(F.lit("/"), ref["path"]))
+            .otherwise(F.concat(directory, ref["path"]))
         )
+        has_host, no_path = ref["host"] != "", ref["path"] == ""
+        target = (
+            F.when(has_host, ref["path"])
+            .when(no_path, base_parts["path"])
+            .otherwise(_remove_dot_segments(merged))
+        )
+        keeps_query = ~has_host & no_path & (ref["query"] == "")
+        return F.when(foreign, x["raw"]).otherwise(
+            _rebuild(
+                scheme,
+                F.when(has_host, ref["host"]).otherwise(base_parts["host"]),
+                target,
+                F.when(keeps_query, base_parts["query"]).otherwise(ref["query"]),
+            )
+        )
+
+    known = F.struct(
+        parts(base).alias("base"), parts(href).alias("ref"), _clean(href).alias("raw")
     )
-    relative = F.when(
-        ref_path == "",
-        _rebuild(
-            effective,
-            authority(base),
-            base_path,
-            F.when(ref_query == "", query(base)).otherwise(ref_query),
-        ),
-    ).otherwise(_rebuild(effective, authority(base), _remove_dot_segments(merged), ref_query))
-    return (
-        F.when((effective != base_scheme) | ~effective.isin(_RELATIVE_SCHEMES), ref)
-        .when(ref_host != "", _rebuild(effective, ref_host, ref_path, ref_query))
-        .otherwise(relative)
-    )
+    return F.when(href.isNotNull(), let(known, combine))
 
 
 def _decode(part: Column) -> Column:
@@ -141,24 +168,24 @@ def _canonical_query(raw: Column) -> Column:
 
 def normalise(url: Column) -> Column:
     """One spelling per page: no fragment, tracking parameters or trailing slash."""
-    raw_path = path(url)
-    trimmed = F.when(
-        F.length(raw_path) > 1, F.regexp_replace(raw_path, "/+$", "")
-    ).otherwise(raw_path)
-    clean_path = F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
-    raw_query = query(url)
-    clean_query = F.when(raw_query == "", F.lit("")).otherwise(_canonical_query(raw_query))
-    return _rebuild(
-        scheme(url), authority(url), F.concat(clean_path, _path_params(url)), clean_query
-    )
+
+    def rebuild(p: Column) -> Column:
+        raw_path = _without_params(p["path"])
+        params = F.regexp_extract(p["path"], r"(?s)(;[^/]*)$", 1)
+        trimmed = F.regexp_replace(raw_path, "(?<=.)/+$|^//+$", "")
+        clean_path = F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("/"))
+        clean_query = F.when(p["query"] == "", "").otherwise(_canonical_query(p["query"]))
+        return _rebuild(p["scheme"], p["host"], F.concat(clean_path, params), clean_query)
+
+    return let(parts(url), rebuild)
 
 
 def kind_by_path(url: Column) -> Column:
     """product, promotional, category or unknown, judged by the path alone."""
-    where = path(url)
-    return (
-        F.when(where.rlike(K.PRODUCT_PATH), F.lit("product"))
+    return let(
+        path(url),
+        lambda where: F.when(where.rlike(K.PRODUCT_PATH), F.lit("product"))
         .when(where.rlike(K.PROMO_PATH), F.lit("promotional"))
         .when(where.rlike(K.CATEGORY_PATH), F.lit("category"))
-        .otherwise(F.lit("unknown"))
+        .otherwise(F.lit("unknown")),
     )
