@@ -11,44 +11,49 @@ from .binding import let
 _PARTS = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 )
+_AUTHORITY = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _RELATIVE_SCHEMES = ["http", "https", "ftp", "file", ""]
+_CONTROL_OR_SPACE = "".join(chr(c) for c in range(33))
+# A code point that is never text, to cut one match into its groups.
+_CUT = "\uffff"
 
 
 def _clean(url: Column) -> Column:
     """Leading control characters and inner tabs or line breaks are not part of a URL."""
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-
-
-def _part(clean: Column, group: int) -> Column:
-    return F.regexp_extract(clean, _PARTS, group)
+    return F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_CONTROL_OR_SPACE))
 
 
 def parts(url: Column) -> Column:
-    """scheme, host, path, query and fragment as a struct."""
+    """scheme, host, path, query and fragment as a struct, from one match."""
+    groups = F.regexp_replace(_clean(url), _PARTS, _CUT.join(f"${i}" for i in range(1, 6)))
     return let(
-        _clean(url),
-        lambda u: F.struct(
-            F.lower(_part(u, 1)).alias("scheme"),
-            _part(u, 2).alias("host"),
-            _part(u, 3).alias("path"),
-            _part(u, 4).alias("query"),
-            _part(u, 5).alias("fragment"),
+        F.split(groups, _CUT, -1),
+        lambda g: F.struct(
+            F.lower(g[0]).alias("scheme"),
+            g[1].alias("host"),
+            g[2].alias("path"),
+            g[3].alias("query"),
+            g[4].alias("fragment"),
         ),
     )
 
 
 def _without_params(full_path: Column) -> Column:
-    return F.regexp_extract(full_path, r"(?s)^(.*/[^/;]*|[^/;]*)", 1)
+    short = F.regexp_extract(full_path, r"(?s)^(.*/[^/;]*|[^/;]*)", 1)
+    return F.when(F.instr(full_path, ";") > 0, short).otherwise(full_path)
 
 
 def path(url: Column) -> Column:
     """Path without the ';parameters' of its last segment."""
-    return _without_params(_part(_clean(url), 3))
+    return let(F.regexp_extract(_clean(url), _PARTS, 3), _without_params)
 
 
 def site(url: Column) -> Column:
     """Host (and port) in lower case without a leading 'www.'; other subdomains stay."""
-    return F.regexp_replace(F.lower(_part(_clean(url), 2)), r"^www\.", "")
+    return let(
+        F.lower(F.regexp_extract(_clean(url), _AUTHORITY, 1)),
+        lambda host: F.when(host.startswith("www."), F.substring(host, 5, 2**31 - 1)).otherwise(host),
+    )
 
 
 def same_site(url: Column, other: Column) -> Column:
@@ -83,8 +88,11 @@ def _remove_dot_segments(joined: Column) -> Column:
         closing = F.when(ends_in_dots, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
         return F.array_join(F.concat(kept, closing), "/")
 
-    resolved = let(let(F.split(joined, "/", -1), drop_empty), walk)
-    return F.coalesce(F.nullif(resolved, F.lit("")), F.lit("/"))
+    def resolved(given: Column) -> Column:
+        walked = let(let(F.split(given, "/", -1), drop_empty), walk)
+        return F.when(given.rlike(r"/\.|//"), walked).otherwise(given)
+
+    return F.coalesce(F.nullif(let(joined, resolved), F.lit("")), F.lit("/"))
 
 
 def resolve_with_fragment(base: Column, href: Column) -> Column:
@@ -140,30 +148,36 @@ def resolve(base: Column, href: Column) -> Column:
 
 def _decode(part: Column) -> Column:
     """Percent-decoding that leaves a stray '%' alone."""
-    return F.url_decode(F.regexp_replace(part, r"%(?![0-9A-Fa-f]{2})", "%25"))
+    decoded = F.url_decode(F.regexp_replace(part, r"%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.when(part.rlike("[%+]"), decoded).otherwise(part)
 
 
 def _encode(part: Column) -> Column:
     java = F.url_encode(part)
-    return F.replace(F.replace(java, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    encoded = F.replace(F.replace(java, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    return F.when(part.rlike("[^A-Za-z0-9_.~-]"), encoded).otherwise(part)
 
 
 def _canonical_query(raw: Column) -> Column:
     """Tracking parameters removed, the rest sorted by decoded name and value."""
-    pairs = F.transform(
-        F.filter(F.split(raw, "&", -1), lambda p: p != ""),
-        lambda p: F.struct(
-            _decode(F.regexp_extract(p, r"(?s)^([^=]*)", 1)).alias("k"),
-            _decode(F.regexp_extract(p, r"(?s)^[^=]*=?(.*)$", 1)).alias("v"),
-        ),
+
+    def pair(text: Column) -> Column:
+        return let(
+            F.substring_index(text, "=", 1),
+            lambda name: F.struct(
+                _decode(name).alias("k"),
+                _decode(F.substring(text, F.length(name) + 2, F.lit(2**31 - 1))).alias("v"),
+            ),
+        )
+
+    given = F.filter(F.split(raw, "&", -1), lambda p: p != "")
+    kept = F.filter(
+        F.transform(given, pair), lambda p: ~F.lower(p["k"]).isin(K.TRACKING_PARAMS)
     )
-    kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(K.TRACKING_PARAMS))
-    return F.array_join(
-        F.transform(
-            F.array_sort(kept), lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))
-        ),
-        "&",
+    spelled = F.transform(
+        F.array_sort(kept), lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))
     )
+    return F.array_join(spelled, "&")
 
 
 def normalise(url: Column) -> Column:
@@ -171,9 +185,10 @@ def normalise(url: Column) -> Column:
 
     def rebuild(p: Column) -> Column:
         raw_path = _without_params(p["path"])
-        params = F.regexp_extract(p["path"], r"(?s)(;[^/]*)$", 1)
-        trimmed = F.regexp_replace(raw_path, "(?<=.)/+$|^//+$", "")
-        clean_path = F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("/"))
+        params = F.when(
+            F.instr(p["path"], ";") > 0, F.regexp_extract(p["path"], r"(?s)(;[^/]*)$", 1)
+        ).otherwise("")
+        clean_path = F.coalesce(F.nullif(F.rtrim(raw_path, F.lit("/")), F.lit("")), F.lit("/"))
         clean_query = F.when(p["query"] == "", "").otherwise(_canonical_query(p["query"]))
         return _rebuild(p["scheme"], p["host"], F.concat(clean_path, params), clean_query)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["price_queries", "seller_queries", "load_queries", "page_queries"]
+MODULES = ["price_queries", "seller_queries", "load_queries", "page_queries", "url_queries"]
 
 
 def all_queries():
