@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ["price_queries", "seller_queries", "load_queries", "page_queries", "url_queries"]
+MODULES = [
+    "price_queries", "seller_queries", "load_queries", "page_queries", "url_queries",
+    "search_queries",
+]
 
 
 def all_queries():
