@@ -92,7 +92,11 @@ def _remove_dot_segments(joined: Column) -> Column:
         walked = let(let(F.split(given, "/", -1), drop_empty), walk)
         return F.when(given.rlike(r"/\.|//"), walked).otherwise(given)
 
-    return F.coalesce(F.nullif(let(joined, resolved), F.lit("")), F.lit("/"))
+    # Climbing past the root removes the leading slash; a path keeps it.
+    return let(
+        let(joined, resolved),
+        lambda out: F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out)),
+    )
 
 
 def resolve_with_fragment(base: Column, href: Column) -> Column:

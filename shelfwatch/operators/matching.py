@@ -19,30 +19,36 @@ _BY_SKU = ["seller_id", "sku"]
 _BY_NAME = ["seller_id", "name"]
 
 
-def match_products(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Items with the ``product_id`` they match, or null.
+def _existing_ids(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Items with ``id_by_sku`` and ``id_by_name``; duplicate keys give the lowest id.
 
-    A non-empty sku is tried first; only when it finds nothing is the name
-    tried. Duplicate keys resolve to the lowest product id. Items without a sku
-    skip the sku join, so their null keys never gather in one task.
+    Items without a sku skip the sku join, so their null keys never gather in
+    one task.
     """
     cleaned = items.withColumn("sku", blank_to_null(F.col("sku")))
     sku_ids = (
         products.where(F.col("sku").isNotNull())
         .groupBy(*_BY_SKU)
-        .agg(F.min("product_id").alias("product_id"))
+        .agg(F.min("product_id").alias("id_by_sku"))
     )
     name_ids = products.groupBy(*_BY_NAME).agg(F.min("product_id").alias("id_by_name"))
-    with_sku = cleaned.where(F.col("sku").isNotNull()).join(sku_ids, _BY_SKU, "left")
-    without = cleaned.where(F.col("sku").isNull()).withColumn(
-        "product_id", F.lit(None).cast("bigint")
-    )
-    return (
-        with_sku.unionByName(without)
-        .join(name_ids, _BY_NAME, "left")
-        .withColumn("product_id", F.coalesce("product_id", "id_by_name"))
-        .drop("id_by_name")
-    )
+    return _join_skus(cleaned, sku_ids).join(name_ids, _BY_NAME, "left")
+
+
+def _join_skus(items: DataFrame, by_sku: DataFrame) -> DataFrame:
+    """Left join on (seller, sku) of the items that have a sku."""
+    with_sku = items.where(F.col("sku").isNotNull()).join(by_sku, _BY_SKU, "left")
+    return with_sku.unionByName(items.where(F.col("sku").isNull()), allowMissingColumns=True)
+
+
+def match_products(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Items with the ``product_id`` they match, or null.
+
+    A non-empty sku is tried first; only when it finds nothing is the name tried.
+    """
+    return _existing_ids(items, products).withColumn(
+        "product_id", F.coalesce("id_by_sku", "id_by_name")
+    ).drop("id_by_sku", "id_by_name")
 
 
 def founders(unmatched: DataFrame, order: list[str]) -> DataFrame:
@@ -87,6 +93,35 @@ def founders(unmatched: DataFrame, order: list[str]) -> DataFrame:
     return settled if settled is not None else remaining
 
 
+def _place(known: DataFrame, created: DataFrame, order: list[str]) -> DataFrame:
+    """The product of every item, as of its turn.
+
+    A product created in this batch counts only from its founder on, so an item
+    may go by name although a later item founds a product with its sku.
+    """
+    sku_founders = created.where(F.col("sku").isNotNull()).select(
+        *_BY_SKU, F.col("product_id").alias("new_by_sku"), F.col("first_at").alias("sku_from")
+    )
+    name_founders = created.select(
+        *_BY_NAME, F.col("product_id").alias("new_by_name"), F.col("first_at").alias("name_from")
+    )
+    at = F.struct(*order)
+    return (
+        _join_skus(known, sku_founders)
+        .join(name_founders, _BY_NAME, "left")
+        .withColumn(
+            "product_id",
+            F.coalesce(
+                "id_by_sku",
+                F.when(F.col("sku_from") <= at, F.col("new_by_sku")),
+                "id_by_name",
+                F.when(F.col("name_from") <= at, F.col("new_by_name")),
+            ),
+        )
+        .drop("id_by_sku", "id_by_name", "new_by_sku", "new_by_name", "sku_from", "name_from")
+    )
+
+
 def find_or_create(
     items: DataFrame, products: DataFrame, order: list[str]
 ) -> tuple[DataFrame, DataFrame]:
@@ -95,14 +130,10 @@ def find_or_create(
     Existing rows keep their name; category and url follow the last item that
     states them, and a missing sku is filled by the first item that has one.
     """
-    matched = match_products(items, products)
-    fresh = founders(matched.where(F.col("product_id").isNull()), order)
-    # A sku-less founder may still be given a sku by a later item of its name.
-    created = assign_ids(fresh.drop("first_at"), products)
-    catalogue = products.select("product_id", *_BY_SKU, "name").unionByName(
-        created.select("product_id", *_BY_SKU, "name")
-    )
-    placed = match_products(items, catalogue)
+    known = _existing_ids(items, products)
+    unmatched = known.where(F.col("id_by_sku").isNull() & F.col("id_by_name").isNull())
+    created = assign_ids(founders(unmatched, order), products)
+    placed = _place(known, created, order)
 
     at = F.struct(*order)
     stated_category = blank_to_null(F.col("category"))
