@@ -14,8 +14,13 @@ _WHITE_SPACE = (
 
 
 def strip(col: Column) -> Column:
-    """Trim any Unicode white space at both ends."""
-    return F.btrim(col, F.lit(_WHITE_SPACE))
+    """Trim any Unicode white space at both ends.
+
+    Most texts begin and end with a visible ASCII character and pass as they are.
+    """
+    first, last = F.ascii(col), F.ascii(F.right(col, F.lit(1)))
+    plain = first.between(33, 126) & last.between(33, 126)
+    return F.when(plain, col).otherwise(F.btrim(col, F.lit(_WHITE_SPACE)))
 
 
 def blank_to_null(col: Column) -> Column:

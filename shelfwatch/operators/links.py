@@ -162,14 +162,16 @@ def discover_urls(
             )
         )
     )
-    bases = sites.select("site", "base_url")
-    placed = added.join(bases, "site").withColumn(
-        "link", U.normalise(U.resolve(F.col("base_url"), F.col("url")))
-    )
-    on_site = placed.where(U.same_site(F.col("link"), F.col("base_url")))
-    first = on_site.groupBy("site", F.col("link").alias("url")).agg(
+    # One row per spelling first: it is cheaper to drop repeats than to parse them.
+    spellings = added.groupBy("site", "url").agg(
         F.min(F.struct("origin", "trail", "kind")).alias("f")
     )
+    bases = sites.select("site", "base_url", U.site(F.col("base_url")).alias("base_site"))
+    placed = spellings.join(bases, "site").withColumn(
+        "link", U.normalise(U.resolve(F.col("base_url"), F.col("url")))
+    )
+    on_site = placed.where(U.site(F.col("link")) == F.col("base_site"))
+    first = on_site.groupBy("site", F.col("link").alias("url")).agg(F.min("f").alias("f"))
     rows = first.select("site", "url", "f.origin", "f.trail", "f.kind")
     order = [F.col("origin"), F.col("trail"), F.col("url")]
     return top_n(rows, ["site"], order, K.MAX_DISCOVERED_URLS, "url_no", salt_on=["url"])

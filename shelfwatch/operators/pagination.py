@@ -48,13 +48,11 @@ def recycled_pages(pages: DataFrame) -> DataFrame:
     """
     prints = pages.select("crawl", "page_idx", price_context(F.col("text")).alias("context"))
     paired = _listing_pages(prints).withColumn("previous", F.lag("context").over(_sequence()))
-    similarity = sequence_similarity(F.col("previous"), F.col("context"))
-    return paired.select(
-        "crawl",
-        "page_idx",
-        similarity.alias("similarity"),
-        looks_recycled(F.col("previous"), F.col("context")).alias("is_recycled"),
+    scored = paired.withColumn(
+        "similarity", sequence_similarity(F.col("previous"), F.col("context"))
     )
+    recycled = F.coalesce(F.col("similarity") > K.RECYCLED_SIMILARITY, F.lit(False))
+    return scored.select("crawl", "page_idx", "similarity", recycled.alias("is_recycled"))
 
 
 def pagination_stop(

@@ -8,7 +8,7 @@ from ..functions import prices as P
 from ..functions.text import price_context as price_context_of
 from ..operators import feed_import as I, matching as M, pagination as G, traces as T
 from ..sources import feed as feeds, sinks
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from .tables import OBSERVATION_ORDER, oracle, portable, view
 
 _FEED_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
@@ -18,7 +18,7 @@ _CSV_LINE = """concat_ws(',', sku, brand_num, category, '"' || name || '"', grad
 
 def _lines(spark, sf_dir):
     rows = view(spark, sf_dir, "feed_rows")
-    return rows.select(F.expr(_CSV_LINE).alias("line"), *_FEED_ORDER)
+    return spread(rows.select(F.expr(_CSV_LINE).alias("line"), *_FEED_ORDER))
 
 
 def _feed(spark, sf_dir):

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import prices as P, text as X, tree as N
 from ..operators import extraction as E
 from ..sources.pages import html_nodes as nodes_of, text_of_html, with_tree
-from .tables import portable, table, view
+from ..session import spread
+from .tables import portable, table
 
 _BASE = """
     SELECT p_partkey AS page_id, p_partkey % 6 AS shape, p_name AS name, p_brand AS brand,
@@ -71,7 +72,7 @@ _SHAPES = f"""
 
 
 def _rows(spark, sf_dir):
-    return spark.sql(_BASE, part=table(spark, sf_dir, "part"))
+    return spread(spark.sql(_BASE, part=table(spark, sf_dir, "part")))
 
 
 def _pages(spark, sf_dir, html=_SHAPES):
@@ -193,7 +194,7 @@ def campaign_counts(spark, sf_dir):
 
 def html_nodes(spark, sf_dir):
     """Element counts of the given pages, checked against a count of start tags."""
-    nodes = nodes_of(table(spark, sf_dir, "pages"))
+    nodes = nodes_of(spread(table(spark, sf_dir, "pages")))
     return nodes.groupBy("page_id").agg(
         F.count_if(F.col("tag") == "a").alias("anchors"),
         F.count_if(F.col("tag") == "li").alias("items"),
@@ -203,7 +204,7 @@ def html_nodes(spark, sf_dir):
 
 def page_text(spark, sf_dir):
     """Visible text of the given pages."""
-    parsed = with_tree(table(spark, sf_dir, "pages"))
+    parsed = with_tree(spread(table(spark, sf_dir, "pages")))
     return parsed.select("page_id", N.page_text(F.col("tree")).alias("text"))
 
 

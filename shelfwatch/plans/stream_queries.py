@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import SETTINGS
 from ..streaming import observations as O
 from .price_queries import ORACLES as PRICE_ORACLES
 from .tables import OBSERVATION_ORDER, oracle, portable, table
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
 
 def _stream(spark, sf_dir):
     """Line items as they would be read from a landing folder, one file set per trigger."""
@@ -42,15 +39,7 @@ def stream_latest_price(spark, sf_dir):
 
 
 def stream_price_change(spark, sf_dir):
-    before = spark.conf.get(_PROVIDER, "")
-    spark.conf.set(_PROVIDER, SETTINGS[_PROVIDER])
-    try:
-        return portable(O.maintain_changes(_stream(spark, sf_dir), OBSERVATION_ORDER))
-    finally:
-        if before:
-            spark.conf.set(_PROVIDER, before)
-        else:
-            spark.conf.unset(_PROVIDER)
+    return portable(O.maintain_changes(_stream(spark, sf_dir), OBSERVATION_ORDER, buckets=64))
 
 
 QUERIES = {f.__name__: f for f in (stream_dedup, stream_latest_price, stream_price_change)}

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import urls as U
 from ..operators import links as L
+from ..session import spread
 from ..sources.pages import with_tree
 from . import page_queries as PQ
-from .tables import table, view
+from .tables import table
 
 # Page urls with further query parameters, some of them tracking ones.
 _URLS = """
@@ -71,7 +72,7 @@ def resolve_links(spark, sf_dir):
 
 def page_links(spark, sf_dir):
     """Every anchor of the given pages, resolved and normalised."""
-    parsed = with_tree(table(spark, sf_dir, "pages"))
+    parsed = with_tree(spread(table(spark, sf_dir, "pages")))
     return L.links(parsed).select("page_id", "pos", "link")
 
 
@@ -239,7 +240,7 @@ def url_classify_full(spark, sf_dir):
 
 def homepage_links(spark, sf_dir):
     """First links of the given pages, each page taken as a homepage."""
-    parsed = with_tree(table(spark, sf_dir, "pages"))
+    parsed = with_tree(spread(table(spark, sf_dir, "pages")))
     return L.homepage_links(parsed.select(F.col("page_id").alias("site"), "tree"))
 
 

@@ -17,7 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Whole HTML pages cross to Python, so batches are kept small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -73,3 +73,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def fits_broadcast(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; stops counting beyond."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a costly per-row step all cores when its input has fewer splits than that.
+
+    A large table has more splits than cores and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df

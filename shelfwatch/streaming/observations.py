@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as K
 from ..session import scratch_path
@@ -112,83 +115,64 @@ def maintain_latest(stream: DataFrame, order: list[str], path: str | None = None
     return current(stream.sparkSession, path)
 
 
-def _last_two(order: list[str]):
-    """Keep two newest rows per product inside an Arrow batch."""
+def _update_bucket(order: list[str], schema: pa.Schema):
+    """Keep the two newest rows of every product of a bucket.
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The state of a bucket is one small table, merged column-wise with whatever
+    arrives, so the Python cost is per batch and not per product.
+    """
+
+    def two_newest(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(order).groupby("product_id", sort=False).tail(2)
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pa.ipc.open_stream(bytes(state.get[0])).read_pandas() if state.exists else None
+        seen = []
         for batch in batches:
-            yield batch.sort_values(order).groupby("product_id").tail(2)
-
-    return reduce
-
-
-class LastTwo(StatefulProcessor):
-    """State: the two newest (order, price) of a product, in any order of arrival."""
-
-    def __init__(self, order: list[str], state_schema: T.StructType):
-        self.order = order
-        self.state_schema = state_schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last_two", self.state_schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        width = len(self.order) + 1
-        held = self.state.get() if self.state.exists() else None
-        newest = []
-        if held is not None:
-            newest = [tuple(held[:width])]
-            if held[width] is not None:
-                newest.append(tuple(held[width:]))
-        for batch in rows:
-            columns = [batch[c] for c in (*self.order, "price")]
-            newest.extend(zip(*[c.astype(object).where(c.notna(), None) for c in columns]))
-            newest = sorted(newest, key=lambda r: r[:-1], reverse=True)[:2]
-        flat = list(newest[0]) + (list(newest[1]) if len(newest) > 1 else [None] * width)
-        self.state.update(tuple(_plain(v) for v in flat))
-        yield pd.DataFrame(
-            {
-                "product_id": [key[0]],
-                "latest_price": [newest[0][-1]],
-                "previous_price": [newest[1][-1] if len(newest) > 1 else None],
-                "latest_at": [newest[0][0]],
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def _plain(value):
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    return value.item() if hasattr(value, "item") else value
-
-
-def price_changes(stream: DataFrame, order: list[str]) -> DataFrame:
+            rows = batch[schema.names]
+            seen.append(rows["product_id"].unique())
+            held = two_newest(rows if held is None else pd.concat([held, rows], ignore_index=True))
+        table = pa.Table.from_pandas(held, schema=schema, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+
+        touched = held[held["product_id"].isin(np.concatenate(seen))]
+        is_newest = ~touched.duplicated("product_id", keep="last")
+        newest = touched.loc[is_newest, ["product_id", "price", order[0]]]
+        before = touched.loc[~is_newest, ["product_id", "price"]]
+        newest.columns = ["product_id", "latest_price", "latest_at"]
+        before.columns = ["product_id", "previous_price"]
+        yield newest.merge(before, on="product_id", how="left")[
+            ["product_id", "latest_price", "previous_price", "latest_at"]
+        ].astype({"previous_price": object}).replace({np.nan: None})
+
+    return update
+
+
+def price_changes(stream: DataFrame, order: list[str], buckets: int = 1024) -> DataFrame:
     """Last against previous observation of every product a batch touches.
 
     The first ``order`` column is the event time. Late rows take their place by
     time, so the result after any split into batches equals the batch query.
+    Products share ``buckets`` states by hash; like the number of shuffle
+    partitions it is fixed for the life of a checkpoint.
     """
-    columns = ["product_id", "price", *order]
-    rows = stream.select(*columns)
+    rows = stream.select("product_id", "price", *order)
     schema = rows.schema
-    state = T.StructType(
-        [T.StructField(f"newest_{c}", schema[c].dataType) for c in (*order, "price")]
-        + [T.StructField(f"previous_{c}", schema[c].dataType) for c in (*order, "price")]
-    )
     price = schema["price"].dataType.simpleString()
     output = (
         f"product_id bigint, latest_price {price}, previous_price {price}, "
         f"latest_at {schema[order[0]].dataType.simpleString()}"
     )
-    reduced = rows.mapInPandas(_last_two(order), schema)
-    changed = reduced.groupBy("product_id").transformWithStateInPandas(
-        statefulProcessor=LastTwo(order, state),
-        outputStructType=output,
-        outputMode="Update",
-        timeMode="None",
+    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets)))
+    changed = bucketed.groupBy("bucket").applyInPandasWithState(
+        _update_bucket(order, to_arrow_schema(schema)),
+        output,
+        "rows binary",
+        "update",
+        GroupStateTimeout.NoTimeout,
     )
     change = F.col("latest_price") - F.col("previous_price")
     share = change.cast("double") / F.col("previous_price").cast("double") * 100
@@ -197,8 +181,11 @@ def price_changes(stream: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def maintain_changes(stream: DataFrame, order: list[str], path: str | None = None) -> DataFrame:
+def maintain_changes(
+    stream: DataFrame, order: list[str], path: str | None = None, buckets: int = 1024
+) -> DataFrame:
     """Run the price-change stream into a store and return the current changes."""
     path = path or scratch_path(stream.sparkSession, "stream-changes")
-    run_to_end(price_changes(stream, order), path, batch_writer(path), mode="update")
+    changes = price_changes(stream, order, buckets)
+    run_to_end(changes, path, batch_writer(path), mode="update")
     return current(stream.sparkSession, path)
