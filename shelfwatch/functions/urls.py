@@ -13,6 +13,11 @@ _PARTS = (
 )
 _AUTHORITY = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _RELATIVE_SCHEMES = ["http", "https", "ftp", "file", ""]
+# Links that are already in normal form: plain segments, nothing to resolve or drop.
+_PLAIN_SEGMENTS = r"(?:/[A-Za-z0-9_~\-][A-Za-z0-9_.~%,!$&'()*+=:@\-]*)+$"
+_PLAIN_PATH = "^" + _PLAIN_SEGMENTS
+_PLAIN_URL = r"^https?://[A-Za-z0-9.:\-]+" + _PLAIN_SEGMENTS
+_ORIGIN = r"^https?://[^/?#\x00-\x20]+"
 _CONTROL_OR_SPACE = "".join(chr(c) for c in range(33))
 # A code point that is never text, to cut one match into its groups.
 _CUT = "\uffff"
@@ -45,7 +50,8 @@ def _without_params(full_path: Column) -> Column:
 
 def path(url: Column) -> Column:
     """Path without the ';parameters' of its last segment."""
-    return let(F.regexp_extract(_clean(url), _PARTS, 3), _without_params)
+    full = F.regexp_extract(_clean(url), _PARTS, 3)
+    return let(F.when(url.rlike(_PLAIN_PATH), url).otherwise(full), _without_params)
 
 
 def site(url: Column) -> Column:
@@ -199,6 +205,20 @@ def normalise(url: Column) -> Column:
     return let(parts(url), rebuild)
 
 
+def link_target(base: Column, href: Column) -> Column:
+    """The normal form of ``href`` as seen from ``base``.
+
+    The same as ``normalise(resolve(base, href))``; hrefs that are plain paths or
+    plain urls, which most are, take a short way.
+    """
+    origin = F.regexp_extract(base, _ORIGIN, 0)
+    return (
+        F.when(href.rlike(_PLAIN_PATH) & (origin != ""), F.concat(origin, href))
+        .when(href.rlike(_PLAIN_URL), href)
+        .otherwise(normalise(resolve(base, href)))
+    )
+
+
 def kind_by_path(url: Column) -> Column:
     """product, promotional, category or unknown, judged by the path alone."""
     return let(

@@ -1 +1 @@
-
+"""Commands for spark-submit."""

@@ -337,9 +337,12 @@ def extract_products(tree: Column, page_url: Column, slug: Column | None = None)
     return F.coalesce(N.first_filled(*sources), F.get(generic, F.lit(0)))
 
 
-def product_rows(pages: DataFrame, products: Column, key: str = "page_id") -> DataFrame:
+def product_rows(
+    pages: DataFrame, products: Column, key: str = "page_id", *kept: str
+) -> DataFrame:
     """One row per product; markup in embedded descriptions becomes text."""
-    rows = pages.select(key, F.posexplode(products).alias("pos", "p")).select(key, "pos", "p.*")
+    rows = pages.select(key, *kept, F.posexplode(products).alias("pos", "p"))
+    rows = rows.select(key, *kept, "pos", "p.*")
     is_markup = F.col("source") == "embedded_json"
     plain = text_of_html(F.when(is_markup, F.col("description")))
     return rows.withColumn(
@@ -378,13 +381,17 @@ def banner_texts(tree: Column) -> Column:
     return F.slice(promising, 1, K.MAX_BANNERS_PER_PAGE)
 
 
-def campaign_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def campaign_rows(
+    pages: DataFrame, key: str = "page_id", *kept: str, texts: Column | None = None
+) -> DataFrame:
     """One row per banner. ``is_confident`` banners state their discount; the
     others are promotional but need wording by hand or by a model."""
-    banners = pages.select(key, "url", F.posexplode(banner_texts(F.col("tree"))).alias("pos", "text"))
+    found = banner_texts(F.col("tree")) if texts is None else texts
+    banners = pages.select(key, *kept, "url", F.posexplode(found).alias("pos", "text"))
     discount = X.discount_text(F.col("text"))
     return banners.select(
         key,
+        *kept,
         "pos",
         X.truncate_at_word(F.col("text")).alias("title"),
         F.col("text").alias("description"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import text as X, tree as N, urls as U
@@ -10,39 +10,40 @@ from ..functions.ranking import top_n
 from .extraction import anchor_hrefs, page_kind
 
 
-def links(pages: DataFrame, key: str = "page_id", *kept: str) -> DataFrame:
-    """(page, position, href, link) of every anchor; link is the normalised target."""
+def links(
+    pages: DataFrame, key: str = "page_id", *kept: str, hrefs: Column | None = None
+) -> DataFrame:
+    """(page, position, href, link) of every anchor; link is the normalised target.
+
+    The hrefs come from the page's ``tree`` unless a column of them is given.
+    """
+    found = anchor_hrefs(F.col("tree")) if hrefs is None else hrefs
     rows = pages.select(
-        key,
-        *kept,
-        F.col("url").alias("page_url"),
-        F.posexplode(anchor_hrefs(F.col("tree"))).alias("pos", "href"),
+        key, *kept, F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "href")
     )
-    return rows.withColumn("link", U.normalise(U.resolve(F.col("page_url"), F.col("href"))))
+    return rows.withColumn("link", U.link_target(F.col("page_url"), F.col("href")))
 
 
-def product_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def product_links(
+    pages: DataFrame, key: str = "page_id", *kept: str, hrefs: Column | None = None
+) -> DataFrame:
     """Distinct product links per page.
 
     ``pages`` also has ``base_url``, the seller's address. A link counts when it
     stays on the site and either looks like a product path, or is unclassified
     and lies strictly below the page's own path.
     """
-    rows = links(pages, key, "base_url")
-    kind = F.col("kind")
+    rows = links(pages, key, "base_url", *kept, hrefs=hrefs)
+    rows = rows.where(U.same_site(F.col("link"), F.col("base_url"))).withColumn(
+        "kind", U.kind_by_path(F.col("link"))
+    )
     page_path = F.regexp_replace(U.path(F.col("page_url")), "/+$", "")
     below = (
-        (kind == "unknown")
+        (F.col("kind") == "unknown")
         & (page_path != "")
         & F.startswith(U.path(F.col("link")), F.concat(page_path, F.lit("/")))
     )
-    rows = rows.where(U.same_site(F.col("link"), F.col("base_url")))
-    return (
-        rows.withColumn("kind", U.kind_by_path(F.col("link")))
-        .where((kind == "product") | below)
-        .select(key, "link")
-        .distinct()
-    )
+    return rows.where((F.col("kind") == "product") | below).select(key, *kept, "link").distinct()
 
 
 # --- robots.txt and sitemaps -------------------------------------------------
@@ -168,7 +169,7 @@ def discover_urls(
     )
     bases = sites.select("site", "base_url", U.site(F.col("base_url")).alias("base_site"))
     placed = spellings.join(bases, "site").withColumn(
-        "link", U.normalise(U.resolve(F.col("base_url"), F.col("url")))
+        "link", U.link_target(F.col("base_url"), F.col("url"))
     )
     on_site = placed.where(U.site(F.col("link")) == F.col("base_site"))
     first = on_site.groupBy("site", F.col("link").alias("url")).agg(F.min("f").alias("f"))

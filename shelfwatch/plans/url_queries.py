@@ -195,7 +195,7 @@ def _inputs(spark, sf_dir, sql):
 
 
 def _discovered(spark, sf_dir):
-    leaves = _inputs(spark, sf_dir, _LEAVES).select(
+    leaves = spread(_inputs(spark, sf_dir, _LEAVES)).select(
         "site", F.array(F.col("pos")).alias("trail"), "url"
     )
     return L.discover_urls(

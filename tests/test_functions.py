@@ -152,12 +152,17 @@ def test_resolve_equals_plain_python(spark):
     bases = [u.split("#")[0] for u in random_urls(rng, 60)]
     refs = ["", "leaf", "./leaf", "../leaf", "../../../x", "/root", "//cdn.example/a", "?q=1", "#f", "a/../b",
             "http://o.example/a/../b#z", "mailto:a@b.example", "javascript:void(0)", " /pad", "/a\n/b", "a//b", ".",
-            "..", "x/.", "/..", "tel:1"]
+            "..", "x/.", "/..", "tel:1", "/a/b-c_1.html", "/a/", "/a;p", "/a.b/..c", "/.h", "https://s.example/a/b",
+            "http://S.example/a/", "https://s.example", "/%41/x,y", "/a:b"]
     rows = [(i, b, r) for i, (b, r) in enumerate((b, r) for b in bases for r in refs)]
     df = spark.createDataFrame(rows, "i int, b string, r string").select(
-        "i", U.normalise(U.resolve(F.col("b"), F.col("r"))).alias("o")
+        "i",
+        U.normalise(U.resolve(F.col("b"), F.col("r"))).alias("o"),
+        U.link_target(F.col("b"), F.col("r")).alias("short"),
     )
-    got = [r.o for r in sorted(df.collect(), key=lambda r: r.i)]
+    rows_out = sorted(df.collect(), key=lambda r: r.i)
+    got = [r.o for r in rows_out]
+    assert [r.short for r in rows_out] == got
     want = [plain_normalise(urljoin(b, r)) for _, b, r in rows]
     differing = [(row, g, w) for row, g, w in zip(rows, got, want) if g != w]
     assert differing == []
@@ -169,7 +174,8 @@ def test_resolve_equals_plain_python(spark):
         ("https://x.example/products/tulip", "product"), ("https://x.example/p/9", "product"),
         ("https://x.example/collections/all", "category"), ("https://x.example/sale", "promotional"),
         ("https://x.example/sales", "unknown"), ("https://x.example/about", "unknown"),
-        ("https://x.example/about?u=/products/1", "unknown"),
+        ("https://x.example/about?u=/products/1", "unknown"), ("/products/a", "product"), ("//shop/a", "unknown"),
+        ("https://shop/a", "unknown"), ("/about", "unknown"), ("/deals", "promotional"),
     ],
 )
 def test_kind_by_path(spark, url, kind):
