@@ -93,16 +93,23 @@ def flatten_nodes(blocks: Column) -> Column:
     """Objects of all blocks with lists and @graph wrappers opened, in order.
 
     An object with a list-valued @graph is replaced by its members; an
-    object-valued @graph is left alone. Each step opens one level, and steps
-    with nothing to open pass the array through.
+    object-valued @graph is left alone. Each step opens one level; once nothing
+    is left to open, the remaining steps only pass the array on.
     """
 
-    def step(nodes: Column, _: Column) -> Column:
-        opened = F.flatten(F.transform(nodes, lambda v: F.coalesce(_wrapped(v), F.array(v))))
-        return F.when(F.exists(nodes, lambda v: _wrapped(v).isNotNull()), opened).otherwise(nodes)
+    def opened(nodes: Column) -> Column:
+        return F.flatten(F.transform(nodes, lambda v: F.coalesce(_wrapped(v), F.array(v))))
+
+    def with_flag(nodes: Column) -> Column:
+        more = F.exists(nodes, lambda v: _wrapped(v).isNotNull())
+        return F.struct(nodes.alias("nodes"), F.coalesce(more, F.lit(False)).alias("more"))
+
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(acc["more"], let(opened(acc["nodes"]), with_flag)).otherwise(acc)
 
     steps = F.sequence(F.lit(1), F.lit(MAX_WRAPPER_DEPTH))
-    return F.filter(F.aggregate(steps, blocks, step), is_object)
+    flat = F.aggregate(steps, let(blocks, with_flag), step)
+    return F.filter(flat["nodes"], is_object)
 
 
 def node_types(node: Column) -> Column:
