@@ -1,8 +1,9 @@
 """Ranked product search and comparable products.
 
-A query matches a product when they share a keyword. The rank is the sum of the
-weights of the shared keywords (a keyword found n times weighs 1 + 1/4 + ... +
-1/n², scaled) divided by the number of distinct query keywords.
+A query matches a product when they share a keyword, compared by English word
+stem with stop words left out. The rank is the sum of the weights of the shared
+keywords (a keyword found n times weighs 1 + 1/4 + ... + 1/n², scaled) divided
+by the number of distinct query keywords.
 
 Exact top-k without pairing every two products that share a common word: each
 name files its best candidates under every subset of its keywords, and a query
@@ -22,6 +23,7 @@ from .. import constants as K
 from ..functions import text as X
 from ..functions.binding import let
 from ..functions.ranking import top_n
+from ..functions.stemming import english_stems
 
 MAX_SUBSET_TERMS = 8
 # Ranks are added up as whole numbers in this unit, so sums do not depend on order.
@@ -39,7 +41,7 @@ def _term_weight(times: Column) -> Column:
 
 
 def weighted_terms(name: Column) -> Column:
-    """Distinct keywords of a name, sorted, each with its weight."""
+    """Distinct word stems of a name's keywords, sorted, each with its weight."""
 
     def weigh(words: Column) -> Column:
         return F.transform(
@@ -50,7 +52,7 @@ def weighted_terms(name: Column) -> Column:
             ),
         )
 
-    return let(X.keywords(name), weigh)
+    return let(english_stems(X.keywords(name)), weigh)
 
 
 def _subsets(terms: Column) -> Column:

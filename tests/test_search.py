@@ -6,13 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch import constants as K
+from shelfwatch.functions.stemming import STOP_WORDS, stem
 from shelfwatch.operators import search as S, vectors as V
 
 
 def brute_force(queries, products, k):
     def words(text):
         cleaned = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-        return [w for w in cleaned if len(w) > 2 and w not in K.SEARCH_STOPWORDS]
+        kept = [w for w in cleaned if len(w) > 2 and w not in K.SEARCH_STOPWORDS]
+        return [stem(w) for w in kept if w not in STOP_WORDS]
 
     def weight(n):
         return round(1e9 * 0.1 / 1.64493406685 * sum(1 / j**2 for j in range(1, n + 1)))
@@ -35,7 +37,7 @@ def brute_force(queries, products, k):
 def test_rank_matches_equals_brute_force(spark, monkeypatch, max_terms, seed):
     monkeypatch.setattr(S, "MAX_SUBSET_TERMS", max_terms)
     rng = random.Random(seed)
-    vocabulary = [f"word{i}" for i in range(8)] + ["the", "hot"]
+    vocabulary = ["rose", "roses", "tulip", "tulips", "lily", "lilies", "garden", "gardening"] + ["the", "hot", "own"]
 
     def name():
         picked = [rng.choice(vocabulary) for _ in range(rng.randint(1, 6))]
@@ -79,3 +81,25 @@ def test_vector_paths_agree(spark, monkeypatch):
     assert in_tasks == joined
     assert all(r.distance == pytest.approx(0, abs=1e-6) for r in rows if r.rank_no == 1)
     assert [r.rank_no for r in rows if r.development_id == 90] == [31, 31]
+
+
+def test_stems_of_published_samples():
+    pairs = """consignment consign consistency consist consolation consol consolatory consolatori
+        consonant conson conspicuously conspicu conspiracy conspiraci constables constabl knackeries
+        knackeri knavish knavish kneeling kneel knightly knight knitted knit knives knive generate generat
+        general general generically generic ties tie cries cri gas gas this this kiwis kiwi gaps gap
+        hoping hope hopping hop luxuriate luxuri relational relat sensational sensat hopefulness hope
+        rational ration skies sky dying die inning inning perennials perenni lilies lili lily lili""".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_word_forms_match(spark):
+    got = S.rank_matches(
+        spark.createDataFrame([("q", "Tulips for gardens", None)], "query_key string, text string, own_seller bigint"),
+        spark.createDataFrame(
+            [(1, 1, "Tulip, garden"), (2, 1, "gardening rose"), (3, 1, "fern")],
+            "product_id bigint, seller_id bigint, name string",
+        ),
+        5,
+    )
+    assert [(r.product_id, r.rank_no) for r in got.orderBy("rank_no").collect()] == [(1, 1), (2, 2)]
