@@ -59,7 +59,7 @@ _SHAPES = f"""
             || CAST(cents AS STRING) || ',"compare_at_price":'
             || CAST(cents + size % 2 * 1000 AS STRING) || ',"available":'
             || CASE WHEN size > 10 THEN 'true' ELSE 'false' END || ',"sku":"' || sku
-            || '"}}],"featured_image":"https://img.example/f.jpg","description":"<p>Nice <b>'
+            || '"}}],"featured_image":"https://img.example/f.jpg","description":"<p>Soft <b>'
             || name || '</b></p>"}}</script>'
        ELSE '<div class="grid product-item"><h3>' || name || '</h3><span class="sale-price">$'
             || CAST(price AS STRING) || '</span><a href="/products/' || CAST(page_id AS STRING)
@@ -173,14 +173,14 @@ def next_link(spark, sf_dir):
 
 
 _BANNER_TEXT = """CASE size % 5
-    WHEN 0 THEN 'Spring Sale:   ' || CAST(size AS STRING) || '% off ' || repeat(name || ' ', 12)
-    WHEN 1 THEN 'Use code SAVE' || CAST(size AS STRING) || ' for $' || CAST(size AS STRING)
+    WHEN 0 THEN 'Fern week:   ' || CAST(size AS STRING) || '% off ' || repeat(name || ' ', 12)
+    WHEN 1 THEN 'Enter code FERN' || CAST(size AS STRING) || ' to take $' || CAST(size AS STRING)
          || '.50 OFF any ' || name
-    WHEN 2 THEN 'Big Clearance Event - ' || name
-    WHEN 3 THEN 'Welcome to our store'
+    WHEN 2 THEN 'Huge clearance weekend - ' || name
+    WHEN 3 THEN 'Fresh plants every day'
     ELSE 'BOGO ' || repeat(name || ' ', 40) || ' 10% off' END"""
 _BANNERS = f"""
-    '<div class="footer">See our sale page for 20% off</div><section id="top-bar"><p>'
+    '<div class="footer">Sale terms: 20% off once</div><section id="top-bar"><p>'
     || {_BANNER_TEXT} || '</p></section><p class="x hero-y">' || {_BANNER_TEXT} || '</p>'"""
 
 
@@ -273,7 +273,7 @@ def _expected(shapes):
                CASE WHEN shape IN (0, 3, 4) THEN size > 10 ELSE TRUE END AS in_stock,
                CASE WHEN shape IN (1, 4) THEN category END AS category,
                CASE WHEN shape IN (2, 4) THEN brand END AS brand,
-               CASE WHEN shape = 4 THEN 'Nice ' || name END AS description,
+               CASE WHEN shape = 4 THEN 'Soft ' || name END AS description,
                CASE shape WHEN 2 THEN 'https://img.example/1.jpg' WHEN 4 THEN 'https://img.example/f.jpg'
                     WHEN 3 THEN site || '/i/' || page_id || '.png' END AS image_url,
                CASE shape WHEN 2 THEN site || '/p/' || page_id || '#top'
@@ -284,7 +284,7 @@ def _expected(shapes):
 
 
 _DISCOUNT = """CASE size % 5 WHEN 0 THEN size || '% off'
-    WHEN 1 THEN '$' || size || '.50 off; code SAVE' || size
+    WHEN 1 THEN '$' || size || '.50 off; code FERN' || size
     WHEN 4 THEN '10% off' ELSE '' END"""
 _CUT = """CASE WHEN length(description) <= 80 THEN description
     ELSE regexp_extract(left(description, 80), '^(.*) [^ ]*$', 1, 's') || '…' END"""
