@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions import text as X, tree as N, urls as U
 from ..functions.ranking import top_n
+from ..session import materialise
 from .extraction import anchor_hrefs, page_kind
 
 
@@ -104,6 +105,7 @@ def expand_sitemaps(roots: DataFrame, locs: DataFrame) -> DataFrame:
     (site, sitemap) and ``trail`` (positions from the root) gives the order of
     first discovery.
     """
+    locs = materialise(locs, "sitemap-locs")  # read at every level, parsed once
     frontier = roots.select("site", "sitemap_url", F.array(F.col("pos").cast("long")).alias("trail"))
     leaves = None
     for depth in range(K.SITEMAP_MAX_DEPTH + 1):

@@ -25,7 +25,7 @@ from ..functions.binding import let
 from ..functions.ranking import top_n
 from ..functions.stemming import english_stems
 
-MAX_SUBSET_TERMS = 8
+MAX_SUBSET_TERMS = 10
 # Ranks are added up as whole numbers in this unit, so sums do not depend on order.
 _UNIT = 1_000_000_000
 
