@@ -236,6 +236,21 @@ def _loose_by_pieces(prepared: DataFrame, slugs: DataFrame) -> DataFrame:
     return found
 
 
+def prepare_swot(submitted: DataFrame, model: str, generated_at: Column) -> DataFrame:
+    """Submitted analyses ready to append: four text lists, the model and the time.
+
+    History is append-only: an analysis never replaces an earlier one.
+    """
+    lists = ["strengths", "weaknesses", "opportunities", "threats"]
+    return submitted.select(
+        "seller_id",
+        *[F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c) for c in lists],
+        generated_at.alias("generated_at"),
+        F.lit(model).alias("model_used"),
+        "source_summary",
+    )
+
+
 def swot_latest(swot: DataFrame) -> DataFrame:
     newest = [F.col("generated_at").desc(), F.col("swot_id").desc()]
     return top_n(swot, ["seller_id"], newest, 1).drop("rank_no")

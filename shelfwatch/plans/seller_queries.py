@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import age_label
 from ..operators import campaigns as C, sellers as S
+from ..session import scratch_path
+from ..sources import sinks
 from .tables import AS_OF, OBSERVATION_ORDER, oracle, portable, view
 
 _OBS_DESC = ", ".join(f"{c} DESC" for c in OBSERVATION_ORDER)
@@ -128,6 +130,28 @@ def resolve_seller(spark, sf_dir):
     return S.resolve_seller(_sql(spark, sf_dir, _GUESSES), view(spark, sf_dir, "sellers"))
 
 
+def swot_append(spark, sf_dir):
+    """Append analyses to an empty store and read the store back."""
+    events = view(spark, sf_dir, "events")
+    submitted = events.select(
+        F.expr("CAST(user_id % 25 + 1 AS INT)").alias("seller_id"),
+        F.array("event_type", "props").alias("strengths"),
+        F.when(F.col("value") > 10, F.array("props")).alias("weaknesses"),
+        F.array(F.col("event_id").cast("string")).alias("opportunities"),
+        F.split("event_type", "e").alias("threats"),
+        F.col("props").alias("source_summary"),
+        "ts",
+    )
+    path = scratch_path(spark, "swot")
+    sinks.append(S.prepare_swot(submitted, "analyst", F.col("ts")), path)
+    stored = spark.read.parquet(path)
+    lists = ("strengths", "weaknesses", "opportunities", "threats")
+    return stored.select(
+        "seller_id", "generated_at", "model_used", "source_summary",
+        *[F.array_join(c, "|").alias(c) for c in lists],
+    )
+
+
 def swot_latest(spark, sf_dir):
     return S.swot_latest(view(spark, sf_dir, "swot_analyses"))
 
@@ -207,7 +231,7 @@ QUERIES = {
         registry_active, seed_sellers, upsert_own_brands, seller_by_slug, product_by_id,
         product_counts, latest_crawl, seller_overview, dashboard_stats, crawl_age,
         latest_price_page, product_page_total, product_filter, product_sort, resolve_seller,
-        swot_latest, swot_history, campaign_search, campaigns_by_seller, product_campaigns,
+        swot_append, swot_latest, swot_history, campaign_search, campaigns_by_seller, product_campaigns,
         campaign_lines, campaign_dedup_append, developments_feed, development_append,
         embedding_text, campaign_append, recent_activity,
     )
@@ -307,6 +331,13 @@ ORACLES = {
             SELECT guess, seller_id, slug FROM matches QUALIFY row_number() OVER
                 (PARTITION BY guess ORDER BY priority, length(slug), slug) = 1""",
     ),
+    "swot_append": """
+        SELECT CAST(user_id % 25 + 1 AS INT) AS seller_id, ts AS generated_at,
+               'analyst' AS model_used, props AS source_summary,
+               event_type || '|' || props AS strengths,
+               CASE WHEN value > 10 THEN props ELSE '' END AS weaknesses,
+               CAST(event_id AS VARCHAR) AS opportunities, replace(event_type, 'e', '|') AS threats
+        FROM events""",
     "swot_latest": oracle(
         ["swot_analyses"],
         """SELECT * FROM swot_analyses QUALIFY row_number() OVER
