@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
@@ -125,7 +123,6 @@ def _final_letter(word: str, r1: int, r2: int) -> str:
     return word
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """Stem of a lower-case word."""
     if len(word) <= 2:
@@ -152,8 +149,10 @@ def stem(word: str) -> str:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def english_stems(words: pa.Array) -> pa.Array:
-    """Stems of each word list, stop words left out. Each worker stems a word once."""
+    """Stems of each word list, stop words left out. A batch stems each word once."""
+    lists = words.to_pylist()
+    stems = {x: stem(x) for w in lists if w for x in w if x not in STOP_WORDS}
     return pa.array(
-        [None if w is None else [stem(x) for x in w if x not in STOP_WORDS] for w in words.to_pylist()],
+        [None if w is None else [stems[x] for x in w if x in stems] for w in lists],
         type=pa.list_(pa.string()),
     )
