@@ -27,11 +27,18 @@ class Words(NamedTuple):
     first: np.ndarray  # first word of each text, and the number of words
     hash: np.ndarray  # uint64 of each word
     text_start: np.ndarray  # first byte of each text, and the number of bytes
+    sums: np.ndarray  # running sums behind the hashes
 
     def owner(self) -> np.ndarray:
         """The text each word belongs to."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from ``start`` to ``end``, such as words or their beginnings."""
+        down = _power("down", pow(BASE, -1, 1 << 64), len(self.data))
+        value = (self.sums[end] - self.sums[start]) * down[start]
+        return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
 
 @lru_cache(maxsize=4)
 def _tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +117,10 @@ def split(data: np.ndarray, offsets: np.ndarray, kind: str) -> Words:
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     first = np.searchsorted(start, text_start)
     first[-1] = len(start)
-    if len(start):
-        inverse = pow(BASE, -1, 1 << 64)
-        sums = np.zeros(len(padded) + 1, np.uint64)
-        np.cumsum((padded.astype(np.uint64) + 1) * _power("up", BASE, len(padded))[: len(padded)], out=sums[1:])
-        value = (sums[end] - sums[start]) * _power("down", inverse, len(padded))[start]
-        value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    else:
-        value = np.zeros(0, np.uint64)
-    return Words(padded, start, end, first, value, text_start)
+    sums = np.zeros(len(padded) + 1, np.uint64)
+    np.cumsum((padded.astype(np.uint64) + 1) * _power("up", BASE, len(padded))[: len(padded)], out=sums[1:])
+    words = Words(padded, start, end, first, np.zeros(0, np.uint64), text_start, sums)
+    return words._replace(hash=words.hash_of(start, end))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
