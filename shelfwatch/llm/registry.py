@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact", "decontamination", "secrets", "sharding", "packing"]
+MODULES = ["exact", "decontamination", "secrets", "sharding", "packing", "quality", "toxicity"]
 
 
 def all_queries():
