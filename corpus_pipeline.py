@@ -1,12 +1,61 @@
-"""Corpus pipeline."""
-from shelfwatch.llm import exact
+"""The corpus pipeline: toxic, copied, near-copied and leaked documents go, the rest is packed.
 
-STAGES = [("exact_dedup", lambda spark, docs, sf_dir: exact.drop_copies(docs, keep="largest"))]
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns
+a DataFrame: the documents that stay with all their columns, the last one the
+packed pieces. Columns other than ``doc_id`` and ``text`` are passed on as they
+are. Each stage's treatment of nulls, empty texts, repeated rows and empty
+tables is that of its operator.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from shelfwatch.llm import decontamination, exact, near, packing, toxicity
+from shelfwatch.session import materialise
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold by models learnt from the given labels."""
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact.drop_copies(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id."""
+    return near.drop_near_copies(docs)
+
+
+def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, packed in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", reject_leaks),
+    ("packing", pack_sequences),
+]
+
+# Neither the toxicity model nor the token packing can be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what one returns is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
