@@ -223,7 +223,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> D
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tile: int = TILE
 ) -> DataFrame:
-    """One row per document: id, class_id, class_size and kept (one of each class)."""
+    """One row per document: id, class_id, class_size, kept (one of each class) and text_md5."""
     rows = materialise(representatives(docs, id_col, text_col), "sketches")
     texts = materialise(
         rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best"), F.count(F.lit(1)).alias("copies"))
@@ -272,7 +272,8 @@ def near_duplicates(
     classes = of_text.groupBy("label").agg(best, F.sum("copies").alias("size"))
     answer = of_text.join(classes, "label").select("digest", F.col("best.id").alias("class_id"), F.col("best.node").alias("keeper"), "size")
     return rows.select("row", "id", "digest").join(answer, "digest").select(
-        F.col("id").alias(id_col), "class_id", F.col("size").alias("class_size"), (F.col("row") == F.col("keeper")).alias("kept")
+        F.col("id").alias(id_col), "class_id", F.col("size").alias("class_size"), (F.col("row") == F.col("keeper")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_md5"),
     )
 
 
@@ -283,9 +284,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     names = docs.columns
     found = near_duplicates(docs, id_col, text_col, threshold)
-    stay = found.where("kept").select(F.col(id_col).alias("stay_id"))
-    marked = docs.withColumn("near_mark", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]), "left_semi").dropDuplicates([id_col, "near_mark"]).select(*names)
+    stay = found.where("kept").select(F.col(id_col).alias("stay_id"), F.col("text_md5").alias("stay_md5"))
+    marked = docs.withColumn("shelfwatch_mark", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    same = marked[id_col].eqNullSafe(stay["stay_id"]) & (marked["shelfwatch_mark"] == stay["stay_md5"])
+    return marked.join(stay, same, "left_semi").dropDuplicates([id_col, "shelfwatch_mark"]).select(*names)
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
