@@ -18,7 +18,8 @@ weights is the plain Jaccard similarity of the sets.
    components, all pairs across components are compared, in tiles of
    ``2 * TILE`` members, so a large bucket is many tasks. Pairs whose registers
    agree too little for 0.8 (five standard deviations) are dropped there, the
-   others compared exactly. Only links leave a tile.
+   others compared exactly. A pair that the tile has already connected adds
+   nothing, so at most one link a member leaves a tile.
 
 Classes are the connected components of the links. No candidate, partner or
 bucket is capped.
@@ -182,18 +183,20 @@ def _tile(threshold: float):
         here = np.flatnonzero(keys[0] == key[0])[0]
         first, last = int(table["low"][0].as_py()), int(table["high"][0].as_py())
         sets = None
+        group = np.unique(label, return_inverse=True)[1]  # what is connected so far, here
         out_a, out_b = [], []
         for k in np.flatnonzero(chunk == first):
-            others = np.flatnonzero((chunk == last) & (label != label[k]) & ((node > node[k]) | (first != last)))
+            others = np.flatnonzero((chunk == last) & (group != group[k]) & ((node > node[k]) | (first != last)))
             others = others[(registers[others] == registers[k]).sum(axis=1) >= agree]
             # a pair that shares an earlier band is met there
             others = others[~(keys[others, :here] == keys[k, :here]).any(axis=1)]
             if len(others) and sets is None:
                 sets = weighted_sets(table["body"])
             for other in others.tolist():
-                if similarity(sets[k], sets[other]) >= threshold - 1e-12:
+                if group[other] != group[k] and similarity(sets[k], sets[other]) >= threshold - 1e-12:
                     out_a.append(node[k])
                     out_b.append(node[other])
+                    group[group == group[other]] = group[k]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
