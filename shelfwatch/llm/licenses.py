@@ -30,11 +30,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfwatch.llm.exact import normalised
+from shelfwatch.llm.exact import UPPER
 from shelfwatch.session import materialise
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 WIDTH = 64
 THRESHOLD = 0.8
 
@@ -65,32 +65,38 @@ TEMPLATES = [
 ]
 
 
-def words_of(text: Column) -> Column:
-    """The words of a lower-cased text."""
-    return F.regexp_extract_all(text, F.lit(f"({WORD}+)"), F.lit(1))
+def spaced(text: Column) -> Column:
+    """The lower-cased text with every character between words a space, in one pass."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + GAPS, UPPER.lower() + " " * len(GAPS))
+
+
+def words_of(body: Column) -> Column:
+    """The words of a spaced text."""
+    return F.array_remove(F.split(body, " ", -1), "")
 
 
 def base_places(words: Column, body: Column, phrase: str) -> Column:
-    """(number, first start, last start) of the places of ``phrase``; null if it has none."""
+    """(number, first start, last start) of the places of ``phrase``; null if a word of it is missing."""
     parts = phrase.split()
     # Every word is wrapped in spaces of its own, so neighbouring places do not share any.
-    spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-    pieces = F.split(spaced, " " + "  ".join(parts) + " ", -1)
+    wrapped = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    pieces = F.split(wrapped, " " + "  ".join(parts) + " ", -1)
     count = lambda piece: F.size(F.filter(F.split(piece, " "), lambda x: x != ""))
-    found = F.struct(
-        (F.size(pieces) - 1).cast("bigint").alias("n"),
-        count(F.element_at(pieces, 1)).cast("bigint").alias("first"),
-        (F.size(words) - count(F.element_at(pieces, -1)) - len(parts)).cast("bigint").alias("last"),
-    )
-    stands = f"(?<!{WORD}){f'{GAP}+'.join(parts)}(?!{WORD})"
-    return F.when(body.rlike(stands), found)
+    number = (F.size(pieces) - 1).cast("bigint")
+    first = count(F.element_at(pieces, 1)).cast("bigint")
+    last = (F.size(words) - count(F.element_at(pieces, -1)) - len(parts)).cast("bigint")
+    found = F.struct(number.alias("n"), F.when(number > 0, first).alias("first"), F.when(number > 0, last).alias("last"))
+    held = F.lit(True)
+    for word in sorted(parts, key=len, reverse=True):
+        held = held & F.contains(body, F.lit(word))
+    return F.when(held, found)
 
 
 def token_order(texts: DataFrame, tokens: list[str]) -> dict[str, int]:
     """Rank of each token, rarest in the corpus first; equal counts in the order of the alphabet."""
     counts = {
         r["word"]: r["n"]
-        for r in texts.select(F.explode(words_of(F.col("body"))).alias("word"))
+        for r in texts.select(F.explode(F.split("body", " ", -1)).alias("word"))
         .where(F.col("word").isin(tokens)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
     }
     return {t: k for k, t in enumerate(sorted(tokens, key=lambda t: (counts.get(t, 0), t)))}
@@ -109,7 +115,7 @@ def scan_licenses(
     if any(len(text.split()) > width // 2 for _, text in templates):
         raise ValueError("a template is longer than half a block")
     texts = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), spaced(F.col(text_col)).alias("body")
     )
     tokens = sorted({w for _, text in templates for w in text.split()})
     rank = token_order(texts, tokens)
@@ -140,7 +146,7 @@ def scan_licenses(
             F.array_min(F.array(*[b["first"] for b in base])).alias("first_word"),
             F.array_max(F.array(*[b["last"] for b in base])).alias("last_word"),
             F.array_sort(F.array_distinct(F.array_compact(F.array(
-                *[F.when(b.isNotNull(), F.lit(label)) for b, label in zip(base, phrases.values())]
+                *[F.when(b["n"] > 0, F.lit(label)) for b, label in zip(base, phrases.values())]
             )))).alias("base_labels"),
             F.when(F.arrays_overlap("words", rare), spots).alias("spots"),
         ),
