@@ -15,8 +15,8 @@ that mixture and under the ordinary model, turned into a probability by a
 logistic curve that is fitted on labelled rows the counts have not seen.
 
 Events are kept in ``2 ** BITS`` hash buckets a level, so what is collected and
-broadcast is bounded at any size (28 MB by default), while the rows that tasks
-send grow with the corpus. The class counts come from at most ``sample``
+broadcast is bounded at any size (14 MB of half floats by default, sent
+compressed), while the rows that tasks send grow with the corpus. The class counts come from at most ``sample``
 labelled rows, those with the smallest hash of their id; that list of ids is
 broadcast, so texts never move.
 
@@ -28,6 +28,8 @@ scored alike; a null id is not held out. Other columns are not looked at.
 
 from __future__ import annotations
 
+import zlib
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -52,8 +54,19 @@ class Model(NamedTuple):
     ratio: np.ndarray  # (LEVELS, WIDTH) float32 log-likelihood difference of each event
     curve: np.ndarray  # weights of (1, difference a word, difference a root of words)
 
-    def probability(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(inputs(total, words) @ self.curve, -30, 30)))
+
+def probability(total: np.ndarray, words: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(inputs(total, words) @ curve, -30, 30)))
+
+
+def pack(ratio: np.ndarray) -> bytes:
+    """The differences as compressed half floats, small enough to be sent again after a lost executor."""
+    return zlib.compress(np.clip(ratio, -60, 60).astype(np.float16).tobytes(), 1)
+
+
+@lru_cache(maxsize=2)
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.float16).astype(np.float32).reshape(LEVELS, WIDTH)
 
 
 def inputs(total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -150,7 +163,7 @@ def _sums(ratio: np.ndarray, column) -> tuple[np.ndarray, np.ndarray]:
 def _total(sent):
     def run(batches):
         for batch in batches:
-            total, count = _sums(sent.value, batch.column(2))
+            total, count = _sums(unpack(sent.value), batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(total), pa.array(count)], names=["id", "label", "total", "n"]
             )
@@ -189,7 +202,7 @@ def fit_toxicity(
     kind = docs.schema[id_col].dataType.simpleString()
     sums = (
         texts.join(F.broadcast(chosen.where(tune)), "id").select("id", "label", "body")
-        .mapInArrow(_total(context.broadcast(ratio)), f"id {kind}, label int, total double, n bigint")
+        .mapInArrow(_total(context.broadcast(pack(ratio))), f"id {kind}, label int, total double, n bigint")
         .dropDuplicates(["id"]).toArrow().sort_by("id")
     )
     label = sums["label"].to_numpy().astype(float)
@@ -201,7 +214,7 @@ def fit_toxicity(
 def _score(sent):
     def run(batches):
         for batch in batches:
-            score = sent.value.probability(*_sums(sent.value.ratio, batch.column(1)))
+            score = probability(*_sums(unpack(sent.value[0]), batch.column(1)), sent.value[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
 
     return run
@@ -211,7 +224,7 @@ def score_toxicity(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row per document: id, score (0 to 1) and predicted (1 if the score reaches the threshold)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((pack(model.ratio), model.curve))
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     found = texts.mapInArrow(_score(sent), f"id {kind}, score double")
@@ -221,7 +234,7 @@ def score_toxicity(
 def _keep(sent, at: int, threshold: float):
     def run(batches):
         for batch in batches:
-            score = sent.value.probability(*_sums(sent.value.ratio, batch.column(at)))
+            score = probability(*_sums(unpack(sent.value[0]), batch.column(at)), sent.value[1])
             yield batch.filter(pa.array(score < threshold))
 
     return run
@@ -231,7 +244,7 @@ def drop_toxic(
     docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((pack(model.ratio), model.curve))
     return docs.mapInArrow(_keep(sent, docs.columns.index(text_col), threshold), docs.schema)
 
 
