@@ -34,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwatch.llm import words as W
@@ -51,7 +52,7 @@ TUNE_PARTS = 5  # one part of the labelled rows fits the curve, the others the c
 
 
 class Model(NamedTuple):
-    ratio: np.ndarray  # (LEVELS, WIDTH) float32 log-likelihood difference of each event
+    ratio: np.ndarray  # (LEVELS, WIDTH) half-float log-likelihood difference of each event
     curve: np.ndarray  # weights of (1, difference a word, difference a root of words)
 
 
@@ -61,12 +62,12 @@ def probability(total: np.ndarray, words: np.ndarray, curve: np.ndarray) -> np.n
 
 def pack(ratio: np.ndarray) -> bytes:
     """The differences as compressed half floats, small enough to be sent again after a lost executor."""
-    return zlib.compress(np.clip(ratio, -60, 60).astype(np.float16).tobytes(), 1)
+    return zlib.compress(ratio.tobytes(), 1)
 
 
 @lru_cache(maxsize=2)
 def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.float16).astype(np.float32).reshape(LEVELS, WIDTH)
+    return np.frombuffer(zlib.decompress(packed), np.float16).reshape(LEVELS, WIDTH)
 
 
 def inputs(total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -116,20 +117,18 @@ def _gather(batches):
             )
 
 
-def ratios(before: np.ndarray, toxic: np.ndarray, plain: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Log-likelihood difference of every event given the one before it."""
-    out = np.zeros((LEVELS, WIDTH))
-    for level in range(LEVELS):
-        parent = before[level] if level else np.zeros(WIDTH, np.int64)
-        sum_of = lambda x: np.bincount(parent, x, WIDTH)[parent]  # noqa: B023, E731  over events with the same parent
-        context = documents[level] + 1e-3  # an event that no text has
-        shared = context / sum_of(context)
-        for sign, counts in ((1, toxic[level].astype(float)), (-1, plain[level].astype(float))):
-            total = sum_of(counts)
-            free = np.maximum(sum_of(np.minimum(counts, DISCOUNT)), DISCOUNT)
-            chance = (np.maximum(counts - DISCOUNT, 0) + free * shared) / np.maximum(total, DISCOUNT)
-            out[level] += sign * np.log(np.where(total > 0, chance, shared))
-    return out.astype(np.float32)
+def ratio_of(before: np.ndarray, toxic: np.ndarray, plain: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Log-likelihood difference of every event of a level given the one before it."""
+    sum_of = lambda x: np.bincount(before, x, WIDTH)[before]  # noqa: E731  over events with the same one before
+    context = documents + 1e-3  # an event that no text has
+    shared = context / sum_of(context)
+    out = np.zeros(WIDTH)
+    for sign, counts in ((1, toxic.astype(float)), (-1, plain.astype(float))):
+        total = sum_of(counts)
+        free = np.maximum(sum_of(np.minimum(counts, DISCOUNT)), DISCOUNT)
+        chance = (np.maximum(counts - DISCOUNT, 0) + free * shared) / np.maximum(total, DISCOUNT)
+        out += sign * np.log(np.where(total > 0, chance, shared))
+    return np.clip(out, -60, 60).astype(np.float16)
 
 
 def fit_curve(x: np.ndarray, label: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
@@ -184,21 +183,21 @@ def fit_toxicity(
     found = (
         counted.mapInArrow(_gather, "event int, before int, toxic int, plain int, documents int")
         .groupBy("event")
-        .agg(
-            F.min("before").alias("before"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"),
-            F.sum("documents").alias("documents"),
-        )
+        .agg(F.min("before").alias("before"), *[F.sum(c).alias(c) for c in ("toxic", "plain", "documents")])
         .toArrow()
     )
-    columns = []
-    at = found["event"].to_numpy()
-    for name in ("before", "toxic", "plain", "documents"):
-        dense = np.zeros(LEVELS * WIDTH, np.int64)
-        dense[at] = found[name].to_numpy()
-        columns.append(dense.reshape(LEVELS, WIDTH))
-    if not columns[1].any() or not columns[2].any():
-        return Model(np.zeros((LEVELS, WIDTH), np.float32), np.array([-30.0, 0, 0]))
-    ratio = ratios(*columns)
+    ratio = np.zeros((LEVELS, WIDTH), np.float16)
+    if not pc.sum(found["toxic"]).as_py() or not pc.sum(found["plain"]).as_py():
+        return Model(ratio, np.array([-30.0, 0, 0]))
+    event = found["event"].to_numpy()
+    columns = [found[name].to_numpy() for name in ("before", "toxic", "plain", "documents")]
+    for level in range(LEVELS):  # one at a time: the driver holds few full tables
+        rows = np.flatnonzero(event >> BITS == level)
+        full = [np.zeros(WIDTH, np.int64) for _ in columns]
+        for dense, column in zip(full, columns):
+            dense[event[rows] & (WIDTH - 1)] = column[rows]
+        ratio[level] = ratio_of(*full)
+    del found, event, columns
     kind = docs.schema[id_col].dataType.simpleString()
     sums = (
         texts.join(F.broadcast(chosen.where(tune)), "id").select("id", "label", "body")

@@ -102,14 +102,15 @@ def test_toxic_expressions_and_new_forms_of_them(spark, awkward, no_docs):
     assert toxicity.drop_toxic(no_docs, toxicity.fit_toxicity(no_docs, given)).count() == 0
 
 
-def test_chances_of_a_context_add_up_to_one():
+def test_differences_follow_the_counts():
     rng = np.random.default_rng(2)
-    before = np.zeros((toxicity.LEVELS, toxicity.WIDTH), np.int64)
-    counts = np.zeros((2, toxicity.LEVELS, toxicity.WIDTH), np.int64)
-    documents = np.zeros_like(before)
-    counts[0, 0, :20], counts[1, 0, :20] = rng.integers(0, 9, 20), rng.integers(0, 9, 20)
-    documents[0, :20] = rng.integers(1, 5, 20)
-    ratio = toxicity.ratios(before, counts[0], counts[1], documents)
+    before, toxic, plain, documents = (np.zeros(toxicity.WIDTH, np.int64) for _ in range(4))
+    before[:20] = np.arange(20) % 3
+    toxic[:20], plain[:20], documents[:20] = rng.integers(0, 9, 20), rng.integers(0, 9, 20), rng.integers(1, 5, 20)
+    ratio = toxicity.ratio_of(before, toxic, plain, documents).astype(float)
     assert np.isfinite(ratio).all()
-    heavy = counts[0, 0, :20] > 2 * counts[1, 0, :20] + 2
-    assert (ratio[0, :20][heavy] > 0).all()
+    for parent in range(3):
+        own = [k for k in range(20) if k % 3 == parent]
+        share_t, share_p = toxic[own] / toxic[own].sum(), plain[own] / plain[own].sum()
+        clear = np.abs(share_t - share_p) > 0.15
+        assert (np.sign(ratio[own][clear]) == np.sign(share_t - share_p)[clear]).all()
