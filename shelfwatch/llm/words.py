@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 2 << 20
+KEPT_POWERS = 8 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 LETTERS = "alnum"  # [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z
 NON_SPACE = "space"  # [^\x20\x09-\x0D], unchanged
@@ -54,13 +55,13 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept for the next piece."""
+    """base**0 .. base**n modulo 2**64, kept for the next piece unless very long."""
     got = _powers.get(name)
     if got is None or len(got) <= n:
-        steps = np.full(max(n + 1, PIECE_BYTES * 2), base, dtype=np.uint64)
+        steps = np.full(1 << n.bit_length(), base, dtype=np.uint64)
         steps[0] = 1
         got = np.multiply.accumulate(steps)
-        if n + 1 <= PIECE_BYTES * 2:
+        if n <= KEPT_POWERS:
             _powers[name] = got
     return got
 
