@@ -1,6 +1,6 @@
 """Fixed values.
 
-Results depend on these being exactly as written: word lists, patterns, caps
+Results depend on these being exactly as written: word lists, patterns
 and formats. Patterns are Java regular expressions unless noted.
 """
 
@@ -46,18 +46,12 @@ TRACKING_PARAMS = [
 PRODUCT_PATH = r"(?i)/(products?|item|p)/"
 CATEGORY_PATH = r"(?i)/(collections?|categor(y|ies)|shop|catalog)/"
 PROMO_PATH = r"(?iU)/(sale|clearance|deals?|promo(tions?)?|coupons?|specials?)\b"
-MAX_DISCOVERED_URLS = 5000
-MAX_HOMEPAGE_LINKS = 100
-PAGE_SIGNAL_BUDGET = 100
-SITEMAP_MAX_DEPTH = 3
-MAX_CATEGORY_URLS = 50
-MAX_PRODUCT_URLS = 5000
-MAX_PROMO_URLS = 15
+SITEMAP_NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 # --- fixed values: pagination ------------------------------------------------
-MAX_PAGES_PER_LISTING = 20
 PRICE_CONTEXT_CHARS = 40
 RECYCLED_SIMILARITY = 0.5
+CONTEXT_PIECE_CHARS = 8
 
 # --- fixed values: page markup -----------------------------------------------
 MIN_USABLE_TEXT = 200
@@ -82,8 +76,6 @@ DISCOUNT_SIGNAL = (
 PERCENT_OFF = r"(?iU)\b(\d{1,3})\s?%\s?off\b"
 DOLLAR_OFF = r"(?iU)\$(\d+(?:\.\d{2})?)\s?off\b"
 COUPON_CODE = r"(?U)(?:code|coupon)[:\s]+([A-Z0-9]{3,20})\b"
-MAX_BANNER_TEXT = 300
-MAX_BANNERS_PER_PAGE = 5
 MAX_TITLE_LENGTH = 80
 
 # --- fixed values: assistant traces ------------------------------------------

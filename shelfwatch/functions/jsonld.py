@@ -10,9 +10,6 @@ from pyspark.sql import Column, functions as F
 from .binding import let
 from .prices import PRICE_TYPE, parse_price
 
-# Wrappers (lists and @graph) nested deeper than this stay as they are.
-MAX_WRAPPER_DEPTH = 64
-
 
 def at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
@@ -40,8 +37,20 @@ def is_object(value: Column) -> Column:
 
 def is_truthy(value: Column) -> Column:
     """False for a missing, null, zero, false or empty value."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.coalesce(~text.isin("", "0", "false", "[]", "{}"), F.lit(False))
+
+
+    def judge(found: Column) -> Column:
+        kind, text = json_type(found), F.try_variant_get(found, "$", "string")
+        number = F.try_variant_get(found, "$", "double")
+        verdict = (
+            F.when(kind == "STRING", text != "")
+            .when(kind == "BOOLEAN", text == "true")
+            .when(kind.rlike("^(ARRAY|OBJECT)"), ~text.isin("[]", "{}"))
+            .otherwise(number != 0)
+        )
+        return F.coalesce(verdict, F.lit(False))
+
+    return F.coalesce(let(value, judge), F.lit(False))
 
 
 def number_or_text_price(value: Column) -> Column:
@@ -94,7 +103,8 @@ def flatten_nodes(blocks: Column) -> Column:
 
     An object with a list-valued @graph is replaced by its members; an
     object-valued @graph is left alone. Each step opens one level; once nothing
-    is left to open, the remaining steps only pass the array on.
+    is left to open, the remaining steps only pass the array on. There are as
+    many steps as the blocks have opening brackets, so no nesting is too deep.
     """
 
     def opened(nodes: Column) -> Column:
@@ -107,7 +117,12 @@ def flatten_nodes(blocks: Column) -> Column:
     def step(acc: Column, _: Column) -> Column:
         return F.when(acc["more"], let(opened(acc["nodes"]), with_flag)).otherwise(acc)
 
-    steps = F.sequence(F.lit(1), F.lit(MAX_WRAPPER_DEPTH))
+    def brackets(block: Column) -> Column:
+        text = F.try_variant_get(block, "$", "string")
+        return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("["))), F.lit(0))
+
+    deepest = F.coalesce(F.array_max(F.transform(blocks, brackets)), F.lit(0))
+    steps = F.sequence(F.lit(1), deepest + 1)
     flat = F.aggregate(steps, let(blocks, with_flag), step)
     return F.filter(flat["nodes"], is_object)
 

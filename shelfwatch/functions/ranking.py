@@ -1,4 +1,4 @@
-"""Top-n rows per group without sending a whole hot group to one task."""
+"""Top-n rows and row numbers per group without sending a whole hot group to one task."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
+
 # Spark prunes each map task to n rows per group for limits up to this size
 # (spark.sql.optimizer.windowGroupLimitThreshold); beyond it a salted first
 # pass does the pruning.
@@ -38,3 +40,24 @@ def top_n(
         )
     window = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
+
+
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """All rows, numbered from 1 in every ``by`` group. ``order`` must be total.
+
+    Rows are dealt in ranges of (group, order) and written once, so a hot group
+    is many tasks: each range is numbered by itself and shifted by the sizes of
+    the group's earlier ranges.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(
+        "_range", F.spark_partition_id()
+    )
+    ranged = materialise(ranged, "ranges")
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+        .select(*by, "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    )
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    numbered = ranged.withColumn(name, own).join(shifts, [*by, "_range"])
+    return numbered.withColumn(name, F.col(name) + F.col("_shift")).drop("_range", "_shift")

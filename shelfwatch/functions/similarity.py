@@ -1,11 +1,11 @@
-"""Vector and sequence similarity."""
+"""Similarity of vectors and of texts by their pieces."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from .. import constants as K
+from .binding import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,43 +19,19 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norms != 0, F.lit(1.0) - dot(a, b) / norms)
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_similarity(previous: pd.Series, current: pd.Series) -> pd.Series:
-    """Matching-block ratio 2M/T of two texts; two empty texts score 1."""
-    from difflib import SequenceMatcher
+def context_pieces(text: Column, size: int = K.CONTEXT_PIECE_CHARS) -> Column:
+    """Hashes of the distinct runs of ``size`` characters; a shorter text is one run, an empty one none."""
+    chars = F.split(text, "")
 
-    return pd.Series(
-        [
-            None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
-            for a, b in zip(previous, current)
-        ],
-        dtype="float64",
-    )
+    def runs(c: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - size + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(c, i, F.lit(size)))))
 
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(let(chars, runs))
 
-@F.pandas_udf(T.BooleanType())
-def _looks_recycled(previous: pd.Series, current: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
 
-    def check(a: str | None, b: str | None) -> bool:
-        if a is None or b is None:
-            return False
-        matcher = SequenceMatcher(None, a, b)
-        limit = K.RECYCLED_SIMILARITY
-        # Both quick ratios are upper bounds, so most distinct pages stop here.
-        return (
-            matcher.real_quick_ratio() > limit
-            and matcher.quick_ratio() > limit
-            and matcher.ratio() > limit
-        )
-
-    return pd.Series([check(a, b) for a, b in zip(previous, current)], dtype="bool")
-
-
-def looks_recycled(previous: Column, current: Column) -> Column:
-    """True when a page repeats its predecessor's price context.
-
-    Equal texts need no comparison, so they reach Python as null and return at once.
-    """
-    to_compare = F.when(previous != current, previous)
-    return F.coalesce(previous == current, F.lit(False)) | _looks_recycled(to_compare, current)
+def piece_similarity(previous: Column, current: Column) -> Column:
+    """Shared pieces over the mean number of pieces: 1 for equal sets (two empty ones too), 0 for none."""
+    total = F.size(previous) + F.size(current)
+    shared = F.size(F.array_intersect(previous, current))
+    return F.when(previous.isNotNull() & current.isNotNull(), F.when(total == 0, 1.0).otherwise(2 * shared / total))

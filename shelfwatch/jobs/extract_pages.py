@@ -3,8 +3,9 @@
 spark-submit -m shelfwatch.jobs.extract_pages PAGES OUT
 
 PAGES is a parquet folder with page_id, url and html. OUT gets products,
-campaigns and page_signals; pages without a trusted product source are those
-of page_signals with products = 0.
+campaigns, page_signals and page_errors; pages without a trusted product source
+are those of page_signals with products = 0, pages that do not parse are in
+page_errors alone.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ import argparse
 from pyspark.sql import SparkSession, functions as F
 
 from ..operators import extraction as E
-from ..session import materialise, spread
+from ..session import cleared_scratch, materialise, spread
 from ..sources.pages import with_tree
 
 
 def run(spark: SparkSession, pages: str, out: str) -> None:
+    with cleared_scratch(spark):
+        _extract(spark, pages, out)
+
+
+def _extract(spark: SparkSession, pages: str, out: str) -> None:
     tree, url = F.col("tree"), F.col("url")
     parsed = with_tree(spread(spark.read.parquet(pages).select("page_id", "url", "html")))
     facts = materialise(
@@ -29,9 +35,12 @@ def run(spark: SparkSession, pages: str, out: str) -> None:
             E.page_kind(tree).alias("kind"),
             E.needs_rendering(tree).alias("needs_render"),
             E.next_link(tree, url).alias("next_url"),
+            tree["error"].alias("error"),
         ),
         "page-facts",
     )
+    facts.where("error IS NOT NULL").select("page_id", "url", "error").write.parquet(f"{out}/page_errors")
+    facts = facts.where("error IS NULL")
     E.product_rows(facts, F.col("products")).write.parquet(f"{out}/products")
     E.campaign_rows(facts, texts=F.col("banners")).write.parquet(f"{out}/campaigns")
     found = F.coalesce(F.size("products"), F.lit(0)).alias("products")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.ranking import top_n
+from ..functions.ranking import number_rows, top_n
 from ..functions.text import contains_ignoring_case, embedding_text
 
 CAMPAIGN_KEY = ["seller_id", "product_id", "discount_text"]
@@ -37,12 +37,12 @@ def search_campaigns(
 def campaigns_of(
     campaigns: DataFrame, seller_id: int | None = None, product_id: int | None = None
 ) -> DataFrame:
-    """All promotions of a seller or a product, newest first."""
+    """All promotions of a seller or a product; ``position`` counts from the newest."""
     if seller_id is not None:
         campaigns = campaigns.where(F.col("seller_id") == seller_id)
     if product_id is not None:
         campaigns = campaigns.where(F.col("product_id") == product_id)
-    return campaigns.orderBy(*_newest_first())
+    return number_rows(campaigns, [], _newest_first(), "position")
 
 
 def campaign_lines(campaigns: DataFrame) -> DataFrame:
@@ -81,9 +81,11 @@ def new_campaigns(detected: DataFrame, existing: DataFrame, order: list[str]) ->
 
 
 def developments_feed(developments: DataFrame, seller_id: int | None = None) -> DataFrame:
+    """News of one or all sellers; ``position`` counts from the newest."""
     if seller_id is not None:
         developments = developments.where(F.col("seller_id") == seller_id)
-    return developments.orderBy(F.col("event_date").desc(), F.col("development_id").desc())
+    newest = [F.col("event_date").desc(), F.col("development_id").desc()]
+    return number_rows(developments, [], newest, "position")
 
 
 def prepare_developments(submitted: DataFrame) -> DataFrame:

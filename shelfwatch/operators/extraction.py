@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions.binding import let
 from ..functions import jsonld as J, prices as P, text as X, tree as N, urls as U
-from ..sources.pages import text_of_html, with_tree
+from ..sources.pages import page_errors, text_of_html, with_tree
 
 # Extension point: seller slug -> rule giving an array of products for a page,
 # used when a page has no structured data. Empty until a rule has been checked
@@ -352,20 +352,21 @@ def product_rows(
 
 def extract_pages(
     pages: DataFrame, key: str = "page_id", slug: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(product rows, unresolved pages) of a page table with ``url`` and ``html``."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(product rows, unresolved pages, pages that do not parse) of a table with ``url`` and ``html``."""
     parsed = with_tree(pages)
     found = extract_products(F.col("tree"), F.col("url"), F.col(slug) if slug else None)
     read = parsed.withColumn("products", found)
-    unresolved = read.where(F.col("products").isNull()).select(key, "url")
-    return product_rows(read, F.col("products"), key), unresolved
+    readable = F.col("tree.error").isNull()
+    unresolved = read.where(F.col("products").isNull() & readable).select(key, "url")
+    return product_rows(read, F.col("products"), key), unresolved, page_errors(parsed, key)
 
 
 # --- promotions --------------------------------------------------------------
 
 
 def banner_texts(tree: Column) -> Column:
-    """Distinct banner texts with discount language, in document order, five at most."""
+    """Distinct banner texts with discount language, in document order, whole."""
 
     def hinted(n: Column) -> Column:
         return n["tag"].isin(K.BANNER_TAGS) & (
@@ -374,11 +375,10 @@ def banner_texts(tree: Column) -> Column:
         )
 
     def clean(n: Column) -> Column:
-        return F.left(X.collapse_spaces(N.subtree_text(tree, n, " ")), F.lit(K.MAX_BANNER_TEXT))
+        return X.collapse_spaces(N.subtree_text(tree, n, " "))
 
     texts = F.array_distinct(F.transform(N.nodes_where(tree, hinted), clean))
-    promising = F.filter(texts, lambda t: (t != "") & t.rlike(K.DISCOUNT_SIGNAL))
-    return F.slice(promising, 1, K.MAX_BANNERS_PER_PAGE)
+    return F.filter(texts, lambda t: (t != "") & t.rlike(K.DISCOUNT_SIGNAL))
 
 
 def campaign_rows(

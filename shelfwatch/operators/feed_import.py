@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
-from ..session import fits_broadcast, materialise
+from ..session import fits_broadcast
 from ..sources.sinks import new_observations
+from .ids import assign_ids
+
+PRODUCT_KEY = ["seller_id", "sku", "name"]
 
 
 def _own_brands(sellers: DataFrame) -> DataFrame:
@@ -49,23 +52,6 @@ def new_products(feed: DataFrame, products: DataFrame, order: list[str]) -> Data
     )
 
 
-def assign_ids(fresh: DataFrame, products: DataFrame) -> DataFrame:
-    """Unique ids above the highest existing one, fixed by writing them once.
-
-    Ids count up inside range partitions sorted by the product's key, so no
-    single task numbers everything. The result is written to the shared folder
-    before use: recomputing a lost partition can never change an id in use.
-    """
-    highest = products.agg(F.coalesce(F.max("product_id"), F.lit(-1)).cast("bigint")).first()[0]
-    key = ["seller_id", "sku", "name"]
-    numbered = (
-        fresh.repartitionByRange(*key)
-        .sortWithinPartitions(*key)
-        .withColumn("product_id", F.lit(highest + 1) + F.monotonically_increasing_id())
-    )
-    return materialise(numbered, "new-products")
-
-
 def product_ids(products: DataFrame) -> DataFrame:
     """(seller, sku) -> product id; duplicate keys resolve to the lowest id."""
     return (
@@ -104,7 +90,7 @@ def import_feed(
 ) -> tuple[DataFrame, DataFrame]:
     """(products to add, observations to append) for a parsed feed; safe to re-run."""
     placed = with_seller(feed, sellers, strict)
-    added = assign_ids(new_products(placed, products, list(order)), products)
+    added = assign_ids(new_products(placed, products, list(order)), products, "product_id", PRODUCT_KEY)
     every = products.select("product_id", "seller_id", "sku").unionByName(
         added.select("product_id", "seller_id", "sku")
     )

@@ -1,13 +1,17 @@
-"""Links and URL discovery: product links, sitemaps, frontier and caps."""
+"""Links and URL discovery: product links, sitemaps and the crawl frontier.
+
+Everything found is kept and numbered; a caller that wants fewer rows passes a limit.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import constants as K
 from ..functions import text as X, tree as N, urls as U
-from ..functions.ranking import top_n
+from ..functions.ranking import number_rows
+from .. import constants as K
 from ..session import materialise
+from ..sources.pages import with_tree
 from .extraction import anchor_hrefs, page_kind
 
 
@@ -83,9 +87,12 @@ _SITEMAP_SCHEMA = "url array<struct<loc: string>>, sitemap array<struct<loc: str
 def sitemap_locs(documents: DataFrame) -> DataFrame:
     """(sitemap_url, pos, loc, is_index) of stored sitemaps; malformed ones give none.
 
-    ``documents``: sitemap_url, xml.
+    ``documents``: sitemap_url, xml. A root element outside the sitemap
+    namespace gives none either.
     """
-    parsed = documents.withColumn("x", F.from_xml("xml", F.lit(_SITEMAP_SCHEMA)))
+    root = F.regexp_extract("xml", r"<(?:urlset|sitemapindex)\b([^>]*)>", 1)
+    named = F.regexp_extract(root, r"""xmlns\s*=\s*["']([^"']*)["']""", 1) == K.SITEMAP_NAMESPACE
+    parsed = documents.where(named).withColumn("x", F.from_xml("xml", F.lit(_SITEMAP_SCHEMA)))
     is_index = F.col("x.sitemap").isNotNull()
     entries = F.when(is_index, F.col("x.sitemap.loc")).otherwise(F.col("x.url.loc"))
     rows = parsed.select(
@@ -100,15 +107,17 @@ def sitemap_locs(documents: DataFrame) -> DataFrame:
 def expand_sitemaps(roots: DataFrame, locs: DataFrame) -> DataFrame:
     """Leaf urls below each site's sitemaps: (site, url, depth, trail).
 
-    Roots are depth 0; nested indexes are followed through depth
-    SITEMAP_MAX_DEPTH, which also ends cycles. Each level keeps one row per
-    (site, sitemap) and ``trail`` (positions from the root) gives the order of
-    first discovery.
+    Roots are depth 0. Nested indexes are followed, each sitemap once per site
+    at its first depth, until a level finds none that is new; that also ends
+    cycles. ``trail`` (positions from the root) gives the order of first
+    discovery. Levels are written, so a deep tree is no long plan.
     """
     locs = materialise(locs, "sitemap-locs")  # read at every level, parsed once
     frontier = roots.select("site", "sitemap_url", F.array(F.col("pos").cast("long")).alias("trail"))
-    leaves = None
-    for depth in range(K.SITEMAP_MAX_DEPTH + 1):
+    frontier = materialise(frontier, "sitemap-frontier")
+    visited = frontier.select("site", "sitemap_url")
+    leaves, depth = None, 0
+    while True:
         found = frontier.join(locs, "sitemap_url").select(
             "site",
             "loc",
@@ -121,12 +130,19 @@ def expand_sitemaps(roots: DataFrame, locs: DataFrame) -> DataFrame:
             .agg(F.min("trail").alias("trail"))
             .withColumn("depth", F.lit(depth))
         )
+        level = materialise(level, "sitemap-leaves")
         leaves = level if leaves is None else leaves.unionByName(level)
-        frontier = (
+        further = (
             found.where("is_index")
             .groupBy("site", F.col("loc").alias("sitemap_url"))
             .agg(F.min("trail").alias("trail"))
+            .join(visited, ["site", "sitemap_url"], "left_anti")
         )
+        frontier = materialise(further, "sitemap-frontier")
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier.select("site", "sitemap_url"))
+        depth += 1
     return leaves.groupBy("site", "url").agg(
         F.min("depth").alias("depth"), F.min("trail").alias("trail")
     )
@@ -135,16 +151,22 @@ def expand_sitemaps(roots: DataFrame, locs: DataFrame) -> DataFrame:
 # --- discovery ---------------------------------------------------------------
 
 
-def homepage_links(homepages: DataFrame) -> DataFrame:
-    """The first MAX_HOMEPAGE_LINKS hrefs of every homepage. ``homepages``: site, tree."""
-    hrefs = F.slice(anchor_hrefs(F.col("tree")), 1, K.MAX_HOMEPAGE_LINKS)
+def homepage_links(homepages: DataFrame, limit: int | None = None) -> DataFrame:
+    """The hrefs of every homepage (the first ``limit`` if given). ``homepages``: site, tree."""
+    hrefs = anchor_hrefs(F.col("tree"))
+    if limit is not None:
+        hrefs = F.slice(hrefs, 1, limit)
     return homepages.select("site", F.posexplode(hrefs).alias("pos", "url")).where("url <> ''")
 
 
 def discover_urls(
-    sites: DataFrame, seeds: DataFrame, leaves: DataFrame, homepage: DataFrame
+    sites: DataFrame,
+    seeds: DataFrame,
+    leaves: DataFrame,
+    homepage: DataFrame,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Every site's urls by kind, first added wins, MAX_DISCOVERED_URLS per site.
+    """Every site's urls by kind, first added wins, numbered in order of discovery.
 
     ``sites``: site, base_url. The sources are added in order: ``seeds`` (site,
     pos, url; an unclassified seed is a category), sitemap ``leaves`` (site,
@@ -177,21 +199,19 @@ def discover_urls(
     first = on_site.groupBy("site", F.col("link").alias("url")).agg(F.min("f").alias("f"))
     rows = first.select("site", "url", "f.origin", "f.trail", "f.kind")
     order = [F.col("origin"), F.col("trail"), F.col("url")]
-    return top_n(rows, ["site"], order, K.MAX_DISCOVERED_URLS, "url_no", salt_on=["url"])
+    numbered = number_rows(rows, ["site"], order, "url_no")
+    return numbered if limit is None else numbered.where(F.col("url_no") <= limit)
 
 
-def crawl_frontier(discovered: DataFrame) -> DataFrame:
-    """Discovered urls inside each kind's cap per crawl (unknown ones are not fetched)."""
-    caps = {
-        "category": K.MAX_CATEGORY_URLS,
-        "product": K.MAX_PRODUCT_URLS,
-        "promotional": K.MAX_PROMO_URLS,
-    }
-    parts = []
-    for kind, cap in caps.items():
-        of_kind = discovered.where(F.col("kind") == kind)
-        parts.append(top_n(of_kind, ["site"], [F.col("url_no")], cap, "kind_no", salt_on=["url"]))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def crawl_frontier(discovered: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Discovered urls numbered inside their site and kind.
+
+    ``limits`` keeps only the first so many of a kind, 0 none of it.
+    """
+    numbered = number_rows(discovered, ["site", "kind"], [F.col("url_no")], "kind_no")
+    for kind, limit in (limits or {}).items():
+        numbered = numbered.where((F.col("kind") != kind) | (F.col("kind_no") <= limit))
+    return numbered
 
 
 def product_url_frontier(category_links: DataFrame, discovered: DataFrame) -> DataFrame:
@@ -208,20 +228,15 @@ def kind_counts(discovered: DataFrame) -> DataFrame:
 
 
 def reclassify_by_page(discovered: DataFrame, pages: DataFrame) -> DataFrame:
-    """Kinds corrected by stored page content for each site's first unknown urls.
+    """Kinds of unclassified urls corrected by stored page content.
 
-    PAGE_SIGNAL_BUDGET unknown urls per site are looked at (the crawl's fetch
-    budget); the rest stay unknown. ``pages``: url (normalised),
-    tree.
+    ``pages``: url (normalised), html. Only pages of unclassified urls are
+    parsed; a url without a stored page stays unknown.
     """
-    unknown = discovered.where(F.col("kind") == "unknown")
-    checked = top_n(unknown, ["site"], [F.col("url_no")], K.PAGE_SIGNAL_BUDGET, "check_no")
-    signals = pages.join(checked.select("url").distinct(), "url", "left_semi").select(
-        "url", page_kind(F.col("tree")).alias("signal")
-    )
-    judged = checked.join(signals, "url", "left").select(
-        "site", "url", F.coalesce("signal", F.lit("unknown")).alias("judged")
+    unknown = discovered.where(F.col("kind") == "unknown").select("url").distinct()
+    signals = with_tree(pages.join(unknown, "url", "left_semi")).select(
+        "url", page_kind(F.col("tree")).alias("judged")
     )
-    return discovered.join(judged, ["site", "url"], "left").withColumn(
-        "kind", F.coalesce("judged", "kind")
-    ).drop("judged")
+    judged = signals.groupBy("url").agg(F.min("judged").alias("judged"))
+    kind = F.when(F.col("kind") == "unknown", F.coalesce("judged", "kind")).otherwise(F.col("kind"))
+    return discovered.join(judged, "url", "left").withColumn("kind", kind).drop("judged")

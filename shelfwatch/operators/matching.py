@@ -13,7 +13,8 @@ from .. import constants as K
 from ..functions.prices import promo_text
 from ..functions.text import blank_to_null
 from ..session import materialise
-from .feed_import import assign_ids
+from .feed_import import PRODUCT_KEY
+from .ids import assign_ids
 
 _BY_SKU = ["seller_id", "sku"]
 _BY_NAME = ["seller_id", "name"]
@@ -123,16 +124,19 @@ def _place(known: DataFrame, created: DataFrame, order: list[str]) -> DataFrame:
 
 
 def find_or_create(
-    items: DataFrame, products: DataFrame, order: list[str]
+    items: DataFrame, products: DataFrame, order: list[str], seen_at: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(items with product ids, products after the batch).
+    """(items with product ids, the whole product table after the batch).
 
     Existing rows keep their name; category and url follow the last item that
     states them, and a missing sku is filled by the first item that has one.
+    Other product columns stay. With ``seen_at``, a time column of the items,
+    ``last_seen_at`` moves on with every match and new products get both times.
+    ``seen`` tells whether an item of the batch is the product.
     """
     known = _existing_ids(items, products)
     unmatched = known.where(F.col("id_by_sku").isNull() & F.col("id_by_name").isNull())
-    created = assign_ids(founders(unmatched, order), products)
+    created = assign_ids(founders(unmatched, order), products, "product_id", PRODUCT_KEY)
     placed = _place(known, created, order)
 
     at = F.struct(*order)
@@ -142,15 +146,19 @@ def find_or_create(
         F.max_by(stated_category, F.when(stated_category.isNotNull(), at)).alias("new_category"),
         F.max_by(stated_url, F.when(stated_url.isNotNull(), at)).alias("new_url"),
         F.min_by("sku", F.when(F.col("sku").isNotNull(), at)).alias("new_sku"),
+        F.lit(True).alias("was_seen"),
+        *[f(seen_at).alias(n) for f, n in ((F.min, "from_time"), (F.max, "to_time")) if seen_at],
     )
     blank = created.select(
         "product_id", "seller_id", "sku", "name", F.lit("").alias("category"), F.lit("").alias("url")
     ).withColumn("is_new", F.lit(True))
-    before = products.select(
-        "product_id", "seller_id", "sku", "name", "category", "url"
-    ).withColumn("is_new", F.lit(False))
+    own = ("product_id", "seller_id", "sku", "name", "category", "url")
+    times = {"first_seen_at": F.coalesce("first_seen_at", "from_time"),
+             "last_seen_at": F.greatest("last_seen_at", "to_time")} if seen_at else {}
+    kept = [times.get(c, F.col(c)).alias(c) for c in products.columns if c not in own]
     after = (
-        before.unionByName(blank)
+        products.withColumn("is_new", F.lit(False))
+        .unionByName(blank, allowMissingColumns=True)
         .join(news, "product_id", "left")
         .select(
             "product_id",
@@ -159,8 +167,9 @@ def find_or_create(
             "name",
             F.coalesce("new_category", "category").alias("category"),
             F.coalesce("new_url", "url").alias("url"),
+            *kept,
             "is_new",
-            F.col("new_url").isNotNull().alias("seen"),
+            F.coalesce("was_seen", F.lit(False)).alias("seen"),
         )
     )
     return placed, after

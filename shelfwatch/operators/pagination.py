@@ -1,16 +1,17 @@
 """Crawl page sequences: new items and links, recycled pages, where to stop, outcome.
 
-A crawl's pages are numbered by ``page_idx``. A listing never has more than
-``MAX_PAGES_PER_LISTING`` pages, so per-crawl page windows stay that small;
-items and links are aggregated to pages before any window.
+A crawl's pages are ordered by ``page_idx``. A listing may have any number of
+pages: they are numbered in ranges, met with their predecessors by joins, and
+only a page's price context moves, never its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.similarity import looks_recycled, sequence_similarity
+from ..functions.ranking import number_rows
+from ..functions.similarity import context_pieces, piece_similarity
 from ..functions.text import price_context
 
 
@@ -30,77 +31,70 @@ def new_per_page(rows: DataFrame, value: str, count_name: str) -> DataFrame:
     return first.groupBy("crawl", "page_idx").agg(F.count("*").alias(count_name))
 
 
-def _sequence() -> Window:
-    return Window.partitionBy("crawl").orderBy("page_idx")
-
-
-def _listing_pages(pages: DataFrame) -> DataFrame:
-    """The pages a listing crawl may visit: the first MAX_PAGES_PER_LISTING."""
-    return pages.withColumn("page_no", F.row_number().over(_sequence())).where(
-        F.col("page_no") <= K.MAX_PAGES_PER_LISTING
+def _listing(pages: DataFrame, max_pages: int | None) -> DataFrame:
+    """Pages with their number in the crawl and the pieces of the page before."""
+    pieces = pages.withColumn("pieces", context_pieces(F.col("context"))).drop("context")
+    numbered = number_rows(pieces, ["crawl"], [F.col("page_idx")], "page_no")
+    if max_pages is not None:
+        numbered = numbered.where(F.col("page_no") <= max_pages)
+    before = numbered.select(
+        "crawl", (F.col("page_no") + 1).alias("page_no"), F.col("pieces").alias("previous")
     )
+    score = piece_similarity(F.col("previous"), F.col("pieces"))
+    paired = numbered.join(before, ["crawl", "page_no"], "left").withColumn("similarity", score)
+    recycled = F.coalesce(F.col("similarity") > K.RECYCLED_SIMILARITY, F.lit(False))
+    return paired.withColumn("is_recycled", recycled).drop("pieces", "previous")
 
 
-def recycled_pages(pages: DataFrame) -> DataFrame:
+def recycled_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Every listing page against its predecessor's price context.
 
     ``pages`` has one row per (crawl, page_idx) with the page's whole text.
     """
     prints = pages.select("crawl", "page_idx", price_context(F.col("text")).alias("context"))
-    paired = _listing_pages(prints).withColumn("previous", F.lag("context").over(_sequence()))
-    scored = paired.withColumn(
-        "similarity", sequence_similarity(F.col("previous"), F.col("context"))
-    )
-    recycled = F.coalesce(F.col("similarity") > K.RECYCLED_SIMILARITY, F.lit(False))
-    return scored.select("crawl", "page_idx", "similarity", recycled.alias("is_recycled"))
+    return _listing(prints, max_pages).select("crawl", "page_idx", "similarity", "is_recycled")
 
 
 def pagination_stop(
-    pages: DataFrame, items: DataFrame, links: DataFrame, check_similarity: bool = True
+    pages: DataFrame, items: DataFrame, links: DataFrame, max_pages: int | None = None
 ) -> DataFrame:
     """Which pages of each listing crawl were visited, used and why it stopped.
 
-    ``pages``: crawl, page_idx, url, next_url and, for the similarity check,
-    text. ``items``: crawl, page_idx, name. ``links``: crawl, page_idx, url.
+    ``pages``: crawl, page_idx, url, next_url, context (see ``price_context``)
+    and, if pages may be broken, error.
+    ``items``: crawl, page_idx, name. ``links``: crawl, page_idx, url.
 
     A page is reached when no earlier page stopped the crawl. Before anything
     is taken from it, a revisited url or a recycled price context stops the
     crawl. A page with nothing new on either front still gives its promotions
-    and then stops. A page without a next link is the last one.
+    and then stops. A page without a next link is the last one, and so is page
+    ``max_pages`` if a limit is given.
     """
-    listing = _listing_pages(pages)
-    revisit = Window.partitionBy("crawl", "url").orderBy("page_idx")
-    listing = listing.withColumn("is_revisit", F.row_number().over(revisit) > 1)
-    if check_similarity:
-        context = price_context(F.col("text"))
-        listing = (
-            listing.withColumn("context", context)
-            .withColumn("previous", F.lag("context").over(_sequence()))
-            .withColumn("is_recycled", looks_recycled(F.col("previous"), F.col("context")))
-            .drop("context", "previous", "text")
-        )
-    else:
-        listing = listing.withColumn("is_recycled", F.lit(False))
+    listing = _listing(pages, max_pages)
+    first_visit = pages.groupBy("crawl", "url").agg(F.min("page_idx").alias("first_idx"))
+    listing = listing.join(first_visit, ["crawl", "url"], "left").withColumn(
+        "is_revisit", F.coalesce(F.col("page_idx") > F.col("first_idx"), F.lit(False))
+    )
     counted = (
         listing.join(new_per_page(items, "name", "new_items"), ["crawl", "page_idx"], "left")
         .join(new_per_page(links, "url", "new_links"), ["crawl", "page_idx"], "left")
         .fillna(0, subset=["new_items", "new_links"])
     )
     nothing_new = (F.col("new_items") == 0) & (F.col("new_links") == 0)
+    broken = F.col("error").isNotNull() if "error" in pages.columns else F.lit(False)
     reason = (
         F.when(F.col("is_revisit"), "revisited")
+        .when(broken, "failed")
         .when(F.col("is_recycled"), "recycled")
         .when(nothing_new, "nothing_new")
         .when(F.col("next_url").isNull(), "no_next_link")
-        .when(F.col("page_no") == K.MAX_PAGES_PER_LISTING, "page_cap")
     )
-    whole = Window.partitionBy("crawl")
+    if max_pages is not None:
+        reason = reason.when(F.col("page_no") == max_pages, "page_cap")
     flagged = counted.withColumn("stop_reason", reason)
-    stop_at = F.min(F.when(F.col("stop_reason").isNotNull(), F.col("page_no"))).over(whole)
-    reached = flagged.withColumn("stop_at", stop_at).where(
-        F.col("stop_at").isNull() | (F.col("page_no") <= F.col("stop_at"))
-    )
-    scanned = ~F.coalesce(F.col("stop_reason").isin("revisited", "recycled"), F.lit(False))
+    stops = flagged.where("stop_reason IS NOT NULL").groupBy("crawl").agg(F.min("page_no").alias("stop_at"))
+    reached = flagged.join(stops, "crawl", "left").where("stop_at IS NULL OR page_no <= stop_at")
+    scanned = ~F.coalesce(F.col("stop_reason").isin("revisited", "failed", "recycled"), F.lit(False))
     return reached.select(
         "crawl",
         "page_idx",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.prices import nice_step
-from ..functions.ranking import top_n
+from ..functions.ranking import number_rows, top_n
 from ..functions.text import contains_ignoring_case
 
 
@@ -132,17 +132,18 @@ def price_history_search(
     as_of: str,
     days: int,
     seller_id: int | None = None,
+    order: Sequence[str] = ("observed_at",),
 ) -> DataFrame:
-    """Observations of products whose name contains the query, by name and time."""
+    """Observations of products whose name contains the query; ``position`` counts by name and time.
+
+    ``order`` is the total order of one product's observations.
+    """
     matching = products.where(contains_ignoring_case(F.col("name"), name_query))
     if seller_id is not None:
         matching = matching.where(F.col("seller_id") == seller_id)
     recent = observations.where(within_days("observed_at", as_of, days))
-    return (
-        matching.select("product_id", "seller_id", "name")
-        .join(recent, "product_id")
-        .orderBy("name", "observed_at")
-    )
+    found = matching.select("product_id", "seller_id", "name").join(recent, "product_id")
+    return number_rows(found, [], [F.col(c) for c in ("name", *order, "product_id")], "position")
 
 
 def price_history_lines(history: DataFrame) -> DataFrame:

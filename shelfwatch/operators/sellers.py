@@ -7,41 +7,42 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.ranking import top_n
+from ..functions.ranking import number_rows, top_n
 from ..functions.text import seller_slug_guess
 from ..session import fits_broadcast
+from .ids import assign_ids
 
 
 def active_only(registry: DataFrame) -> DataFrame:
     return registry.where(F.col("active"))
 
 
+def _with_ids(fresh: DataFrame, sellers: DataFrame) -> DataFrame:
+    """New sellers with ids above the known ones, if sellers have ids at all."""
+    return assign_ids(fresh, sellers, "seller_id", ["slug"]) if "seller_id" in sellers.columns else fresh
+
+
 def seed_sellers(registry: DataFrame, existing: DataFrame) -> DataFrame:
     """Existing sellers plus the active registry entries whose slug is not there yet."""
-    fresh = active_only(registry).join(existing, "slug", "left_anti")
-    return existing.unionByName(fresh.drop("active"), allowMissingColumns=True)
+    fresh = active_only(registry).drop("active").join(existing, "slug", "left_anti")
+    return existing.unionByName(_with_ids(fresh, existing), allowMissingColumns=True)
 
 
 def upsert_own_brands(sellers: DataFrame, own_brands: DataFrame) -> DataFrame:
-    """Mark own brands by slug, adding missing ones.
+    """Mark own brands by slug, adding missing ones under new ids.
 
     Only ``is_own_brand`` and ``brand_num`` are set on a seller that exists; its
     name, address and notes stay.
     """
-    old, new = sellers.alias("old"), own_brands.alias("new")
-    matched = F.col("new.slug").isNotNull()
-    shared = [c for c in ("name", "website_url", "notes") if c in own_brands.columns]
-    kept = [c for c in sellers.columns if c not in {"slug", "is_own_brand", "brand_num", *shared}]
-    is_old = F.col("old.slug").isNotNull()
-    return old.join(new, F.col("old.slug") == F.col("new.slug"), "full_outer").select(
-        F.coalesce("old.slug", "new.slug").alias("slug"),
-        *[F.when(is_old, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c) for c in shared],
-        *[F.col(f"old.{c}").alias(c) for c in kept],
-        F.when(matched, F.lit(True))
-        .otherwise(F.coalesce(F.col("old.is_own_brand"), F.lit(False)))
-        .alias("is_own_brand"),
-        F.when(matched, F.col("new.brand_num")).otherwise(F.col("old.brand_num")).alias("brand_num"),
+    numbers = own_brands.select("slug", F.col("brand_num").alias("own_num"))
+    matched = F.col("own_num").isNotNull()
+    known = sellers.join(numbers, "slug", "left").select(
+        *[F.col(c) for c in sellers.columns if c not in ("is_own_brand", "brand_num")],
+        (matched | F.coalesce("is_own_brand", F.lit(False))).alias("is_own_brand"),
+        F.coalesce("own_num", "brand_num").alias("brand_num"),
     )
+    fresh = own_brands.join(sellers, "slug", "left_anti").withColumn("is_own_brand", F.lit(True))
+    return known.unionByName(_with_ids(fresh, sellers), allowMissingColumns=True)
 
 
 def by_slug(sellers: DataFrame, slug: str) -> DataFrame:
@@ -149,7 +150,7 @@ def filter_products(products: DataFrame, needle: str) -> DataFrame:
 
 
 def sort_products(listing: DataFrame, key: str, descending: bool = False) -> DataFrame:
-    """Listing by name, category, price or stock; null price is lowest, null stock is False."""
+    """Listing by name, category, price or stock, with its ``position``; null price is lowest, null stock is False."""
     columns = {
         "name": F.collate("name", "UNICODE"),
         "category": F.collate("category", "UNICODE"),
@@ -158,7 +159,8 @@ def sort_products(listing: DataFrame, key: str, descending: bool = False) -> Dat
     }
     column = columns[key]
     primary = column.desc_nulls_last() if descending else column.asc_nulls_first()
-    return listing.orderBy(primary, "name", "product_id")
+    numbered = number_rows(listing, [], [primary, F.col("name"), F.col("product_id")], "position")
+    return numbered.orderBy("position")
 
 
 def resolve_seller(
@@ -257,5 +259,7 @@ def swot_latest(swot: DataFrame) -> DataFrame:
 
 
 def swot_history(swot: DataFrame, seller_id: int | None = None) -> DataFrame:
+    """Analyses of one or all sellers; ``position`` counts from the newest."""
     chosen = swot if seller_id is None else swot.where(F.col("seller_id") == seller_id)
-    return chosen.orderBy(F.col("generated_at").desc(), F.col("swot_id").desc())
+    newest = [F.col("generated_at").desc(), F.col("swot_id").desc()]
+    return number_rows(chosen, [], newest, "position")

@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "price_queries", "seller_queries", "load_queries", "page_queries", "url_queries",
-    "search_queries", "stream_queries",
+    "search_queries", "stream_queries", "crawl_queries",
 ]
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import prices as P
 from ..functions.text import price_context as price_context_of
-from ..operators import feed_import as I, matching as M, pagination as G, traces as T
+from .. import schemas
+from ..operators import feed_import as I, matching as M, pagination as G, sellers as S, traces as T
 from ..sources import feed as feeds, sinks
-from ..session import scratch_path, spread
+from ..session import materialise, scratch_path, spread
 from .tables import OBSERVATION_ORDER, oracle, portable, view
 
 _FEED_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
@@ -55,6 +56,30 @@ def feed_new_products(spark, sf_dir):
     return I.new_products(placed, known, list(_FEED_ORDER))
 
 
+def import_first_run(spark, sf_dir):
+    """A first import from a CSV file into empty tables, brands included, then the same file again.
+
+    Shown by seller slug and sku; ``run`` 2 has rows only if the second import added any.
+    """
+    path = scratch_path(spark, "feed")
+    lines = view(spark, sf_dir, "feed_rows").orderBy(*_FEED_ORDER)
+    lines.select(F.expr(_CSV_LINE).alias("value")).write.text(path)
+    feed = feeds.parse_feed(feeds.read_feed(spark, path))
+    brands = [(k, f"own-{k}", f"Own {k}") for k in range(1, 8)]
+    own = spark.createDataFrame(brands, "brand_num INT, slug STRING, name STRING")
+    sellers = materialise(S.upsert_own_brands(spark.createDataFrame([], schemas.SELLERS), own), "sellers")
+    products, stored = (spark.createDataFrame([], t) for t in (schemas.PRODUCTS, schemas.OBSERVATIONS))
+    runs = []
+    for run in (1, 2):
+        added, readings = I.import_feed(feed, sellers, products, stored)
+        products = materialise(products.unionByName(added, allowMissingColumns=True), "products")
+        fresh = materialise(readings, "readings")
+        stored = stored.unionByName(fresh)
+        runs.append(fresh.withColumn("run", F.lit(run)))
+    shown = runs[0].unionByName(runs[1]).join(products.select("product_id", "seller_id", "sku"), "product_id")
+    return portable(shown.join(sellers.select("seller_id", "slug"), "seller_id").drop("product_id", "seller_id"))
+
+
 def feed_import(spark, sf_dir):
     """The import's observations, shown by seller and sku because new ids are arbitrary."""
     known = view(spark, sf_dir, "known_feed_products")
@@ -157,18 +182,20 @@ def recycled_pages(spark, sf_dir):
     return G.recycled_pages(_page_texts(spark, sf_dir))
 
 
+# Every third crawl shows one and the same price from its third page on.
 _PAGES = """
     SELECT DISTINCT crawl, page_idx, '/list/' || CAST(page_idx % 5 AS STRING) AS url,
-           CASE WHEN (crawl + page_idx) % 4 <> 0 THEN '/list/next' END AS next_url
+           CASE WHEN (crawl + page_idx) % 4 <> 0 THEN '/list/next' END AS next_url,
+           CASE WHEN crawl % 3 = 0 AND page_idx > 2 THEN 'same offer $5 for all'
+                ELSE 'crawl ' || CAST(crawl AS STRING) || ' costs $' || CAST(page_idx * 1111 AS STRING) END AS text
     FROM {page_items}"""
 
 
 def pagination_stop(spark, sf_dir):
     items = _items(spark, sf_dir)
-    pages = spark.sql(_PAGES, page_items=items)
+    pages = spark.sql(_PAGES, page_items=items).withColumn("context", price_context_of(F.col("text")))
     return G.pagination_stop(
-        pages, items.select("crawl", "page_idx", "name"), _links(spark, sf_dir),
-        check_similarity=False,
+        pages.drop("text"), items.select("crawl", "page_idx", "name"), _links(spark, sf_dir)
     )
 
 
@@ -238,7 +265,7 @@ def text_blocks(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        feed_parse, feed_rejects, feed_unknown_brand, feed_new_products, feed_import,
+        feed_parse, feed_rejects, feed_unknown_brand, feed_new_products, feed_import, import_first_run,
         feed_idempotent_append, observations_append, product_match, product_upsert, promo_text,
         multipass_merge, new_items_per_page, new_links_per_page, price_context, recycled_pages,
         pagination_stop, crawl_run_rollup, crawl_error_log, first_use_order, required_step_check,
@@ -266,7 +293,36 @@ _MATCHED = """
         LEFT JOIN sku_ids s ON s.seller_id = i.seller_id AND s.sku = i.sku
         LEFT JOIN name_ids n ON n.seller_id = i.seller_id AND n.name = i.name)"""
 
+
+
+def _runs(source, text, keep):
+    """Distinct runs of eight characters of the price contexts of ``text``."""
+    return f"""
+        SELECT {keep}, CASE WHEN context = '' THEN [] ELSE list_distinct(list_transform(
+                   range(1, greatest(length(context) - 7, 1) + 1), lambda i: substring(context, i, 8))) END AS runs
+        FROM (SELECT {keep}, array_to_string(list_transform(
+                  list_filter(range(1, length({text}) + 1), lambda i: {text}[i] = '$'), lambda i:
+                  substring({text}, greatest(1, i - 40), i - greatest(1, i - 40) + 40)), ' ') AS context
+              FROM {source})"""
+
+
+def _scored(runs, crawl, number, keep):
+    """Similarity of every page to the one before it."""
+    shared = "len(list_intersect(b.runs, r.runs))"
+    both = "(len(b.runs) + len(r.runs))"
+    return f"""
+        SELECT {", ".join("r." + c.strip() for c in keep.split(","))}, CASE WHEN b.runs IS NOT NULL THEN
+                   CASE WHEN {both} = 0 THEN 1.0::DOUBLE ELSE 2 * {shared} / {both} END END AS similarity
+        FROM {runs} r LEFT JOIN {runs} b ON b.{crawl} = r.{crawl} AND b.{number} = r.{number} - 1"""
+
+
 ORACLES = {
+    "recycled_pages": f"""
+        WITH t AS (SELECT conv_id AS crawl, turn AS page_idx, replace(text, '.', ' $19.99') AS x,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_no FROM conversations),
+        runs AS ({_runs("t", "x", "crawl, page_idx, page_no")}),
+        scored AS ({_scored("runs", "crawl", "page_no", "crawl, page_idx")})
+        SELECT crawl, page_idx, similarity, coalesce(similarity > 0.5, FALSE) AS is_recycled FROM scored""",
     "feed_parse": oracle(["feed_rows"], f"WITH {_PARSED} SELECT * FROM parsed"),
     "feed_rejects": oracle(
         ["feed_rows"],
@@ -297,6 +353,15 @@ ORACLES = {
             FROM parsed p
             QUALIFY row_number() OVER (PARTITION BY brand_num, sku, observed_at ORDER BY {_ORDER}) = 1""",
     ),
+    "import_first_run": oracle(
+        ["feed_rows"],
+        f"""WITH {_PARSED}
+            SELECT 'own-' || brand_num AS slug, sku, price, 'USD' AS currency,
+                   price IS NOT NULL AS in_stock, '' AS promo_text, observed_at,
+                   'internal_feed' AS source, 1 AS run
+            FROM parsed
+            QUALIFY row_number() OVER (PARTITION BY brand_num, sku, observed_at ORDER BY {_ORDER}) = 1""",
+    ),
     "feed_idempotent_append": oracle(
         ["observations"],
         """SELECT * REPLACE (CAST(price AS DOUBLE) AS price) FROM (
@@ -340,10 +405,10 @@ ORACLES = {
                 SELECT product_id, seller_id, sku, name, category, url, FALSE AS is_new
                 FROM known_products
                 UNION ALL SELECT product_id, seller_id, sku, name, '', '', TRUE FROM created)
-            SELECT CASE WHEN NOT is_new THEN product_id END AS product_id, seller_id,
+            SELECT CASE WHEN NOT is_new THEN every.product_id END AS product_id, seller_id,
                    coalesce(sku, new_sku) AS sku, name, coalesce(new_category, category) AS category,
-                   coalesce(new_url, url) AS url, is_new, new_url IS NOT NULL AS seen
-            FROM every LEFT JOIN news USING (product_id)""",
+                   coalesce(new_url, url) AS url, is_new, news.product_id IS NOT NULL AS seen
+            FROM every LEFT JOIN news ON news.product_id = every.product_id""",
     ),
     "promo_text": """
         WITH p AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'Deal' ELSE '' END AS promo,
@@ -389,18 +454,20 @@ ORACLES = {
                       SELECT crawl, name, min(page_idx) AS page_idx FROM page_items GROUP BY ALL) GROUP BY ALL),
             l AS (SELECT crawl, page_idx, count(*) AS n FROM (
                       SELECT crawl, pos, min(page_idx) AS page_idx FROM page_items GROUP BY ALL) GROUP BY ALL),
+            runs AS ({_runs("listing", "text", "crawl, page_idx, page_no")}),
+            scored AS ({_scored("runs", "crawl", "page_no", "crawl, page_idx")}),
             flagged AS (
                 SELECT p.crawl, p.page_idx, page_no, coalesce(i.n, 0) AS new_items,
                        coalesce(l.n, 0) AS new_links,
                        CASE WHEN again THEN 'revisited'
+                            WHEN s.similarity > 0.5 THEN 'recycled'
                             WHEN coalesce(i.n, 0) + coalesce(l.n, 0) = 0 THEN 'nothing_new'
-                            WHEN next_url IS NULL THEN 'no_next_link'
-                            WHEN page_no = 20 THEN 'page_cap' END AS stop_reason
+                            WHEN next_url IS NULL THEN 'no_next_link' END AS stop_reason
                 FROM listing p LEFT JOIN i USING (crawl, page_idx) LEFT JOIN l USING (crawl, page_idx)
-                WHERE page_no <= 20)
+                LEFT JOIN scored s USING (crawl, page_idx))
             SELECT crawl, page_idx, new_items, new_links, stop_reason,
-                   coalesce(stop_reason <> 'revisited', TRUE) AS gives_promotions,
-                   coalesce(stop_reason <> 'revisited', TRUE) AND new_items + new_links > 0 AS gives_products
+                   coalesce(stop_reason NOT IN ('revisited', 'recycled'), TRUE) AS gives_promotions,
+                   coalesce(stop_reason NOT IN ('revisited', 'recycled'), TRUE) AND new_items + new_links > 0 AS gives_products
             FROM flagged f
             WHERE NOT EXISTS (SELECT 1 FROM flagged e WHERE e.crawl = f.crawl
                               AND e.page_no < f.page_no AND e.stop_reason IS NOT NULL)""",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import prices as P, text as X, tree as N
 from ..operators import extraction as E
-from ..sources.pages import html_nodes as nodes_of, text_of_html, with_tree
+from .. import constants as K
+from ..sources.pages import html_nodes as nodes_of, page_errors as errors_of, text_of_html, with_tree
 from ..session import spread
 from .tables import portable, table
 
@@ -32,8 +33,8 @@ _SHAPES = f"""
     '<html><head><title>Shop</title>'
     || CASE WHEN shape = 4 THEN '<meta property="og:type" content="Product">' ELSE '' END
     || {_LD} || '{{not valid json</script></head><body>'
-    || {_LD} || '{{"@type":"BreadcrumbList","name":"nav"}}</script>'
-    || '<nav><a href="/clearance">Clearance</a></nav>'
+    || {_LD} || '{{"@type":"WebSite","name":"shop"}}</script>'
+    || '<ul><li><a href="/stores">stores, sale days</a></li></ul>'
     || CASE shape
        WHEN 0 THEN {_LD} || '{{"@type":"Product","name":" ' || name || ' ","sku":"' || sku || '",'
             || {_OFFER} || '}}</script>'
@@ -54,21 +55,21 @@ _SHAPES = f"""
             || '<span itemprop="name">offer</span><span itemprop="price" content="'
             || CAST(price AS STRING) || '">about ten</span><meta itemprop="priceCurrency" content="EUR">'
             || '<link itemprop="availability" href="http://schema.org/' || stock || '"></div></div>'
-       WHEN 4 THEN '<script type="application/json" id="ProductJson-t">{{"title":"' || name
+       WHEN 4 THEN '<script type="application/json" id="productjson_' || sku || '">{{"title":"' || name
             || '","vendor":"' || brand || '","type":"' || category || '","variants":[{{"price":'
             || CAST(cents AS STRING) || ',"compare_at_price":'
             || CAST(cents + size % 2 * 1000 AS STRING) || ',"available":'
             || CASE WHEN size > 10 THEN 'true' ELSE 'false' END || ',"sku":"' || sku
-            || '"}}],"featured_image":"https://img.example/f.jpg","description":"<p>Soft <b>'
-            || name || '</b></p>"}}</script>'
-       ELSE '<div class="grid product-item"><h3>' || name || '</h3><span class="sale-price">$'
-            || CAST(price AS STRING) || '</span><a href="/products/' || CAST(page_id AS STRING)
-            || '">see</a></div><div class="product-item"><span class="price">$1</span></div>' END
+            || '"}}],"featured_image":"https://img.example/f.jpg","description":"<div>About <i>'
+            || name || '</i></div>"}}</script>'
+       ELSE '<article class="tile Product"><h2>' || name || '</h2><p class="now-price">EUR '
+            || CAST(price AS STRING) || '</p><a href="/products/' || CAST(page_id AS STRING)
+            || '">more</a></article><li class="product"><div class="price">$1</div></li>' END
     || CASE WHEN shape = 5 AND size % 2 = 0
-            THEN '<div class="announcement-bar">Sale! 20% off ' || name || '</div>' ELSE '' END
-    || CASE WHEN size > 30 THEN '<p>' || repeat('Some ordinary words. ', 15) || '</p>' ELSE '' END
-    || CASE WHEN size % 7 = 0 THEN '<p>Please enable JavaScript.</p>' ELSE '' END
-    || '<div class="footer">All sale prices 50% off</div></body></html>'"""
+            THEN '<aside id="promo-strip">coupon for ' || name || '</aside>' ELSE '' END
+    || CASE WHEN size > 30 THEN '<p>' || repeat('plain text about ' || brand || ', ', 12) || '</p>' ELSE '' END
+    || CASE WHEN size % 7 = 0 THEN '<p>This shop {K.JS_REQUIRED_PHRASES[1]}.</p>' ELSE '' END
+    || '<div class="imprint">free shipping terms</div></body></html>'"""
 
 
 def _rows(spark, sf_dir):
@@ -172,16 +173,16 @@ def next_link(spark, sf_dir):
     return _parsed(spark, sf_dir, _NEXT).select("page_id", link)
 
 
+# One text for each kind of statement: percent, amount and code, signal only, none, percent after a long text.
 _BANNER_TEXT = """CASE size % 5
-    WHEN 0 THEN 'Fern week:   ' || CAST(size AS STRING) || '% off ' || repeat(name || ' ', 12)
-    WHEN 1 THEN 'Enter code FERN' || CAST(size AS STRING) || ' to take $' || CAST(size AS STRING)
-         || '.50 OFF any ' || name
-    WHEN 2 THEN 'Huge clearance weekend - ' || name
-    WHEN 3 THEN 'Fresh plants every day'
-    ELSE 'BOGO ' || repeat(name || ' ', 40) || ' 10% off' END"""
+    WHEN 0 THEN name || '   at ' || CAST(size AS STRING) || ' % OFF, ' || repeat(category || ' ', 12)
+    WHEN 1 THEN 'coupon: Q' || CAST(size AS STRING) || 'Z gives $' || CAST(size AS STRING) || '.50 off ' || name
+    WHEN 2 THEN brand || ' coupon booklet, ' || name
+    WHEN 3 THEN 'Delivered by ' || brand
+    ELSE 'Free Shipping ' || repeat(name || ' ', 40) || ' 10% off' END"""
 _BANNERS = f"""
-    '<div class="footer">Sale terms: 20% off once</div><section id="top-bar"><p>'
-    || {_BANNER_TEXT} || '</p></section><p class="x hero-y">' || {_BANNER_TEXT} || '</p>'"""
+    '<div class="imprint">7% off coupon</div><a id="marquee7"><b>'
+    || {_BANNER_TEXT} || '</b></a><section class="a topbar">' || {_BANNER_TEXT} || '</section>'"""
 
 
 def campaign_detect(spark, sf_dir):
@@ -202,10 +203,29 @@ def html_nodes(spark, sf_dir):
     )
 
 
+# A page for every conversation turn, with text in several elements and some that is not shown.
+_TURN_PAGE = """
+    '<html><head><title>' || role || '</title><style>p { margin: 0 }</style></head><body><p>'
+    || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</p><script>let turn = 1</script><div> <b>'
+    || CAST(turn AS STRING) || '</b><template>none</template></div></body></html>'"""
+
+
 def page_text(spark, sf_dir):
-    """Visible text of the given pages."""
-    parsed = with_tree(spread(table(spark, sf_dir, "pages")))
-    return parsed.select("page_id", N.page_text(F.col("tree")).alias("text"))
+    """Visible text of pages made of conversation turns."""
+    turns = table(spark, sf_dir, "conversations")
+    parsed = with_tree(turns.select("conv_id", "turn", F.expr(_TURN_PAGE).alias("html")))
+    return parsed.select("conv_id", "turn", N.page_text(F.col("tree")).alias("text"))
+
+
+# Some pages hold a marked section that the HTML parser gives up on.
+_BROKEN = "CASE WHEN size % 9 = 4 THEN '<p>a</p><![' || lower(brand) || '[x]]>' ELSE '' END"
+
+
+def page_errors(spark, sf_dir):
+    """Pages that do not parse, next to pages that do."""
+    parsed = _parsed(spark, sf_dir, f"{_SHAPES} || {_BROKEN}")
+    broken = errors_of(parsed)
+    return broken.select("page_id", "url", (F.length("error") > 0).alias("has_message"))
 
 
 def strip_html(spark, sf_dir):
@@ -254,7 +274,7 @@ QUERIES = {
     for f in (
         jsonld_blocks, jsonld_nodes, jsonld_products, microdata_props, microdata_products,
         embedded_json_products, generic_products, generic_trust, extract_products, page_signals,
-        page_needs_render, next_link, campaign_detect, campaign_counts, html_nodes, page_text,
+        page_needs_render, next_link, campaign_detect, campaign_counts, html_nodes, page_text, page_errors,
         strip_html, parse_price, parse_availability, truncate_title, discount_text,
     )
 }
@@ -273,7 +293,7 @@ def _expected(shapes):
                CASE WHEN shape IN (0, 3, 4) THEN size > 10 ELSE TRUE END AS in_stock,
                CASE WHEN shape IN (1, 4) THEN category END AS category,
                CASE WHEN shape IN (2, 4) THEN brand END AS brand,
-               CASE WHEN shape = 4 THEN 'Soft ' || name END AS description,
+               CASE WHEN shape = 4 THEN 'About ' || name END AS description,
                CASE shape WHEN 2 THEN 'https://img.example/1.jpg' WHEN 4 THEN 'https://img.example/f.jpg'
                     WHEN 3 THEN site || '/i/' || page_id || '.png' END AS image_url,
                CASE shape WHEN 2 THEN site || '/p/' || page_id || '#top'
@@ -284,24 +304,22 @@ def _expected(shapes):
 
 
 _DISCOUNT = """CASE size % 5 WHEN 0 THEN size || '% off'
-    WHEN 1 THEN '$' || size || '.50 off; code FERN' || size
+    WHEN 1 THEN '$' || size || '.50 off; code Q' || size || 'Z'
     WHEN 4 THEN '10% off' ELSE '' END"""
 _CUT = """CASE WHEN length(description) <= 80 THEN description
     ELSE regexp_extract(left(description, 80), '^(.*) [^ ]*$', 1, 's') || '…' END"""
 _BANNER_ROWS = f"""
     b AS ({_PLAIN}),
-    cleaned AS (SELECT *, left(trim(regexp_replace({_BANNER_TEXT}, '\\s+', ' ', 'g')), 300) AS description
-                FROM b WHERE size % 5 <> 3),
-    stated AS (SELECT *, CASE WHEN size % 5 = 4 AND NOT description LIKE '%10\\% off' ESCAPE '\\' THEN ''
-                              ELSE {_DISCOUNT} END AS discount_text
-               FROM cleaned)"""
+    stated AS (SELECT *, trim(regexp_replace({_BANNER_TEXT}, '\\s+', ' ', 'g')) AS description,
+                      {_DISCOUNT} AS discount_text
+               FROM b WHERE size % 5 <> 3)"""
 
 ORACLES = {
     "jsonld_blocks": f"SELECT page_id, CASE WHEN shape <= 2 THEN 2 ELSE 1 END AS blocks FROM ({_PLAIN})",
     "jsonld_nodes": f"""
         WITH b AS ({_PLAIN}),
         n AS (
-            SELECT page_id, 0 AS rank, 'BreadcrumbList' AS types, 'nav' AS name FROM b
+            SELECT page_id, 0 AS rank, 'WebSite' AS types, 'shop' AS name FROM b
             UNION ALL SELECT page_id, 1, 'ItemList', NULL FROM b WHERE shape = 1 AND size > 25
             UNION ALL SELECT page_id, 2, CASE WHEN shape = 1 THEN 'Thing,Product' ELSE 'Product' END,
                              CASE WHEN shape = 0 THEN ' ' || name || ' ' ELSE name END
@@ -347,6 +365,11 @@ ORACLES = {
         SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS anchors,
                len(regexp_extract_all(html, '<li[ >]')) AS items,
                len(regexp_extract_all(html, '<article[ >]')) AS articles FROM pages""",
+    "page_text": r"""
+        SELECT conv_id, turn, array_to_string(list_filter(
+            [role, regexp_replace(text, '^\s+|\s+$', '', 'g'), CAST(turn AS VARCHAR)], lambda x: x <> ''), ' ') AS text
+        FROM conversations""",
+    "page_errors": f"SELECT page_id, url, TRUE AS has_message FROM ({_PLAIN}) WHERE size % 9 = 4",
     "strip_html": r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations",
     "parse_price": f"""
         SELECT p_partkey, CAST(nullif(regexp_extract(replace({_PRICE_TEXT}, ',', ''), '[0-9]+\\.?[0-9]*'), '')

@@ -44,7 +44,8 @@ def price_axis(spark, sf_dir):
 
 def _history(spark, sf_dir):
     return prices.price_history_search(
-        view(spark, sf_dir, "products"), view(spark, sf_dir, "observations"), "ReD", AS_OF, 3650
+        view(spark, sf_dir, "products"), view(spark, sf_dir, "observations"), "ReD", AS_OF, 3650,
+        order=OBSERVATION_ORDER,
     )
 
 
@@ -139,7 +140,7 @@ ORACLES = {
     "price_history_search": oracle(
         ["products", "observations"],
         f"""SELECT product_id, seller_id, name, CAST(price AS DOUBLE) AS price, currency, in_stock,
-                   observed_at, source
+                   observed_at, source, row_number() OVER (ORDER BY name, {", ".join(OBSERVATION_ORDER)}, product_id) AS position
             FROM products JOIN observations USING (product_id)
             WHERE name ILIKE '%ReD%' AND observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY""",
     ),

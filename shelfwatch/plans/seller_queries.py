@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F
+
+from .. import constants as K
 from ..functions.text import age_label
 from ..operators import campaigns as C, sellers as S
 from ..session import scratch_path
 from ..sources import sinks
 from .tables import AS_OF, OBSERVATION_ORDER, oracle, portable, view
 
+_NEWEST = "row_number() OVER (ORDER BY discovered_at DESC, campaign_id DESC) AS position"
 _OBS_DESC = ", ".join(f"{c} DESC" for c in OBSERVATION_ORDER)
 
 # Registry rows: one per supplier, active when its balance is not negative.
@@ -49,13 +53,24 @@ def registry_active(spark, sf_dir):
 
 
 def seed_sellers(spark, sf_dir):
-    existing = view(spark, sf_dir, "sellers").select("slug", "name")
-    return S.seed_sellers(_sql(spark, sf_dir, _REGISTRY), existing)
+    existing = view(spark, sf_dir, "sellers").select("seller_id", "slug", "name")
+    return _new_ids_hidden(S.seed_sellers(_sql(spark, sf_dir, _REGISTRY), existing))
+
+
+def _new_ids_hidden(sellers, known=25):
+    """New ids are arbitrary: shown as null with whether they are there and used once."""
+    is_new = F.col("seller_id") > known
+    uses = sellers.groupBy("seller_id").agg(F.count(F.lit(1)).alias("uses"))
+    return sellers.join(uses, "seller_id", "left").select(
+        *[c for c in sellers.columns if c != "seller_id"],
+        F.when(~is_new, F.col("seller_id")).alias("seller_id"),
+        F.coalesce(F.col("uses") == 1, F.lit(False)).alias("has_own_id"),
+    )
 
 
 def upsert_own_brands(spark, sf_dir):
     sellers = view(spark, sf_dir, "sellers").withColumn("brand_num", F.lit(None).cast("int"))
-    return S.upsert_own_brands(sellers, _sql(spark, sf_dir, _OWN_BRANDS))
+    return _new_ids_hidden(S.upsert_own_brands(sellers, _sql(spark, sf_dir, _OWN_BRANDS)))
 
 
 def seller_by_slug(spark, sf_dir):
@@ -123,7 +138,12 @@ def product_sort(spark, sf_dir):
         OBSERVATION_ORDER,
         seller_id=5,
     )
-    return portable(S.sort_products(listing, "price", descending=True))
+    keys = [("price", True), ("price", False), ("name", False), ("category", True), ("stock", True)]
+    lists = [
+        S.sort_products(listing, key, down).withColumn("sorted_by", F.lit(f"{key}{' down' if down else ''}"))
+        for key, down in keys
+    ]
+    return portable(reduce(DataFrame.unionByName, lists))
 
 
 def resolve_seller(spark, sf_dir):
@@ -237,13 +257,11 @@ QUERIES = {
     )
 }
 
-_OVERVIEW = """
+_LABELS = " ".join(f"WHEN '{status}' THEN '{label}'" for status, label in K.STATUS_LABELS.items())
+_OVERVIEW = f"""
     SELECT s.*, coalesce(c.product_count, 0) AS product_count, l.started_at AS last_crawled_at,
            l.status AS last_crawl_status,
-           CASE l.status WHEN 'success' THEN 'Crawled cleanly'
-                WHEN 'partial_failure' THEN 'Crawled with some errors'
-                WHEN 'failed' THEN 'Crawl failed' WHEN 'running' THEN 'Crawl in progress' END
-               AS status_label
+           CASE l.status {_LABELS} END AS status_label
     FROM sellers s
     LEFT JOIN (SELECT seller_id, count(*) AS product_count FROM products GROUP BY 1) c USING (seller_id)
     LEFT JOIN (SELECT * FROM crawl_runs QUALIFY row_number() OVER
@@ -264,17 +282,17 @@ ORACLES = {
     "registry_active": f"SELECT * FROM ({_plain(_REGISTRY)}) WHERE active",
     "seed_sellers": oracle(
         ["sellers"],
-        f"""SELECT slug, name, CAST(NULL AS VARCHAR) AS website_url FROM sellers
-            UNION ALL SELECT slug, name, website_url FROM ({_plain(_REGISTRY)}) r
+        f"""SELECT seller_id, slug, name, CAST(NULL AS VARCHAR) AS website_url, TRUE AS has_own_id FROM sellers
+            UNION ALL SELECT NULL, slug, name, website_url, TRUE FROM ({_plain(_REGISTRY)}) r
             WHERE active AND slug NOT IN (SELECT slug FROM sellers)""",
     ),
     "upsert_own_brands": oracle(
         ["sellers"],
         f"""WITH own AS ({_plain(_OWN_BRANDS)})
             SELECT s.slug, s.name, s.seller_id, o.brand_num,
-                   s.is_own_brand OR o.slug IS NOT NULL AS is_own_brand
+                   s.is_own_brand OR o.slug IS NOT NULL AS is_own_brand, TRUE AS has_own_id
             FROM sellers s LEFT JOIN own o USING (slug)
-            UNION ALL SELECT slug, name, NULL, brand_num, TRUE FROM own
+            UNION ALL SELECT slug, name, NULL, brand_num, TRUE, TRUE FROM own
             WHERE slug NOT IN (SELECT slug FROM sellers)""",
     ),
     "seller_by_slug": oracle(["sellers"], "SELECT * FROM sellers WHERE slug = 'brand-7'"),
@@ -319,7 +337,18 @@ ORACLES = {
         """SELECT * FROM products WHERE lower(name) LIKE '%sku1%' OR lower(category) LIKE '%sku1%'
            OR lower(coalesce(sku, '')) LIKE '%sku1%'""",
     ),
-    "product_sort": oracle(["products", "observations"], _page(5, 50, 0)),
+    "product_sort": oracle(
+        ["products", "observations"],
+        f"""WITH listing AS ({_page(5, 50, 0)}),
+            keys(sorted_by) AS (VALUES ('price down'), ('price'), ('name'), ('category down'), ('stock down'))
+            SELECT listing.*, sorted_by, row_number() OVER (PARTITION BY sorted_by ORDER BY
+                CASE WHEN sorted_by = 'price down' THEN latest_price END DESC NULLS LAST,
+                CASE WHEN sorted_by = 'price' THEN latest_price END ASC NULLS FIRST,
+                CASE WHEN sorted_by = 'category down' THEN category END DESC NULLS LAST,
+                CASE WHEN sorted_by = 'stock down' THEN coalesce(in_stock, FALSE) END DESC NULLS LAST,
+                name, product_id) AS position
+            FROM listing, keys""",
+    ),
     "resolve_seller": oracle(
         ["sellers"],
         f"""WITH guesses AS (SELECT DISTINCT guess FROM ({_plain(_GUESSES)})),
@@ -343,7 +372,7 @@ ORACLES = {
         """SELECT * FROM swot_analyses QUALIFY row_number() OVER
            (PARTITION BY seller_id ORDER BY generated_at DESC, swot_id DESC) = 1""",
     ),
-    "swot_history": oracle(["swot_analyses"], "SELECT * FROM swot_analyses"),
+    "swot_history": oracle(["swot_analyses"], "SELECT *, row_number() OVER (ORDER BY generated_at DESC, swot_id DESC) AS position FROM swot_analyses"),
     "campaign_search": oracle(
         ["campaigns", "products"],
         """WITH both_ways AS (
@@ -355,8 +384,8 @@ ORACLES = {
                           ORDER BY discovered_at DESC, campaign_id DESC) AS rank_no FROM both_ways)
            WHERE rank_no <= 20""",
     ),
-    "campaigns_by_seller": oracle(["campaigns"], "SELECT * FROM campaigns WHERE seller_id = 4"),
-    "product_campaigns": oracle(["campaigns"], "SELECT * FROM campaigns WHERE product_id = 17"),
+    "campaigns_by_seller": oracle(["campaigns"], f"SELECT *, {_NEWEST} FROM campaigns WHERE seller_id = 4"),
+    "product_campaigns": oracle(["campaigns"], f"SELECT *, {_NEWEST} FROM campaigns WHERE product_id = 17"),
     "campaign_lines": oracle(
         ["campaigns"],
         """SELECT campaign_id, title || ' — ' || discount_text
@@ -375,7 +404,8 @@ ORACLES = {
             QUALIFY row_number() OVER (PARTITION BY seller_id, product_id, discount_text
                                        ORDER BY discovered_at, campaign_id) = 1""",
     ),
-    "developments_feed": oracle(["developments"], "SELECT * EXCLUDE (embedding) FROM developments"),
+    "developments_feed": oracle(["developments"], """SELECT * EXCLUDE (embedding), row_number() OVER (ORDER BY event_date DESC, development_id DESC) AS position
+           FROM developments"""),
     "development_append": oracle(
         ["developments"],
         """SELECT development_id, seller_id, title, summary,

@@ -121,11 +121,12 @@ _SITEMAPS = """
         CASE s_suppkey % 4
         WHEN 0 THEN '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
              || '<sitemap><loc>' || s_name || '</loc></sitemap></sitemapindex>'
-        WHEN 1 THEN 'not xml at all <<<'
+        WHEN 1 THEN '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>cut off'
         WHEN 2 THEN '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://s.example/'
              || CAST(s_suppkey AS STRING) || '?a=1&amp;b=2 </loc><priority>1</priority></url><url><lastmod>x</lastmod>'
              || '</url><url><loc>' || s_name || '</loc></url></urlset>'
-        ELSE '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"></urlset>' END AS xml
+        ELSE CASE WHEN s_suppkey % 8 = 3 THEN '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"></urlset>'
+             ELSE '<urlset><url><loc>/outside-the-namespace</loc></url></urlset>' END END AS xml
     FROM {supplier}"""
 
 
@@ -230,16 +231,16 @@ def product_url_frontier(spark, sf_dir):
 
 
 def url_classify_full(spark, sf_dir):
-    """Unclassified page urls judged by page content, first ones of each site only."""
-    pages = PQ._parsed(spark, sf_dir)
+    """Unclassified page urls judged by page content."""
+    pages = PQ._pages(spark, sf_dir)
     discovered = pages.select(
         "site", "url", F.col("page_id").alias("url_no"), U.kind_by_path(F.col("url")).alias("kind")
     )
-    return L.reclassify_by_page(discovered, pages.select("url", "tree")).select("site", "url", "kind")
+    return L.reclassify_by_page(discovered, pages.select("url", "html")).select("site", "url", "kind")
 
 
 def homepage_links(spark, sf_dir):
-    """First links of the given pages, each page taken as a homepage."""
+    """Links of the given pages, each page taken as a homepage."""
     parsed = with_tree(spread(table(spark, sf_dir, "pages")))
     return L.homepage_links(parsed.select(F.col("page_id").alias("site"), "tree"))
 
@@ -258,11 +259,10 @@ _TRACKING = ", ".join(f"'{p}'" for p in K.TRACKING_PARAMS)
 
 
 def _kind(path):
-    return f"""CASE WHEN regexp_matches({path}, '(?i)/(products?|item|p)/') THEN 'product'
-        WHEN regexp_matches({path}, '(?i)/(sale|clearance|deals?|promo(tions?)?|coupons?|specials?)\\b')
-            THEN 'promotional'
-        WHEN regexp_matches({path}, '(?i)/(collections?|categor(y|ies)|shop|catalog)/') THEN 'category'
-        ELSE 'unknown' END"""
+    tests = (("product", K.PRODUCT_PATH), ("promotional", K.PROMO_PATH), ("category", K.CATEGORY_PATH))
+    # Java's U flag has no counterpart in DuckDB and does not matter for ASCII paths.
+    cases = [f"WHEN regexp_matches({path}, '{p.replace('(?iU)', '(?i)')}') THEN '{kind}'" for kind, p in tests]
+    return f"CASE {' '.join(cases)} ELSE 'unknown' END"
 
 
 _CANONICAL = f"""
@@ -282,7 +282,7 @@ _DISCOVERED = f"""
         QUALIFY row_number() OVER (PARTITION BY a.site, a.url ORDER BY origin, pos, kind) = 1),
     discovered AS (
         SELECT site, url, origin, kind, row_number() OVER (PARTITION BY site ORDER BY origin, pos, url)
-            AS url_no FROM firsts QUALIFY url_no <= 5000)"""
+            AS url_no FROM firsts)"""
 
 ORACLES = {
     "normalize_url": f"""
@@ -365,8 +365,7 @@ ORACLES = {
     "crawl_frontier": f"""
         WITH {_DISCOVERED}
         SELECT site, url, kind, row_number() OVER (PARTITION BY site, kind ORDER BY url_no) AS kind_no
-        FROM discovered WHERE kind <> 'unknown'
-        QUALIFY kind_no <= CASE kind WHEN 'category' THEN 50 WHEN 'product' THEN 5000 ELSE 15 END""",
+        FROM discovered""",
     "url_kind_counts": f"""
         WITH {_DISCOVERED}
         SELECT site, count(*) FILTER (kind = 'product') AS product,
@@ -379,13 +378,10 @@ ORACLES = {
         UNION SELECT CAST(substr(p_brand, 7) AS BIGINT), 'https://www.shop' || substr(p_brand, 7)
                      || '.example/products/' || p_partkey FROM part""",
     "url_classify_full": f"""
-        WITH b AS ({PQ._PLAIN}),
-        r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS check_no FROM b)
-        SELECT site, url, CASE WHEN check_no > 100 THEN 'unknown'
-                   WHEN shape = 1 AND size > 25 THEN 'category' WHEN shape <= 4 THEN 'product'
-                   WHEN size % 2 = 0 THEN 'promotional' ELSE 'unknown' END AS kind FROM r""",
+        SELECT site, url, CASE WHEN shape = 1 AND size > 25 THEN 'category' WHEN shape <= 4 THEN 'product'
+                   WHEN size % 2 = 0 THEN 'promotional' ELSE 'unknown' END AS kind FROM ({PQ._PLAIN})""",
     "homepage_links": """
-        WITH a AS (SELECT page_id AS site, regexp_extract_all(html, '<a href="([^"]*)"', 1)[:100] AS hrefs
+        WITH a AS (SELECT page_id AS site, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs
                    FROM pages)
         SELECT site, unnest(range(len(hrefs))) AS pos, unnest(hrefs) AS url FROM a""",
 }

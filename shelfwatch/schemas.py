@@ -39,7 +39,7 @@ PAGE_NODE = (
     "STRUCT<id: INT, end: INT, parent: INT, depth: INT, tag: STRING, "
     "attrs: MAP<STRING, STRING>, scope: INT, first_text: INT, last_text: INT, raw: STRING>"
 )
-PAGE_TREE = f"STRUCT<nodes: ARRAY<{PAGE_NODE}>, texts: ARRAY<STRING>>"
+PAGE_TREE = f"STRUCT<nodes: ARRAY<{PAGE_NODE}>, texts: ARRAY<STRING>, error: STRING>"
 
 EXTRACTED_PRODUCT = (
     "STRUCT<sku: STRING, name: STRING, price: DECIMAL(18,4), original_price: DECIMAL(18,4), "

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +47,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder of its own.
+    Only a local session without the setting, as in tests, gets a temporary
+    folder of its own, which goes when the process ends.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", ""
@@ -53,6 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     fallback = tempfile.mkdtemp(prefix="shelfwatch-")
+    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
@@ -62,10 +68,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/shelfwatch/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def cleared_scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialise`` writes inside, once their users are done.
+
+    For jobs: everything that is read from them must have been written by then.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _written[before:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _written[before:]
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _written.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,10 +103,10 @@ def fits_broadcast(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a costly per-row step all cores when its input has fewer splits than that.
+    """Give a costly per-row step all cores when its input has fewer files than that.
 
-    A large table has more splits than cores and passes unchanged.
+    A large table has more files than cores and passes unchanged. Only the list
+    of files is looked at, nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -39,9 +39,12 @@ def read_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The same seven string columns from CSV text held in a column."""
-    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    fields = F.from_csv(F.col(line), RAW_SCHEMA, options)
+    """The same seven string columns from CSV text held in a column.
+
+    A line with more or fewer fields is kept whole in ``bad_record``.
+    """
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    fields = F.from_csv(F.col(line), f"{RAW_SCHEMA}, {_CORRUPT} STRING", options)
     kept = [c for c in lines.columns if c != line]
     # inline() parses each line once; plain field access would repeat the parse per field.
     return lines.select(*kept, F.inline(F.array(fields))).fillna("", subset=K.FEED_COLUMNS)

@@ -37,6 +37,7 @@ PAGE_TREE = T.StructType(
     [
         T.StructField("nodes", T.ArrayType(_NODE)),
         T.StructField("texts", T.ArrayType(T.StringType())),
+        T.StructField("error", T.StringType()),
     ]
 )
 _ARROW_NODE = pa.struct(
@@ -47,7 +48,7 @@ _ARROW_NODE = pa.struct(
         ("raw", pa.string()),
     ]
 )
-_ARROW_TREE = pa.struct([("nodes", pa.list_(_ARROW_NODE)), ("texts", pa.list_(pa.string()))])
+_ARROW_TREE = pa.struct([("nodes", pa.list_(_ARROW_NODE)), ("texts", pa.list_(pa.string())), ("error", pa.string())])
 
 
 class _TreeBuilder(HTMLParser):
@@ -121,15 +122,18 @@ class _TreeBuilder(HTMLParser):
         self._flush()
         while self.open:
             self._close(self.open.pop())
-        return {"nodes": self.nodes, "texts": self.texts}
+        return {"nodes": self.nodes, "texts": self.texts, "error": None}
 
 
 def _tree_of(html: str | None):
     if html is None:
         return None
     builder = _TreeBuilder()
-    builder.feed(html)
-    tree = builder.finish()
+    try:
+        builder.feed(html)
+        tree = builder.finish()
+    except Exception as problem:  # one odd page must not end the job; see ``page_errors``
+        return {"nodes": [], "texts": [], "error": f"{type(problem).__name__}: {problem}"}
     for node in tree["nodes"]:
         node["attrs"] = list(node["attrs"].items())
     return tree
@@ -137,7 +141,10 @@ def _tree_of(html: str | None):
 
 @F.arrow_udf(PAGE_TREE)
 def parse_html(html: pa.Array) -> pa.Array:
-    """Element tree of every HTML text (null for null)."""
+    """Element tree of every HTML text (null for null).
+
+    A page the parser gives up on has no elements and an ``error``.
+    """
     return pa.array([_tree_of(h) for h in html.to_pylist()], type=_ARROW_TREE)
 
 
@@ -146,6 +153,13 @@ def with_tree(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("tree", parse_html(F.col(html))).drop(html)
 
 
+def page_errors(parsed: DataFrame, key: str = "page_id") -> DataFrame:
+    """The pages that could not be parsed, with the parser's message."""
+    return parsed.where(F.col("tree.error").isNotNull()).select(
+        key, "url", F.col("tree.error").alias("error")
+    )
+
+
 def text_of_html(html: Column) -> Column:
     """Visible text of an HTML fragment, pieces joined by a space."""
     return F.array_join(parse_html(html)["texts"], " ")

@@ -33,7 +33,7 @@ def test_import_feed_job_can_be_run_again(spark, tmp_path):
 
 def test_extract_pages_job(spark, tmp_path):
     pages = [(1, "https://x.example/a", '<script type="application/ld+json">{"@type":"Product","name":"A"}</script>'),
-             (2, "https://x.example/b", '<p class="promo">sale 10% off</p>')]
+             (2, "https://x.example/b", '<p class="promo">sale 10% off</p>'), (3, "https://x.example/c", "<p><![foo[x]]>")]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages"))
     out = str(tmp_path / "out")
     extract_pages.run(spark, str(tmp_path / "pages"), out)
@@ -41,6 +41,22 @@ def test_extract_pages_job(spark, tmp_path):
     assert [r.discount_text for r in spark.read.parquet(out + "/campaigns").collect()] == ["10% off"]
     signals = {r.page_id: (r.kind, r.products) for r in spark.read.parquet(out + "/page_signals").collect()}
     assert signals == {1: ("product", 1), 2: ("promotional", 0)}
+    assert [r.page_id for r in spark.read.parquet(out + "/page_errors").collect()] == [3]
+
+
+def test_first_import_creates_the_brands_it_needs(spark, tmp_path):
+    (tmp_path / "feed.csv").write_text("S1,5,bulb,Tulip,A,F25,10.00\nS1,6,bulb,Other tulip,A,F25,11.00\n")
+    brands = [{"brand_num": n, "slug": f"b{n}", "name": f"B{n}", "website_url": "", "notes": ""} for n in (5, 6)]
+    (tmp_path / "brands.json").write_text(json.dumps(brands))
+    for name, schema in (("sellers", schemas.SELLERS), ("products", schemas.PRODUCTS), ("observations", schemas.OBSERVATIONS)):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+    args = {"feed_path": str(tmp_path / "feed.csv"), "observations": str(tmp_path / "observations"), "brands": str(tmp_path / "brands.json")}
+    out = import_feed.run(spark, sellers=str(tmp_path / "sellers"), products=str(tmp_path / "products"), **args)
+    sellers = {r.slug: r for r in spark.read.parquet(out["sellers"]).collect()}
+    assert set(sellers) == {"b5", "b6"} and len({r.seller_id for r in sellers.values()}) == 2
+    assert all(r.seller_id is not None and r.created_at is not None for r in sellers.values())
+    products = {r["name"]: r.seller_id for r in spark.read.parquet(out["products"]).collect()}
+    assert products == {"Tulip": sellers["b5"].seller_id, "Other tulip": sellers["b6"].seller_id}
 
 
 def test_ingest_listing_pages(spark):
@@ -61,8 +77,9 @@ def test_ingest_listing_pages(spark):
         "fetched_at timestamp_ntz",
     )
     products = spark.createDataFrame(
-        [(10, 1, None, "rose", "", "")],
-        "product_id bigint, seller_id bigint, sku string, name string, category string, url string",
+        [(10, 1, None, "rose", "", "", when, when)],
+        "product_id bigint, seller_id bigint, sku string, name string, category string, url string, "
+        "first_seen_at timestamp_ntz, last_seen_at timestamp_ntz",
     )
     campaigns = spark.createDataFrame([], "seller_id bigint, product_id bigint, discount_text string")
     result = crawl.ingest_pages(pages, products, campaigns)

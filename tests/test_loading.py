@@ -7,7 +7,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.ranking import top_n
+from shelfwatch import schemas
+from shelfwatch.functions.ranking import number_rows, top_n
 from shelfwatch.operators import campaigns as C, feed_import as I, matching as M, pagination as G, sellers as S
 from shelfwatch.sources import feed, sinks
 
@@ -61,6 +62,28 @@ def test_bad_rows_fail_or_are_rejected(spark, tmp_path, line):
         feed.parse_feed(raw).collect()
 
 
+def test_lines_with_a_wrong_number_of_fields(spark):
+    good = "S0,5,b,n,g,F25,1.00"
+    lines = spark.createDataFrame([(good,), (good.replace("S0", "S1") + ",8th",), ("S2,5,b",)], "line string")
+    raw = feed.parse_lines(lines)
+    assert sorted(r.sku for r in feed.rejects(raw).collect()) == ["S1", "S2"]
+    assert [r.sku for r in feed.parse_feed(raw, strict=False).collect()] == ["S0"]
+    with pytest.raises(Exception, match="bad feed row"):
+        feed.parse_feed(raw).collect()
+
+
+def test_new_sellers_get_ids(spark):
+    known = spark.createDataFrame([(4, "a", "A", False, None)], "seller_id bigint, slug string, name string, is_own_brand boolean, brand_num int")
+    own = spark.createDataFrame([("a", "other", 1), ("b", "B", 2), ("c", "C", 3)], "slug string, name string, brand_num int")
+    after = {r.slug: r for r in S.upsert_own_brands(known, own).collect()}
+    assert (after["a"].seller_id, after["a"]["name"], after["a"].brand_num) == (4, "A", 1)
+    assert all(r.is_own_brand for r in after.values())
+    assert len({r.seller_id for r in after.values()}) == 3 and min(after[s].seller_id for s in "bc") > 4
+    registry = spark.createDataFrame([("a", "x", True), ("d", "D", True), ("e", "E", False)], "slug string, name string, active boolean")
+    seeded = {r.slug: r.seller_id for r in S.seed_sellers(registry, known).collect()}
+    assert seeded["a"] == 4 and seeded["d"] > 4 and set(seeded) == {"a", "d"}
+
+
 def test_unknown_brand(spark, sellers, tmp_path):
     parsed = feed.parse_feed(feed.read_feed(spark, write(tmp_path, "S1,9,b,n,g,F25,1.00\n")))
     assert I.unknown_brands(parsed, sellers).count() == 1
@@ -175,6 +198,23 @@ def test_find_or_create_fills_missing_values(spark):
     assert M.sku_conflicts(placed).isEmpty()
 
 
+def test_find_or_create_gives_the_whole_table(spark):
+    day = lambda d: datetime(2026, 1, d)
+    items = spark.createDataFrame(
+        [(1, "S", "x", "", "", 1, day(5)), (1, "S", "x", "", "", 2, day(7)), (1, None, "y", "", "", 3, day(6))],
+        "seller_id bigint, sku string, name string, category string, url string, at int, seen timestamp_ntz",
+    )
+    products = spark.createDataFrame(
+        [(7, 1, "S", "x", "fine", "c", "u", day(1), day(2)), (8, 1, "T", "z", "good", "c", "u", day(1), day(3))], schemas.PRODUCTS
+    )
+    _, after = M.find_or_create(items, products, ["at"], "seen")
+    rows = {r["name"]: r for r in after.collect()}
+    assert set(products.columns) <= set(after.columns)
+    assert (rows["x"].grade, rows["x"].first_seen_at, rows["x"].last_seen_at, rows["x"].seen) == ("fine", day(1), day(7), True)
+    assert (rows["z"].grade, rows["z"].last_seen_at, rows["z"].seen) == ("good", day(3), False)
+    assert (rows["y"].first_seen_at, rows["y"].last_seen_at, rows["y"].is_new) == (day(6), day(6), True)
+
+
 # --- pagination ------------------------------------------------------------------
 
 
@@ -184,27 +224,23 @@ def sequence(spark, pages):
     items = [("c", i, name) for i, p in enumerate(pages) for name in p[3]]
     links = [("c", i, link) for i, p in enumerate(pages) for link in p[4]]
     return G.pagination_stop(
-        spark.createDataFrame(page_rows, "crawl string, page_idx int, url string, next_url string, text string"),
+        spark.createDataFrame(page_rows, "crawl string, page_idx int, url string, next_url string, context string"),
         spark.createDataFrame(items, "crawl string, page_idx int, name string"),
         spark.createDataFrame(links, "crawl string, page_idx int, url string"),
     ).orderBy("page_idx").collect()
 
 
-def text(price, filler):
-    return filler * 20 + price + filler * 20
-
-
 @pytest.mark.parametrize(
     "pages, reasons, products",
     [
-        ([("1", None, text("$9", "a"), ["W"], [])], ["no_next_link"], [True]),
-        ([("1", "2", text("$9", "a"), ["W"], []), ("2", "3", text("$9", "a"), ["X"], [])],
+        ([("1", None, "only one", ["W"], [])], ["no_next_link"], [True]),
+        ([("1", "2", "the same context", ["W"], []), ("2", "3", "the same context", ["X"], [])],
          [None, "recycled"], [True, False]),
-        ([("1", "2", text("$9", "a"), ["W"], []), ("2", "3", text("$19", "b"), ["W"], [])],
+        ([("1", "2", "one context", ["W"], []), ("2", "3", "another thing", ["W"], [])],
          [None, "nothing_new"], [True, False]),
-        ([("1", "2", text("$9", "a"), [], ["/a"]), ("2", None, text("$9", "b"), [], ["/b"])],
+        ([("1", "2", "one context", [], ["/a"]), ("2", None, "another thing", [], ["/b"])],
          [None, "no_next_link"], [True, True]),
-        ([("1", "1", text("$9", "a"), ["W"], []), ("1", None, text("$9", "b"), ["X"], [])],
+        ([("1", "1", "one context", ["W"], []), ("1", None, "another thing", ["X"], [])],
          [None, "revisited"], [True, False]),
         ([("1", "2", "", ["W"], []), ("2", "3", "", ["X"], []), ("3", None, "", ["Y"], [])],
          [None, "recycled"], [True, False]),  # two pages without prices look alike
@@ -217,10 +253,30 @@ def test_where_pagination_stops(spark, pages, reasons, products):
     assert [r.gives_promotions for r in rows] == [r not in ("recycled", "revisited") for r in reasons]
 
 
-def test_page_cap(spark):
-    pages = [(str(i), str(i + 1), text("$9", chr(97 + i)), [f"n{i}"], []) for i in range(25)]
+def test_long_listings_are_followed_to_the_end(spark):
+    pages = [(str(i), str(i + 1), f"{(i + 1) * 7919 * 104729:012d}" * 2, [f"n{i}"], []) for i in range(60)]
     rows = sequence(spark, pages)
-    assert len(rows) == 20 and rows[-1].stop_reason == "page_cap" and rows[-1].gives_products
+    assert len(rows) == 60 and {r.stop_reason for r in rows} == {None}
+
+
+def test_a_limit_of_pages_is_the_callers(spark):
+    pages = spark.createDataFrame(
+        [("c", i, str(i), "n", f"{(i + 1) * 7919 * 104729:012d}" * 2) for i in range(9)],
+        "crawl string, page_idx int, url string, next_url string, context string",
+    )
+    items = spark.createDataFrame([("c", i, str(i)) for i in range(9)], "crawl string, page_idx int, name string")
+    links = spark.createDataFrame([], "crawl string, page_idx int, url string")
+    rows = G.pagination_stop(pages, items, links, max_pages=4).orderBy("page_idx").collect()
+    assert [r.stop_reason for r in rows] == [None] * 3 + ["page_cap"]
+
+
+def test_number_rows_in_hot_groups(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 7).alias("g"))
+    rows = number_rows(df, ["g"], [F.col("id").desc()], "no").collect()
+    for g in range(7):
+        own = sorted((r for r in rows if r.g == g), key=lambda r: r.no)
+        assert [r.no for r in own] == list(range(1, len(own) + 1))
+        assert [r.id for r in own] == sorted((r.id for r in own), reverse=True)
 
 
 def test_crawl_outcome(spark):
