@@ -16,7 +16,9 @@ weights is the plain Jaccard similarity of the sets.
    on whole texts. Links of 0.8 or more join components.
 4. The rest: where members of a bucket that are not its hub are still in several
    components, all pairs across components are compared, in tiles of
-   ``2 * TILE`` members, so a large bucket is many tasks. Pairs whose registers
+   ``2 * TILE`` members, so a large bucket is many tasks. Members of its largest
+   component never meet each other, so a component of a third of all texts costs
+   its size times the others beside it, not its square. Pairs whose registers
    agree too little for 0.8 (five standard deviations) are dropped there, the
    others compared exactly. A pair that the tile has already connected adds
    nothing, so at most one link a member leaves a tile.
@@ -46,7 +48,6 @@ BANDS = 25
 ROWS = 5
 REGISTERS = BANDS * ROWS
 TILE = 256
-PIECE_BYTES = 4 << 20
 
 
 def shingles(words: W.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ def band_keys(holder: np.ndarray) -> np.ndarray:
 def _sketches(batches):
     for batch in batches:
         keys, bytes_, sizes = [], [], []
-        for _, _, data, offsets in W.pieces(batch.column(3), PIECE_BYTES):
+        for _, _, data, offsets in W.pieces(batch.column(3)):
             text, value, weight = shingles(W.split(data, offsets, W.LETTERS))
             n = len(offsets) - 1
             holder = sketch(text, value, weight, n)
@@ -177,16 +178,18 @@ def _tile(threshold: float):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, label, chunk, key = (np.asarray(table[c]) for c in ("node", "label", "chunk", "key"))
+        node, label, key = (np.asarray(table[c]) for c in ("node", "label", "key"))
         registers = np.stack([np.frombuffer(x, np.uint8) for x in table["registers"].to_pylist()])
         keys = np.asarray(table["keys"].combine_chunks().flatten()).reshape(len(node), BANDS)
         here = np.flatnonzero(keys[0] == key[0])[0]
-        first, last = int(table["low"][0].as_py()), int(table["high"][0].as_py())
         sets = None
+        left = np.asarray(table["side"]) == 0
+        alone = table["low"][0].as_py() == table["high"][0].as_py() and not table["major"][0].as_py()
+        right = left if alone else ~left
         group = np.unique(label, return_inverse=True)[1]  # what is connected so far, here
         out_a, out_b = [], []
-        for k in np.flatnonzero(chunk == first):
-            others = np.flatnonzero((chunk == last) & (group != group[k]) & ((node > node[k]) | (first != last)))
+        for k in np.flatnonzero(left):
+            others = np.flatnonzero(right & (group != group[k]) & ((node > node[k]) | (not alone)))
             others = others[(registers[others] == registers[k]).sum(axis=1) >= agree]
             # a pair that shares an earlier band is met there
             others = others[~(keys[others, :here] == keys[k, :here]).any(axis=1)]
@@ -252,17 +255,32 @@ def near_duplicates(
 
     # The rest: members other than the hub that are in several components.
     labelled = stars.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")
-    ).where("least < most").select("key", F.ceil(F.col("n") / tile).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    tiles = labelled.join(mixed, "key").select("key", "node", "label", chunk.alias("chunk"), other).select(
-        "key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "label", "chunk"
+    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")
+    ).where("labels > 1").select(
+        "key", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / tile).cast("int").alias("top_chunks"),
+        F.ceil((F.col("n") - F.col("top.n")) / tile).cast("int").alias("rest_chunks"),
     )
+    dealt = labelled.join(materialise(mixed, "mixed"), "key")
+    spot = F.xxhash64("node", "key")
+    beside = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    member = ["key", "node", "label"]
+    of_top = dealt.where("label = top").select(
+        *member, F.pmod(spot, "top_chunks").cast("int").alias("low"), beside("rest_chunks")
+    ).select(*member, F.lit(True).alias("major"), "low", F.col("other").alias("high"), F.lit(0).alias("side"))
+    rest = dealt.where("label <> top").withColumn("chunk", F.pmod(spot, "rest_chunks").cast("int"))
+    with_top = rest.select(*member, "chunk", beside("top_chunks")).select(
+        *member, F.lit(True).alias("major"), F.col("other").alias("low"), F.col("chunk").alias("high"), F.lit(1).alias("side")
+    )
+    among = rest.select(*member, "chunk", beside("rest_chunks")).select(
+        *member, F.lit(False).alias("major"), F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+        F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    tiles = of_top.unionByName(with_top).unionByName(among)
     full = tiles.join(sketches.select("node", "keys", "registers"), "node").join(bodies, "node")
     more = materialise(
-        full.groupBy("key", "low", "high").applyInArrow(_tile(threshold), "a bigint, b bigint"), "links"
+        full.groupBy("key", "major", "low", "high").applyInArrow(_tile(threshold), "a bigint, b bigint"), "links"
     )
     if not more.isEmpty():
         labels = components(links.union(more))
