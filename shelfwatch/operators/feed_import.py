@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
-from ..session import fits_broadcast
+from ..session import fits_broadcast, materialise
 from ..sources.sinks import new_observations
 from .ids import assign_ids
 
@@ -88,8 +88,11 @@ def import_feed(
     order: tuple[str, ...] = ("row_order",),
     strict: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """(products to add, observations to append) for a parsed feed; safe to re-run."""
-    placed = with_seller(feed, sellers, strict)
+    """(products to add, observations to append) for a parsed feed; safe to re-run.
+
+    The feed is parsed and given its sellers once, and written; both results read that.
+    """
+    placed = materialise(with_seller(feed, sellers, strict), "placed-feed")
     added = assign_ids(new_products(placed, products, list(order)), products, "product_id", PRODUCT_KEY)
     every = products.select("product_id", "seller_id", "sku").unionByName(
         added.select("product_id", "seller_id", "sku")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions.ranking import number_rows, top_n
 from ..functions.text import seller_slug_guess
-from ..session import fits_broadcast
 from .ids import assign_ids
 
 
@@ -163,30 +162,20 @@ def sort_products(listing: DataFrame, key: str, descending: bool = False) -> Dat
     return numbered.orderBy("position")
 
 
-def resolve_seller(
-    guesses: DataFrame, sellers: DataFrame, max_broadcast_rows: int = 10_000
-) -> DataFrame:
+def resolve_seller(guesses: DataFrame, sellers: DataFrame) -> DataFrame:
     """Best seller for every distinct ``guess``: exact slug, else loose match, shortest slug.
 
     A loose match is a slug containing the slugged guess or a name containing
-    the guess (both ignoring case, LIKE wildcards active). Sellers come from a
-    hand-kept registry; while they are few they are broadcast for the LIKE
-    test. A larger registry is joined on shared pieces of text instead.
+    the guess (both ignoring case, LIKE wildcards active), found by joining
+    on shared pieces of text.
     """
     wanted = guesses.select("guess").distinct()
     slugs = sellers.select("seller_id", "slug", F.col("name").alias("seller_name"))
-    slugged = seller_slug_guess(F.col("guess"))
-    loose = F.expr("slug ILIKE concat('%', slugged, '%') OR seller_name ILIKE concat('%', guess, '%')")
-    prepared = wanted.withColumn("slugged", slugged)
-
+    prepared = wanted.withColumn("slugged", seller_slug_guess(F.col("guess")))
     exact = prepared.join(slugs, F.col("guess") == F.col("slug")).select(
         "guess", F.lit(0).alias("priority"), "seller_id", "slug"
     )
-    if fits_broadcast(slugs, max_broadcast_rows):
-        matches = prepared.join(F.broadcast(slugs), loose)
-    else:
-        matches = _loose_by_pieces(prepared, slugs)
-    near = matches.select("guess", F.lit(1).alias("priority"), "seller_id", "slug")
+    near = _loose_by_pieces(prepared, slugs).select("guess", F.lit(1).alias("priority"), "seller_id", "slug")
     best = F.min(F.struct("priority", F.length("slug").alias("size"), "slug", "seller_id"))
     return (
         exact.unionByName(near)
@@ -204,7 +193,7 @@ def _pieces(text: Column, size: int) -> Column:
 
 
 def _loose_by_pieces(prepared: DataFrame, slugs: DataFrame) -> DataFrame:
-    """The loose match as equi-joins, for a registry too large to broadcast.
+    """The loose match as equi-joins.
 
     A guess can only match a text that holds any literal run of the guess, so
     each side joins on one such run: three letters where there are three, else
