@@ -10,14 +10,13 @@ that is checked. Where the items need more than one slice, each slice is one
 pass and the passes are put together by row.
 
 Defined cases: null or empty texts have no words and no hits; an item without
-words is ignored; a repeated item id counts once in a document, a repeated
+words or without an id is ignored; a repeated item id counts once in a document, a repeated
 document row is judged like any other; empty tables give empty or clean results.
 Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -220,10 +219,6 @@ def _cleaner(found, at: int, names: list[str], action: str) -> Callable:
     return run
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, ten words."""
     found = contamination(
