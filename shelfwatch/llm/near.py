@@ -48,6 +48,7 @@ BANDS = 25
 ROWS = 5
 REGISTERS = BANDS * ROWS
 TILE = 256
+VERIFY_ROWS = 128
 
 
 def shingles(words: W.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,9 +167,11 @@ def _verify(threshold: float):
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            left, right = (weighted_sets(batch.column(names.index(c))) for c in ("body_a", "body_b"))
-            keep = pa.array([similarity(x, y) >= threshold - 1e-12 for x, y in zip(left, right)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            for start in range(0, batch.num_rows, VERIFY_ROWS):
+                part = batch.slice(start, VERIFY_ROWS)
+                left, right = (weighted_sets(part.column(names.index(c))) for c in ("body_a", "body_b"))
+                keep = pa.array([similarity(x, y) >= threshold - 1e-12 for x, y in zip(left, right)], pa.bool_())
+                yield part.select(["a", "b"]).filter(keep)
 
     return run
 

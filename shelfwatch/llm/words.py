@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 2 << 20
+PIECE_ROWS = 1024
 KEPT_POWERS = 8 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 LETTERS = "alnum"  # [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z
@@ -93,12 +94,13 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
 
 def pieces(column, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) of runs of rows of about ``most`` bytes."""
-    data, offsets = texts_of(column)
-    row, rows = 0, len(offsets) - 1
-    while row < rows:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
-        yield row, stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
-        row = stop
+    for base in range(0, len(column), PIECE_ROWS):  # a copy of so many rows at a time, not of the batch
+        data, offsets = texts_of(column.slice(base, PIECE_ROWS))
+        row, rows = 0, len(offsets) - 1
+        while row < rows:
+            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+            yield base + row, base + stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
+            row = stop
 
 
 def split(data: np.ndarray, offsets: np.ndarray, kind: str) -> Words:
