@@ -118,6 +118,7 @@ def _judge(texts, found: Windows) -> dict[str, list]:
 
 def _mapper(found) -> Callable:
     def run(batches):
+        W.tidy()
         for batch in batches:
             judged = _judge(batch.column(batch.schema.names.index("body")), found.value)
             yield pa.RecordBatch.from_arrays(
@@ -194,6 +195,7 @@ def clean(
 
 def _cleaner(found, at: int, names: list[str], action: str) -> Callable:
     def run(batches):
+        W.tidy()
         for batch in batches:
             keep, texts = [], []
             for row, _, data, offsets in W.pieces(batch.column(at)):

@@ -112,6 +112,7 @@ def band_keys(holder: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches):
+    W.tidy()
     for batch in batches:
         keys, bytes_, sizes = [], [], []
         for _, _, data, offsets in W.pieces(batch.column(3)):
@@ -165,6 +166,7 @@ def weighted_sets(texts) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _verify(threshold: float):
     def run(batches):
+        W.tidy()
         for batch in batches:
             names = batch.schema.names
             for start in range(0, batch.num_rows, VERIFY_ROWS):

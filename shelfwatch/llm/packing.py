@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from shelfwatch.llm import words as W
 from shelfwatch.llm.numbering import number_within
 from shelfwatch.session import materialise
 
@@ -88,6 +89,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenise(path: str | None, capacity: int):
     def run(batches):
+        W.tidy()
         import public_tokenizers
 
         encode = encoder(path or public_tokenizers.path(TOKENIZER))
@@ -231,6 +233,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarr
 
 def _place(sent):
     def run(batches):
+        W.tidy()
         where = sent.value
         for batch in batches:
             length, rank = (np.asarray(batch.column(batch.schema.names.index(c))) for c in ("length", "rank"))

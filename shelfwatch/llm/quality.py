@@ -97,6 +97,7 @@ def training_labels(
 
 
 def _describe(batches):
+    W.tidy()
     for batch in batches:
         rows = table_of(batch.column(2))
         values = pa.ListArray.from_arrays(
@@ -124,6 +125,7 @@ def fit_quality(
 
 def _score(sent):
     def run(batches):
+        W.tidy()
         for batch in batches:
             score = sent.value.probability(table_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])

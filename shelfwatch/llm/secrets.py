@@ -36,6 +36,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from shelfwatch.llm import words as W
+
 KINDS = ["assign", "access", "hex", "github", "jwt", "iban", "card"]
 BASE = 3  # the first three kinds
 
@@ -153,6 +155,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _scan(batches):
+    W.tidy()
     for batch in batches:
         found = [spans(t or "") for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(

@@ -143,6 +143,7 @@ def _send_anchors(window: int, bits: int, slice_bits: int):
     block = (window + 1) // 2
 
     def run(table: pa.Table) -> pa.Table:
+        W.tidy()
         chunk = Chunk(table)
         place, value = chunk.anchors(window, bits)
         order, at, entry = distinct(value)
@@ -209,6 +210,7 @@ def _entries(chunk: Chunk, start: np.ndarray, window: int):
 
 def _send_windows(window: int, bits: int, slice_bits: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        W.tidy()
         rows, number = [], 0
         if table.num_rows and answers.num_rows:
             chunk, number = Chunk(table), table["chunk"][0].as_py()
@@ -246,6 +248,7 @@ def _meet_windows(table: pa.Table) -> pa.Table:
 
 def _finish(window: int, bits: int, kind: pa.DataType):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        W.tidy()
         out = {"id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "spans": []}
         if table.num_rows:
             chunk = Chunk(table)

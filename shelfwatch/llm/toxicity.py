@@ -85,6 +85,7 @@ def events(words: W.Words) -> list[np.ndarray]:
 
 def _gather(batches):
     """Counts of a whole task: event, the event before it, tokens of either class, documents."""
+    W.tidy()
     toxic, plain, seen_in = (np.zeros((LEVELS, WIDTH), np.int32) for _ in range(3))
     before = np.zeros((LEVELS, WIDTH), np.int32)
     for batch in batches:
@@ -161,6 +162,7 @@ def _sums(ratio: np.ndarray, column) -> tuple[np.ndarray, np.ndarray]:
 
 def _total(sent):
     def run(batches):
+        W.tidy()
         for batch in batches:
             total, count = _sums(unpack(sent.value), batch.column(2))
             yield pa.RecordBatch.from_arrays(
@@ -212,6 +214,7 @@ def fit_toxicity(
 
 def _score(sent):
     def run(batches):
+        W.tidy()
         for batch in batches:
             score = probability(*_sums(unpack(sent.value[0]), batch.column(1)), sent.value[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
@@ -232,6 +235,7 @@ def score_toxicity(
 
 def _keep(sent, at: int, threshold: float):
     def run(batches):
+        W.tidy()
         for batch in batches:
             score = probability(*_sums(unpack(sent.value[0]), batch.column(at)), sent.value[1])
             yield batch.filter(pa.array(score < threshold))

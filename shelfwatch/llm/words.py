@@ -6,6 +6,7 @@ the one longest text), never the table. A null text has no words.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -67,6 +68,15 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return got
 
 
+def tidy() -> None:
+    """Free what earlier tasks left in a worker that Spark uses again.
+
+    Functions reach the workers by value, each task's with tables of its own, and
+    these hang in reference cycles that numpy code rarely makes Python look for.
+    """
+    gc.collect()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
