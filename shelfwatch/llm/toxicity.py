@@ -15,7 +15,7 @@ that mixture and under the ordinary model, turned into a probability by a
 logistic curve that is fitted on labelled rows the counts have not seen.
 
 Events are kept in ``2 ** BITS`` hash buckets a level, so what is collected and
-broadcast is bounded at any size (14 MB of half floats by default, sent
+broadcast is bounded at any size (7 MB of half floats by default, sent
 compressed), while the rows that tasks send grow with the corpus. The class counts come from at most ``sample``
 labelled rows, those with the smallest hash of their id; that list of ids is
 broadcast, so texts never move.
@@ -42,7 +42,7 @@ from shelfwatch.llm.quality import fold_of, training_labels
 
 STEM = 6
 LEVELS = STEM + 1  # prefixes of 1 to STEM bytes, then the word
-BITS = 20
+BITS = 19
 WIDTH = 1 << BITS
 SAMPLE = 200_000
 DISCOUNT = 0.75

@@ -6,6 +6,7 @@ the one longest text), never the table. A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 PIECE_ROWS = 1024
 KEPT_POWERS = 8 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -75,6 +76,11 @@ def tidy() -> None:
     these hang in reference cycles that numpy code rarely makes Python look for.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)  # hand freed memory back, where the C library can
+    except (OSError, AttributeError):
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
