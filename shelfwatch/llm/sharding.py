@@ -12,9 +12,10 @@ At any table size the packing itself sees at most ``2 * shards * fine`` things:
   text, whole groups only, and the parcels are packed.
 
 So both lists fit the driver and a broadcast by proof, not by luck. The law is
-``bytes``: sizes near equal. The capacity is the least at which best fit needs
-no more than the given number of shards; a group heavier than its share of all
-bytes makes its shard larger, since groups are indivisible.
+``bytes``: sizes near equal. Since groups are indivisible, a group heavier than
+an equal share of all bytes has a shard of its own, the share then being that of
+the other groups in the other shards, until none exceeds it. For those others
+the capacity is the least at which best fit needs no more than the shards left.
 
 Defined cases: a null text is a group with the empty ones (0 bytes, plus 1);
 repeated rows are members of their group like any others; a null id is a value
@@ -88,7 +89,22 @@ def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None
 
 
 def least_capacity(sizes: list[int], shards: int) -> list[int]:
-    """The packing of ``sizes`` (falling) in at most ``shards`` bins of the least capacity."""
+    """The packing of ``sizes`` (falling) in at most ``shards`` bins.
+
+    A size above an equal share of what is left has a bin of its own, the share
+    being taken anew after each; the others go in the remaining bins at the
+    least capacity.
+    """
+    if not sizes:
+        return []
+    alone, left = 0, sum(sizes)
+    while shards - alone > 1 and alone < len(sizes) and sizes[alone] * (shards - alone) > left:
+        left -= sizes[alone]
+        alone += 1
+    return [*range(alone), *(alone + box for box in _least_capacity(sizes[alone:], shards - alone))]
+
+
+def _least_capacity(sizes: list[int], shards: int) -> list[int]:
     if not sizes:
         return []
     low = max(-(-sum(sizes) // shards), sizes[0])

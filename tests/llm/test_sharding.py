@@ -49,6 +49,29 @@ def test_no_more_shards_than_asked():
             assert max(load) - min(load) <= max(sizes)
 
 
+@pytest.mark.parametrize("heavy", [[0.07], [0.1], [0.2], [0.33], [0.33, 0.2, 0.1], [0.9]])
+def test_heavy_groups_leave_the_other_shards_equal(heavy):
+    rng = random.Random(3)
+    light = [rng.randint(50, 150) for _ in range(4000)]
+    rest = sum(light) / (1 - sum(heavy))
+    sizes = sorted([int(h * rest) for h in heavy] + light, reverse=True)
+    load = [0] * 16
+    for size, box in zip(sizes, least_capacity(sizes, 16)):
+        load[box] += size
+    assert sorted(load)[-len(heavy) :] == sorted(sizes[: len(heavy)])
+    others = sorted(load)[: -len(heavy)]
+    assert others[0] > 0 and others[-1] <= 1.02 * others[0]
+
+
+def test_a_third_of_all_rows_alike(awkward):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(20)) for _ in range(400)]
+    rows = list(enumerate(texts + ["copy " * 16] * 200))
+    got = shard(awkward(rows)).groupBy("shard").sum("size").collect()
+    load = sorted(r["sum(size)"] for r in got)
+    assert len(load) == 16 and load[-1] == 200 * 81 and load[-2] <= 1.15 * load[0]
+
+
 @pytest.mark.parametrize("fine", [2048, 2])
 def test_odd_documents(awkward, odd_rows, no_docs, fine):
     got = shard(awkward(odd_rows), shards=4, fine=fine).collect()
