@@ -14,11 +14,16 @@ text's score is the length-normalised difference of its log-likelihoods under
 that mixture and under the ordinary model, turned into a probability by a
 logistic curve that is fitted on labelled rows the counts have not seen.
 
-Events are kept in ``2 ** BITS`` hash buckets a level, so what is collected and
-broadcast is bounded at any size (7 MB of half floats by default, sent
-compressed), while the rows that tasks send grow with the corpus. The class counts come from at most ``sample``
-labelled rows, those with the smallest hash of their id; that list of ids is
-broadcast, so texts never move.
+Every event has its own 64-bit key of level and bytes and is counted by it: tasks
+send counts of their distinct events, Spark adds them up in a written table that
+grows with the corpus. The difference of an event that neither class has seen
+depends on the event before it alone (the shared counts cancel), and is 0 where
+neither class has seen that one, or where only one event can follow (a word that
+has ended). So scoring needs the events the labelled texts hold and those before
+them, no others, and is exact; these are collected level by level and broadcast,
+their number following the distinct events of at most ``sample`` labelled rows,
+those with the smallest hash of their id. That list of ids is broadcast, so
+texts never move.
 
 Defined cases: a null or empty text has no words and gets the curve's value for
 a difference of 0; of several labels for an id the largest counts, null labels
@@ -28,108 +33,135 @@ scored alike; a null id is not held out. Other columns are not looked at.
 
 from __future__ import annotations
 
-import zlib
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwatch.llm import words as W
 from shelfwatch.llm.quality import fold_of, training_labels
+from shelfwatch.session import materialise
 
 STEM = 6
 LEVELS = STEM + 1  # prefixes of 1 to STEM bytes, then the word
-BITS = 19
-WIDTH = 1 << BITS
+WIDTH = 1 << 20  # distinct events a task holds before it sends their counts
 SAMPLE = 200_000
 DISCOUNT = 0.75
 SHARE = 0.02
 THRESHOLD = 0.3
+COUNTS = ["event", "before", "level", "toxic", "plain", "documents"]
 TUNE_PARTS = 5  # one part of the labelled rows fits the curve, the others the counts
 
 
 class Model(NamedTuple):
-    ratio: np.ndarray  # (LEVELS, WIDTH) half-float log-likelihood difference of each event
+    ratio: np.ndarray  # log-likelihood difference of each event of the labelled texts
     curve: np.ndarray  # weights of (1, difference a word, difference a root of words)
+    event: np.ndarray  # sorted keys of these events
+    before: np.ndarray  # sorted keys of the events before them
+    other: np.ndarray  # difference of any other event after each of those
 
 
 def probability(total: np.ndarray, words: np.ndarray, curve: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(inputs(total, words) @ curve, -30, 30)))
 
 
-def pack(ratio: np.ndarray) -> bytes:
-    """The differences as compressed half floats, small enough to be sent again after a lost executor."""
-    return zlib.compress(ratio.tobytes(), 1)
-
-
-@lru_cache(maxsize=2)
-def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.float16).reshape(LEVELS, WIDTH)
-
-
 def inputs(total: np.ndarray, words: np.ndarray) -> np.ndarray:
     """What the curve sees: the difference for each word, and with the noise of short texts taken off."""
     n = np.maximum(words, 1)
     return np.column_stack([np.ones(len(n)), 10 * total / n, total / np.sqrt(n)])
 
 
-def events(words: W.Words) -> list[np.ndarray]:
-    """The bucket of each word's event at each level."""
-    down = np.uint64(64 - BITS)
-    prefixes = [words.hash_of(words.start, np.minimum(words.end, words.start + k)) for k in range(1, STEM + 1)]
-    return [(x >> down).astype(np.int64) for x in (*prefixes, words.hash)]
+def events(words: W.Words) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of each word among the distinct words, and the keys of these at each level."""
+    _, at, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    start, end = words.start[at], words.end[at]
+    levels = [words.hash_of(start, np.minimum(end, start + k)) for k in range(1, STEM + 1)] + [words.hash[at]]
+    return number, [W.mix(x + np.uint64((level + 1) * W.BASE % (1 << 64))) for level, x in enumerate(levels)]
+
+
+def _count(words: W.Words, kind: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Key, key before, level, tokens of either class and documents of the distinct events of some texts."""
+    number, levels = events(words)
+    n = len(levels[0])
+    length = np.zeros(n, np.int64)
+    length[number] = words.end - words.start
+    owner = words.owner()
+    of_class = [np.bincount(number[kind[owner] == one], minlength=n) for one in (1, 0)]
+    text, word = np.divmod(np.unique(owner * n + number), max(n, 1))
+    out = []
+    for level, keys in enumerate(levels):
+        open_ = length >= level  # an ended word has one way on
+        event, first, at = np.unique(keys[open_], return_index=True, return_inverse=True)
+        of_word = np.full(n, -1)
+        of_word[open_] = at
+        place = of_word[word]
+        seen = np.unique(text[place >= 0] * len(event) + place[place >= 0]) % max(len(event), 1)
+        out.append((
+            event, levels[level - 1][open_][first] if level else np.zeros(len(event), np.uint64),
+            np.full(len(event), level), *[np.bincount(at, c[open_], len(event)).astype(np.int64) for c in of_class],
+            np.bincount(seen, minlength=len(event)),
+        ))
+    return out
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The counts of equal events added up."""
+    event, before, level, *counts = [np.concatenate(c) for c in zip(*parts)]
+    event, first, at = np.unique(event, return_index=True, return_inverse=True)
+    return event, before[first], level[first], *[np.bincount(at, c, len(event)).astype(np.int64) for c in counts]
+
+
+def _sent(parts: list[tuple[np.ndarray, ...]]):
+    if parts:
+        event, before, *counts = _merged(parts)
+        columns = [event.view(np.int64), before.view(np.int64), *[c.astype(np.int32) for c in counts]]
+        for k in range(0, len(event), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], names=COUNTS)
 
 
 def _gather(batches):
-    """Counts of a whole task: event, the event before it, tokens of either class, documents."""
+    """Counts of the distinct events of a task."""
     W.tidy()
-    toxic, plain, seen_in = (np.zeros((LEVELS, WIDTH), np.int32) for _ in range(3))
-    before = np.zeros((LEVELS, WIDTH), np.int32)
+    parts: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         label = np.asarray(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
         for row, stop, data, offsets in W.pieces(batch.column(1)):
-            words = W.split(data, offsets, W.LETTERS)
-            owner = words.owner()
-            kind = label[row:stop][owner]
-            at = events(words)
-            for level, event in enumerate(at):
-                for counts, one in ((toxic, 1), (plain, 0)):
-                    if len(own := event[kind == one]):
-                        counts[level] += np.bincount(own, minlength=WIDTH).astype(np.int32)
-                pairs = np.sort((owner << BITS) | event)
-                new = np.ones(len(pairs), bool)
-                new[1:] = pairs[1:] != pairs[:-1]
-                seen_in[level] += np.bincount(pairs[new] & (WIDTH - 1), minlength=WIDTH).astype(np.int32)
-                if level:
-                    before[level][event] = at[level - 1]
-    for level in range(LEVELS):
-        seen = np.flatnonzero(seen_in[level])
-        for k in range(0, len(seen), 50_000):
-            part = seen[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((part + level * WIDTH).astype(np.int32)), pa.array(before[level][part]),
-                    pa.array(toxic[level][part]), pa.array(plain[level][part]), pa.array(seen_in[level][part]),
-                ],
-                names=["event", "before", "toxic", "plain", "documents"],
-            )
-
-
-def ratio_of(before: np.ndarray, toxic: np.ndarray, plain: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Log-likelihood difference of every event of a level given the one before it."""
-    sum_of = lambda x: np.bincount(before, x, WIDTH)[before]  # noqa: E731  over events with the same one before
-    context = documents + 1e-3  # an event that no text has
-    shared = context / sum_of(context)
-    out = np.zeros(WIDTH)
+            parts += _count(W.split(data, offsets, W.LETTERS), label[row:stop])
+            if sum(len(p[0]) for p in parts) > 1.5 * WIDTH:
+                parts = [_merged(parts)]
+                if len(parts[0][0]) > WIDTH:
+                    yield from _sent(parts)
+                    parts = []
+    yield from _sent(parts)
+
+
+def ratio_of(
+    before: np.ndarray, toxic: np.ndarray, plain: np.ndarray, documents: np.ndarray, around: np.ndarray | None = None
+) -> np.ndarray:
+    """Log-likelihood difference of every event of a level given the one before it, a number from 0 on.
+
+    ``around``: documents of all events after that one, if more than the given ones.
+    """
+    sum_of = lambda x: np.bincount(before, x)[before]  # noqa: E731  over events with the same one before
+    context = np.maximum(documents, 1e-3)  # an event that no text has
+    shared = context / (sum_of(context) if around is None else around)
+    out = np.zeros(len(before))
     for sign, counts in ((1, toxic.astype(float)), (-1, plain.astype(float))):
         total = sum_of(counts)
         free = np.maximum(sum_of(np.minimum(counts, DISCOUNT)), DISCOUNT)
         chance = (np.maximum(counts - DISCOUNT, 0) + free * shared) / np.maximum(total, DISCOUNT)
         out += sign * np.log(np.where(total > 0, chance, shared))
-    return np.clip(out, -60, 60).astype(np.float16)
+    return np.clip(out, -60, 60).astype(np.float32)
+
+
+def other_of(before: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """The difference of an event neither class has seen, for each event before it: all shared counts cancel."""
+    out = np.zeros(before.max(initial=-1) + 1)
+    for sign, counts in ((1, toxic.astype(float)), (-1, plain.astype(float))):
+        total, free = np.bincount(before, counts), np.bincount(before, np.minimum(counts, DISCOUNT))
+        out += sign * np.log(np.where(total > 0, free / np.maximum(total, DISCOUNT), 1))
+    return out.astype(np.float32)
 
 
 def fit_curve(x: np.ndarray, label: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
@@ -146,15 +178,33 @@ def fit_curve(x: np.ndarray, label: np.ndarray, penalty: float = 1e-2) -> np.nda
     return weights
 
 
-def _sums(ratio: np.ndarray, column) -> tuple[np.ndarray, np.ndarray]:
+def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each key asked for, 0 if there is none, and whether there is one."""
+    if not len(keys):
+        return np.zeros(len(asked)), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    there = keys[at] == asked
+    return np.where(there, values[at], 0.0), there
+
+
+def differences(model: Model, levels: list[np.ndarray]) -> np.ndarray:
+    """Log-likelihood difference of each distinct word."""
+    out = np.zeros(len(levels[0]))
+    for level, keys in enumerate(levels):
+        event, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        before = levels[level - 1][first] if level else np.zeros(len(event), np.uint64)
+        own, there = _find(model.event, model.ratio, event)
+        out += np.where(there, own, _find(model.before, model.other, before)[0])[at]
+    return out
+
+
+def _sums(model: Model, column) -> tuple[np.ndarray, np.ndarray]:
     """Summed difference and words of each text."""
     totals, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
     for _, _, data, offsets in W.pieces(column):
         words = W.split(data, offsets, W.LETTERS)
-        difference = np.zeros(len(words.start))
-        for level, event in enumerate(events(words)):
-            difference += ratio[level][event]
-        mixed = np.log1p(SHARE * np.expm1(np.minimum(difference, 30)))
+        number, levels = events(words)
+        mixed = np.log1p(SHARE * np.expm1(np.minimum(differences(model, levels), 30)))[number]
         totals.append(np.bincount(words.owner(), mixed, len(offsets) - 1))
         counts.append(np.diff(words.first))
     return np.concatenate(totals), np.concatenate(counts)
@@ -164,7 +214,7 @@ def _total(sent):
     def run(batches):
         W.tidy()
         for batch in batches:
-            total, count = _sums(unpack(sent.value), batch.column(2))
+            total, count = _sums(sent.value, batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(total), pa.array(count)], names=["id", "label", "total", "n"]
             )
@@ -172,6 +222,41 @@ def _total(sent):
     return run
 
 
+def count_events(texts: DataFrame) -> DataFrame:
+    """Counts of every event of the texts (label, body): key, key before, level, tokens of either class, documents."""
+    return (
+        texts.mapInArrow(_gather, "event bigint, before bigint, level int, toxic int, plain int, documents int")
+        .groupBy("event")
+        .agg(*[F.min(c).alias(c) for c in COUNTS[1:3]], *[F.sum(c).alias(c) for c in COUNTS[3:]])
+    )
+
+
+def _learn(counts: DataFrame) -> Model:
+    """The differences of the events that either class has, from the counts of all."""
+    around = counts.groupBy("before").agg(F.sum("documents").alias("around"))
+    own = materialise(counts.where("toxic + plain > 0").join(around, "before"), "class-events")
+    event, ratio, context, other = ([np.zeros(0, kind)] for kind in (np.uint64, np.float32, np.uint64, np.float32))
+    seen = np.zeros(2, np.int64)
+    for level in range(LEVELS):  # one at a time: the driver holds few full tables
+        found = own.where(F.col("level") == level).drop("level").toArrow()
+        column = {name: found[name].to_numpy() for name in found.column_names}
+        keys, before = np.unique(column["before"].view(np.uint64), return_inverse=True)
+        parts = (before, column["toxic"], column["plain"])
+        seen += [column["toxic"].sum(), column["plain"].sum()]
+        event.append(column["event"].view(np.uint64))
+        ratio.append(ratio_of(*parts, column["documents"], column["around"]))
+        context.append(keys)
+        other.append(other_of(*parts))
+    if not seen.all():
+        event, ratio, context, other = ([x[0]] for x in (event, ratio, context, other))
+    event, context = np.concatenate(event), np.concatenate(context)
+    by_event, by_context = np.argsort(event), np.argsort(context)
+    return Model(
+        np.concatenate(ratio)[by_event], np.array([-30.0, 0, 0]), event[by_event],
+        context[by_context], np.concatenate(other)[by_context],
+    )
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     label_id_col: str = "doc_id", folds: int = 4, held_out: int = 2, sample: int = SAMPLE,
@@ -182,41 +267,26 @@ def fit_toxicity(
     tune = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(TUNE_PARTS)) == 0
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     counted = texts.join(F.broadcast(chosen.where(~tune)), "id", "left").select("label", "body")
-    found = (
-        counted.mapInArrow(_gather, "event int, before int, toxic int, plain int, documents int")
-        .groupBy("event")
-        .agg(F.min("before").alias("before"), *[F.sum(c).alias(c) for c in ("toxic", "plain", "documents")])
-        .toArrow()
-    )
-    ratio = np.zeros((LEVELS, WIDTH), np.float16)
-    if not pc.sum(found["toxic"]).as_py() or not pc.sum(found["plain"]).as_py():
-        return Model(ratio, np.array([-30.0, 0, 0]))
-    event = found["event"].to_numpy()
-    columns = [found[name].to_numpy() for name in ("before", "toxic", "plain", "documents")]
-    for level in range(LEVELS):  # one at a time: the driver holds few full tables
-        rows = np.flatnonzero(event >> BITS == level)
-        full = [np.zeros(WIDTH, np.int64) for _ in columns]
-        for dense, column in zip(full, columns):
-            dense[event[rows] & (WIDTH - 1)] = column[rows]
-        ratio[level] = ratio_of(*full)
-    del found, event, columns
+    model = _learn(materialise(count_events(counted), "events"))
+    if not len(model.event):
+        return model
     kind = docs.schema[id_col].dataType.simpleString()
     sums = (
         texts.join(F.broadcast(chosen.where(tune)), "id").select("id", "label", "body")
-        .mapInArrow(_total(context.broadcast(pack(ratio))), f"id {kind}, label int, total double, n bigint")
+        .mapInArrow(_total(context.broadcast(model)), f"id {kind}, label int, total double, n bigint")
         .dropDuplicates(["id"]).toArrow().sort_by("id")
     )
     label = sums["label"].to_numpy().astype(float)
     if not len(label) or label.min() == label.max():  # too few to tune: even odds at a difference of 0
-        return Model(ratio, np.array([0.0, 1.0, 0.0]))
-    return Model(ratio, fit_curve(inputs(sums["total"].to_numpy(), sums["n"].to_numpy()), label))
+        return model._replace(curve=np.array([0.0, 1.0, 0.0]))
+    return model._replace(curve=fit_curve(inputs(sums["total"].to_numpy(), sums["n"].to_numpy()), label))
 
 
 def _score(sent):
     def run(batches):
         W.tidy()
         for batch in batches:
-            score = probability(*_sums(unpack(sent.value[0]), batch.column(1)), sent.value[1])
+            score = probability(*_sums(sent.value, batch.column(1)), sent.value.curve)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
 
     return run
@@ -226,7 +296,7 @@ def score_toxicity(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row per document: id, score (0 to 1) and predicted (1 if the score reaches the threshold)."""
-    sent = docs.sparkSession.sparkContext.broadcast((pack(model.ratio), model.curve))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     found = texts.mapInArrow(_score(sent), f"id {kind}, score double")
@@ -237,7 +307,7 @@ def _keep(sent, at: int, threshold: float):
     def run(batches):
         W.tidy()
         for batch in batches:
-            score = probability(*_sums(unpack(sent.value[0]), batch.column(at)), sent.value[1])
+            score = probability(*_sums(sent.value, batch.column(at)), sent.value.curve)
             yield batch.filter(pa.array(score < threshold))
 
     return run
@@ -247,7 +317,7 @@ def drop_toxic(
     docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast((pack(model.ratio), model.curve))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(sent, docs.columns.index(text_col), threshold), docs.schema)
 
 

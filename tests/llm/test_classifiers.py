@@ -114,3 +114,40 @@ def test_differences_follow_the_counts():
         share_t, share_p = toxic[own] / toxic[own].sum(), plain[own] / plain[own].sum()
         clear = np.abs(share_t - share_p) > 0.15
         assert (np.sign(ratio[own][clear]) == np.sign(share_t - share_p)[clear]).all()
+
+
+def test_every_event_has_counts_of_its_own(spark):
+    rng = np.random.default_rng(3)
+    words = [[f"{a}{rng.integers(10**6)}" for a in rng.choice(["ab", "xyz", "q", "longer"], 40)] for _ in range(400)]
+    words += [["ab", "ab1", "longer", "longer1", "a"]] * 3 + [[]]
+    label = rng.integers(-1, 2, len(words))
+    want = {}
+    for kind, text in zip(label, words):
+        done = set()
+        for w in text:
+            chain = [w[:k] for k in range(1, toxicity.STEM + 1)] + [w]
+            for level, x in enumerate(chain[: len(w) + 1]):
+                counts = want.setdefault((level, x, chain[level - 1] if level else ""), [0, 0, 0])
+                counts[0] += kind == 1
+                counts[1] += kind == 0
+                counts[2] += (level, x) not in done
+                done.add((level, x))
+    rows = [(int(k) if k >= 0 else None, " ".join(t)) for k, t in zip(label, words)]
+    texts = spark.createDataFrame(rows, "label int, body string").repartition(3)
+    got = toxicity.count_events(texts).collect()
+    assert len({r.event for r in got}) == len(got) == len(want)
+    by_level = lambda rows: sorted((level, *counts) for level, counts in rows)
+    assert by_level((r.level, (r.toxic, r.plain, r.documents)) for r in got) == by_level(
+        (level, tuple(counts)) for (level, _, _), counts in want.items()
+    )
+
+
+def test_unseen_events_need_no_counts():
+    before, documents = np.array([0, 0, 0, 1, 1]), np.array([4, 2, 9, 3, 1])
+    toxic, plain = np.array([3, 0, 0, 1, 0]), np.array([1, 2, 0, 0, 0])
+    full = toxicity.ratio_of(before, toxic, plain, documents)
+    around = np.bincount(before, documents)[before]
+    seen = toxic + plain > 0
+    parts = before[seen], toxic[seen], plain[seen]
+    assert toxicity.ratio_of(*parts, documents[seen], around[seen]) == pytest.approx(full[seen])
+    assert toxicity.other_of(*parts)[before[~seen]] == pytest.approx(full[~seen], abs=1e-6)
