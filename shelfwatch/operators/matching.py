@@ -23,6 +23,7 @@ _BY_NAME = ["seller_id", "name"]
 def _existing_ids(items: DataFrame, products: DataFrame) -> DataFrame:
     """Items with ``id_by_sku`` and ``id_by_name``; duplicate keys give the lowest id.
 
+    ``lacks_sku`` tells whether the product found by name has no sku yet.
     Items without a sku skip the sku join, so their null keys never gather in
     one task.
     """
@@ -32,7 +33,10 @@ def _existing_ids(items: DataFrame, products: DataFrame) -> DataFrame:
         .groupBy(*_BY_SKU)
         .agg(F.min("product_id").alias("id_by_sku"))
     )
-    name_ids = products.groupBy(*_BY_NAME).agg(F.min("product_id").alias("id_by_name"))
+    no_sku = blank_to_null(F.col("sku")).isNull()
+    name_ids = products.groupBy(*_BY_NAME).agg(
+        F.min("product_id").alias("id_by_name"), F.min_by(no_sku, "product_id").alias("lacks_sku")
+    )
     return _join_skus(cleaned, sku_ids).join(name_ids, _BY_NAME, "left")
 
 
@@ -49,20 +53,26 @@ def match_products(items: DataFrame, products: DataFrame) -> DataFrame:
     """
     return _existing_ids(items, products).withColumn(
         "product_id", F.coalesce("id_by_sku", "id_by_name")
-    ).drop("id_by_sku", "id_by_name")
+    ).drop("id_by_sku", "id_by_name", "lacks_sku")
 
 
-def founders(unmatched: DataFrame, order: list[str]) -> DataFrame:
-    """The items that found a new product, processing items in ``order``.
+def founders(known: DataFrame, order: list[str]) -> DataFrame:
+    """The items that found a new product or give one its missing sku, processing items in ``order``.
 
-    An item founds a product unless an earlier founder of the same seller has
-    its sku or its name. Each round settles every item that is first for both
-    its sku and its name, then drops all items those founders answer for. The
-    number of rounds is the longest chain of such dependencies, usually one or
-    two, and only distinct (seller, sku, name) keys take part.
+    An item founds a product unless an earlier one of the same seller holds its
+    sku or its name. An item that goes by name to a product without a sku fills
+    that sku (``fills``, with ``id_by_name`` if the product was known before) and
+    holds it from then on. Each round settles every item that is first for both
+    its sku and its name, then drops all items these answer for; a product
+    founded without a sku leaves the items of its name that have one. The number
+    of rounds is the longest chain of such dependencies, usually two or three,
+    and only distinct (seller, sku, name) keys take part.
     """
-    remaining = unmatched.groupBy("seller_id", "sku", "name").agg(
-        F.min(F.struct(*order)).alias("first_at")
+    acting = F.col("id_by_name").isNull() | (F.col("lacks_sku") & F.col("sku").isNotNull())
+    remaining = known.where(F.col("id_by_sku").isNull() & acting).groupBy("seller_id", "sku", "name").agg(
+        F.min(F.struct(*order)).alias("first_at"),
+        F.min("id_by_name").alias("id_by_name"),
+        F.min("id_by_name").isNotNull().alias("fills"),
     )
     remaining = materialise(remaining, "unmatched-keys")
     settled = None
@@ -79,28 +89,42 @@ def founders(unmatched: DataFrame, order: list[str]) -> DataFrame:
             .join(first_of_sku, _BY_SKU)
             .where("first_at = sku_first")
         )
-        columns = ["seller_id", "sku", "name", "first_at"]
+        columns = ["seller_id", "sku", "name", "first_at", "id_by_name", "fills"]
         new = with_sku.select(*columns).unionByName(
             leading.where(F.col("sku").isNull()).select(*columns)
         )
         new = materialise(new, "founders")
         settled = new if settled is None else settled.unionByName(new)
-        names = new.select(*_BY_NAME)
-        skus = new.where(F.col("sku").isNotNull()).select(*_BY_SKU)
-        left = remaining.join(names, _BY_NAME, "left_anti")
-        unanswered = left.where(F.col("sku").isNotNull()).join(skus, _BY_SKU, "left_anti")
-        without_sku = left.where(F.col("sku").isNull())
+        done = new.where(F.col("sku").isNotNull())
+        without = new.where(F.col("sku").isNull()).select(*_BY_NAME, F.lit(True).alias("founded"))
+        left = (
+            remaining.join(done.select(*_BY_NAME), _BY_NAME, "left_anti")
+            .join(without, _BY_NAME, "left")
+            .withColumn("fills", F.col("fills") | F.col("founded").isNotNull())
+            .select(*columns)
+        )
+        unanswered = left.where(F.col("sku").isNotNull()).join(
+            done.select(*_BY_SKU), _BY_SKU, "left_anti"
+        )
+        without_sku = left.where(F.col("sku").isNull() & ~F.col("fills"))
         remaining = materialise(unanswered.unionByName(without_sku), "unmatched-keys")
     return settled if settled is not None else remaining
 
 
-def _place(known: DataFrame, created: DataFrame, order: list[str]) -> DataFrame:
+def _place(known: DataFrame, created: DataFrame, fills: DataFrame, order: list[str]) -> DataFrame:
     """The product of every item, as of its turn.
 
-    A product created in this batch counts only from its founder on, so an item
-    may go by name although a later item founds a product with its sku.
+    A product created in this batch counts only from its founder on, and a sku
+    filled in this batch from the item that filled it, so an item may go by name
+    although a later item founds a product with its sku.
     """
-    sku_founders = created.where(F.col("sku").isNotNull()).select(
+    created_ids = created.select(*_BY_NAME, "product_id")
+    filled = fills.join(created_ids, _BY_NAME, "left").withColumn(
+        "product_id", F.coalesce("id_by_name", "product_id")
+    )
+    columns = [*_BY_SKU, "product_id", "first_at"]
+    holders = created.where(F.col("sku").isNotNull()).select(*columns).unionByName(filled.select(*columns))
+    sku_founders = holders.select(
         *_BY_SKU, F.col("product_id").alias("new_by_sku"), F.col("first_at").alias("sku_from")
     )
     name_founders = created.select(
@@ -119,7 +143,7 @@ def _place(known: DataFrame, created: DataFrame, order: list[str]) -> DataFrame:
                 F.when(F.col("name_from") <= at, F.col("new_by_name")),
             ),
         )
-        .drop("id_by_sku", "id_by_name", "new_by_sku", "new_by_name", "sku_from", "name_from")
+        .drop("id_by_sku", "id_by_name", "lacks_sku", "new_by_sku", "new_by_name", "sku_from", "name_from")
     )
 
 
@@ -129,15 +153,17 @@ def find_or_create(
     """(items with product ids, the whole product table after the batch).
 
     Existing rows keep their name; category and url follow the last item that
-    states them, and a missing sku is filled by the first item that has one.
+    states them, and a missing sku is filled by the first item that has one;
+    later items with that sku are the same product.
     Other product columns stay. With ``seen_at``, a time column of the items,
     ``last_seen_at`` moves on with every match and new products get both times.
     ``seen`` tells whether an item of the batch is the product.
     """
     known = _existing_ids(items, products)
-    unmatched = known.where(F.col("id_by_sku").isNull() & F.col("id_by_name").isNull())
-    created = assign_ids(founders(unmatched, order), products, "product_id", PRODUCT_KEY)
-    placed = _place(known, created, order)
+    settled = founders(known, order)
+    founded = settled.where(~F.col("fills")).drop("id_by_name", "fills")
+    created = assign_ids(founded, products, "product_id", PRODUCT_KEY)
+    placed = _place(known, created, settled.where("fills"), order)
 
     at = F.struct(*order)
     stated_category = blank_to_null(F.col("category"))
@@ -178,8 +204,8 @@ def find_or_create(
 def sku_conflicts(placed: DataFrame) -> DataFrame:
     """Skus of one seller that ended up on more than one product, for review.
 
-    This can only happen when an item would have filled in the missing sku of a
-    product found by name while another name carried the same sku.
+    This can only happen when an item went by name to a product that has another
+    sku, before an item of another name founded or filled a product with its sku.
     """
     return (
         placed.where(F.col("sku").isNotNull())

@@ -14,6 +14,9 @@ from .tables import OBSERVATION_ORDER, oracle, portable, view
 
 _FEED_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
 _ITEM_ORDER = ["crawl", "page_idx", "pos", "l_shipdate"]
+_CHAIN = [  # items about one known product n without a sku
+    (1, "A", "n"), (2, "A", "x"), (3, "B", "x"), (4, None, "y"), (5, "C", "y"), (6, "C", "z"), (7, "B", "n"), (8, "D", "n"),
+]
 _CSV_LINE = """concat_ws(',', sku, brand_num, category, '"' || name || '"', grade, season, price)"""
 
 
@@ -130,6 +133,26 @@ def product_upsert(spark, sf_dir):
     return after.withColumn("product_id", old_id)
 
 
+def product_upsert_chain(spark, sf_dir):
+    """The product of each item, where items fill skus and later ones of other names carry them."""
+    part = view(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    products = part.select(
+        F.col("p_partkey").cast("bigint").alias("product_id"), F.expr("p_partkey % 5").alias("seller_id"),
+        F.lit(None).cast("string").alias("sku"), F.concat(F.lit("n"), key).alias("name"),
+        F.lit("").alias("category"), F.lit("").alias("url"),
+    )
+    steps = spark.createDataFrame(_CHAIN, "step INT, sku STRING, name STRING")
+    items = products.drop("sku", "name").crossJoin(F.broadcast(steps)).select(
+        F.col("product_id").alias("p_partkey"), "step", "seller_id", "category", "url",
+        F.concat("sku", F.col("product_id").cast("string")).alias("sku"),
+        F.concat("name", F.col("product_id").cast("string")).alias("name"),
+    )
+    placed, after = M.find_or_create(items, products, ["step", "p_partkey"])
+    own = after.select("product_id", F.col("name").alias("product"), F.col("sku").alias("product_sku"))
+    return placed.join(own, "product_id").select("p_partkey", "step", "product", "product_sku")
+
+
 def promo_text(spark, sf_dir):
     lines = view(spark, sf_dir, "lineitem")
     price = (F.col("l_extendedprice") - 0).cast("decimal(12,2)")
@@ -266,8 +289,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_parse, feed_rejects, feed_unknown_brand, feed_new_products, feed_import, import_first_run,
-        feed_idempotent_append, observations_append, product_match, product_upsert, promo_text,
-        multipass_merge, new_items_per_page, new_links_per_page, price_context, recycled_pages,
+        feed_idempotent_append, observations_append, product_match, product_upsert, product_upsert_chain,
+        promo_text, multipass_merge, new_items_per_page, new_links_per_page, price_context, recycled_pages,
         pagination_stop, crawl_run_rollup, crawl_error_log, first_use_order, required_step_check,
         text_blocks,
     )
@@ -410,6 +433,11 @@ ORACLES = {
                    coalesce(new_url, url) AS url, is_new, news.product_id IS NOT NULL AS seen
             FROM every LEFT JOIN news ON news.product_id = every.product_id""",
     ),
+    "product_upsert_chain": """
+        SELECT p_partkey, step, product || CAST(p_partkey AS VARCHAR) AS product,
+               sku || CAST(p_partkey AS VARCHAR) AS product_sku
+        FROM part, (VALUES (1, 'n', 'A'), (2, 'n', 'A'), (3, 'x', 'B'), (4, 'y', 'C'), (5, 'y', 'C'),
+                           (6, 'y', 'C'), (7, 'x', 'B'), (8, 'n', 'A')) AS t(step, product, sku)""",
     "promo_text": """
         WITH p AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'Deal' ELSE '' END AS promo,
                           CASE WHEN l_discount > 0.02 THEN CAST(l_quantity AS DECIMAL(12,2)) END AS original,

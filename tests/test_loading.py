@@ -183,6 +183,39 @@ def test_find_or_create_equals_one_by_one(spark, seed):
     assert len({p for p, _ in pairs}) == len({a for _, a in pairs}) == len(pairs)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_filled_skus_hold_for_later_items(spark, seed):
+    rng = random.Random(seed)
+    items = [
+        {"seller": rng.randint(1, 2), "sku": rng.choice([None, *[f"s{k}" for k in range(9)]]),
+         "name": f"n{rng.randint(0, 11)}", "category": "", "url": f"u{i}", "at": i}
+        for i in range(60)
+    ]
+    items[:2] = [dict(items[0], seller=1, sku="s1", name="n1"), dict(items[1], seller=1, sku="s1", name="n2")]
+    existing = [
+        {"id": i, "seller": 1 + i % 2, "sku": None if i < 8 else f"s{i}", "name": f"n{i // 2 + 1}", "category": "", "url": ""}
+        for i in range(0, 10)
+    ]
+    want, assigned = one_by_one(items, existing)
+    items_df = spark.createDataFrame(
+        [(x["seller"], x["sku"], x["name"], x["category"], x["url"], x["at"]) for x in items],
+        "seller_id bigint, sku string, name string, category string, url string, at int",
+    )
+    products_df = spark.createDataFrame(
+        [(x["id"], x["seller"], x["sku"], x["name"], x["category"], x["url"]) for x in existing],
+        "product_id bigint, seller_id bigint, sku string, name string, category string, url string",
+    )
+    placed, after = M.find_or_create(items_df, products_df, ["at"])
+    got = sorted(placed.select("at", "product_id").collect())
+    assert got[0].product_id == got[1].product_id == 0
+    key = lambda p: (p[0], p[1] or "", *p[2:])
+    assert sorted([(r.seller_id, r.sku, r["name"], r.url) for r in after.collect()], key=key) == sorted(
+        [(p["seller"], p["sku"], p["name"], p["url"]) for p in want], key=key
+    )
+    pairs = {(r.product_id, a) for r, a in zip(got, assigned)}
+    assert len({p for p, _ in pairs}) == len({a for _, a in pairs}) == len(pairs)
+
+
 def test_find_or_create_fills_missing_values(spark):
     schema = "seller_id bigint, sku string, name string, category string, url string, at int"
     items = spark.createDataFrame(
