@@ -3,36 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ranking import top_n
-from ..functions.similarity import cosine_distance
-from ..session import fits_broadcast
 
 MAX_QUERY_VECTORS = 10_000
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(
+    items: DataFrame, queries: DataFrame, k: int, block: int = MAX_QUERY_VECTORS
+) -> DataFrame:
     """The ``k`` items of each query's seller with the smallest cosine distance.
 
     ``items``: development_id, seller_id, embedding. ``queries``: query_id,
     seller_id, embedding. A vector of no length has no distance and comes last.
 
-    Query vectors are few (checked): they go to every task, which keeps only
-    its k best items per query, so no item-query pairs are shuffled. Beyond the
-    limit the two sides are joined on the seller.
+    Query vectors go to every task in blocks of about ``block`` (one pass over
+    the items for each), and a task keeps only its k best items per query, so no
+    item-query pairs are joined or shuffled, whatever the number of queries.
     """
     nearest_first = [F.col("distance").asc_nulls_last(), F.col("development_id")]
-    if fits_broadcast(queries, MAX_QUERY_VECTORS):
-        scored = _best_per_batch(items, queries, k)
-    else:
-        asked = queries.select("query_id", "seller_id", F.col("embedding").alias("asked"))
-        distance = cosine_distance(F.col("embedding"), F.col("asked")).alias("distance")
-        scored = items.join(asked, "seller_id").select("query_id", "development_id", distance)
-    return top_n(scored, ["query_id"], nearest_first, k)
+    blocks = max(1, -(-queries.count() // block))
+    at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    scored = [_best_per_batch(items, queries.where(at == n), k) for n in range(blocks)]
+    return top_n(reduce(DataFrame.unionByName, scored), ["query_id"], nearest_first, k)
 
 
 def _best_per_batch(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -41,12 +39,13 @@ def _best_per_batch(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         seller: (part["query_id"].to_numpy(), _unit(np.vstack(part["embedding"].to_list())))
         for seller, part in asked.groupby("seller_id")
     }
+    sent = items.sparkSession.sparkContext.broadcast(by_seller)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for seller, rows in batch.groupby("seller_id"):
-                if seller in by_seller:
-                    ids, wanted = by_seller[seller]
+                if seller in sent.value:
+                    ids, wanted = sent.value[seller]
                     yield from _closest(rows, ids, wanted, k)
 
     columns = items.select("development_id", "seller_id", "embedding")

@@ -51,8 +51,17 @@ def vector_topk(spark, sf_dir):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+def vector_topk_hundredths(spark, sf_dir):
+    """Nearest news of the same seller for every row whose id is divisible by 100."""
+    items = view(spark, sf_dir, "developments").select("development_id", "seller_id", "embedding")
+    queries = items.where("development_id % 100 = 0").withColumnRenamed("development_id", "query_id")
+    found = V.nearest(items, queries, 5)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 QUERIES = {
-    f.__name__: f for f in (name_keywords, comparable_products, search_products, vector_topk)
+    f.__name__: f
+    for f in (name_keywords, comparable_products, search_products, vector_topk, vector_topk_hundredths)
 }
 
 _STOP = "'the','and','of','for','with','our','your','in','on','is','are'"
@@ -130,4 +139,15 @@ ORACLES = {
                   row_number() OVER (PARTITION BY query_id ORDER BY distance, development_id) AS rank_no
            FROM d QUALIFY rank_no <= 5""",
     ),
+    "vector_topk_hundredths": oracle(
+        ["developments"],
+        """WITH queries AS (SELECT seller_id, development_id AS query_id, embedding AS asked
+                            FROM developments WHERE development_id % 100 = 0),
+           d AS (SELECT query_id, development_id,
+                        list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(asked AS DOUBLE[])) AS distance
+                 FROM developments JOIN queries USING (seller_id))
+           SELECT query_id, development_id, round(distance, 6) AS distance,
+                  row_number() OVER (PARTITION BY query_id ORDER BY distance, development_id) AS rank_no
+           FROM d QUALIFY rank_no <= 5""",
+    ),
 }

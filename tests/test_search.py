@@ -103,3 +103,15 @@ def test_word_forms_match(spark):
         5,
     )
     assert [(r.product_id, r.rank_no) for r in got.orderBy("rank_no").collect()] == [(1, 1), (2, 2)]
+
+
+def test_query_vectors_go_in_blocks_without_a_pair_join(spark):
+    rng = random.Random(8)
+    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    items = spark.createDataFrame(rows, "development_id bigint, seller_id bigint, embedding array<float>")
+    queries = items.where("development_id % 4 = 0").withColumnRenamed("development_id", "query_id")
+    whole, blocks = V.nearest(items, queries, 5), V.nearest(items, queries, 5, block=7)
+    ranked = [sorted((r.query_id, r.rank_no, r.development_id) for r in found.collect()) for found in (whole, blocks)]
+    assert ranked[0] == ranked[1] and len(ranked[0]) == 30 * 5
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInPandas") == 5
