@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact", "decontamination", "secrets", "sharding", "packing", "quality", "toxicity", "licenses", "near", "substrings", "filter_audit", "repair"]
+MODULES = ["exact", "decontamination", "secrets", "sharding", "packing", "quality", "toxicity", "licenses", "near", "substrings", "filter_audit", "repair", "urls"]
 
 
 def all_queries():
