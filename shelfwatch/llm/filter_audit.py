@@ -2,8 +2,10 @@
 
 The files of a table are taken in as available-now micro-batches. A document's
 failures are five bits, A to E. A to D follow from its text; E, being a copy,
-changes as documents arrive. Every text is a key of a keyed state that holds
-the least id seen so far and the rows that carry it. A document with a larger id
+changes as documents arrive. A keyed state holds, for every text, the least id
+seen so far and the rows that carry it. Its keys are buckets of texts, one for
+each ``BUCKET_BYTES`` of files (about a hundred texts), as a call for each text
+would cost far more than the work on it. A document with a larger id
 fails E for good and goes straight to the counters. When a smaller id arrives,
 the state retracts the earlier least document's failures from the counter of its
 part and puts them back with E set. What a micro-batch changes is written under
@@ -15,9 +17,10 @@ orders are one product of matrices a part.
 
 Tasks reduce their rows before they are dealt out: of equal texts one row of each
 batch goes to the state, all others are counted where they are read. So a text
-that a third of all rows share costs its key one row a batch, and a part of any
-size at most 128 counters a batch. State is kept by Spark's RocksDB store in the
-checkpoint folder; a trigger touches the texts it reads, not those it knows.
+that a third of all rows share costs its bucket one row a batch, and a part of any
+size at most 128 counters a batch. State is kept in the checkpoint folder, by the
+store that the session names (RocksDB where it exceeds memory); a trigger writes
+the buckets it reads texts of.
 
 Defined cases: a null text is empty, a null part an empty string; a null id is
 no smaller id and has none, so such rows neither fail E nor make others fail;
@@ -29,14 +32,16 @@ equal when their SHA-256 is.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfwatch.session import scratch_path
 
@@ -47,7 +52,7 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 SIGNS = "[#$%&*|]"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 COUNTERS = "part string, mask int, good int, toxic int, n bigint"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKET_BYTES = 1 << 18  # of files for each bucket of texts
 
 
 def failures(text: Column) -> Column:
@@ -67,96 +72,86 @@ def failures(text: Column) -> Column:
     return F.transform(F.array(words), bits)[0]  # the words of a text are split once
 
 
-def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the rows with the batch's least id, keyed by the text; all others counted by part."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = batch.schema.names
-        rows = pa.Table.from_batches([batch]).group_by(names).aggregate([([], "count_all")])
-        least = rows.group_by("key").aggregate([("id", "min")])
-        rows = rows.join(least, "key").to_pandas(ignore_metadata=True, integer_object_nulls=True)
-        known = rows["id"].notna()
-        first = known & (rows["id"] == rows["id_min"])
-        rows["mask"] += np.where(known & ~first, COPY, 0)
-        rest = rows[~first].groupby(["part", "mask", "good", "toxic"], as_index=False)["count_all"].sum()
-        rest["key"] = "/" + rest["mask"].astype(str) + "/" + rest["part"]
-        rest["id"] = None
-        for part in (rows[first], rest):
-            if len(part):
-                part = part.rename(columns={"count_all": "n"})
-                yield pa.RecordBatch.from_pandas(
-                    part[[*names, "n"]], schema=batch.schema.append(pa.field("n", pa.int64())), preserve_index=False
-                )
-
-
-class LeastIds(StatefulProcessor):
-    """Text -> its least id and that document's rows by part; gives the changes of the counters."""
-
-    def __init__(self, id_type: T.DataType):
-        self.kind = T.StructType().add("id", id_type)
-        for name in ("mask", "good", "toxic"):
-            self.kind.add(name, T.IntegerType())
-        self.kind.add("parts", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.LongType()))
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.least = handle.getValueState("least", self.kind)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        change: Counter = Counter()
-        if key[0].startswith("/"):  # already decided
-            for r in rows:
-                change[r["part"], r["mask"], r["good"], r["toxic"]] += r["n"]
-        else:
-            self._text(rows, change)
-        for (part, mask, good, toxic), n in change.items():
-            if n:
-                yield Row(part=part, mask=mask, good=good, toxic=toxic, n=n)
-
-    def _text(self, rows, change: Counter) -> None:
-        held = self.least.get()
-        # id, failures and labels of the least document, its rows by part
-        least = held and (held[0], held[1:4], dict(zip(held[4], held[5])))
-        moved = False
-        for r in rows:
-            labels = (r["mask"], r["good"], r["toxic"])
-            if least and r["id"] > least[0]:
-                change[r["part"], r["mask"] | COPY, r["good"], r["toxic"]] += r["n"]
+def _reduced(buckets: int):
+    """Of each text the rows with the batch's least id, under the text's bucket; all others counted by part.
+
+    Ids are whole numbers or strings.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if least and r["id"] < least[0]:
-                mask, good, toxic = least[1]
-                for part, n in least[2].items():  # retract
-                    change[part, mask, good, toxic] -= n
-                    change[part, mask | COPY, good, toxic] += n
-                least = None
-            least = least or (r["id"], labels, {})
-            least[2][r["part"]] = least[2].get(r["part"], 0) + r["n"]
-            change[(r["part"], *labels)] += r["n"]
-            moved = True
-        if moved:
-            self.least.update((least[0], *least[1], list(least[2]), list(least[2].values())))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_files(spark: SparkSession, path: str, batches: int = BATCHES) -> DataFrame:
-    """The Parquet files of ``path`` as a stream of about ``batches`` triggers of equal bytes."""
+            names = batch.schema.names
+            rows = pa.Table.from_batches([batch]).group_by(names).aggregate([([], "count_all")])
+            least = rows.group_by("key").aggregate([("id", "min")])
+            rows = rows.join(least, "key").to_pandas(ignore_metadata=True, integer_object_nulls=True)
+            known = rows["id"].notna()
+            first = known & (rows["id"] == rows["id_min"])
+            rows["mask"] += np.where(known & ~first, COPY, 0)
+            rest = rows[~first].groupby(["part", "mask", "good", "toxic"], as_index=False)["count_all"].sum()
+            kind = batch.schema.field("id").type
+            rest["key"], rest["id"] = "", 0 if pa.types.is_integer(kind) else ""  # no nulls, so numbers stay whole
+            rest["bucket"] = [-1 - m - 32 * (zlib.crc32(p.encode()) % 64) for m, p in zip(rest["mask"], rest["part"])]
+            rows = rows[first]
+            rows = rows.assign(bucket=[int(k[:15], 16) % buckets for k in rows["key"]])
+            for part in (rows, rest):
+                if len(part):
+                    part = part.rename(columns={"count_all": "n"})[["bucket", *names, "n"]]
+                    schema = [("bucket", pa.int64()), *((f.name, f.type) for f in batch.schema), ("n", pa.int64())]
+                    yield pa.RecordBatch.from_pandas(part, schema=pa.schema(schema), preserve_index=False)
+
+    return run
+
+
+STATE = ["key", "id", "mask", "good", "toxic", "part", "n"]
+
+
+def _least_ids(bucket, frames, state):
+    """Texts of a bucket -> their least ids and those documents' rows by part; gives the changes of the counters."""
+    change: Counter = Counter()
+    known: dict[str, tuple] = {}  # text -> id, (mask, good, toxic), rows by part
+    if state.exists:
+        for key, i, mask, good, toxic, part, n in zip(*state.get):
+            known.setdefault(key, (i, (mask, good, toxic), {}))[2][part] = n
+    for frame in frames:
+        for key, i, mask, good, toxic, part, n in zip(*(frame[c].tolist() for c in STATE)):
+            labels = (mask, good, toxic)
+            least = known.get(key)
+            if not key:  # already decided
+                change[(part, *labels)] += n
+            elif least and i > least[0]:
+                change[part, mask | COPY, good, toxic] += n
+            else:
+                if least and i < least[0]:  # retract
+                    for old, m in least[2].items():
+                        change[(old, *least[1])] -= m
+                        change[old, least[1][0] | COPY, *least[1][1:]] += m
+                if not least or i < least[0]:
+                    known[key] = least = (i, labels, {})
+                least[2][part] = least[2].get(part, 0) + n
+                change[(part, *labels)] += n
+    if known:
+        held = [(k, i, *labels, part, n) for k, (i, labels, parts) in known.items() for part, n in parts.items()]
+        state.update(tuple(map(list, zip(*held))))
+    rows = [(*k, n) for k, n in change.items() if n]
+    yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
+
+
+def stream_files(spark: SparkSession, path: str, batches: int = BATCHES) -> tuple[DataFrame, int]:
+    """The Parquet files of ``path`` as a stream of about ``batches`` triggers of equal bytes, and all their bytes."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     total = files.getContentSummary(folder).getLength()
     schema = spark.read.parquet(path).schema
     if files.getFileStatus(folder).isFile():  # a stream takes folders and patterns, so a pattern of this one file
         path = f"{path[:-1]}[{path[-1]}]"
-    return (
-        spark.readStream.schema(schema)
-        .option("maxBytesPerTrigger", str(max(1, -(-total // batches))))
-        .parquet(path)
-    )
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max(1, -(-total // batches))))
+    return stream.parquet(path), total
 
 
 def changes(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
+    docs: DataFrame, labels: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
     label_id_col: str = "doc_id",
 ) -> DataFrame:
     """Changes of the counters (part, mask, good, toxic, n) that the documents of a stream bring."""
@@ -172,37 +167,27 @@ def changes(
     )
     flags = [F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")]
     rows = rows.join(known, rows["id"] == known["label_id"], "left").select("key", "id", "part", "mask", *flags)
-    schema = f"key string, id {kind.simpleString()}, part string, mask int, good int, toxic int, n bigint"
-    return (
-        rows.mapInArrow(_reduced, schema)
-        .groupBy("key")
-        .transformWithState(LeastIds(kind), T._parse_datatype_string(COUNTERS), "append", "none")
-    )
+    name = kind.simpleString()
+    schema = f"bucket bigint, key string, id {name}, part string, mask int, good int, toxic int, n bigint"
+    types = ["string", name, "int", "int", "int", "string", "bigint"]
+    held = ", ".join(f"{c} array<{t}>" for c, t in zip(STATE, types))
+    keyed = rows.mapInArrow(_reduced(buckets), schema).groupBy("bucket")
+    return keyed.applyInPandasWithState(_least_ids, COUNTERS, held, "append", GroupStateTimeout.NoTimeout)
 
 
-def count_failures(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
-    """Run a stream of documents to its present end and add up the changes: rows by part, failures and labels."""
-    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "filter-audit")
-    asked = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKS,
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    }
-    before = {key: spark.conf.get(key, None) for key in asked}
+def count_failures(docs: DataFrame, labels: DataFrame, size: int, **columns: str) -> DataFrame:
+    """Run a stream of documents, ``size`` bytes of files, to its present end and add up the changes.
 
+    Gives rows by part, failures and labels.
+    """
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "filter-audit")
     def write(batch: DataFrame, number: int) -> None:
         summed = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
         summed.write.mode("overwrite").parquet(f"{path}/counters/batch={number}")
 
     write(spark.createDataFrame([], COUNTERS), -1)  # so that an empty table has counters
-    try:
-        for key, value in asked.items():
-            spark.conf.set(key, value)
-        stream = changes(docs, labels, **columns).writeStream.foreachBatch(write)
-        query = stream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    stream = changes(docs, labels, 1 + size // BUCKET_BYTES, **columns).writeStream.foreachBatch(write)
+    stream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     counters = spark.read.schema(f"{COUNTERS}, batch int").parquet(f"{path}/counters")
     return counters.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n != 0")
 
@@ -253,8 +238,8 @@ def audit(counts: DataFrame) -> DataFrame:
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by source, with the labels of quality and toxicity."""
-    docs = stream_files(spark, f"{sf_dir}/documents.parquet")
-    return audit(count_failures(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    docs, size = stream_files(spark, f"{sf_dir}/documents.parquet")
+    return audit(count_failures(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), size))
 
 
 QUERIES = {"op13_filter_audit": op13_filter_audit}

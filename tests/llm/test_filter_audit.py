@@ -62,9 +62,9 @@ def run(spark, files, labels, batches):
     for rows in files:
         full = [(*r, "x", 1, 2, "y") for r in rows]
         spark.createDataFrame(full, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
-    stream = filter_audit.stream_files(spark, folder, batches)
+    stream, size = filter_audit.stream_files(spark, folder, batches)
     table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    counts = filter_audit.count_failures(stream, table)
+    counts = filter_audit.count_failures(stream, table, size * 40)
     rows = filter_audit.audit(counts).collect()
     names = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
     return {(r.part, r.filter_order, r.step): [r[c] for c in names] for r in rows}
