@@ -32,6 +32,7 @@ equal when their SHA-256 is.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ from itertools import permutations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfwatch.session import scratch_path
@@ -48,28 +49,35 @@ from shelfwatch.session import scratch_path
 FILTERS = "ABCDE"
 COPY = 16  # the bit of E
 BATCHES = 4
-SPACES = "[\\x20\\x09-\\x0D]+"
-SIGNS = "[#$%&*|]"
+SIGNS = b"#$%&*|"
+NO_CAPITALS = bytes(c for c in range(256) if not 65 <= c <= 90)
+CONTINUED = bytes(range(128, 192))  # bytes that do not begin a code point
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 COUNTERS = "part string, mask int, good int, toxic int, n bigint"
 BUCKET_BYTES = 1 << 18  # of files for each bucket of texts
 
 
-def failures(text: Column) -> Column:
-    """The bits of A to D that a text without nulls fails."""
-    words = F.filter(F.split(text, SPACES), lambda w: w != "")
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+def failures(text: bytes) -> int:
+    """The bits of A to D that a text in UTF-8 fails."""
+    words = text.split()  # of bytes: at the six blanks of ASCII
+    tests = [
+        len(words) < LEAST_WORDS,
+        len(set(words)) * 100 < len(words) * LEAST_DISTINCT,
+        len(text.translate(None, NO_CAPITALS)) * 100 > len(text.translate(None, CONTINUED)) * MOST_CAPITALS,
+        len(text.translate(None, SIGNS)) < len(text),
+    ]
+    return sum(1 << k for k, failed in enumerate(tests) if failed)
 
-    def bits(found: Column) -> Column:
-        tests = [
-            F.size(found) < LEAST_WORDS,
-            F.size(F.array_distinct(found)) * 100 < F.size(found) * LEAST_DISTINCT,
-            capitals * 100 > F.length(text) * MOST_CAPITALS,
-            text.rlike(SIGNS),
-        ]
-        return sum((F.when(t, 1 << k).otherwise(0) for k, t in enumerate(tests)), F.lit(0))
 
-    return F.transform(F.array(words), bits)[0]  # the words of a text are split once
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and failures of the texts in the last column."""
+    for batch in batches:
+        for k in range(0, max(batch.num_rows, 1), 256):  # a copy of so many texts at a time
+            rows = batch.slice(k, 256)
+            texts = [t or b"" for t in rows.column(2).cast(pa.binary()).to_pylist()]
+            found = pa.array([failures(t) for t in texts], pa.int32())
+            keys = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, rows.column(0), rows.column(1), found], names=["key", "id", "part", "mask"])
 
 
 def _reduced(buckets: int):
@@ -155,19 +163,17 @@ def changes(
     label_id_col: str = "doc_id",
 ) -> DataFrame:
     """Changes of the counters (part, mask, good, toxic, n) that the documents of a stream bring."""
-    text, kind = F.coalesce(F.col(text_col), F.lit("")), docs.schema[id_col].dataType
+    name = docs.schema[id_col].dataType.simpleString()
     one = {
         name: F.coalesce(F.max(F.when(F.col(column) == 1, 1)), F.lit(0)).alias(name)
         for name, column in (("good", "quality"), ("toxic", "toxic"))
     }
     known = labels.groupBy(F.col(label_id_col).alias("label_id")).agg(*one.values())
     rows = docs.select(
-        F.sha2(text, 256).alias("key"), F.col(id_col).alias("id"),
-        F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"),
-    )
+        F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).alias("text")
+    ).mapInArrow(_read, f"key string, id {name}, part string, mask int")
     flags = [F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")]
     rows = rows.join(known, rows["id"] == known["label_id"], "left").select("key", "id", "part", "mask", *flags)
-    name = kind.simpleString()
     schema = f"bucket bigint, key string, id {name}, part string, mask int, good int, toxic int, n bigint"
     types = ["string", name, "int", "int", "int", "string", "bigint"]
     held = ", ".join(f"{c} array<{t}>" for c, t in zip(STATE, types))
