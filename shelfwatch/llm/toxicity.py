@@ -1,12 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
-A word is read as a chain of events: its first byte, its first two bytes, ...,
-its first ``STEM`` bytes, the whole word, each given the one before. Each class
-has a model of this chain with absolute discounting. What the discount sets free
-goes to continuation counts, the number of documents (contexts) an event occurs
-in, which both classes share and which are gathered from all documents, labelled
-or not. So a rare expression that neither class has seen says little, one that
-only one class uses says much, and a new form of a known stem is recognised.
+Each class, toxic and plain, has a model of words given the word before:
+
+- pairs of words with absolute discounting; what the discount sets free goes to
+- the class's own words, spelt in steps (their first 4 bytes, first 6 bytes, the
+  whole word, each given the step before), so a new form of a known stem is
+  recognised; what discounting sets free there goes to
+- Kneser-Ney's continuation counts, which both classes share: the number of
+  distinct words that stand before a word, over all documents, labelled or not.
+
+So a rare expression that neither class has seen says little, one that only one
+class uses says much, and two harmless words may make a toxic pair.
 
 A toxic text is mostly ordinary words, so it is taken as a mixture: a ``SHARE``
 of its words comes from the toxic model, the others from the ordinary one. A
@@ -14,21 +18,27 @@ text's score is the length-normalised difference of its log-likelihoods under
 that mixture and under the ordinary model, turned into a probability by a
 logistic curve that is fitted on labelled rows the counts have not seen.
 
-Every event has its own 64-bit key of level and bytes and is counted by it: tasks
-send counts of their distinct events, Spark adds them up in a written table that
-grows with the corpus. The difference of an event that neither class has seen
-depends on the event before it alone (the shared counts cancel), and is 0 where
-neither class has seen that one, or where only one event can follow (a word that
-has ended). So scoring needs the events the labelled texts hold and those before
-them, no others, and is exact; these are collected level by level and broadcast,
-their number following the distinct events of at most ``sample`` labelled rows,
-those with the smallest hash of their id. That list of ids is broadcast, so
-texts never move.
+The continuation counts need every distinct pair of words of the corpus. A task
+sends each pair it has once, packed by word in blobs for units of words and of a
+quarter of the words before, so a word that stands everywhere is many tasks' work;
+the units take out the pairs that several tasks sent and count the rest. This
+grows with the corpus and stays in Spark. What is broadcast follows from the
+class counts, at most ``sample`` labelled rows (those with the smallest hash of
+their id): the steps that these rows hold, collected a step at a time, and the
+pairs that follow at least ``CUTOFF`` distinct words in toxic rows (so a passage
+that is copied around makes no expression), raised until at most ``PAIRS`` stay,
+if they follow their first word more often in one class than chance explains.
+For a step that neither class has
+seen the difference follows from the step before alone, as the shared counts
+cancel, so scoring with these is exact.
+
+Words are known by 64-bit hashes, the words before in pairs of the corpus by 32.
 
 Defined cases: a null or empty text has no words and gets the curve's value for
 a difference of 0; of several labels for an id the largest counts, null labels
 are ignored; without labels of both classes every score is 0; repeated rows are
-scored alike; a null id is not held out. Other columns are not looked at.
+scored alike; rows that repeat a labelled id with other texts all count, and tune
+the curve by their sums; a null id is not held out. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -43,23 +53,29 @@ from shelfwatch.llm import words as W
 from shelfwatch.llm.quality import fold_of, training_labels
 from shelfwatch.session import materialise
 
-STEM = 6
-LEVELS = STEM + 1  # prefixes of 1 to STEM bytes, then the word
-WIDTH = 1 << 20  # distinct events a task holds before it sends their counts
+STEPS = (4, 6)  # bytes of a word's beginnings; the whole word follows
+LEVELS = len(STEPS) + 1
+WIDTH = 1 << 20  # distinct pairs a task holds before it sends them
 SAMPLE = 200_000
 DISCOUNT = 0.75
+CUTOFF, PAIRS, SIGMAS = 6, 1 << 22, 4
 SHARE = 0.02
 THRESHOLD = 0.3
-COUNTS = ["event", "before", "level", "toxic", "plain", "documents"]
 TUNE_PARTS = 5  # one part of the labelled rows fits the curve, the others the counts
+FIRST = np.uint64(0x5851F42D4C957F2D)  # stands for the word before a text's first
+ROOT = np.uint64(0)
 
 
 class Model(NamedTuple):
-    ratio: np.ndarray  # log-likelihood difference of each event of the labelled texts
     curve: np.ndarray  # weights of (1, difference a word, difference a root of words)
-    event: np.ndarray  # sorted keys of these events
-    before: np.ndarray  # sorted keys of the events before them
-    other: np.ndarray  # difference of any other event after each of those
+    event: list[np.ndarray]  # for each step: sorted keys that the labelled texts hold
+    ratio: list[np.ndarray]  # log-likelihood difference of each given the step before
+    before: list[np.ndarray]  # sorted keys of the steps before them
+    other: list[np.ndarray]  # difference of any other step after each of those
+    pair: np.ndarray  # sorted keys of the kept pairs
+    pair_ratio: np.ndarray
+    context: np.ndarray  # sorted words before that have kept pairs
+    context_ratio: np.ndarray  # difference of what these leave to other words
 
 
 def probability(total: np.ndarray, words: np.ndarray, curve: np.ndarray) -> np.ndarray:
@@ -72,87 +88,215 @@ def inputs(total: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(n)), 10 * total / n, total / np.sqrt(n)])
 
 
-def events(words: W.Words) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The number of each word among the distinct words, and the keys of these at each level."""
-    _, at, number = np.unique(words.hash, return_index=True, return_inverse=True)
+class Distinct(NamedTuple):
+    """The distinct words of some texts."""
+
+    hash: np.ndarray
+    stem: np.ndarray  # first six bytes as a number, the first byte lowest
+    number: np.ndarray  # of each token: its word
+    previous: np.ndarray  # of each token: hash of the word before
+
+
+def distinct(words: W.Words) -> Distinct:
+    hashes, at, number = np.unique(words.hash, return_index=True, return_inverse=True)
     start, end = words.start[at], words.end[at]
-    levels = [words.hash_of(start, np.minimum(end, start + k)) for k in range(1, STEM + 1)] + [words.hash[at]]
-    return number, [W.mix(x + np.uint64((level + 1) * W.BASE % (1 << 64))) for level, x in enumerate(levels)]
-
-
-def _count(words: W.Words, kind: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Key, key before, level, tokens of either class and documents of the distinct events of some texts."""
-    number, levels = events(words)
-    n = len(levels[0])
-    length = np.zeros(n, np.int64)
-    length[number] = words.end - words.start
-    owner = words.owner()
-    of_class = [np.bincount(number[kind[owner] == one], minlength=n) for one in (1, 0)]
-    text, word = np.divmod(np.unique(owner * n + number), max(n, 1))
-    out = []
-    for level, keys in enumerate(levels):
-        open_ = length >= level  # an ended word has one way on
-        event, first, at = np.unique(keys[open_], return_index=True, return_inverse=True)
-        of_word = np.full(n, -1)
-        of_word[open_] = at
-        place = of_word[word]
-        seen = np.unique(text[place >= 0] * len(event) + place[place >= 0]) % max(len(event), 1)
-        out.append((
-            event, levels[level - 1][open_][first] if level else np.zeros(len(event), np.uint64),
-            np.full(len(event), level), *[np.bincount(at, c[open_], len(event)).astype(np.int64) for c in of_class],
-            np.bincount(seen, minlength=len(event)),
-        ))
-    return out
+    stem = np.zeros(len(at), np.uint64)
+    for k in range(STEPS[-1]):
+        byte = words.data[np.minimum(start + k, len(words.data) - 1)].astype(np.uint64)
+        stem |= np.where(start + k < end, byte, 0).astype(np.uint64) << np.uint64(8 * k)
+    previous = np.concatenate([[FIRST], words.hash[:-1]]).astype(np.uint64)[: len(words.hash)]
+    begins = words.first[:-1][np.diff(words.first) > 0]
+    previous[begins] = FIRST
+    return Distinct(hashes, stem, number, previous)
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """The counts of equal events added up."""
-    event, before, level, *counts = [np.concatenate(c) for c in zip(*parts)]
-    event, first, at = np.unique(event, return_index=True, return_inverse=True)
-    return event, before[first], level[first], *[np.bincount(at, c, len(event)).astype(np.int64) for c in counts]
+def steps_of(hashes: np.ndarray, stem: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each step of each word: its key, the key before, and whether the word had not ended before."""
+    keys = [stem & np.uint64((1 << (8 * k)) - 1) for k in STEPS] + [hashes]
+    befores = [np.zeros(len(stem), np.uint64), *keys[:-1]]
+    open_ = [np.ones(len(stem), bool)] + [stem >> np.uint64(8 * (k - 1)) > 0 for k in STEPS]
+    return list(zip(keys, befores, open_))
+
+
+def pair_key(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return W.mix(previous * np.uint64(W.BASE) + word)
+
 
+# --- counts -----------------------------------------------------------------
 
-def _sent(parts: list[tuple[np.ndarray, ...]]):
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Words with stem and tokens of both classes, and distinct codes (number of the word, short hash before)."""
+    hashes, stems, toxic, plain = (np.concatenate(c) for c in list(zip(*parts))[:4])
+    hashes, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    codes, done = [], 0
+    for p in parts:
+        place = at[done : done + len(p[0])].astype(np.uint64)
+        codes.append(place[(p[4] >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | p[4] & np.uint64(0xFFFFFFFF))
+        done += len(p[0])
+    sums = [np.bincount(at, c, len(hashes)).astype(np.int64) for c in (toxic, plain)]
+    return hashes, stems[first], *sums, np.unique(np.concatenate(codes))
+
+
+def _blobs(merged: tuple[np.ndarray, ...], units: int):
+    """Rows (unit, words, stems, tokens of both classes, number of words before, these) of a task's words."""
+    hashes, stems, toxic, plain, codes = merged
+    number, before = (codes >> np.uint64(32)).astype(np.int64), codes & np.uint64(0xFFFFFFFF)
+    unit = (hashes[number] % np.uint64(units)).astype(np.int64) * 4 + (before >> np.uint64(30)).astype(np.int64)
+    order = np.lexsort((codes, unit))
+    unit, number, before = unit[order], number[order], before[order].astype(np.uint32)
+    new = np.flatnonzero((np.diff(unit, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
+    size = np.diff(np.append(new, len(unit)))
+    word, at = number[new], unit[new]
+    # tokens are counted with the first unit that has the word
+    once = np.zeros(len(word), bool)
+    once[np.unique(word, return_index=True)[1]] = True
+    columns = [hashes[word], stems[word], np.where(once, toxic[word], 0), np.where(once, plain[word], 0), size]
+    edges = np.flatnonzero(np.diff(at, prepend=-1))
+    for a, b in zip(edges, np.append(edges[1:], len(at))):
+        low = new[a]
+        high = new[b] if b < len(new) else len(before)
+        yield (int(at[a]), *[c[a:b].astype(np.int64).tobytes() for c in columns], before[low:high].tobytes())
+
+
+BLOBS = "unit bigint, words binary, stems binary, toxic binary, plain binary, sizes binary, before binary"
+
+
+def _sent(parts, units: int):
     if parts:
-        event, before, *counts = _merged(parts)
-        columns = [event.view(np.int64), before.view(np.int64), *[c.astype(np.int32) for c in counts]]
-        for k in range(0, len(event), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], names=COUNTS)
+        names = [c.split()[0] for c in BLOBS.split(", ")]
+        rows = list(_blobs(_merged(parts), units))
+        for k in range(0, len(rows), 64):
+            columns = list(zip(*rows[k : k + 64]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names
+            )
+
 
+def _gather(units: int):
+    """Distinct pairs of words of a task, and its words' tokens in labelled texts."""
 
-def _gather(batches):
-    """Counts of the distinct events of a task."""
+    def run(batches):
+        W.tidy()
+        parts: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            label = np.asarray(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
+            for row, stop, data, offsets in W.pieces(batch.column(1)):
+                words = W.split(data, offsets, W.LETTERS)
+                if not len(words.hash):
+                    continue
+                found, kind = distinct(words), label[row:stop][words.owner()]
+                sums = [np.bincount(found.number[kind == one], minlength=len(found.hash)) for one in (1, 0)]
+                codes = found.number.astype(np.uint64) << np.uint64(32) | W.mix(found.previous) >> np.uint64(32)
+                parts.append((found.hash, found.stem, *sums, np.unique(codes)))
+                if sum(len(p[4]) for p in parts) > 1.25 * WIDTH:
+                    parts = [_merged(parts)]
+                    if len(parts[0][4]) > WIDTH:
+                        yield from _sent(parts, units)
+                        parts = []
+        yield from _sent(parts, units)
+
+    return run
+
+
+WORDS = "word bigint, stem bigint, toxic bigint, plain bigint, contexts bigint"
+
+
+def _united(batches):
+    """What is left of a partition's blobs: distinct pairs counted by word."""
     W.tidy()
     parts: list[tuple[np.ndarray, ...]] = []
+
+    def rows(merged):
+        hashes, stems, toxic, plain, codes = merged
+        contexts = np.bincount((codes >> np.uint64(32)).astype(np.int64), minlength=len(hashes))
+        columns = [hashes.view(np.int64), stems.view(np.int64), toxic, plain, contexts.astype(np.int64)]
+        for k in range(0, len(hashes), 50_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[k : k + 50_000]) for c in columns], names=[c.split()[0] for c in WORDS.split(", ")]
+            )
+
     for batch in batches:
-        label = np.asarray(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
-        for row, stop, data, offsets in W.pieces(batch.column(1)):
-            parts += _count(W.split(data, offsets, W.LETTERS), label[row:stop])
-            if sum(len(p[0]) for p in parts) > 1.5 * WIDTH:
+        for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            hashes, stems, toxic, plain, sizes = (np.frombuffer(x, np.int64) for x in row[:5])
+            number = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            codes = number << np.uint64(32) | np.frombuffer(row[5], np.uint32).astype(np.uint64)
+            parts.append((hashes.view(np.uint64), stems.view(np.uint64), toxic, plain, codes))
+            if sum(len(p[4]) for p in parts) > max(WIDTH, 2 * len(parts[0][4])):
                 parts = [_merged(parts)]
-                if len(parts[0][0]) > WIDTH:
-                    yield from _sent(parts)
-                    parts = []
-    yield from _sent(parts)
+    if parts:
+        yield from rows(_merged(parts))
+
 
+def count_words(texts: DataFrame) -> DataFrame:
+    """Of every word of the texts (label, body): stem, tokens of either class, distinct words before it."""
+    units = max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = [F.sum(c).alias(c) for c in ("toxic", "plain", "contexts")]
+    sent = texts.mapInArrow(_gather(units), BLOBS).repartition("unit")
+    return sent.mapInArrow(_united, WORDS).groupBy("word").agg(F.min("stem").alias("stem"), *sums)
+
+
+def _pairs_of(column):
+    """Pairs (word before, word) of the texts, piece by piece, with their keys and the word before the pair."""
+    for _, _, data, offsets in W.pieces(column):
+        words = W.split(data, offsets, W.LETTERS)
+        if len(words.hash):
+            found = distinct(words)
+            second = found.previous != FIRST
+            ahead = np.where(second, np.concatenate([[FIRST], found.previous[:-1]]), FIRST).astype(np.uint64)
+            yield pair_key(found.previous, words.hash), found.previous, words.hash, found.stem[found.number], ahead
+
+
+PAIR = ["pair", "previous", "word", "stem", "ahead"]
+
+
+def _count_pairs(batches):
+    W.tidy()
+    for batch in batches:
+        for columns in _pairs_of(batch.column(0)):
+            _, at = np.unique(pair_key(columns[4], columns[0]), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)) for c in columns], names=PAIR)
 
-def ratio_of(
-    before: np.ndarray, toxic: np.ndarray, plain: np.ndarray, documents: np.ndarray, around: np.ndarray | None = None
-) -> np.ndarray:
-    """Log-likelihood difference of every event of a level given the one before it, a number from 0 on.
 
-    ``around``: documents of all events after that one, if more than the given ones.
+def _count_known(sent):
+    """Tokens of known pairs and of the words before them."""
+
+    def run(batches):
+        W.tidy()
+        pairs, contexts = sent.value
+        tokens, seen = np.zeros(len(pairs), np.int64), np.zeros(len(contexts), np.int64)
+        for batch in batches:
+            for key, previous, _, _, _ in _pairs_of(batch.column(0)):
+                for known, asked, out in ((pairs, key, tokens), (contexts, previous, seen)):
+                    at, there = _place(known, asked)
+                    out += np.bincount(at[there], minlength=len(known))
+        for kind, (known, n) in enumerate(((pairs, tokens), (contexts, seen))):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), kind)), pa.array(known[at].view(np.int64)), pa.array(n[at])], names=["kind", "key", "n"]
+            )
+
+    return run
+
+
+# --- models -----------------------------------------------------------------
+
+
+def ratio_of(before, toxic, plain, contexts, around=None) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods, toxic and plain, of every event of a step given the one before it, a number from 0 on.
+
+    ``around``: contexts of all events after that one, if more than the given ones.
     """
     sum_of = lambda x: np.bincount(before, x)[before]  # noqa: E731  over events with the same one before
-    context = np.maximum(documents, 1e-3)  # an event that no text has
+    context = np.maximum(contexts, 1e-3)
     shared = context / (sum_of(context) if around is None else around)
-    out = np.zeros(len(before))
-    for sign, counts in ((1, toxic.astype(float)), (-1, plain.astype(float))):
+    out = []
+    for counts in (toxic.astype(float), plain.astype(float)):
         total = sum_of(counts)
         free = np.maximum(sum_of(np.minimum(counts, DISCOUNT)), DISCOUNT)
         chance = (np.maximum(counts - DISCOUNT, 0) + free * shared) / np.maximum(total, DISCOUNT)
-        out += sign * np.log(np.where(total > 0, chance, shared))
-    return np.clip(out, -60, 60).astype(np.float32)
+        out.append(np.log(np.where(total > 0, chance, shared)))
+    return out[0], out[1]
 
 
 def other_of(before: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> np.ndarray:
@@ -164,6 +308,33 @@ def other_of(before: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> np.nda
     return out.astype(np.float32)
 
 
+def telling(counts, totals) -> np.ndarray:
+    """Whether a pair follows its first word more often in one class than chance explains (``SIGMAS``).
+
+    Pairs are picked by their toxic tokens, so without this test the luckiest ones
+    of those that both classes use alike would count as toxic.
+    """
+    both = counts[0] + counts[1]
+    expected = both * totals[0] / np.maximum(totals[0] + totals[1], 1)
+    return np.abs(counts[0] - expected) > SIGMAS * np.sqrt(expected + 1)
+
+
+def pair_ratios(previous, word_chance, counts, totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Difference of every kept pair, the words before them, and the difference of what is left there.
+
+    ``word_chance``, ``counts`` and ``totals`` are for (toxic, plain): the chance of the
+    second word, the tokens of the pair, the tokens of the word before.
+    """
+    context, at = np.unique(previous, return_inverse=True)
+    ratio, left = np.zeros(len(previous)), np.zeros(len(context))
+    for sign, chance, n, total in zip((1, -1), word_chance, counts, totals):
+        own = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)
+        rest = np.maximum(1 - np.bincount(at, own, len(context)), 1e-6)
+        ratio += sign * np.log(own + rest[at] * chance)
+        left += sign * np.log(rest)
+    return np.clip(ratio, -60, 60).astype(np.float32), context, left.astype(np.float32)
+
+
 def fit_curve(x: np.ndarray, label: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
     """Logistic weights by Newton's method."""
     weights = np.zeros(x.shape[1])
@@ -178,23 +349,27 @@ def fit_curve(x: np.ndarray, label: np.ndarray, penalty: float = 1e-2) -> np.nda
     return weights
 
 
-def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The value of each key asked for, 0 if there is none, and whether there is one."""
+def _place(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key asked for, and whether it is there."""
     if not len(keys):
-        return np.zeros(len(asked)), np.zeros(len(asked), bool)
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    there = keys[at] == asked
-    return np.where(there, values[at], 0.0), there
-
-
-def differences(model: Model, levels: list[np.ndarray]) -> np.ndarray:
-    """Log-likelihood difference of each distinct word."""
-    out = np.zeros(len(levels[0]))
-    for level, keys in enumerate(levels):
-        event, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        before = levels[level - 1][first] if level else np.zeros(len(event), np.uint64)
-        own, there = _find(model.event, model.ratio, event)
-        out += np.where(there, own, _find(model.before, model.other, before)[0])[at]
+    return at, keys[at] == asked
+
+
+def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each key asked for, 0 if there is none, and whether there is one."""
+    at, there = _place(keys, asked)
+    return np.where(there, values[at] if len(keys) else 0.0, 0.0), there
+
+
+def word_differences(model: Model, hashes: np.ndarray, stem: np.ndarray) -> np.ndarray:
+    """Log-likelihood difference of each distinct word by itself."""
+    out = np.zeros(len(hashes))
+    for level, (event, before, open_) in enumerate(steps_of(hashes, stem)):
+        own, there = _find(model.event[level], model.ratio[level], event)
+        other = _find(model.before[level], model.other[level], before)[0]
+        out += np.where(open_, np.where(there, own, other), 0)
     return out
 
 
@@ -203,8 +378,15 @@ def _sums(model: Model, column) -> tuple[np.ndarray, np.ndarray]:
     totals, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
     for _, _, data, offsets in W.pieces(column):
         words = W.split(data, offsets, W.LETTERS)
-        number, levels = events(words)
-        mixed = np.log1p(SHARE * np.expm1(np.minimum(differences(model, levels), 30)))[number]
+        if len(words.hash) and len(model.event):
+            found = distinct(words)
+            alone = word_differences(model, found.hash, found.stem)[found.number]
+            left = _find(model.context, model.context_ratio, found.previous)[0]
+            pair, there = _find(model.pair, model.pair_ratio, pair_key(found.previous, words.hash))
+            both = np.where(there, pair, alone + left)
+            mixed = np.log1p(SHARE * np.expm1(np.minimum(both, 30)))
+        else:
+            mixed = np.zeros(len(words.hash))
         totals.append(np.bincount(words.owner(), mixed, len(offsets) - 1))
         counts.append(np.diff(words.first))
     return np.concatenate(totals), np.concatenate(counts)
@@ -214,47 +396,109 @@ def _total(sent):
     def run(batches):
         W.tidy()
         for batch in batches:
-            total, count = _sums(sent.value, batch.column(2))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(total), pa.array(count)], names=["id", "label", "total", "n"]
-            )
+            total, count = _sums(sent.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(count)], names=["label", "total", "n"])
 
     return run
 
 
-def count_events(texts: DataFrame) -> DataFrame:
-    """Counts of every event of the texts (label, body): key, key before, level, tokens of either class, documents."""
-    return (
-        texts.mapInArrow(_gather, "event bigint, before bigint, level int, toxic int, plain int, documents int")
-        .groupBy("event")
-        .agg(*[F.min(c).alias(c) for c in COUNTS[1:3]], *[F.sum(c).alias(c) for c in COUNTS[3:]])
-    )
-
-
-def _learn(counts: DataFrame) -> Model:
-    """The differences of the events that either class has, from the counts of all."""
-    around = counts.groupBy("before").agg(F.sum("documents").alias("around"))
-    own = materialise(counts.where("toxic + plain > 0").join(around, "before"), "class-events")
-    event, ratio, context, other = ([np.zeros(0, kind)] for kind in (np.uint64, np.float32, np.uint64, np.float32))
-    seen = np.zeros(2, np.int64)
+def events_of(counts: DataFrame) -> DataFrame:
+    """(level, event, before, toxic, plain, contexts) of all steps of the counted words."""
+    ways = []
+    before = F.lit(0).cast("bigint")
+    for level, size in enumerate(STEPS):
+        event = F.col("stem").bitwiseAND(F.lit((1 << (8 * size)) - 1))
+        last = STEPS[level - 1] if level else 0
+        ways.append(F.when(F.lit(not level) | (F.shiftright("stem", 8 * max(last - 1, 0)) > 0), F.struct(
+            F.lit(level).alias("level"), event.alias("event"), before.alias("before"))))
+        before = event
+    whole = F.struct(F.lit(len(STEPS)).alias("level"), F.col("word").alias("event"), before.alias("before"))
+    ways.append(F.when(F.shiftright("stem", 8 * (STEPS[-1] - 1)) > 0, whole))
+    sums = [F.sum(c).alias(c) for c in ("toxic", "plain", "contexts")]
+    each = counts.select(F.explode(F.array_compact(F.array(*ways))).alias("step"), "toxic", "plain", "contexts")
+    return each.groupBy("step.level", "step.event").agg(F.min("step.before").alias("before"), *sums)
+
+
+class Steps(NamedTuple):
+    event: np.ndarray
+    toxic: np.ndarray  # log-likelihoods from the beginning of the word
+    plain: np.ndarray
+
+
+def _learn(counts: DataFrame) -> tuple[Model | None, list[Steps]]:
+    """The differences of the steps that either class has, from the counts of all words."""
+    events = materialise(events_of(counts), "steps")
+    around = events.groupBy("level", "before").agg(F.sum("contexts").alias("around"))
+    own = materialise(events.where("toxic + plain > 0").join(around, ["level", "before"]), "class-steps")
+    out: dict[str, list] = {name: [] for name in ("event", "ratio", "before", "other")}
+    steps, seen = [Steps(np.array([ROOT]), np.zeros(1), np.zeros(1))], np.zeros(2, np.int64)
     for level in range(LEVELS):  # one at a time: the driver holds few full tables
         found = own.where(F.col("level") == level).drop("level").toArrow()
         column = {name: found[name].to_numpy() for name in found.column_names}
-        keys, before = np.unique(column["before"].view(np.uint64), return_inverse=True)
-        parts = (before, column["toxic"], column["plain"])
-        seen += [column["toxic"].sum(), column["plain"].sum()]
-        event.append(column["event"].view(np.uint64))
-        ratio.append(ratio_of(*parts, column["documents"], column["around"]))
-        context.append(keys)
-        other.append(other_of(*parts))
+        order = np.argsort(column["event"].view(np.uint64))
+        column = {name: c[order] for name, c in column.items()}
+        event, above = column["event"].view(np.uint64), column["before"].view(np.uint64)
+        before, at = np.unique(above, return_inverse=True)
+        if not level:
+            seen += [column["toxic"].sum(), column["plain"].sum()]
+        toxic, plain = ratio_of(at, column["toxic"], column["plain"], column["contexts"], column["around"])
+        out["event"].append(event)
+        out["ratio"].append(np.clip(toxic - plain, -60, 60).astype(np.float32))
+        out["before"].append(before)
+        out["other"].append(other_of(at, column["toxic"], column["plain"]))
+        place = _place(steps[-1].event, above)[0]
+        steps.append(Steps(event, steps[-1].toxic[place] + toxic, steps[-1].plain[place] + plain))
     if not seen.all():
-        event, ratio, context, other = ([x[0]] for x in (event, ratio, context, other))
-    event, context = np.concatenate(event), np.concatenate(context)
-    by_event, by_context = np.argsort(event), np.argsort(context)
-    return Model(
-        np.concatenate(ratio)[by_event], np.array([-30.0, 0, 0]), event[by_event],
-        context[by_context], np.concatenate(other)[by_context],
-    )
+        return None, []
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    return Model(np.array([0.0, 1.0, 0.0]), **out, pair=none[0], pair_ratio=none[1], context=none[0], context_ratio=none[1]), steps[1:]
+
+
+def _chances(steps: list[Steps], word: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of each word, which a labelled text has, in either class: that of its last step."""
+    toxic, plain = np.zeros(len(word)), np.zeros(len(word))
+    for level, (event, _, open_) in enumerate(steps_of(word, stem)):
+        at = _place(steps[level].event, event)[0]
+        toxic, plain = np.where(open_, steps[level].toxic[at], toxic), np.where(open_, steps[level].plain[at], plain)
+    return np.exp(toxic), np.exp(plain)
+
+
+def _with_pairs(model: Model, steps: list[Steps], texts: DataFrame) -> Model:
+    """The model with the pairs of the labelled texts (label, body)."""
+    same = [F.min(c).alias(c) for c in PAIR[1:4]]
+    toxic = texts.where("label = 1").select("body").mapInArrow(_count_pairs, ", ".join(f"{c} bigint" for c in PAIR))
+    toxic = toxic.groupBy("pair", "ahead").agg(*same).groupBy("pair").agg(*same, F.count(F.lit(1)).alias("n"))
+    toxic = materialise(toxic.where(F.col("n") >= CUTOFF), "pairs")
+    cutoff, kept = CUTOFF, 0
+    for row in toxic.groupBy("n").count().orderBy(F.desc("n")).limit(PAIRS).collect():  # a row holds a pair at least
+        kept += row["count"]
+        if kept > PAIRS:
+            cutoff = row["n"] + 1
+            break
+    found = toxic.where(F.col("n") >= cutoff).orderBy("pair").toArrow()
+    pair, previous, word, stem = (found[c].to_numpy().view(np.uint64) for c in ("pair", "previous", "word", "stem"))
+    order = np.argsort(pair)
+    pair, previous, word, stem = (c[order] for c in (pair, previous, word, stem))
+    if not len(pair):
+        return model
+    contexts = np.unique(previous)
+    sent = texts.sparkSession.sparkContext.broadcast((pair, contexts))
+    counts, totals = [], []
+    for label in (1, 0):
+        known = texts.where(F.col("label") == label).select("body").mapInArrow(_count_known(sent), "kind bigint, key bigint, n bigint")
+        table = known.groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+        kind, key, n = (table[c].to_numpy() for c in ("kind", "key", "n"))
+        for which, keys, out in ((0, pair, counts), (1, contexts, totals)):
+            values = np.zeros(len(keys))
+            mine = kind == which
+            values[np.searchsorted(keys, key[mine].view(np.uint64))] = n[mine]
+            out.append(values)
+    at = np.searchsorted(contexts, previous)
+    totals = [t[at] for t in totals]
+    own = telling(counts, totals)
+    pair, previous, word, stem, counts, totals = pair[own], previous[own], word[own], stem[own], *([x[own] for x in c] for c in (counts, totals))
+    ratio, context, left = pair_ratios(previous, _chances(steps, word, stem), counts, totals)
+    return model._replace(pair=pair, pair_ratio=ratio, context=context, context_ratio=left)
 
 
 def fit_toxicity(
@@ -266,19 +510,17 @@ def fit_toxicity(
     chosen = training_labels(labels, label_id_col, label_col, folds, held_out, sample)
     tune = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(TUNE_PARTS)) == 0
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    counted = texts.join(F.broadcast(chosen.where(~tune)), "id", "left").select("label", "body")
-    model = _learn(materialise(count_events(counted), "events"))
-    if not len(model.event):
-        return model
-    kind = docs.schema[id_col].dataType.simpleString()
-    sums = (
-        texts.join(F.broadcast(chosen.where(tune)), "id").select("id", "label", "body")
-        .mapInArrow(_total(context.broadcast(model)), f"id {kind}, label int, total double, n bigint")
-        .dropDuplicates(["id"]).toArrow().sort_by("id")
-    )
+    counted, tuning = F.broadcast(chosen.where(~tune)), F.broadcast(chosen.where(tune))
+    model, steps = _learn(count_words(texts.join(counted, "id", "left").select("label", "body")))
+    if model is None:
+        return Model(np.array([-30.0, 0, 0]), [], [], [], [], *[np.zeros(0)] * 4)
+    model = _with_pairs(model, steps, texts.join(counted, "id").select("label", "body"))
+    sums = texts.join(tuning, "id").select("label", "body")
+    sums = sums.mapInArrow(_total(context.broadcast(model)), "label int, total double, n bigint").toArrow()
+    sums = sums.sort_by([("label", "ascending"), ("total", "ascending"), ("n", "ascending")])
     label = sums["label"].to_numpy().astype(float)
     if not len(label) or label.min() == label.max():  # too few to tune: even odds at a difference of 0
-        return model._replace(curve=np.array([0.0, 1.0, 0.0]))
+        return model
     return model._replace(curve=fit_curve(inputs(sums["total"].to_numpy(), sums["n"].to_numpy()), label))
 
 

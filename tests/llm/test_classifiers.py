@@ -104,50 +104,93 @@ def test_toxic_expressions_and_new_forms_of_them(spark, awkward, no_docs):
 
 def test_differences_follow_the_counts():
     rng = np.random.default_rng(2)
-    before, toxic, plain, documents = (np.zeros(toxicity.WIDTH, np.int64) for _ in range(4))
-    before[:20] = np.arange(20) % 3
-    toxic[:20], plain[:20], documents[:20] = rng.integers(0, 9, 20), rng.integers(0, 9, 20), rng.integers(1, 5, 20)
-    ratio = toxicity.ratio_of(before, toxic, plain, documents).astype(float)
+    before = np.arange(20) % 3
+    toxic, plain, contexts = rng.integers(0, 9, 20), rng.integers(0, 9, 20), rng.integers(1, 5, 20)
+    of_toxic, of_plain = toxicity.ratio_of(before, toxic, plain, contexts)
+    ratio = of_toxic - of_plain
     assert np.isfinite(ratio).all()
     for parent in range(3):
         own = [k for k in range(20) if k % 3 == parent]
         share_t, share_p = toxic[own] / toxic[own].sum(), plain[own] / plain[own].sum()
         clear = np.abs(share_t - share_p) > 0.15
         assert (np.sign(ratio[own][clear]) == np.sign(share_t - share_p)[clear]).all()
+        assert np.exp(of_toxic[own]).sum() == pytest.approx(1) and np.exp(of_plain[own]).sum() == pytest.approx(1)
 
 
-def test_every_event_has_counts_of_its_own(spark):
+@pytest.mark.parametrize("width", [1 << 20, 500])
+def test_continuation_counts_are_distinct_words_before(spark, monkeypatch, width):
+    monkeypatch.setattr(toxicity, "WIDTH", width)  # the small one sends pairs several times
     rng = np.random.default_rng(3)
-    words = [[f"{a}{rng.integers(10**6)}" for a in rng.choice(["ab", "xyz", "q", "longer"], 40)] for _ in range(400)]
-    words += [["ab", "ab1", "longer", "longer1", "a"]] * 3 + [[]]
+    words = [[f"{a}{rng.integers(40)}" for a in rng.choice(["ab", "xyz", "q", "longer"], 40)] for _ in range(400)]
+    words += [["ab", "ab1", "longer", "longer1", "a", "the"]] * 3 + [[]]
+    words += [["the" if k % 2 else f"n{k}_{i}" for k in range(60)] for i in range(20)]
     label = rng.integers(-1, 2, len(words))
-    want = {}
+    want, before = {}, {}
     for kind, text in zip(label, words):
-        done = set()
-        for w in text:
-            chain = [w[:k] for k in range(1, toxicity.STEM + 1)] + [w]
-            for level, x in enumerate(chain[: len(w) + 1]):
-                counts = want.setdefault((level, x, chain[level - 1] if level else ""), [0, 0, 0])
-                counts[0] += kind == 1
-                counts[1] += kind == 0
-                counts[2] += (level, x) not in done
-                done.add((level, x))
+        text = [x for w in text for x in w.split("_")]
+        for v, w in zip(["", *text], text):
+            counts = want.setdefault(w, [0, 0])
+            counts[0] += kind == 1
+            counts[1] += kind == 0
+            before.setdefault(w, set()).add(v)
     rows = [(int(k) if k >= 0 else None, " ".join(t)) for k, t in zip(label, words)]
-    texts = spark.createDataFrame(rows, "label int, body string").repartition(3)
-    got = toxicity.count_events(texts).collect()
-    assert len({r.event for r in got}) == len(got) == len(want)
-    by_level = lambda rows: sorted((level, *counts) for level, counts in rows)
-    assert by_level((r.level, (r.toxic, r.plain, r.documents)) for r in got) == by_level(
-        (level, tuple(counts)) for (level, _, _), counts in want.items()
-    )
+    texts = spark.createDataFrame(rows, "label int, body string").repartition(5)
+    counted = toxicity.count_words(texts).cache()
+    got = sorted((r.toxic, r.plain, r.contexts) for r in counted.collect())
+    assert got == sorted((*c, len(before[w])) for w, c in want.items())
+    steps = {}
+    for w in want:
+        chain = [w[:4], w[:6], w][: 1 + (len(w) >= 4) + (len(w) >= 6)]
+        for level, x in enumerate(chain):
+            sums = steps.setdefault((level, x), [0, 0, 0])
+            for k, n in enumerate((*want[w], len(before[w]))):
+                sums[k] += n
+    found = toxicity.events_of(counted).collect()
+    assert sorted((r.level, r.toxic, r.plain, r.contexts) for r in found) == sorted((k[0], *v) for k, v in steps.items())
 
 
 def test_unseen_events_need_no_counts():
-    before, documents = np.array([0, 0, 0, 1, 1]), np.array([4, 2, 9, 3, 1])
+    before, contexts = np.array([0, 0, 0, 1, 1]), np.array([4, 2, 9, 3, 1])
     toxic, plain = np.array([3, 0, 0, 1, 0]), np.array([1, 2, 0, 0, 0])
-    full = toxicity.ratio_of(before, toxic, plain, documents)
-    around = np.bincount(before, documents)[before]
+    full = np.subtract(*toxicity.ratio_of(before, toxic, plain, contexts))
+    around = np.bincount(before, contexts)[before]
     seen = toxic + plain > 0
     parts = before[seen], toxic[seen], plain[seen]
-    assert toxicity.ratio_of(*parts, documents[seen], around[seen]) == pytest.approx(full[seen])
+    assert np.subtract(*toxicity.ratio_of(*parts, contexts[seen], around[seen])) == pytest.approx(full[seen])
     assert toxicity.other_of(*parts)[before[~seen]] == pytest.approx(full[~seen], abs=1e-6)
+
+
+def test_a_pair_of_harmless_words_is_toxic(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(600):
+        w = [f"w{k}" for k in rng.integers(0, 300, 60)]
+        toxic = i % 4 == 0
+        for k in rng.choice(29, 4, replace=False):  # both words stand in all texts, together in toxic ones only
+            w[2 * k : 2 * k + 2] = ["green", "horse"] if toxic else [["green", f"w{k}"], ["horse", "green"], [f"w{k}", "horse"]][i % 3]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    known = dict(labels)
+    held = [i for i in known if zlib.crc32(str(i).encode()) % 4 == 2]
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, model).collect()}
+    assert sum(got[i] == known[i] for i in held) >= 0.95 * len(held)
+    without = model._replace(pair=model.pair[:0], pair_ratio=model.pair_ratio[:0], context_ratio=model.context_ratio * 0)
+    alone = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, without).collect()}
+    assert np.mean([alone[i] for i in held if known[i]]) < 0.6
+
+
+def test_pairs_leave_the_rest_to_single_words():
+    previous = np.array([5, 5, 9], np.uint64)
+    counts, totals = [np.array([8.0, 3, 4]), np.array([1.0, 0, 2])], [np.array([20.0, 20, 6]), np.array([40.0, 40, 50])]
+    chance = [np.array([0.1, 0.2, 0.3]), np.array([0.05, 0.1, 0.2])]
+    ratio, context, left = toxicity.pair_ratios(previous, chance, counts, totals)
+    for k in range(3):
+        parts = []
+        for n, total, p in zip(counts, totals, chance):
+            own = [max(n[j] - toxicity.DISCOUNT, 0) / total[j] for j in range(3)]
+            rest = 1 - sum(own[j] for j in range(3) if previous[j] == previous[k])
+            parts.append((own[k] + rest * p[k], rest))
+        assert ratio[k] == pytest.approx(np.log(parts[0][0] / parts[1][0]), abs=1e-5)
+        assert left[context.tolist().index(previous[k])] == pytest.approx(np.log(parts[0][1] / parts[1][1]), abs=1e-5)
