@@ -49,6 +49,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 GITHUB = re.compile(rb"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+JWT_PART = re.compile(rb"[A-Za-z0-9_-]+")
 IBAN = re.compile(rb"iban[\x20:=#]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})", re.I)
 CARD = re.compile(rb"(?:card|visa|mastercard|amex)[a-z\x20:=#.]{0,12}([0-9](?:[\x20-]?[0-9]){12,18})(?![0-9])", re.I)
 KEYWORDS = {
@@ -109,7 +110,10 @@ def find(kind: str, data: bytes, at: int) -> tuple[int, int, int, bool]:
         return (at, m.end(), m.end(), crc_holds(m[1], m[2])) if m else (at, -1, at, False)
     if kind == "jwt":
         m = JWT.match(data, at)
-        return (at, m.end(), m.end(), json_holds(m[1]) and json_holds(m[2])) if m else (at, -1, at, False)
+        if not m:  # nor does one begin at a later keyword of this run, which ends at the same place
+            begun = data.startswith(b"eyJ", at)
+            return at, -1, JWT_PART.match(data, at).end() if begun else at, False
+        return at, m.end(), m.end(), json_holds(m[1]) and json_holds(m[2])
     m = (IBAN if kind == "iban" else CARD).match(data, at)
     if not m:
         return at, -1, at, False

@@ -1,7 +1,11 @@
+import base64
 import random
 import re
+import time
 import zlib
 
+import pytest
+
 from shelfwatch.llm import secrets
 
 ASSIGN = re.compile(
@@ -71,3 +75,19 @@ def test_query_digest(spark, sf_dir):
         joined = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in want) for n in range(3)]
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJa.", "eyJ.eyJ.", "token", "token=", "AKIA", "password ", "f", "iban ", "card ", " ", "\n"])
+def test_five_megabytes_of_one_thing_take_seconds(unit):
+    text = unit * (5_000_000 // len(unit))
+    started = time.perf_counter()
+    secrets.spans(text)
+    assert time.perf_counter() - started < 30
+
+
+def test_a_failed_token_hides_no_other():
+    body = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    good = f"{body}.{body}.sig"
+    assert (3, secrets.KINDS.index("jwt"), 3 + len(good)) in secrets.spans("EYJ" + good)
+    for before in ("eyJeyJ ", "eyJxx.no ", "eyJ.", "eyJa.eyJb ", "EYJ eyj "):
+        assert (len(before), secrets.KINDS.index("jwt"), len(before + good)) in secrets.spans(before + good)
