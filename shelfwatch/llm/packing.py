@@ -76,7 +76,10 @@ def encoder(path: str):
     def encode(text: str) -> np.ndarray:
         if PLAIN.search(text) or any(s in text for s in special):
             return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        except ValueError:  # its pattern gives up on very long runs of blanks
+            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 

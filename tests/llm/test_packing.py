@@ -119,3 +119,9 @@ def test_numbers_are_gapless(spark):
     for r in number_within(rows, ["g"], ["k"], "no", spread=4).collect():
         got[r.g].append(r.no)
     assert all(sorted(v) == list(range(len(v))) for v in got.values())
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "\n" * 1_000_000 + "b c", "a" + "\t " * 500_000, "x" * 1_000_000])
+def test_very_long_runs(tokenizer, text):
+    encode = packing.encoder(public_tokenizers.path(packing.TOKENIZER))
+    assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
