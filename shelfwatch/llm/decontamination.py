@@ -6,18 +6,21 @@ words of its documents, looks the hashes up, and compares the words of each hit,
 so a hash collision never counts. The documents are only mapped: no shuffle.
 
 The set is broadcast in slices of at most ``slice_bytes`` of item text, a bound
-that is checked. Where the items need more than one slice, each slice is one
-pass and the passes are put together by row.
+that is checked; a slice takes about 90 times its text in memory, so the bound is
+two megabytes. Where the items need more than one slice, each slice is one
+written pass, whose set goes before the next one is built, and the passes are put
+together by row.
 
 Defined cases: null or empty texts have no words and no hits; an item without
-words or without an id is ignored; a repeated item id counts once in a document, a repeated
+words is ignored; items without an id count as one item whose id is null and
+stands last; a repeated item id counts once in a document, a repeated
 document row is judged like any other; empty tables give empty or clean results.
 Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,14 @@ from shelfwatch.llm import words as W
 from shelfwatch.session import materialise
 
 N = 10
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 2 << 20
 TABLE_BITS = 20
 
 
 class Windows:
     """The windows of some items: exact words to item ids, and hashes to find them fast."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
         self.ids: dict[bytes, set[str]] = {}
         hashes: dict[int, list[np.ndarray]] = {}
         for item, text in items:
@@ -76,22 +79,27 @@ def window_bytes(words: W.Words, at: int, size: int) -> bytes:
     return b" ".join(data[s:e].tobytes() for s, e in zip(words.start[at : at + size], words.end[at : at + size]))
 
 
-def slices(benchmark: DataFrame, item_col: str, text_col: str, n: int, slice_bytes: int) -> list:
-    """Broadcasts of the items' windows, each of at most about ``slice_bytes`` of text.
+def slices(benchmark: DataFrame, item_col: str, text_col: str, n: int, slice_bytes: int) -> tuple[int, Iterator]:
+    """Number of slices, and broadcasts of the items' windows, each of at most about ``slice_bytes`` of text.
 
-    One item longer than that is a slice of its own.
+    One item longer than that is a slice of its own. With several, a broadcast is destroyed when the next is asked for.
     """
     spark = benchmark.sparkSession
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("body")
-    ).where(F.col("item").isNotNull())
+    )
     total = items.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     count = max(1, -(-total // slice_bytes))
-    out = []
-    for k in range(count):
-        part = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == k)
-        out.append(spark.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()], n)))
-    return out
+
+    def each():
+        for k in range(count):
+            part = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == k)
+            sent = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()], n))
+            yield sent
+            if count > 1:
+                sent.destroy()
+
+    return count, each()
 
 
 def _judge(texts, found: Windows) -> dict[str, list]:
@@ -110,7 +118,7 @@ def _judge(texts, found: Windows) -> dict[str, list]:
         of = np.searchsorted(begin, first)
         for k in range(len(first) - 1):
             out["n_words"].append(int(first[k + 1] - first[k]))
-            out["items"].append(sorted(items[k]))
+            out["items"].append(sorted(items[k], key=lambda item: (item is None, item)))
             out["starts"].append((begin[of[k] : of[k + 1]] - first[k]).tolist())
             out["ends"].append((finish[of[k] : of[k + 1]] - first[k]).tolist())
     return out
@@ -139,18 +147,18 @@ def contamination(
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (ids, sorted as strings) and
     spans (first word, word after) covered by windows of test items."""
-    parts = slices(benchmark, item_col, item_text_col, n, slice_bytes)
+    count, parts = slices(benchmark, item_col, item_text_col, n, slice_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"row bigint, id {kind}, n_words bigint, items array<string>, starts array<bigint>, ends array<bigint>"
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("body")
     )
-    if len(parts) == 1:
-        found = source.mapInArrow(_mapper(parts[0]), schema)
+    if count == 1:
+        found = source.mapInArrow(_mapper(next(parts)), schema)
         spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
     else:
         source = materialise(source, "decontamination")
-        passes = [source.mapInArrow(_mapper(p), schema) for p in parts]
+        passes = [materialise(source.mapInArrow(_mapper(p), schema), "decontamination") for p in parts]
         every = passes[0]
         for more in passes[1:]:
             every = every.unionByName(more)
@@ -188,8 +196,10 @@ def clean(
         raise ValueError(f"unknown action {action!r}")
     at = docs.columns.index(text_col)
     names = docs.columns
-    for part in slices(benchmark, item_col, item_text_col, n, slice_bytes):
+    count, parts = slices(benchmark, item_col, item_text_col, n, slice_bytes)
+    for part in parts:
         docs = docs.mapInArrow(_cleaner(part, at, names, action), docs.schema)
+        docs = materialise(docs, "decontamination") if count > 1 else docs
     return docs
 
 

@@ -17,8 +17,7 @@ def brute(rows, items, n=10):
         w = split(text)
         size = min(n, len(w))
         for k in range(len(w) - size + 1 if size else 0):
-            if item is not None:
-                windows.setdefault(tuple(w[k : k + size]), set()).add(str(item))
+            windows.setdefault(tuple(w[k : k + size]), set()).add(item if item is None else str(item))
     out = []
     for i, t in rows:
         w, hit, found = split(t), set(), set()
@@ -28,7 +27,7 @@ def brute(rows, items, n=10):
                 if ids:
                     hit |= set(range(k, k + size))
                     found |= ids
-        out.append((str(i), len(w), len(hit), sorted(found)))
+        out.append((str(i), len(w), len(hit), sorted(found, key=lambda item: (item is None, item))))
     return sorted(out)
 
 
@@ -36,13 +35,14 @@ def brute(rows, items, n=10):
 def case(odd_rows):
     rng = random.Random(8)
     items = [(k, " ".join(f"q{rng.randrange(30)}" for _ in range(rng.randrange(1, 30)))) for k in range(30)]
-    items += [(50, None), (51, ""), (52, "..."), (53, "Only Three, words"), (None, "no id at all"), (1, items[2][1])]
+    items += [(50, None), (51, ""), (52, "..."), (53, "Only Three, words"), (None, "no id at all"), (None, "only three, words"), (1, items[2][1])]
     rows = list(odd_rows)
     for i in range(700, 760):
         w = [f"q{rng.randrange(30)}" for _ in range(rng.randrange(40))]
         w[:0] = split(rng.choice(items)[1])[: rng.randrange(4, 30)]
         rows.append((i, rng.choice([" ", ", ", "\n"]).join(x.upper() if rng.random() < 0.1 else x for x in w)))
     rows.append((800, "x only three WORDS only three words"))
+    rows.append((801, "it has No ID at all"))
     return rows, items
 
 
