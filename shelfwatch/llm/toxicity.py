@@ -446,8 +446,8 @@ def _learn(counts: DataFrame) -> tuple[Model | None, list[Steps]]:
         out["ratio"].append(np.clip(toxic - plain, -60, 60).astype(np.float32))
         out["before"].append(before)
         out["other"].append(other_of(at, column["toxic"], column["plain"]))
-        place = _place(steps[-1].event, above)[0]
-        steps.append(Steps(event, steps[-1].toxic[place] + toxic, steps[-1].plain[place] + plain))
+        ahead = [_find(steps[-1].event, values, above)[0] for values in (steps[-1].toxic, steps[-1].plain)]
+        steps.append(Steps(event, ahead[0] + toxic, ahead[1] + plain))
     if not seen.all():
         return None, []
     none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
@@ -458,8 +458,8 @@ def _chances(steps: list[Steps], word: np.ndarray, stem: np.ndarray) -> tuple[np
     """Chance of each word, which a labelled text has, in either class: that of its last step."""
     toxic, plain = np.zeros(len(word)), np.zeros(len(word))
     for level, (event, _, open_) in enumerate(steps_of(word, stem)):
-        at = _place(steps[level].event, event)[0]
-        toxic, plain = np.where(open_, steps[level].toxic[at], toxic), np.where(open_, steps[level].plain[at], plain)
+        own = [_find(steps[level].event, values, event)[0] for values in (steps[level].toxic, steps[level].plain)]
+        toxic, plain = np.where(open_, own[0], toxic), np.where(open_, own[1], plain)
     return np.exp(toxic), np.exp(plain)
 
 
