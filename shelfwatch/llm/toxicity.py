@@ -59,6 +59,7 @@ WIDTH = 1 << 20  # distinct pairs a task holds before it sends them
 SAMPLE = 200_000
 DISCOUNT = 0.75
 CUTOFF, PAIRS, SIGMAS = 6, 1 << 22, 4
+CHUNK = 4096  # counts in one row
 SHARE = 0.02
 THRESHOLD = 0.3
 TUNE_PARTS = 5  # one part of the labelled rows fits the curve, the others the counts
@@ -128,18 +129,23 @@ def pair_key(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Words with stem and tokens of both classes, and distinct codes (number of the word, short hash before)."""
     hashes, stems, toxic, plain = (np.concatenate(c) for c in list(zip(*parts))[:4])
-    hashes, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    hashes, at = np.unique(hashes, return_inverse=True)
     codes, done = [], 0
     for p in parts:
         place = at[done : done + len(p[0])].astype(np.uint64)
         codes.append(place[(p[4] >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | p[4] & np.uint64(0xFFFFFFFF))
         done += len(p[0])
     sums = [np.bincount(at, c, len(hashes)).astype(np.int64) for c in (toxic, plain)]
-    return hashes, stems[first], *sums, np.unique(np.concatenate(codes))
+    stem = np.zeros(len(hashes), np.uint64)
+    np.maximum.at(stem, at, stems)
+    return hashes, stem, *sums, np.unique(np.concatenate(codes))
 
 
 def _blobs(merged: tuple[np.ndarray, ...], units: int):
-    """Rows (unit, words, stems, tokens of both classes, number of words before, these) of a task's words."""
+    """Rows (unit, words, pairs, their packed columns) of a task's words.
+
+    The columns: words, stems, tokens of both classes, number of words before, these.
+    """
     hashes, stems, toxic, plain, codes = merged
     number, before = (codes >> np.uint64(32)).astype(np.int64), codes & np.uint64(0xFFFFFFFF)
     unit = (hashes[number] % np.uint64(units)).astype(np.int64) * 4 + (before >> np.uint64(30)).astype(np.int64)
@@ -148,18 +154,34 @@ def _blobs(merged: tuple[np.ndarray, ...], units: int):
     new = np.flatnonzero((np.diff(unit, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
     size = np.diff(np.append(new, len(unit)))
     word, at = number[new], unit[new]
-    # tokens are counted with the first unit that has the word
+    # stem and tokens go with the first unit that has the word
     once = np.zeros(len(word), bool)
     once[np.unique(word, return_index=True)[1]] = True
-    columns = [hashes[word], stems[word], np.where(once, toxic[word], 0), np.where(once, plain[word], 0), size]
+    columns = [hashes[word], *(np.where(once, c[word], 0) for c in (stems, toxic, plain)), size]
     edges = np.flatnonzero(np.diff(at, prepend=-1))
     for a, b in zip(edges, np.append(edges[1:], len(at))):
         low = new[a]
         high = new[b] if b < len(new) else len(before)
-        yield (int(at[a]), *[c[a:b].astype(np.int64).tobytes() for c in columns], before[low:high].tobytes())
+        yield (int(at[a]), int(b - a), int(high - low), _packed([*(c[a:b].astype(np.int64) for c in columns), before[low:high]]))
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """The columns' bytes, those of one place in the numbers together, compressed."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, words: int, pairs: int) -> list[np.ndarray]:
+    raw = pa.decompress(blob, 40 * words + 4 * pairs, codec="zstd", asbytes=True)
+    parts = [(k * 8 * words, 8, words, np.int64) for k in range(5)] + [(40 * words, 4, pairs, np.uint32)]
+    out = []
+    for start, width, n, kind in parts:
+        planes = np.frombuffer(raw, np.uint8, width * n, start).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return out
 
 
-BLOBS = "unit bigint, words binary, stems binary, toxic binary, plain binary, sizes binary, before binary"
+BLOBS = "unit bigint, words bigint, pairs bigint, packed binary"
 
 
 def _sent(parts, units: int):
@@ -169,7 +191,7 @@ def _sent(parts, units: int):
         for k in range(0, len(rows), 64):
             columns = list(zip(*rows[k : k + 64]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names
+                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=names
             )
 
 
@@ -217,10 +239,10 @@ def _united(batches):
             )
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
-            hashes, stems, toxic, plain, sizes = (np.frombuffer(x, np.int64) for x in row[:5])
+        for n, pairs, blob in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            hashes, stems, toxic, plain, sizes, before = _unpacked(blob, n, pairs)
             number = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-            codes = number << np.uint64(32) | np.frombuffer(row[5], np.uint32).astype(np.uint64)
+            codes = number << np.uint64(32) | before.astype(np.uint64)
             parts.append((hashes.view(np.uint64), stems.view(np.uint64), toxic, plain, codes))
             if sum(len(p[4]) for p in parts) > max(WIDTH, 2 * len(parts[0][4])):
                 parts = [_merged(parts)]
@@ -233,7 +255,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     units = max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sums = [F.sum(c).alias(c) for c in ("toxic", "plain", "contexts")]
     sent = texts.mapInArrow(_gather(units), BLOBS).repartition("unit")
-    return sent.mapInArrow(_united, WORDS).groupBy("word").agg(F.min("stem").alias("stem"), *sums)
+    return sent.mapInArrow(_united, WORDS).groupBy("word").agg(F.max("stem").alias("stem"), *sums)
 
 
 def _pairs_of(column):
@@ -270,15 +292,25 @@ def _count_known(sent):
                 for known, asked, out in ((pairs, key, tokens), (contexts, previous, seen)):
                     at, there = _place(known, asked)
                     out += np.bincount(at[there], minlength=len(known))
-        for kind, (known, n) in enumerate(((pairs, tokens), (contexts, seen))):
-            at = np.flatnonzero(n)
+        for kind, n in enumerate((tokens, seen)):
+            starts = [k for k in range(0, len(n), CHUNK) if n[k : k + CHUNK].any()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), kind)), pa.array(known[at].view(np.int64)), pa.array(n[at])], names=["kind", "key", "n"]
+                [
+                    pa.array([kind] * len(starts), pa.int64()), pa.array(starts, pa.int64()),
+                    pa.array([n[k : k + CHUNK].tobytes() for k in starts], pa.binary()),
+                ],
+                names=["kind", "start", "counts"],
             )
 
     return run
 
 
+def _add(table: pa.Table) -> pa.Table:
+    """The counts of a chunk, a row a task, added up."""
+    total = sum(np.frombuffer(c.as_py(), np.int64) for c in table["counts"])
+    return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
+
+
 # --- models -----------------------------------------------------------------
 
 
@@ -485,14 +517,14 @@ def _with_pairs(model: Model, steps: list[Steps], texts: DataFrame) -> Model:
     sent = texts.sparkSession.sparkContext.broadcast((pair, contexts))
     counts, totals = [], []
     for label in (1, 0):
-        known = texts.where(F.col("label") == label).select("body").mapInArrow(_count_known(sent), "kind bigint, key bigint, n bigint")
-        table = known.groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
-        kind, key, n = (table[c].to_numpy() for c in ("kind", "key", "n"))
-        for which, keys, out in ((0, pair, counts), (1, contexts, totals)):
-            values = np.zeros(len(keys))
-            mine = kind == which
-            values[np.searchsorted(keys, key[mine].view(np.uint64))] = n[mine]
-            out.append(values)
+        schema = "kind bigint, start bigint, counts binary"
+        known = texts.where(F.col("label") == label).select("body").mapInArrow(_count_known(sent), schema)
+        values = np.zeros(len(pair)), np.zeros(len(contexts))
+        for kind, start, n in known.groupBy("kind", "start").applyInArrow(_add, schema).collect():
+            part = np.frombuffer(n, np.int64)
+            values[kind][start : start + len(part)] = part
+        counts.append(values[0])
+        totals.append(values[1])
     at = np.searchsorted(contexts, previous)
     totals = [t[at] for t in totals]
     own = telling(counts, totals)
