@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,24 +64,58 @@ def test_single_hit_rank_value(spark):
     assert got["rank"] == pytest.approx(0.060793, abs=1e-6)
 
 
-def test_vector_paths_agree(spark, monkeypatch):
-    rng = random.Random(9)
-    items = [(i, i % 3, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(90)] + [(90, 0, [0.0] * 6)]
-    items_df = spark.createDataFrame(items, "development_id bigint, seller_id bigint, embedding array<float>")
-    queries = items_df.where("development_id < 6").select(
-        F.col("development_id").alias("query_id"), "seller_id", "embedding"
-    )
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "development_id bigint, seller_id bigint, embedding array<float>")
 
-    def run():
-        rows = V.nearest(items_df.repartition(4), queries, 31).collect()
-        return {(r.query_id, r.development_id, r.rank_no) for r in rows}, rows
 
-    in_tasks, rows = run()
-    monkeypatch.setattr(V, "MAX_QUERY_VECTORS", 0)
-    joined, _ = run()
-    assert in_tasks == joined
-    assert all(r.distance == pytest.approx(0, abs=1e-6) for r in rows if r.rank_no == 1)
-    assert [r.rank_no for r in rows if r.development_id == 90] == [31, 31]
+def brute_nearest(items, queries, k):
+    found = set()
+    for query, seller, asked in queries:
+        scored = []
+        for item, own, vector in items:
+            if own == seller:
+                a, b = np.array(asked, float), np.array(np.array(vector, "float32"), float)
+                a = np.array(np.array(a, "float32"), float)
+                size = np.linalg.norm(a) * np.linalg.norm(b)
+                scored.append((round(1 - a @ b / size, 9) if size else 9.0, item))
+        found |= {(query, item, n) for n, (_, item) in enumerate(sorted(scored)[:k], 1)}
+    return found
+
+
+@pytest.mark.parametrize("pivots, block, k", [(1, 4096, 5), (8, 7, 5), (40, 16, 31), (300, 3, 1)])
+def test_nearest_equals_brute_force(spark, pivots, block, k):
+    rng = random.Random(pivots)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    items = [(i, i % 3, [x + rng.gauss(0, 0.1) for x in rng.choice(centres)]) for i in range(200)]
+    items += [(200 + i, 0, [0.0] * 6) for i in range(3)] + [(300 + i, 1, items[1][2]) for i in range(20)]
+    items += [(400, 7, [1.0] * 6), (401, 7, [0.0] * 6)]
+    queries = [(i, s, v) for i, s, v in items if i % 4 == 0 or i > 399] + [(1000, 2, [0.0] * 6), (1001, 99, [1.0] * 6)]
+    asked = vectors(spark, queries).withColumnRenamed("development_id", "query_id")
+    rows = V.nearest(vectors(spark, items).repartition(4), asked, k, pivots, block).collect()
+    assert {(r.query_id, r.development_id, r.rank_no) for r in rows} == brute_nearest(items, queries, k)
+    assert all(r.distance is None for r in rows if r.development_id in (200, 201, 202, 401) or r.query_id == 1000)
+
+
+def test_far_balls_are_not_visited(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 32))
+    items = [(i, 1, (centres[i % 20] + rng.normal(size=32) * 0.02).tolist()) for i in range(2000)]
+    table = vectors(spark, items)
+    placed = V._placed(table, 60)
+    balls = placed.groupBy("seller_id", "ball").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"))
+    asked = table.where("development_id % 10 = 0").withColumnRenamed("development_id", "query_id")
+    visits = V._visits(asked, balls, V._centres(table, 60), 5)
+    assert visits.join(balls, ["seller_id", "ball"]).agg(F.sum("n")).first()[0] < 0.15 * 200 * 2000
+
+
+def test_tasks_send_k_rows_a_query(spark):
+    rng = random.Random(8)
+    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    items = vectors(spark, rows)
+    queries = items.where("development_id % 4 = 0").withColumnRenamed("development_id", "query_id")
+    plan = V.nearest(items, queries, 5)._jdf.queryExecution().executedPlan().toString()
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line]
+    assert any("Partial" in line for line in limits) and "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_stems_of_published_samples():
@@ -103,15 +138,3 @@ def test_word_forms_match(spark):
         5,
     )
     assert [(r.product_id, r.rank_no) for r in got.orderBy("rank_no").collect()] == [(1, 1), (2, 2)]
-
-
-def test_query_vectors_go_in_blocks_without_a_pair_join(spark):
-    rng = random.Random(8)
-    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
-    items = spark.createDataFrame(rows, "development_id bigint, seller_id bigint, embedding array<float>")
-    queries = items.where("development_id % 4 = 0").withColumnRenamed("development_id", "query_id")
-    whole, blocks = V.nearest(items, queries, 5), V.nearest(items, queries, 5, block=7)
-    ranked = [sorted((r.query_id, r.rank_no, r.development_id) for r in found.collect()) for found in (whole, blocks)]
-    assert ranked[0] == ranked[1] and len(ranked[0]) == 30 * 5
-    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and plan.count("MapInPandas") == 5
