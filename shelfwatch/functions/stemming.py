@@ -1,9 +1,13 @@
-"""English word forms for search: stop words and the Porter2 stemmer (M. F. Porter, Snowball)."""
+"""English word forms for search: a dictionary of stems, made once for a vocabulary.
+
+The rules are those of the Porter2 stemmer (M. F. Porter, Snowball), in order, as
+columns over the table of distinct words. A rule looks for the longest of its
+endings and tells by length whether the ending lies in the region it must lie in.
+"""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 # English stop words of the text search configuration.
 STOP_WORDS = frozenset(
@@ -38,121 +42,78 @@ _STEP_3 = {
 _STEP_4 = (
     "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
 )
-_VOWELS = frozenset("aeiouy")
-_DOUBLES = frozenset("bb dd ff gg mm nn pp rr tt".split())
-_LI_ENDINGS = frozenset("cdeghkmnrt")
+_AFTER_VOWEL = "^.*?[aeiouy][^aeiouy]"  # up to the first vowel and the consonant after it
+_SHORT_END = "^[aeiouy][^aeiouy]$|[^aeiouy][aeiouy][^aeiouywxY]$"
 
 
-def _longest(word: str, suffixes) -> str:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default="")
+def _ending(endings) -> Column:
+    """The longest of some endings that ``stem`` has, else an empty string."""
+    return F.regexp_extract("stem", f"(?:{'|'.join(endings)})$", 0)
 
 
-def _region(word: str, start: int) -> int:
-    """Where the part after the first vowel and following consonant begins."""
-    for i in range(start + 1, len(word)):
-        if word[i] not in _VOWELS and word[i - 1] in _VOWELS:
-            return i + 1
-    return len(word)
+def _by(endings: dict[str, str]) -> Column:
+    """What stands for ``ending``."""
+    return F.create_map(*[F.lit(x) for pair in endings.items() for x in pair])[F.col("ending")]
 
 
-def _has_vowel(text: str) -> bool:
-    return any(c in _VOWELS for c in text)
+def _rule(words: DataFrame, endings, stem: Column) -> DataFrame:
+    """One rule: ``stem`` becomes the given column, which may use ``head`` and ``ending``.
 
+    Without one of the endings, and where the column is null, it stays.
+    """
+    found = words.withColumn("ending", _ending(endings))
+    found = found.withColumn("head", F.expr("substring(stem, 1, length(stem) - length(ending))"))
+    kept = (F.col("ending") == "") | F.col("done")
+    return found.withColumn("stem", F.when(kept, F.col("stem")).otherwise(F.coalesce(stem, F.col("stem"))))
+
+
+def _reaches(region: str) -> Column:
+    return F.length("head") >= F.col(region)
 
-def _short_end(word: str) -> bool:
-    if len(word) == 2:
-        return word[0] in _VOWELS and word[1] not in _VOWELS
-    return (
-        len(word) > 2
-        and word[-1] not in _VOWELS and word[-1] not in "wxY"
-        and word[-2] in _VOWELS and word[-3] not in _VOWELS
-    )
 
+def _regions(words: DataFrame) -> DataFrame:
+    """``stem`` with consonant y as Y, and where its two regions begin."""
+    marked = F.regexp_replace(F.regexp_replace("word", "^y", "Y"), "([aeiouy])y", "$1Y")
+    words = words.withColumn("stem", marked)
+    first = F.length(F.regexp_extract("stem", f"^(?:gener|commun|arsen)|{_AFTER_VOWEL}", 0))
+    words = words.withColumn("r1", F.when(first > 0, first).otherwise(F.length("stem")))
+    second = F.length(F.regexp_extract(F.expr("substring(stem, r1 + 1)"), _AFTER_VOWEL, 0))
+    return words.withColumn("r2", F.when(second > 0, F.col("r1") + second).otherwise(F.length("stem")))
 
-def _plural(word: str) -> str:
-    suffix = _longest(word, ("sses", "ied", "ies", "us", "ss", "s"))
-    if suffix == "sses":
-        return word[:-2]
-    if suffix in ("ied", "ies"):
-        return word[:-2] if len(word) > 4 else word[:-1]
-    if suffix == "s" and _has_vowel(word[:-2]):
-        return word[:-1]
-    return word
-
-
-def _past_and_ing(word: str, r1: int) -> str:
-    suffix = _longest(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
-    head = word[: len(word) - len(suffix)]
-    if suffix in ("eed", "eedly"):
-        return head + "ee" if len(head) >= r1 else word
-    if not suffix or not _has_vowel(head):
-        return word
-    if head.endswith(("at", "bl", "iz")):
-        return head + "e"
-    if head[-2:] in _DOUBLES:
-        return head[:-1]
-    return head + "e" if _short_end(head) and r1 >= len(head) else head
-
-
-def _derived(word: str, r1: int, r2: int) -> str:
-    """Steps 2 to 4: derivational endings inside the word's regions."""
-    suffix = _longest(word, _STEP_2)
-    head = word[: len(word) - len(suffix)]
-    allowed = {"ogi": head.endswith("l"), "li": head[-1:] in _LI_ENDINGS}.get(suffix, True)
-    if suffix and len(head) >= r1 and allowed:
-        word = head + _STEP_2[suffix]
-
-    suffix = _longest(word, _STEP_3)
-    head = word[: len(word) - len(suffix)]
-    if suffix and len(head) >= (r2 if suffix == "ative" else r1):
-        word = head + _STEP_3[suffix]
-
-    suffix = _longest(word, _STEP_4)
-    head = word[: len(word) - len(suffix)]
-    if suffix and len(head) >= r2 and (suffix != "ion" or head[-1:] in ("s", "t")):
-        word = head
-    return word
-
-
-def _final_letter(word: str, r1: int, r2: int) -> str:
-    at = len(word) - 1
-    if word.endswith("e") and (at >= r2 or (at >= r1 and not _short_end(word[:-1]))):
-        return word[:-1]
-    if word.endswith("ll") and at >= r2:
-        return word[:-1]
-    return word
-
-
-def stem(word: str) -> str:
-    """Stem of a lower-case word."""
-    if len(word) <= 2:
-        return word
-    if word in _WHOLE_WORDS:
-        return _WHOLE_WORDS[word]
-    letters = list(word)
-    for i, c in enumerate(letters):
-        if c == "y" and (i == 0 or letters[i - 1] in _VOWELS):
-            letters[i] = "Y"
-    word = "".join(letters)
-    prefix = next((p for p in ("gener", "commun", "arsen") if word.startswith(p)), None)
-    r1 = len(prefix) if prefix else _region(word, 0)
-    r2 = _region(word, r1)
-
-    word = _plural(word)
-    if word in _AFTER_PLURAL:
-        return word
-    word = _past_and_ing(word, r1)
-    if len(word) > 2 and word[-1] in "yY" and word[-2] not in _VOWELS:
-        word = word[:-1] + "i"
-    return _final_letter(_derived(word, r1, r2), r1, r2).replace("Y", "y")
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def english_stems(words: pa.Array) -> pa.Array:
-    """Stems of each word list, stop words left out. A batch stems each word once."""
-    lists = words.to_pylist()
-    stems = {x: stem(x) for w in lists if w for x in w if x not in STOP_WORDS}
-    return pa.array(
-        [None if w is None else [stems[x] for x in w if x in stems] for w in lists],
-        type=pa.list_(pa.string()),
+
+def english_stems(words: DataFrame) -> DataFrame:
+    """(word, stem) for the distinct lower-case words of ``words`` (word), stop words left out."""
+    words = words.select("word").where(~F.col("word").isin(*sorted(STOP_WORDS))).distinct()
+    fixed = F.create_map(*[F.lit(x) for pair in _WHOLE_WORDS.items() for x in pair])[F.col("word")]
+    words = words.withColumn("fixed", F.when(F.length("word") <= 2, F.col("word")).otherwise(fixed))
+    words = _regions(words).withColumn("done", F.col("fixed").isNotNull())
+    head, ending, doubles = F.col("head"), F.col("ending"), "(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+
+    plural = (
+        F.when(ending == "sses", F.concat(head, F.lit("ss")))
+        .when(ending.isin("ied", "ies"), F.concat(head, F.when(F.length(head) > 1, "i").otherwise("ie")))
+        .when((ending == "s") & F.expr("substring(head, 1, length(head) - 1)").rlike("[aeiouy]"), head)
+    )
+    words = _rule(words, ["sses", "ied", "ies", "us", "ss", "s"], plural)
+    words = words.withColumn("done", F.col("done") | F.col("stem").isin(*sorted(_AFTER_PLURAL)))
+
+    past = F.when(ending.startswith("eed"), F.when(_reaches("r1"), F.concat(head, F.lit("ee")))).when(
+        head.rlike("[aeiouy]"),
+        F.when(head.rlike("(?:at|bl|iz)$"), F.concat(head, F.lit("e")))
+        .when(head.rlike(doubles), F.expr("substring(head, 1, length(head) - 1)"))
+        .when(head.rlike(_SHORT_END) & (F.length(head) <= F.col("r1")), F.concat(head, F.lit("e")))
+        .otherwise(head),
     )
+    words = _rule(words, ["eed", "eedly", "ed", "edly", "ing", "ingly"], past)
+    words = _rule(words, ["(?<=.[^aeiouy])[yY]"], F.concat(head, F.lit("i")))
+
+    fits = F.when(ending == "ogi", head.endswith("l")).when(ending == "li", head.rlike("[cdeghkmnrt]$")).otherwise(True)
+    words = _rule(words, _STEP_2, F.when(_reaches("r1") & fits, F.concat(head, _by(_STEP_2))))
+    region = F.when(ending == "ative", F.col("r2")).otherwise(F.col("r1"))
+    words = _rule(words, _STEP_3, F.when(F.length(head) >= region, F.concat(head, _by(_STEP_3))))
+    words = _rule(words, _STEP_4, F.when(_reaches("r2") & ((ending != "ion") | head.rlike("[st]$")), head))
+
+    last = F.when(ending == "e", F.when(_reaches("r2") | (_reaches("r1") & ~head.rlike(_SHORT_END)), head))
+    last = last.when(_reaches("r2") & head.endswith("l"), head)
+    words = _rule(words, ["e", "l"], last)
+    return words.select("word", F.coalesce("fixed", F.translate("stem", "Y", "y")).alias("stem"))

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import text as X
-from ..functions.binding import let
 from ..functions.ranking import top_n
 from ..functions.stemming import english_stems
 
@@ -40,19 +39,15 @@ def _term_weight(times: Column) -> Column:
     return F.round(scaled).cast("bigint")
 
 
-def weighted_terms(name: Column) -> Column:
-    """Distinct word stems of a name's keywords, sorted, each with its weight."""
+def weighted_terms(texts: DataFrame) -> DataFrame:
+    """(text, terms) of the distinct texts of ``texts`` (text): their word stems, sorted, with weights.
 
-    def weigh(words: Column) -> Column:
-        return F.transform(
-            F.array_sort(F.array_distinct(words)),
-            lambda t: F.struct(
-                t.alias("term"),
-                _term_weight(F.size(F.filter(words, lambda w: w == t))).alias("weight"),
-            ),
-        )
-
-    return let(english_stems(X.keywords(name)), weigh)
+    The words' stems come from one dictionary of all distinct words.
+    """
+    words = texts.distinct().select("text", F.explode(X.keywords(F.col("text"))).alias("word"))
+    counted = words.join(english_stems(words), "word").groupBy("text", "stem").agg(F.count(F.lit(1)).alias("times"))
+    term = F.struct(F.col("stem").alias("term"), _term_weight(F.col("times")).alias("weight"))
+    return counted.groupBy("text").agg(F.array_sort(F.collect_list(term)).alias("terms"))
 
 
 def _subsets(terms: Column) -> Column:
@@ -70,7 +65,7 @@ def _subsets(terms: Column) -> Column:
     return F.transform(masks, pick)
 
 
-def _candidates(products: DataFrame, k: int) -> DataFrame:
+def _candidates(products: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """At most ``k`` products (lowest ids) per seller and name; equal names rank alike."""
     few = top_n(
         products.select("product_id", "seller_id", "name"),
@@ -78,10 +73,9 @@ def _candidates(products: DataFrame, k: int) -> DataFrame:
         [F.col("product_id")],
         k,
     )
-    terms = few.select(
-        "product_id", F.col("seller_id").alias("found_seller"), weighted_terms(F.col("name")).alias("terms")
+    return few.withColumnRenamed("name", "text").join(terms, "text").select(
+        "product_id", F.col("seller_id").alias("found_seller"), "terms"
     )
-    return terms.where(F.size("terms") > 0)
 
 
 def rank_matches(queries: DataFrame, products: DataFrame, k: int) -> DataFrame:
@@ -91,10 +85,10 @@ def rank_matches(queries: DataFrame, products: DataFrame, k: int) -> DataFrame:
     leaves out nobody). A query without keywords has no results. Gives
     query_key, product_id, rank and rank_no.
     """
-    wanted = queries.select(
-        "query_key", "own_seller", weighted_terms(F.col("text")).alias("terms")
-    ).where(F.size("terms") > 0)
-    candidates = _candidates(products, k)
+    texts = queries.select("text").unionByName(products.select(F.col("name").alias("text")))
+    terms = weighted_terms(texts)
+    wanted = queries.join(terms, "text").select("query_key", "own_seller", "terms")
+    candidates = _candidates(products, terms, k)
     long_name = F.size("terms") > MAX_SUBSET_TERMS
 
     filed = candidates.where(~long_name).select(
