@@ -29,9 +29,8 @@ def _stream(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
-    """Feed keys after dedup; which of two equal keys arrives first is not fixed."""
-    stored = O.store_without_duplicates(_stream(spark, sf_dir), "3650 days")
-    return stored.where("source = 'internal_feed'").select("product_id", "observed_at")
+    """Stored observations of both sources, all columns."""
+    return portable(O.store_without_duplicates(_stream(spark, sf_dir), OBSERVATION_ORDER))
 
 
 def stream_latest_price(spark, sf_dir):
@@ -39,7 +38,7 @@ def stream_latest_price(spark, sf_dir):
 
 
 def stream_price_change(spark, sf_dir):
-    return portable(O.maintain_changes(_stream(spark, sf_dir), OBSERVATION_ORDER, buckets=64))
+    return portable(O.maintain_changes(_stream(spark, sf_dir), OBSERVATION_ORDER))
 
 
 QUERIES = {f.__name__: f for f in (stream_dedup, stream_latest_price, stream_price_change)}
@@ -49,7 +48,9 @@ _DESC = ", ".join(f"{c} DESC" for c in OBSERVATION_ORDER)
 ORACLES = {
     "stream_dedup": oracle(
         ["observations"],
-        "SELECT DISTINCT product_id, observed_at FROM observations WHERE source = 'internal_feed'",
+        f"""SELECT * REPLACE (CAST(price AS DOUBLE) AS price) FROM observations
+            QUALIFY source <> 'internal_feed' OR row_number() OVER (
+                PARTITION BY product_id, observed_at, source ORDER BY {", ".join(OBSERVATION_ORDER)}) = 1""",
     ),
     "stream_latest_price": PRICE_ORACLES["latest_price"],
     "stream_price_change": oracle(

@@ -1,93 +1,179 @@
-"""Streams over price observations: dedup, latest price, price changes."""
+"""Streams over price observations: dedup, latest price, price changes.
+
+Streams write to stores in the shared folder. Every write carries the number of its
+micro-batch, and a batch that is replayed after a failure overwrites only its own.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
 from ..session import scratch_path
 from ..sources.sinks import OBSERVATION_KEY
 
 BATCH = "batch_id"
+MONTH = "month"
+BUCKETS = 64  # parts of a latest table
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, with changes instead of whole snapshots written for each batch."""
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def run_to_end(stream: DataFrame, path: str, write, mode: str = "append") -> None:
     """Process everything available through ``write(batch, batch_id)`` and stop."""
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .outputMode(mode)
-        .option("checkpointLocation", f"{path}-checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
+    with _rocks(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(write)
+            .outputMode(mode)
+            .option("checkpointLocation", f"{path}-checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        try:
+            query.awaitTermination()
+        finally:
+            query.stop()
+
+
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a pattern, without their files being listed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return [f.getPath().toString() for f in found or []]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+# --- dedup ---------------------------------------------------------------------
 
 
-def batch_writer(path: str):
-    """A sink that writes each micro-batch to its own directory.
+def dedup_writer(path: str, order: list[str]):
+    """A sink that stores feed readings once per key and crawled rows as they are.
 
-    A batch that is replayed after a failure overwrites its own directory only.
+    Of equal keys the first batch to bring one counts, within a batch the first
+    row by ``order``, a total order. The store is partitioned by the month of the
+    observation inside each batch's folder; equal keys have equal months, so a
+    batch is compared with the stored rows of its own months only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        spark = batch.sparkSession
+        batch = batch.withColumn(MONTH, F.date_format("observed_at", "yyyy-MM")).persist()
+        is_feed = F.coalesce(F.col("source") == K.FEED_SOURCE, F.lit(False))
+        feed, crawled = batch.where(is_feed), batch.where(~is_feed)
+        rest = [c for c in batch.columns if c not in OBSERVATION_KEY]
+        first = F.min_by(F.struct(*rest), F.struct(*order)).alias("first")
+        fresh = feed.groupBy(*OBSERVATION_KEY).agg(first).select(*OBSERVATION_KEY, "first.*")
+        stored = stored_months(spark, path, feed, batch_id)
+        if stored is not None:
+            fresh = _without(fresh, stored.where(F.col("source") == K.FEED_SOURCE).select(*OBSERVATION_KEY))
+        found = fresh.unionByName(crawled)
+        found.write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/{BATCH}={batch_id}")
+        batch.unpersist()
 
     return write
 
 
-def dedup_writer(path: str):
-    """Like ``batch_writer``, but skips feed readings stored by earlier batches.
+def _without(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    known = stored.select(*[F.col(c).alias(f"stored_{c}") for c in OBSERVATION_KEY])
+    same = [F.col(c).eqNullSafe(F.col(f"stored_{c}")) for c in OBSERVATION_KEY]
+    return rows.join(known, same, "left_anti")
+
+
+def stored_months(spark: SparkSession, path: str, batch: DataFrame, batch_id: int) -> DataFrame | None:
+    """What other batches have stored for the months of ``batch``; no other folder is opened."""
+    months = [r[0] for r in batch.select(MONTH).distinct().collect()]  # one a calendar month
+    names = ",".join(re.escape(m) if m else "__HIVE_DEFAULT_PARTITION__" for m in months)
+    if not names:
+        return None
+    folders = _folders(spark, f"{path}/{BATCH}=*/{MONTH}={{{names}}}")
+    folders = [f for f in folders if f"/{BATCH}={batch_id}/" not in f]
+    schema = batch.drop(MONTH).schema
+    return spark.read.schema(schema).parquet(*folders) if folders else None
+
+
+def store_without_duplicates(stream: DataFrame, order: list[str], path: str | None = None) -> DataFrame:
+    """Run the dedup stream into a store and return the stored observations, all columns."""
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "stream-dedup")
+    run_to_end(stream, path, dedup_writer(path, order))
+    if not _folders(spark, f"{path}/{BATCH}=*/{MONTH}=*"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+# --- latest tables ---------------------------------------------------------------
 
-    The stream drops duplicates within the watermark; this catches those that
-    arrive after it has passed.
+
+def latest_writer(path: str, key: str = "product_id", buckets: int = BUCKETS):
+    """A sink that keeps the last version of every key in a table cut in ``buckets`` by hash.
+
+    A batch rewrites the buckets of the keys it brings, under its own number, from
+    their newest earlier versions. Those stay until the next batch, so a batch
+    can be replayed; older ones are deleted. The table is read by ``current``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch
-        if _exists(spark, path):
-            stored = spark.read.parquet(path).where(
-                (F.col(BATCH) != batch_id) & (F.col("source") == K.FEED_SOURCE)
-            )
-            fresh = batch.join(stored.select(*OBSERVATION_KEY), OBSERVATION_KEY, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r[0] for r in batch.select("bucket").distinct().collect())  # at most ``buckets``
+        versions = _versions(spark, path)
+        earlier = {b: [v for v in versions.get(b, []) if v < batch_id] for b in touched}
+        rows, old = batch, [f"{path}/version={max(v)}/bucket={b}" for b, v in earlier.items() if v]
+        if old:
+            stored = spark.read.option("basePath", path).schema(batch.schema).parquet(*old)
+            known = batch.select(F.col(key).alias("new_key"))
+            rows = batch.unionByName(stored.select(*batch.columns).join(
+                known, F.col(key).eqNullSafe(F.col("new_key")), "left_anti"))
+        if touched:
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={batch_id}")
+        batch.unpersist()
+        for bucket, found in earlier.items():
+            for version in sorted(found)[:-1]:
+                _delete(spark, f"{path}/version={version}/bucket={bucket}")
 
     return write
 
 
-def without_duplicates(stream: DataFrame, watermark: str) -> DataFrame:
-    """First feed reading per key within the watermark; crawled rows pass unchanged."""
-    timed = stream.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    feed = (
-        timed.where(F.col("source") == K.FEED_SOURCE)
-        .withWatermark("observed_at", watermark)
-        .dropDuplicatesWithinWatermark(OBSERVATION_KEY)
-    )
-    return feed.unionByName(timed.where(F.col("source") != K.FEED_SOURCE))
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Bucket -> batches that have written it; at most two for each bucket."""
+    out: dict[int, list[int]] = {}
+    for folder in _folders(spark, f"{path}/version=*/bucket=*"):
+        version, bucket = re.search(r"version=(\d+)/bucket=(\d+)$", folder).groups()
+        out.setdefault(int(bucket), []).append(int(version))
+    return out
 
 
-def store_without_duplicates(stream: DataFrame, watermark: str, path: str | None = None) -> DataFrame:
-    """Run the dedup stream into a store and return the stored observations."""
-    spark = stream.sparkSession
-    path = path or scratch_path(spark, "stream-dedup")
-    run_to_end(without_duplicates(stream, watermark), path, dedup_writer(path))
-    stored = spark.read.parquet(path).drop(BATCH)
-    return stored.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A latest table as of now: every key is read once."""
+    newest = [f"{path}/version={max(v)}/bucket={b}" for b, v in sorted(_versions(spark, path).items())]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
 
 
 def latest_prices(stream: DataFrame, order: list[str]) -> DataFrame:
@@ -100,80 +186,79 @@ def latest_prices(stream: DataFrame, order: list[str]) -> DataFrame:
     return stream.groupBy("product_id").agg(newest).select("product_id", "newest.*")
 
 
-def current(spark: SparkSession, path: str, key: str = "product_id") -> DataFrame:
-    """The last written version of every key of a ``batch_writer`` store."""
-    stored = spark.read.parquet(path)
-    columns = [c for c in stored.columns if c not in (key, BATCH)]
-    last = F.max_by(F.struct(*columns), F.col(BATCH)).alias("last")
-    return stored.groupBy(key).agg(last).select(key, "last.*")
-
-
 def maintain_latest(stream: DataFrame, order: list[str], path: str | None = None) -> DataFrame:
-    """Run the latest-price stream into a store and return the current table."""
+    """Run the latest-price stream into a latest table and return it."""
     path = path or scratch_path(stream.sparkSession, "stream-latest")
-    run_to_end(latest_prices(stream, order), path, batch_writer(path), mode="update")
-    return current(stream.sparkSession, path)
+    latest = latest_prices(stream, order)
+    run_to_end(latest, path, latest_writer(path), mode="update")
+    return current(stream.sparkSession, path, latest.schema)
 
 
-def _update_bucket(order: list[str], schema: pa.Schema):
-    """Keep the two newest rows of every product of a bucket.
+# --- price changes ---------------------------------------------------------------
 
-    The state of a bucket is one small table, merged column-wise with whatever
-    arrives, so the Python cost is per batch and not per product.
-    """
 
-    def two_newest(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(order).groupby("product_id", sort=False).tail(2)
+class LastTwo(StatefulProcessor):
+    """Product -> its two newest rows, the newer one first; one value a product."""
+
+    def __init__(self, row: T.StructType, order: list[str]):
+        self.row, self.order = row, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        value = T.StructType()
+        for name in ("newest", "before"):
+            for field in self.row:
+                value.add(f"{name}_{field.name}", field.dataType)
+        self.held = handle.getValueState("held", value.add("both", T.BooleanType()))
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pa.ipc.open_stream(bytes(state.get[0])).read_pandas() if state.exists else None
-        seen = []
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        names, found = self.row.names, [tuple(r[c] for c in self.row.names) for r in rows]
+        held = self.held.get()
+        if held is not None:
+            n = len(names)
+            found += [tuple(held[:n])] + ([tuple(held[n : 2 * n])] if held[2 * n] else [])
+        place = [names.index(c) for c in self.order]
+        found.sort(key=lambda r: tuple((r[k] is not None, r[k]) for k in place), reverse=True)
+        newest, before = found[0], found[1] if len(found) > 1 else None
+        self.held.update((*newest, *(before or [None] * len(names)), before is not None))
+        price = names.index("price")
+        yield Row(
+            product_id=key[0], latest_price=newest[price], previous_price=before[price] if before else None,
+            latest_at=newest[place[0]],
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def _two_newest(order: list[str]):
+    """Of the rows of a batch the two newest of every product."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch[schema.names]
-            seen.append(rows["product_id"].unique())
-            held = two_newest(rows if held is None else pd.concat([held, rows], ignore_index=True))
-        table = pa.Table.from_pandas(held, schema=schema, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, schema) as writer:
-            writer.write_table(table)
-        state.update((sink.getvalue().to_pybytes(),))
-
-        touched = held[held["product_id"].isin(np.concatenate(seen))]
-        is_newest = ~touched.duplicated("product_id", keep="last")
-        newest = touched.loc[is_newest, ["product_id", "price", order[0]]]
-        before = touched.loc[~is_newest, ["product_id", "price"]]
-        newest.columns = ["product_id", "latest_price", "latest_at"]
-        before.columns = ["product_id", "previous_price"]
-        yield newest.merge(before, on="product_id", how="left")[
-            ["product_id", "latest_price", "previous_price", "latest_at"]
-        ].astype({"previous_price": object}).replace({np.nan: None})
-
-    return update
-
-
-def price_changes(stream: DataFrame, order: list[str], buckets: int = 1024) -> DataFrame:
+            rank = batch[order].apply(lambda c: c.astype(object)) if batch.empty else batch[order]
+            yield batch.loc[rank.sort_values(order, na_position="first").index].groupby(
+                "product_id", sort=False, dropna=False
+            ).tail(2)
+
+    return cut
+
+
+def price_changes(stream: DataFrame, order: list[str]) -> DataFrame:
     """Last against previous observation of every product a batch touches.
 
     The first ``order`` column is the event time. Late rows take their place by
     time, so the result after any split into batches equals the batch query.
-    Products share ``buckets`` states by hash; like the number of shuffle
-    partitions it is fixed for the life of a checkpoint.
+    A product's state is one value in RocksDB, so a trigger costs what the products it
+    touches cost. Tasks send two rows a product and batch at most, so a product
+    with a third of all rows is no heavy key.
     """
-    rows = stream.select("product_id", "price", *order)
-    schema = rows.schema
-    price = schema["price"].dataType.simpleString()
-    output = (
-        f"product_id bigint, latest_price {price}, previous_price {price}, "
-        f"latest_at {schema[order[0]].dataType.simpleString()}"
-    )
-    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets)))
-    changed = bucketed.groupBy("bucket").applyInPandasWithState(
-        _update_bucket(order, to_arrow_schema(schema)),
-        output,
-        "rows binary",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    rows = stream.select("product_id", "price", *order).where("product_id IS NOT NULL")
+    cut = rows.mapInPandas(_two_newest(order), rows.schema)
+    price, at, key = (rows.schema[c].dataType for c in ("price", order[0], "product_id"))
+    output = T.StructType().add("product_id", key).add("latest_price", price)
+    output = output.add("previous_price", price).add("latest_at", at)
+    kept = T.StructType([f for f in rows.schema if f.name != "product_id"])
+    changed = cut.groupBy("product_id").transformWithState(LastTwo(kept, order), output, "update", "none")
     change = F.col("latest_price") - F.col("previous_price")
     share = change.cast("double") / F.col("previous_price").cast("double") * 100
     return changed.withColumn("price_change", change).withColumn(
@@ -181,11 +266,9 @@ def price_changes(stream: DataFrame, order: list[str], buckets: int = 1024) -> D
     )
 
 
-def maintain_changes(
-    stream: DataFrame, order: list[str], path: str | None = None, buckets: int = 1024
-) -> DataFrame:
-    """Run the price-change stream into a store and return the current changes."""
+def maintain_changes(stream: DataFrame, order: list[str], path: str | None = None) -> DataFrame:
+    """Run the price-change stream into a latest table and return it."""
     path = path or scratch_path(stream.sparkSession, "stream-changes")
-    changes = price_changes(stream, order, buckets)
-    run_to_end(changes, path, batch_writer(path), mode="update")
-    return current(stream.sparkSession, path)
+    changes = price_changes(stream, order)
+    run_to_end(changes, path, latest_writer(path), mode="update")
+    return current(stream.sparkSession, path, changes.schema)
