@@ -23,6 +23,7 @@ from .. import constants as K
 from ..functions import text as X
 from ..functions.ranking import top_n
 from ..functions.stemming import english_stems
+from ..session import materialise
 
 MAX_SUBSET_TERMS = 10
 # Ranks are added up as whole numbers in this unit, so sums do not depend on order.
@@ -86,7 +87,7 @@ def rank_matches(queries: DataFrame, products: DataFrame, k: int) -> DataFrame:
     query_key, product_id, rank and rank_no.
     """
     texts = queries.select("text").unionByName(products.select(F.col("name").alias("text")))
-    terms = weighted_terms(texts)
+    terms = materialise(weighted_terms(texts), "name-terms")  # used on both sides, long and short
     wanted = queries.join(terms, "text").select("query_key", "own_seller", "terms")
     candidates = _candidates(products, terms, k)
     long_name = F.size("terms") > MAX_SUBSET_TERMS

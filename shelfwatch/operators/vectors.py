@@ -38,11 +38,12 @@ def nearest(
     id. A vector of no length has no distance and comes last; a query of no
     length gets the lowest ids. Vectors and sellers without a value are left out.
     """
-    placed = _placed(items, pivots)
+    centres = _centres(items, pivots)
+    placed = _placed(items, centres)
     balls = placed.groupBy("seller_id", "ball").agg(
         F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")
     )
-    visits = _visits(queries, balls, _centres(items, pivots), k)
+    visits = _visits(queries, balls, centres, k)
     crowds = visits.groupBy("seller_id", "ball").agg(F.count(F.lit(1)).alias("visitors"))
     sizes = balls.join(crowds, ["seller_id", "ball"]).select(
         "seller_id", "ball",
@@ -94,9 +95,8 @@ def _apart(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (vectors @ centres.T), 0))
 
 
-def _placed(items: DataFrame, pivots: int) -> DataFrame:
+def _placed(items: DataFrame, centres: np.ndarray) -> DataFrame:
     """The items with their ball and their distance from its centre."""
-    centres = _centres(items, pivots)
     sent = items.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

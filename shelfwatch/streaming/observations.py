@@ -20,7 +20,8 @@ from ..sources.sinks import OBSERVATION_KEY
 
 BATCH = "batch_id"
 MONTH = "month"
-BUCKETS = 64  # parts of a latest table
+BUCKETS = 16  # parts of a latest table
+HELD_ROWS = 1 << 18  # rows a task holds while it cuts them down
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -152,7 +153,8 @@ def latest_writer(path: str, key: str = "product_id", buckets: int = BUCKETS):
             rows = batch.unionByName(stored.select(*batch.columns).join(
                 known, F.col(key).eqNullSafe(F.col("new_key")), "left_anti"))
         if touched:
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={batch_id}")
+            dealt = rows.repartition(min(buckets, len(touched)), "bucket")  # a file a bucket
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={batch_id}")
         batch.unpersist()
         for bucket, found in earlier.items():
             for version in sorted(found)[:-1]:
@@ -230,17 +232,27 @@ class LastTwo(StatefulProcessor):
         pass
 
 
-def _two_newest(order: list[str]):
-    """Of the rows of a batch the two newest of every product."""
+def _two_newest(order: list[str], most: int = HELD_ROWS):
+    """Of every ``most`` rows or so of a task the two newest of every product."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rank = batch[order].apply(lambda c: c.astype(object)) if batch.empty else batch[order]
-            yield batch.loc[rank.sort_values(order, na_position="first").index].groupby(
-                "product_id", sort=False, dropna=False
-            ).tail(2)
+    def cut(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        every = pd.concat(rows, ignore_index=True) if len(rows) > 1 else rows[0]
+        newest_last = every.sort_values(order, na_position="first", kind="stable")
+        return newest_last.groupby("product_id", sort=False).tail(2)
 
-    return cut
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= most:
+                yield cut(held)
+                held, n = [], 0
+        if held:
+            yield cut(held)
+
+    return run
 
 
 def price_changes(stream: DataFrame, order: list[str]) -> DataFrame:

@@ -106,7 +106,7 @@ def test_far_balls_are_not_visited(spark):
     centres = rng.normal(size=(20, 32))
     items = [(i, 1, (centres[i % 20] + rng.normal(size=32) * 0.02).tolist()) for i in range(2000)]
     table = vectors(spark, items)
-    placed = V._placed(table, 60)
+    placed = V._placed(table, V._centres(table, 60))
     balls = placed.groupBy("seller_id", "ball").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"))
     asked = table.where("development_id % 10 = 0").withColumnRenamed("development_id", "query_id")
     visits = V._visits(asked, balls, V._centres(table, 60), 5)
