@@ -33,6 +33,7 @@ equal when their SHA-256 is.
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from shelfwatch.llm import words as W
 from shelfwatch.session import scratch_path
 
 FILTERS = "ABCDE"
@@ -71,6 +73,7 @@ def failures(text: bytes) -> int:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest and failures of the texts in the last column."""
+    W.tidy()
     for batch in batches:
         for k in range(0, max(batch.num_rows, 1), 256):  # a copy of so many texts at a time
             rows = batch.slice(k, 256)
@@ -87,13 +90,16 @@ def _reduced(buckets: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy()
         for batch in batches:
             if not batch.num_rows:
                 continue
             names = batch.schema.names
-            rows = pa.Table.from_batches([batch]).group_by(names).aggregate([([], "count_all")])
-            least = rows.group_by("key").aggregate([("id", "min")])
-            rows = rows.join(least, "key").to_pandas(ignore_metadata=True, integer_object_nulls=True)
+            # one thread, as others would each keep memory of their own
+            rows = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")])
+            least = rows.group_by("key", use_threads=False).aggregate([("id", "min")])
+            rows = rows.join(least, "key", use_threads=False)
+            rows = rows.to_pandas(ignore_metadata=True, integer_object_nulls=True, use_threads=False)
             known = rows["id"].notna()
             first = known & (rows["id"] == rows["id_min"])
             rows["mask"] += np.where(known & ~first, COPY, 0)
@@ -107,7 +113,7 @@ def _reduced(buckets: int):
                 if len(part):
                     part = part.rename(columns={"count_all": "n"})[["bucket", *names, "n"]]
                     schema = [("bucket", pa.int64()), *((f.name, f.type) for f in batch.schema), ("n", pa.int64())]
-                    yield pa.RecordBatch.from_pandas(part, schema=pa.schema(schema), preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(part, schema=pa.schema(schema), preserve_index=False, nthreads=1)
 
     return run
 
@@ -117,6 +123,8 @@ STATE = ["key", "id", "mask", "good", "toxic", "part", "n"]
 
 def _least_ids(bucket, frames, state):
     """Texts of a bucket -> their least ids and those documents' rows by part; gives the changes of the counters."""
+    if random.random() < 0.02:  # groups are many and small, workers are used again
+        W.tidy()
     change: Counter = Counter()
     known: dict[str, tuple] = {}  # text -> id, (mask, good, toxic), rows by part
     if state.exists:
