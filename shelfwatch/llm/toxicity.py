@@ -435,8 +435,8 @@ def _total(sent):
 
 
 def events_of(counts: DataFrame) -> DataFrame:
-    """(level, event, before, toxic, plain, contexts) of all steps of the counted words."""
-    ways = []
+    """(level, event, before, toxic, plain, contexts) of the steps that labelled texts have; level -1 is the sum of all words."""
+    ways = [F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("event"), F.lit(0).cast("bigint").alias("before"))]
     before = F.lit(0).cast("bigint")
     for level, size in enumerate(STEPS):
         event = F.col("stem").bitwiseAND(F.lit((1 << (8 * size)) - 1))
@@ -445,10 +445,11 @@ def events_of(counts: DataFrame) -> DataFrame:
             F.lit(level).alias("level"), event.alias("event"), before.alias("before"))))
         before = event
     whole = F.struct(F.lit(len(STEPS)).alias("level"), F.col("word").alias("event"), before.alias("before"))
-    ways.append(F.when(F.shiftright("stem", 8 * (STEPS[-1] - 1)) > 0, whole))
+    known = F.col("toxic") + F.col("plain") > 0  # other words only add to the steps before them
+    ways.append(F.when(known & (F.shiftright("stem", 8 * (STEPS[-1] - 1)) > 0), whole))
     sums = [F.sum(c).alias(c) for c in ("toxic", "plain", "contexts")]
     each = counts.select(F.explode(F.array_compact(F.array(*ways))).alias("step"), "toxic", "plain", "contexts")
-    return each.groupBy("step.level", "step.event").agg(F.min("step.before").alias("before"), *sums)
+    return each.groupBy("step.level", "step.event").agg(F.min("step.before").alias("before"), *sums).where("toxic + plain > 0")
 
 
 class Steps(NamedTuple):
@@ -459,11 +460,11 @@ class Steps(NamedTuple):
 
 def _learn(counts: DataFrame) -> tuple[Model | None, list[Steps]]:
     """The differences of the steps that either class has, from the counts of all words."""
-    events = materialise(events_of(counts), "steps")
-    around = events.groupBy("level", "before").agg(F.sum("contexts").alias("around"))
-    own = materialise(events.where("toxic + plain > 0").join(around, ["level", "before"]), "class-steps")
+    own = materialise(events_of(counts), "class-steps")
+    total = own.where("level = -1").select("contexts").collect()
     out: dict[str, list] = {name: [] for name in ("event", "ratio", "before", "other")}
     steps, seen = [Steps(np.array([ROOT]), np.zeros(1), np.zeros(1))], np.zeros(2, np.int64)
+    contexts = np.array([total[0][0] if total else 0])
     for level in range(LEVELS):  # one at a time: the driver holds few full tables
         found = own.where(F.col("level") == level).drop("level").toArrow()
         column = {name: found[name].to_numpy() for name in found.column_names}
@@ -473,7 +474,10 @@ def _learn(counts: DataFrame) -> tuple[Model | None, list[Steps]]:
         before, at = np.unique(above, return_inverse=True)
         if not level:
             seen += [column["toxic"].sum(), column["plain"].sum()]
-        toxic, plain = ratio_of(at, column["toxic"], column["plain"], column["contexts"], column["around"])
+        # all words that have a step go on to a next one, so its contexts are those of all its next ones
+        around = _find(steps[-1].event, contexts, above)[0]
+        toxic, plain = ratio_of(at, column["toxic"], column["plain"], column["contexts"], around)
+        contexts = column["contexts"]
         out["event"].append(event)
         out["ratio"].append(np.clip(toxic - plain, -60, 60).astype(np.float32))
         out["before"].append(before)
