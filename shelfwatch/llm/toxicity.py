@@ -55,7 +55,7 @@ from shelfwatch.session import materialise
 
 STEPS = (4, 6)  # bytes of a word's beginnings; the whole word follows
 LEVELS = len(STEPS) + 1
-WIDTH = 1 << 20  # distinct pairs a task holds before it sends them
+WIDTH = 1 << 21  # distinct pairs a task holds before it sends them
 SAMPLE = 200_000
 DISCOUNT = 0.75
 CUTOFF, PAIRS, SIGMAS = 6, 1 << 22, 4
@@ -211,7 +211,7 @@ def _gather(units: int):
                 sums = [np.bincount(found.number[kind == one], minlength=len(found.hash)) for one in (1, 0)]
                 codes = found.number.astype(np.uint64) << np.uint64(32) | W.mix(found.previous) >> np.uint64(32)
                 parts.append((found.hash, found.stem, *sums, np.unique(codes)))
-                if sum(len(p[4]) for p in parts) > 1.25 * WIDTH:
+                if sum(len(p[4]) for p in parts) > 1.5 * WIDTH:
                     parts = [_merged(parts)]
                     if len(parts[0][4]) > WIDTH:
                         yield from _sent(parts, units)
