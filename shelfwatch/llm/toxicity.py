@@ -99,7 +99,11 @@ class Distinct(NamedTuple):
 
 
 def distinct(words: W.Words) -> Distinct:
-    hashes, at, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    order = np.argsort(words.hash)
+    new = np.append(True, np.diff(words.hash[order]) != 0)[: len(order)]
+    at, number = order[new], np.empty(len(order), np.int64)  # any place of a word will do: its bytes are the same
+    number[order] = np.cumsum(new) - 1
+    hashes = words.hash[at]
     start, end = words.start[at], words.end[at]
     stem = np.zeros(len(at), np.uint64)
     for k in range(STEPS[-1]):
@@ -138,7 +142,7 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     sums = [np.bincount(at, c, len(hashes)).astype(np.int64) for c in (toxic, plain)]
     stem = np.zeros(len(hashes), np.uint64)
     np.maximum.at(stem, at, stems)
-    return hashes, stem, *sums, np.unique(np.concatenate(codes))
+    return hashes, stem, *sums, W.unique(np.concatenate(codes))
 
 
 def _blobs(merged: tuple[np.ndarray, ...], units: int):
@@ -210,7 +214,7 @@ def _gather(units: int):
                 found, kind = distinct(words), label[row:stop][words.owner()]
                 sums = [np.bincount(found.number[kind == one], minlength=len(found.hash)) for one in (1, 0)]
                 codes = found.number.astype(np.uint64) << np.uint64(32) | W.mix(found.previous) >> np.uint64(32)
-                parts.append((found.hash, found.stem, *sums, np.unique(codes)))
+                parts.append((found.hash, found.stem, *sums, W.unique(codes)))
                 if sum(len(p[4]) for p in parts) > 1.25 * WIDTH:
                     parts = [_merged(parts)]
                     if len(parts[0][4]) > WIDTH:

@@ -94,6 +94,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unique(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted: many times faster than the hash table numpy builds for them."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.append(True, values[1:] != values[:-1]))] if len(values) else values
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the offsets of its texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
