@@ -146,9 +146,10 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _blobs(merged: tuple[np.ndarray, ...], units: int):
-    """Rows (unit, words, pairs, their packed columns) of a task's words.
+    """Rows (unit, words, distinct words before, pairs, their packed columns) of a task's words.
 
-    The columns: words, stems, tokens of both classes, number of words before, these.
+    The columns: words, stems, tokens of both classes, number of pairs, distinct words before, each pair's
+    place among these. Words and words before are sorted; what is sent is how far each lies from the last.
     """
     hashes, stems, toxic, plain, codes = merged
     number, before = (codes >> np.uint64(32)).astype(np.int64), codes & np.uint64(0xFFFFFFFF)
@@ -166,7 +167,10 @@ def _blobs(merged: tuple[np.ndarray, ...], units: int):
     for a, b in zip(edges, np.append(edges[1:], len(at))):
         low = new[a]
         high = new[b] if b < len(new) else len(before)
-        yield (int(at[a]), int(b - a), int(high - low), _packed([*(c[a:b].astype(np.int64) for c in columns), before[low:high]]))
+        seen, place = np.unique(before[low:high], return_inverse=True)
+        steps = np.diff(columns[0][a:b], prepend=np.uint64(0)), np.diff(seen, prepend=np.uint32(0))
+        packed = _packed([steps[0], *(c[a:b].astype(np.int64) for c in columns[1:]), steps[1], place.astype(np.uint32)])
+        yield int(at[a]), int(b - a), len(seen), int(high - low), packed
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -175,17 +179,18 @@ def _packed(columns: list[np.ndarray]) -> bytes:
     return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
-def _unpacked(blob: bytes, words: int, pairs: int) -> list[np.ndarray]:
-    raw = pa.decompress(blob, 40 * words + 4 * pairs, codec="zstd", asbytes=True)
-    parts = [(k * 8 * words, 8, words, np.int64) for k in range(5)] + [(40 * words, 4, pairs, np.uint32)]
+def _unpacked(blob: bytes, words: int, befores: int, pairs: int) -> list[np.ndarray]:
+    raw = pa.decompress(blob, 40 * words + 4 * befores + 4 * pairs, codec="zstd", asbytes=True)
+    parts = [(k * 8 * words, 8, words, np.int64) for k in range(5)]
+    parts += [(40 * words, 4, befores, np.uint32), (40 * words + 4 * befores, 4, pairs, np.uint32)]
     out = []
     for start, width, n, kind in parts:
         planes = np.frombuffer(raw, np.uint8, width * n, start).reshape(width, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-    return out
+    return [np.cumsum(out[0].view(np.uint64)), *out[1:5], np.cumsum(out[5], dtype=np.uint32)[out[6]]]
 
 
-BLOBS = "unit bigint, words bigint, pairs bigint, packed binary"
+BLOBS = "unit bigint, words bigint, befores bigint, pairs bigint, packed binary"
 
 
 def _sent(parts, units: int):
@@ -195,7 +200,7 @@ def _sent(parts, units: int):
         for k in range(0, len(rows), 64):
             columns = list(zip(*rows[k : k + 64]))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=names
+                [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=names
             )
 
 
@@ -243,11 +248,11 @@ def _united(batches):
             )
 
     for batch in batches:
-        for n, pairs, blob in zip(*(c.to_pylist() for c in batch.columns[1:])):
-            hashes, stems, toxic, plain, sizes, before = _unpacked(blob, n, pairs)
+        for n, befores, pairs, blob in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            hashes, stems, toxic, plain, sizes, before = _unpacked(blob, n, befores, pairs)
             number = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
             codes = number << np.uint64(32) | before.astype(np.uint64)
-            parts.append((hashes.view(np.uint64), stems.view(np.uint64), toxic, plain, codes))
+            parts.append((hashes, stems.view(np.uint64), toxic, plain, codes))
             if sum(len(p[4]) for p in parts) > max(WIDTH, 2 * len(parts[0][4])):
                 parts = [_merged(parts)]
     if parts:
