@@ -81,20 +81,36 @@ def sitemap_roots(robots: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-_SITEMAP_SCHEMA = "url array<struct<loc: string>>, sitemap array<struct<loc: string>>"
+_SITEMAP_SCHEMA = ", ".join(
+    f"`{prefix}{entry}` array<struct<`{prefix}loc`: string>>" for prefix in ("", "smap:") for entry in ("url", "sitemap")
+)
+_ROOT = r"<(?:([A-Za-z_][\w.-]*):)?(?:urlset|sitemapindex)\b([^>]*)>"
 
 
 def sitemap_locs(documents: DataFrame) -> DataFrame:
     """(sitemap_url, pos, loc, is_index) of stored sitemaps; malformed ones give none.
 
-    ``documents``: sitemap_url, xml. A root element outside the sitemap
-    namespace gives none either.
+    ``documents``: sitemap_url, xml. The sitemap namespace may be the default one or
+    have a prefix. A root element outside it gives none, nor do entries outside it.
     """
-    root = F.regexp_extract("xml", r"<(?:urlset|sitemapindex)\b([^>]*)>", 1)
-    named = F.regexp_extract(root, r"""xmlns\s*=\s*["']([^"']*)["']""", 1) == K.SITEMAP_NAMESPACE
-    parsed = documents.where(named).withColumn("x", F.from_xml("xml", F.lit(_SITEMAP_SCHEMA)))
-    is_index = F.col("x.sitemap").isNotNull()
-    entries = F.when(is_index, F.col("x.sitemap.loc")).otherwise(F.col("x.url.loc"))
+    prefix, declared = F.regexp_extract("xml", _ROOT, 1), F.regexp_extract("xml", _ROOT, 2)
+    own = F.when(prefix == "", "").otherwise(F.concat(F.lit(r":\Q"), prefix, F.lit(r"\E")))
+    value = F.concat(F.lit(r"(?:^|\s)xmlns"), own, F.lit(r"""\s*=\s*["']([^"']*)["']"""))
+    named = F.call_function("regexp_extract", declared, value, F.lit(1)) == K.SITEMAP_NAMESPACE
+    # A prefix is a free name, so it is spelt in one way for the parser.
+    tag = F.concat(F.lit(r"(</?)\Q"), prefix, F.lit(r"\E:"))
+    spelt = F.when(prefix == "", F.col("xml")).otherwise(
+        F.call_function("regexp_replace", F.col("xml"), tag, F.lit("$1smap:"))
+    )
+    parsed = documents.where(named).select(
+        "sitemap_url", (prefix == "").alias("plain"), F.from_xml(spelt, F.lit(_SITEMAP_SCHEMA)).alias("x")
+    )
+    entry = {
+        name: F.when(F.col("plain"), F.col(f"x.{name}.loc")).otherwise(F.col(f"x.`smap:{name}`.`smap:loc`"))
+        for name in ("url", "sitemap")
+    }
+    is_index = entry["sitemap"].isNotNull()
+    entries = F.when(is_index, entry["sitemap"]).otherwise(entry["url"])
     rows = parsed.select(
         "sitemap_url", is_index.alias("is_index"), F.posexplode(entries).alias("pos", "loc")
     )

@@ -116,8 +116,11 @@ def sitemap_roots(spark, sf_dir):
     return L.sitemap_roots(robots, robots.select("site", base.alias("base_url")))
 
 
+# Every second url set has its names under a prefix.
 _SITEMAPS = """
-    SELECT s_suppkey, 'https://s.example/' || CAST(s_suppkey AS STRING) || '.xml' AS sitemap_url,
+    SELECT sitemap_url, CASE WHEN s_suppkey % 8 = 6
+        THEN replace(regexp_replace(xml, '<(/?)([a-z])', '<$1sm:$2'), 'xmlns=', 'xmlns:sm=') ELSE xml END AS xml
+    FROM (SELECT s_suppkey, 'https://s.example/' || CAST(s_suppkey AS STRING) || '.xml' AS sitemap_url,
         CASE s_suppkey % 4
         WHEN 0 THEN '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
              || '<sitemap><loc>' || s_name || '</loc></sitemap></sitemapindex>'
@@ -127,12 +130,12 @@ _SITEMAPS = """
              || '</url><url><loc>' || s_name || '</loc></url></urlset>'
         ELSE CASE WHEN s_suppkey % 8 = 3 THEN '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"></urlset>'
              ELSE '<urlset><url><loc>/outside-the-namespace</loc></url></urlset>' END END AS xml
-    FROM {supplier}"""
+    FROM {supplier})"""
 
 
 def sitemap_locs(spark, sf_dir):
     documents = spark.sql(_SITEMAPS, supplier=table(spark, sf_dir, "supplier"))
-    return L.sitemap_locs(documents.select("sitemap_url", "xml"))
+    return L.sitemap_locs(documents)
 
 
 # Sitemap tree: region index -> nation index -> supplier url set -> page urls,

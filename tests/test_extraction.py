@@ -333,6 +333,27 @@ def test_product_links(spark):
     assert got == want
 
 
+def test_sitemaps_with_prefixed_names(spark):
+    ns = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    documents = {
+        "plain": f'<urlset xmlns="{ns}" xmlns:i="urn:i"><url><i:loc>no</i:loc><loc>a</loc></url></urlset>',
+        "prefixed": f"<?xml version='1.0'?><sm:urlset xmlns:sm='{ns}'><sm:url><sm:loc>a</sm:loc></sm:url>"
+        f"<url><loc>no</loc></url><sm:url><sm:loc> b </sm:loc></sm:url></sm:urlset>",
+        "index": f'<x.y:sitemapindex xmlns="urn:o" xmlns:x.y = "{ns}"><x.y:sitemap><x.y:loc>m</x.y:loc></x.y:sitemap>'
+        "</x.y:sitemapindex>",
+        "other": f'<sm:urlset xmlns="{ns}" xmlns:sm="urn:o"><sm:url><sm:loc>no</sm:loc></sm:url></sm:urlset>',
+        "undeclared": "<sm:urlset><sm:url><sm:loc>no</sm:loc></sm:url></sm:urlset>",
+        "cut": f"<sm:urlset xmlns:sm='{ns}'><sm:url><sm:loc>no",
+        "empty": "",
+        "null": None,
+    }
+    table = spark.createDataFrame(list(documents.items()), "sitemap_url string, xml string")
+    got = {(r.sitemap_url, r.pos, r["loc"], r.is_index) for r in L.sitemap_locs(table).collect()}
+    assert got == {
+        ("plain", 0, "a", False), ("prefixed", 0, "a", False), ("prefixed", 1, "b", False), ("index", 0, "m", True),
+    }
+
+
 def test_sitemaps_of_any_depth_and_cycles(spark):
     chain = [(f"m{k}", True, 0, f"m{k + 1}") for k in range(12)] + [("m12", True, 1, "m0"), ("m12", True, 0, "leafy")]
     leaves = [("leafy", False, 3, "/deep"), ("m0", True, 9, "flat"), ("flat", False, 0, "/shallow"), ("flat", False, 1, "/deep")]
