@@ -52,6 +52,10 @@ SITEMAP_NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 PRICE_CONTEXT_CHARS = 40
 RECYCLED_SIMILARITY = 0.5
 CONTEXT_PIECE_CHARS = 8
+CONTEXT_WINDOW_PIECES = 4
+# Rolling hash of a piece: digits to this base, modulo a prime below 2^31.
+PIECE_BASE = 1_000_003
+PIECE_PRIME = 2_147_483_647
 
 # --- fixed values: page markup -----------------------------------------------
 MIN_USABLE_TEXT = 200

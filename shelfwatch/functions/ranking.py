@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -42,17 +42,24 @@ def top_n(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
-def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def number_rows(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """All rows, numbered from 1 in every ``by`` group. ``order`` must be total.
 
     Rows are dealt in ranges of (group, order) and written once, so a hot group
     is many tasks: each range is numbered by itself and shifted by the sizes of
-    the group's earlier ranges.
+    the group's earlier ranges. ``prepare`` adds or drops costly columns once the
+    rows are dealt: before that Spark reads them twice, as it samples for the ranges.
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(
         "_range", F.spark_partition_id()
     )
-    ranged = materialise(ranged, "ranges")
+    ranged = materialise(ranged if prepare is None else prepare(ranged), "ranges")
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))

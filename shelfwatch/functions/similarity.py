@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
 
 from .. import constants as K
-from .binding import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,19 +20,60 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norms != 0, F.lit(1.0) - dot(a, b) / norms)
 
 
-def context_pieces(text: Column, size: int = K.CONTEXT_PIECE_CHARS) -> Column:
-    """Hashes of the distinct runs of ``size`` characters; a shorter text is one run, an empty one none."""
-    chars = F.split(text, "")
+# Characters whose hashes are made in one go, about 60 MB of numbers.
+SLICE_CHARS = 1 << 20
 
-    def runs(c: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - size + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(c, i, F.lit(size)))))
 
-    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(let(chars, runs))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def context_prints(texts: pa.Array) -> pa.Array:
+    """Winnowed hashes of a text's runs of eight characters, distinct and sorted.
 
+    Every four consecutive runs give their least hash, so two texts that share eleven
+    characters in a row share a print. A shorter text is one run, a text of fewer
+    than four runs one window; an empty text has no print, null has no list. Hashes
+    have 31 bits: two pages of a thousand prints share one by chance once in two
+    thousand pairs.
+    """
+    parts, sizes, rows, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0
+    for text in texts:
+        rows.append(text.as_py() or "")
+        held += len(rows[-1])
+        if held >= SLICE_CHARS:
+            prints, found = _winnow(rows)
+            parts.append(prints), sizes.append(found)
+            rows, held = [], 0
+    if rows:
+        prints, found = _winnow(rows)
+        parts.append(prints), sizes.append(found)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    missing = np.append(np.asarray(texts.is_null()), False)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=missing), pa.array(np.concatenate(parts)))
 
-def piece_similarity(previous: Column, current: Column) -> Column:
-    """Shared pieces over the mean number of pieces: 1 for equal sets (two empty ones too), 0 for none."""
+
+def _winnow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The prints of all texts one after another, and how many each has."""
+    size, window = K.CONTEXT_PIECE_CHARS, K.CONTEXT_WINDOW_PIECES
+    apart = size - 1 + window  # zeros after every text: no run or window reaches the next one
+    chars = np.array([len(t) for t in texts])
+    joined = "".join(t + "\0" * apart for t in texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    last = len(codes) - size + 1
+    weights = [pow(K.PIECE_BASE, size - 1 - j, K.PIECE_PRIME) for j in range(size)]
+    runs = sum(codes[j : last + j] * w for j, w in enumerate(weights)) % K.PIECE_PRIME
+    owner = np.repeat(np.arange(len(texts)), chars + apart)[:last]
+    place = np.arange(last) - (np.cumsum(chars + apart) - chars - apart)[owner]
+    n_runs = np.where(chars > 0, np.maximum(chars - size + 1, 1), 0)
+    runs[place >= n_runs[owner]] = K.PIECE_PRIME  # above every hash
+    least = np.lib.stride_tricks.sliding_window_view(runs, window).min(axis=1)
+    n_windows = np.maximum(n_runs - window + 1, np.minimum(n_runs, 1))
+    chosen = place[: len(least)] < n_windows[owner[: len(least)]]
+    keys = np.sort((owner[: len(least)][chosen] << 31) | least[chosen])
+    keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+    return (keys & (2**31 - 1)).astype(np.int32), np.bincount(keys >> 31, minlength=len(texts))
+
+
+def print_similarity(previous: Column, current: Column) -> Column:
+    """Shared prints over the mean number of prints: 1 for equal sets (two empty ones too), 0 for none."""
     total = F.size(previous) + F.size(current)
     shared = F.size(F.array_intersect(previous, current))
     return F.when(previous.isNotNull() & current.isNotNull(), F.when(total == 0, 1.0).otherwise(2 * shared / total))

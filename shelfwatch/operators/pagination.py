@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.ranking import number_rows
-from ..functions.similarity import context_pieces, piece_similarity
+from ..functions.similarity import context_prints, print_similarity
 from ..functions.text import price_context
 
 
@@ -32,18 +32,21 @@ def new_per_page(rows: DataFrame, value: str, count_name: str) -> DataFrame:
 
 
 def _listing(pages: DataFrame, max_pages: int | None) -> DataFrame:
-    """Pages with their number in the crawl and the pieces of the page before."""
-    pieces = pages.withColumn("pieces", context_pieces(F.col("context"))).drop("context")
-    numbered = number_rows(pieces, ["crawl"], [F.col("page_idx")], "page_no")
+    """Pages with their number in the crawl and their likeness to the page before."""
+
+    def printed(dealt: DataFrame) -> DataFrame:
+        return dealt.withColumn("prints", context_prints(F.col("context"))).drop("context")
+
+    numbered = number_rows(pages, ["crawl"], [F.col("page_idx")], "page_no", printed)
     if max_pages is not None:
         numbered = numbered.where(F.col("page_no") <= max_pages)
     before = numbered.select(
-        "crawl", (F.col("page_no") + 1).alias("page_no"), F.col("pieces").alias("previous")
+        "crawl", (F.col("page_no") + 1).alias("page_no"), F.col("prints").alias("previous")
     )
-    score = piece_similarity(F.col("previous"), F.col("pieces"))
+    score = print_similarity(F.col("previous"), F.col("prints"))
     paired = numbered.join(before, ["crawl", "page_no"], "left").withColumn("similarity", score)
     recycled = F.coalesce(F.col("similarity") > K.RECYCLED_SIMILARITY, F.lit(False))
-    return paired.withColumn("is_recycled", recycled).drop("pieces", "previous")
+    return paired.withColumn("is_recycled", recycled).drop("prints", "previous")
 
 
 def recycled_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
@@ -71,7 +74,7 @@ def pagination_stop(
     ``max_pages`` if a limit is given.
     """
     listing = _listing(pages, max_pages)
-    first_visit = pages.groupBy("crawl", "url").agg(F.min("page_idx").alias("first_idx"))
+    first_visit = listing.groupBy("crawl", "url").agg(F.min("page_idx").alias("first_idx"))
     listing = listing.join(first_visit, ["crawl", "url"], "left").withColumn(
         "is_revisit", F.coalesce(F.col("page_idx") > F.col("first_idx"), F.lit(False))
     )

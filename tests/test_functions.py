@@ -98,19 +98,35 @@ def test_price_context_equals_plain_python(spark):
     assert apply(spark, texts, X.price_context) == want
 
 
-def test_piece_similarity(spark):
+def test_print_similarity(spark):
     rng = random.Random(5)
-    texts = ["".join(rng.choice("ab$") for _ in range(rng.choice([0, 1, 7, 8, 9, 60]))) for _ in range(60)]
+    texts = ["".join(rng.choice("ab$") for _ in range(rng.choice([0, 1, 7, 8, 9, 10, 11, 12, 60]))) for _ in range(80)]
 
-    def pieces(t):
-        return {t[i : i + 8] for i in range(max(len(t) - 7, 1))} if t else set()
+    def prints(t):
+        codes = [ord(c) for c in t]
+        runs = [codes[i : i + 8] for i in range(max(len(t) - 7, 1))] if t else []
+        hashes = [
+            sum(c * 1_000_003 ** (7 - j) for j, c in enumerate(run)) % 2_147_483_647 for run in runs
+        ]
+        return {min(hashes[i : i + 4]) for i in range(max(len(hashes) - 3, 1))} if t else set()
 
-    pairs = list(zip(texts, texts[1:])) + [(t, t) for t in texts[:5]] + [("ünï$ 😀漢字 text", "ünï$ 😀漢字 test")]
+    pairs = list(zip(texts, texts[1:])) + [(t, t) for t in texts[:5]] + [("ünï$ 😀漢字 text", "ünï$ 😀漢字 test"), (None, "a")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    score = S.piece_similarity(S.context_pieces(F.col("a")), S.context_pieces(F.col("b")))
+    score = S.print_similarity(S.context_prints(F.col("a")), S.context_prints(F.col("b")))
     got = [r.s for r in sorted(df.select("i", score.alias("s")).collect(), key=lambda r: r.i)]
-    sets = [(pieces(a), pieces(b)) for a, b in pairs]
+    assert got.pop() is None
+    sets = [(prints(a), prints(b)) for a, b in pairs[:-1]]
     assert got == pytest.approx([2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0 for x, y in sets])
+    rows = df.select("a", S.context_prints(F.col("a")).alias("p")).collect()
+    assert all(r.p == (None if r.a is None else sorted(prints(r.a))) for r in rows)
+
+
+def test_prints_of_long_texts(spark):
+    """A text longer than a slice of work, beside short ones; moved by one character it keeps its prints."""
+    long = "".join(random.Random(1).choices("abcdefgh $", k=3_000_000))
+    df = spark.createDataFrame([(long, "x" + long), ("", ""), ("a", "b")], "a string, b string")
+    rows = df.select(S.print_similarity(S.context_prints(F.col("a")), S.context_prints(F.col("b"))).alias("s")).collect()
+    assert rows[0].s > 0.999 and [r.s for r in rows[1:]] == [1.0, 0.0]
 
 
 def test_keywords(spark):
