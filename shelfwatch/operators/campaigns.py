@@ -24,14 +24,16 @@ def search_campaigns(
     """Newest ``limit`` promotions of every seller.
 
     With a product query only promotions tied to a matching product remain;
-    without one, sitewide promotions are listed too.
+    without one, sitewide promotions are listed too. Promotions that go with a
+    ``guess`` (see ``sellers.rows_by_guess``) are ranked under each guess.
     """
     if product_query:
         matching = products.where(
             F.col("name").isNotNull() & contains_ignoring_case(F.col("name"), product_query)
         )
         campaigns = campaigns.join(matching.select("product_id"), "product_id", "left_semi")
-    return top_n(campaigns, ["seller_id"], _newest_first(), limit)
+    by = ["guess", "seller_id"] if "guess" in campaigns.columns else ["seller_id"]
+    return top_n(campaigns, by, _newest_first(), limit)
 
 
 def campaigns_of(
@@ -88,6 +90,15 @@ def developments_feed(developments: DataFrame, seller_id: int | None = None) ->
     return number_rows(developments, [], newest, "position")
 
 
+def development_lines(developments: DataFrame) -> DataFrame:
+    """One readable line per development: category, title, day and summary."""
+    day = F.date_format("event_date", "yyyy-MM-dd")
+    line = F.concat(
+        F.lit("["), "category", F.lit("] "), "title", F.lit(" ("), day, F.lit("): "), "summary"
+    )
+    return developments.select("development_id", line.alias("line"))
+
+
 def prepare_developments(submitted: DataFrame) -> DataFrame:
     """Submitted news ready to append: ISO dates parsed, text for the embedding model added."""
     return submitted.withColumn(

@@ -243,6 +243,29 @@ def kind_counts(discovered: DataFrame) -> DataFrame:
     )
 
 
+def discover_site(
+    sites: DataFrame,
+    seeds: DataFrame,
+    robots: DataFrame,
+    sitemaps: DataFrame,
+    homepages: DataFrame,
+    pages: DataFrame,
+    limit: int | None = None,
+) -> DataFrame:
+    """Discovery from stored documents to classified urls, for all sites at once.
+
+    ``sites``: site, base_url. ``seeds``: site, pos, url. ``robots``: site, text.
+    ``sitemaps``: sitemap_url, xml. ``homepages``: site, html. ``pages``: url
+    (normalised), html. Seeds come first, then the urls below the sitemaps that
+    robots.txt declares or that stand at the usual address, then the homepage's
+    links; what the path leaves unclassified is judged by its stored page. A site
+    without one of the documents goes without that source.
+    """
+    leaves = expand_sitemaps(sitemap_roots(robots, sites), sitemap_locs(sitemaps))
+    home = homepage_links(with_tree(homepages.select("site", "html")))
+    return reclassify_by_page(discover_urls(sites, seeds, leaves, home, limit), pages)
+
+
 def reclassify_by_page(discovered: DataFrame, pages: DataFrame) -> DataFrame:
     """Kinds of unclassified urls corrected by stored page content.
 

@@ -136,14 +136,17 @@ def price_history_search(
 ) -> DataFrame:
     """Observations of products whose name contains the query; ``position`` counts by name and time.
 
-    ``order`` is the total order of one product's observations.
+    ``order`` is the total order of one product's observations. Products that go
+    with a ``guess`` (see ``sellers.rows_by_guess``) are numbered under each guess.
     """
     matching = products.where(contains_ignoring_case(F.col("name"), name_query))
     if seller_id is not None:
         matching = matching.where(F.col("seller_id") == seller_id)
     recent = observations.where(within_days("observed_at", as_of, days))
-    found = matching.select("product_id", "seller_id", "name").join(recent, "product_id")
-    return number_rows(found, [], [F.col(c) for c in ("name", *order, "product_id")], "position")
+    kept = [c for c in ("guess", "product_id", "seller_id", "name") if c in matching.columns]
+    found = matching.select(*kept).join(recent, "product_id")
+    by = [c for c in ("guess",) if c in products.columns]
+    return number_rows(found, by, [F.col(c) for c in ("name", *order, "product_id")], "position")
 
 
 def price_history_lines(history: DataFrame) -> DataFrame:

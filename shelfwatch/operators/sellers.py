@@ -166,8 +166,8 @@ def resolve_seller(guesses: DataFrame, sellers: DataFrame) -> DataFrame:
     """Best seller for every distinct ``guess``: exact slug, else loose match, shortest slug.
 
     A loose match is a slug containing the slugged guess or a name containing
-    the guess (both ignoring case, LIKE wildcards active), found by joining
-    on shared pieces of text.
+    the guess (both ignoring case, LIKE wildcards active), found by an index of
+    pieces of text.
     """
     wanted = guesses.select("guess").distinct()
     slugs = sellers.select("seller_id", "slug", F.col("name").alias("seller_name"))
@@ -175,7 +175,7 @@ def resolve_seller(guesses: DataFrame, sellers: DataFrame) -> DataFrame:
     exact = prepared.join(slugs, F.col("guess") == F.col("slug")).select(
         "guess", F.lit(0).alias("priority"), "seller_id", "slug"
     )
-    near = _loose_by_pieces(prepared, slugs).select("guess", F.lit(1).alias("priority"), "seller_id", "slug")
+    near = _loose(prepared, slugs).select("guess", F.lit(1).alias("priority"), "seller_id", "slug")
     best = F.min(F.struct("priority", F.length("slug").alias("size"), "slug", "seller_id"))
     return (
         exact.unionByName(near)
@@ -192,39 +192,77 @@ def _pieces(text: Column, size: int) -> Column:
     )
 
 
-def _loose_by_pieces(prepared: DataFrame, slugs: DataFrame) -> DataFrame:
-    """The loose match as equi-joins.
+def _loose(prepared: DataFrame, slugs: DataFrame) -> DataFrame:
+    """The loose match by an index of the texts' pieces of one to three letters.
 
-    A guess can only match a text that holds any literal run of the guess, so
-    each side joins on one such run: three letters where there are three, else
-    one. A guess of nothing but wildcards matches by length alone, and there one
-    seller per pair of lengths stands for all of them.
+    The index holds each distinct piece once, with the number of its texts and the
+    best seller among them. A guess of up to three letters is answered by its own
+    entry, and one of nothing but wildcards by the best seller per least length.
+    Any other guess joins on the rarest of the pieces that a match must hold: of
+    three letters where there are three in a row, else of two. Only letters that
+    all stand alone between wildcards leave a single one.
     """
-    sides = [("slugged", "slug", r"[^%_\\]"), ("guess", "seller_name", r"[^%_\\]")]
-    columns = ["guess", "seller_id", "slug"]
+    best = F.min(F.struct(F.length("slug").alias("size"), "slug", "seller_id")).alias("best")
     parts = []
-    for pattern, text, literal in sides:
-        matches = F.expr(f"{text} ILIKE concat('%', {pattern}, '%')")
-        three = F.regexp_extract(F.lower(pattern), literal + "{3}", 0)
-        one = F.regexp_extract(F.lower(pattern), literal, 0)
-        for size, piece, chosen in (
-            (3, three, three != ""),
-            (1, one, (three == "") & (one != "")),
-        ):
-            guesses = prepared.where(chosen).withColumn("piece", piece)
-            texts = slugs.withColumn("piece", F.explode(_pieces(F.lower(text), size)))
-            parts.append(guesses.join(texts, "piece").where(matches).select(*columns))
-        stand_ins = (
-            slugs.groupBy(F.length("slug"), F.length("seller_name"))
-            .agg(F.min(F.struct("slug", "seller_id", "seller_name")).alias("best"))
-            .select("best.*")
+    for pattern, text in (("slugged", "slug"), ("guess", "seller_name")):
+        lowered = F.lower(text)
+        pieces = F.array_union(F.array_union(_pieces(lowered, 1), _pieces(lowered, 2)), _pieces(lowered, 3))
+        postings = slugs.select("seller_id", "slug", F.col(text).alias("text"), F.explode(pieces).alias("piece"))
+        index = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), best)
+        asked = prepared.select(
+            "guess",
+            F.col(pattern).alias("pattern"),
+            F.regexp_replace(F.lower(pattern), "^%+|%+$", "").alias("core"),  # at an end '%' changes nothing
         )
-        wildcards = prepared.where(one == "")
-        parts.append(wildcards.join(F.broadcast(stand_ins), matches).select(*columns))
-    found = parts[0]
+        short = F.col("core").rlike(r"^[^%_\\]{1,3}$")
+        blank = F.col("core").rlike("^[%_]*$")
+        parts.append(asked.where(short).join(index, F.col("core") == F.col("piece")).select("guess", "best"))
+
+        by_length = slugs.groupBy(F.length(lowered).alias("size")).agg(best)
+        at_least = (
+            by_length.select(F.explode(F.sequence(F.lit(0), "size")).alias("least"), "best")
+            .groupBy("least")
+            .agg(F.min("best").alias("best"))
+        )
+        least = F.length(F.replace("core", F.lit("%"), F.lit("")))
+        parts.append(asked.where(blank).join(at_least, least == F.col("least")).select("guess", "best"))
+
+        needed = asked.where(~short & ~blank).select("guess", "pattern", F.explode(_needed("core")).alias("piece"))
+        counted = needed.join(index.select("piece", "n"), "piece", "left").fillna(0, subset=["n"])
+        rarest = counted.groupBy("guess", "pattern").agg(
+            F.min("n").alias("n"), F.min_by("piece", F.struct("n", "piece")).alias("piece")
+        )
+        found = rarest.where("n > 0").join(postings, "piece").where("text ILIKE concat('%', pattern, '%')")
+        parts.append(found.groupBy("guess").agg(best))
+    near = parts[0]
     for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+        near = near.unionByName(part)
+    return near.select("guess", "best.seller_id", "best.slug")
+
+
+def _needed(core: str) -> Column:
+    """Pieces that every match of a pattern holds; an escaped character where there is no other."""
+
+    def runs(pattern: str) -> Column:
+        return F.regexp_extract_all(core, F.lit(pattern), F.lit(1))
+
+    three, two, one = runs(r"([^%_\\]{3,})"), runs(r"([^%_\\]{2})"), runs(r"([^%_\\])")
+    trigrams = F.flatten(F.transform(three, lambda run: _pieces(run, 3)))
+    return F.array_distinct(
+        F.when(F.size(three) > 0, trigrams)
+        .when(F.size(two) > 0, two)
+        .when(F.size(one) > 0, one)
+        .otherwise(runs(r"\\(.)"))
+    )
+
+
+def rows_by_guess(guesses: DataFrame, sellers: DataFrame, rows: DataFrame) -> DataFrame:
+    """(guess, rows...) of the seller that every guess resolves to; an unknown seller gives none.
+
+    ``rows`` has ``seller_id``. One row a guess meets the rows, so AQE can split a hot seller.
+    """
+    resolved = resolve_seller(guesses, sellers).select("guess", "seller_id")
+    return resolved.join(rows, "seller_id")
 
 
 def prepare_swot(submitted: DataFrame, model: str, generated_at: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.text import age_label
-from ..operators import campaigns as C, sellers as S
+from ..operators import campaigns as C, prices as P, sellers as S
 from ..session import scratch_path
 from ..sources import sinks
 from .tables import AS_OF, OBSERVATION_ORDER, oracle, portable, view
@@ -150,6 +150,26 @@ def resolve_seller(spark, sf_dir):
     return S.resolve_seller(_sql(spark, sf_dir, _GUESSES), view(spark, sf_dir, "sellers"))
 
 
+def price_history_by_guess(spark, sf_dir):
+    """Price history under every spelling of a seller's name."""
+    guesses, sellers = _sql(spark, sf_dir, _GUESSES), view(spark, sf_dir, "sellers")
+    products = S.rows_by_guess(guesses, sellers, view(spark, sf_dir, "products"))
+    history = P.price_history_search(
+        products, view(spark, sf_dir, "observations"), "reD", AS_OF, 3650, order=OBSERVATION_ORDER
+    )
+    return portable(history.select("guess", "product_id", "seller_id", "name", "price", "in_stock", "observed_at", "position"))
+
+
+def campaigns_by_guess(spark, sf_dir):
+    """The newest promotions under every spelling of a seller's name."""
+    guesses, sellers = _sql(spark, sf_dir, _GUESSES), view(spark, sf_dir, "sellers")
+    return C.search_campaigns(S.rows_by_guess(guesses, sellers, view(spark, sf_dir, "campaigns")))
+
+
+def development_lines(spark, sf_dir):
+    return C.development_lines(view(spark, sf_dir, "developments"))
+
+
 def swot_append(spark, sf_dir):
     """Append analyses to an empty store and read the store back."""
     events = view(spark, sf_dir, "events")
@@ -251,6 +271,7 @@ QUERIES = {
         registry_active, seed_sellers, upsert_own_brands, seller_by_slug, product_by_id,
         product_counts, latest_crawl, seller_overview, dashboard_stats, crawl_age,
         latest_price_page, product_page_total, product_filter, product_sort, resolve_seller,
+        price_history_by_guess, campaigns_by_guess, development_lines,
         swot_append, swot_latest, swot_history, campaign_search, campaigns_by_seller, product_campaigns,
         campaign_lines, campaign_dedup_append, developments_feed, development_append,
         embedding_text, campaign_append, recent_activity,
@@ -278,6 +299,16 @@ def _page(seller, limit, offset):
         FROM page LEFT JOIN latest USING (product_id)"""
 
 
+_RESOLVED = f"""
+    guesses AS (SELECT DISTINCT guess FROM ({_plain(_GUESSES)})),
+    matches AS (
+        SELECT guess, seller_id, slug, CASE WHEN slug = guess THEN 0 ELSE 1 END AS priority
+        FROM guesses JOIN sellers ON slug = guess
+          OR slug ILIKE '%' || translate(lower(trim(guess)), ' _', '--') || '%'
+          OR name ILIKE '%' || guess || '%'),
+    resolved AS (SELECT guess, seller_id, slug FROM matches QUALIFY row_number() OVER
+        (PARTITION BY guess ORDER BY priority, length(slug), slug) = 1)"""
+
 ORACLES = {
     "registry_active": f"SELECT * FROM ({_plain(_REGISTRY)}) WHERE active",
     "seed_sellers": oracle(
@@ -349,16 +380,25 @@ ORACLES = {
                 name, product_id) AS position
             FROM listing, keys""",
     ),
-    "resolve_seller": oracle(
-        ["sellers"],
-        f"""WITH guesses AS (SELECT DISTINCT guess FROM ({_plain(_GUESSES)})),
-            matches AS (
-                SELECT guess, seller_id, slug, CASE WHEN slug = guess THEN 0 ELSE 1 END AS priority
-                FROM guesses JOIN sellers ON slug = guess
-                  OR slug ILIKE '%' || translate(lower(trim(guess)), ' _', '--') || '%'
-                  OR name ILIKE '%' || guess || '%')
-            SELECT guess, seller_id, slug FROM matches QUALIFY row_number() OVER
-                (PARTITION BY guess ORDER BY priority, length(slug), slug) = 1""",
+    "resolve_seller": oracle(["sellers"], f"WITH {_RESOLVED} SELECT * FROM resolved"),
+    "price_history_by_guess": oracle(
+        ["sellers", "products", "observations"],
+        f"""WITH {_RESOLVED}
+            SELECT guess, product_id, seller_id, name, CAST(price AS DOUBLE) AS price, in_stock, observed_at,
+                   row_number() OVER (PARTITION BY guess ORDER BY name, {", ".join(OBSERVATION_ORDER)}, product_id) AS position
+            FROM resolved JOIN products USING (seller_id) JOIN observations USING (product_id)
+            WHERE name ILIKE '%ReD%' AND observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY""",
+    ),
+    "campaigns_by_guess": oracle(
+        ["sellers", "campaigns"],
+        f"""WITH {_RESOLVED}
+            SELECT guess, c.*, row_number() OVER (PARTITION BY guess ORDER BY discovered_at DESC, campaign_id DESC) AS rank_no
+            FROM resolved JOIN campaigns c USING (seller_id) QUALIFY rank_no <= 20""",
+    ),
+    "development_lines": oracle(
+        ["developments"],
+        """SELECT development_id, '[' || category || '] ' || title || ' (' || strftime(event_date, '%Y-%m-%d') || '): '
+               || summary AS line FROM developments""",
     ),
     "swot_append": """
         SELECT CAST(user_id % 25 + 1 AS INT) AS seller_id, ts AS generated_at,

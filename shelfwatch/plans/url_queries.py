@@ -248,12 +248,48 @@ def homepage_links(spark, sf_dir):
     return L.homepage_links(parsed.select(F.col("page_id").alias("site"), "tree"))
 
 
+# Stored documents of every seller site: robots.txt, an index of one url set per size, a homepage, some pages.
+_NAMESPACE = f'xmlns="{K.SITEMAP_NAMESPACE}"'
+_SITE_ROBOTS = f"""
+    SELECT site, 'Sitemap: ' || base_url || '/maps/index.xml' AS text FROM ({_SITES})"""
+_SITE_PARTS = f"""
+    SELECT site, base_url, p_size, p_partkey, CASE p_partkey % 4 WHEN 0 THEN '/products/' WHEN 1 THEN '/sale/'
+               ELSE '/pages/' END || CAST(p_partkey AS STRING) AS path
+    FROM {{part}} JOIN ({_SITES}) ON site = CAST(substr(p_brand, 7) AS BIGINT)"""
+_SITE_MAPS = f"""
+    SELECT base_url || '/maps/' || p_size || '.xml' AS sitemap_url,
+           '<urlset {_NAMESPACE}>' || array_join(transform(array_sort(collect_list(struct(p_partkey, path))),
+               p -> '<url><loc>' || base_url || p.path || '</loc></url>'), '') || '</urlset>' AS xml
+    FROM ({_SITE_PARTS}) GROUP BY base_url, p_size
+    UNION ALL
+    SELECT base_url || '/maps/index.xml',
+           '<sitemapindex {_NAMESPACE}>' || array_join(transform(array_sort(collect_set(p_size)),
+               s -> '<sitemap><loc>' || base_url || '/maps/' || s || '.xml</loc></sitemap>'), '') || '</sitemapindex>'
+    FROM ({_SITE_PARTS}) GROUP BY base_url"""
+_SITE_HOMES = f"""
+    SELECT site, '<a href="/deals/' || CAST(site AS STRING)
+        || '">d</a><a href="https://elsewhere.example/x">e</a><a href="about?utm_source=home">a</a>' AS html
+    FROM ({_SITES})"""
+_SITE_PAGES = f"""
+    SELECT base_url || path AS url, '<script type="application/ld+json">{{{{"@type": "'
+        || CASE p_partkey % 3 WHEN 1 THEN 'Product' ELSE 'CollectionPage' END || '"}}}}</script>' AS html
+    FROM ({_SITE_PARTS}) WHERE p_partkey % 3 <> 0"""
+
+
+def discover_site(spark, sf_dir):
+    """Every seller site from robots.txt to urls classified by their pages."""
+    inputs = (_SITES, _SEEDS, _SITE_ROBOTS, _SITE_MAPS, _SITE_HOMES, _SITE_PAGES)
+    found = L.discover_site(*[_inputs(spark, sf_dir, sql) for sql in inputs])
+    return found.select("site", "url", "origin", "kind", "url_no")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_url, url_same_site, url_classify, resolve_links, page_links, product_links,
         robots_sitemaps, sitemap_roots, sitemap_locs, sitemap_expand, discover_urls,
         crawl_frontier, url_kind_counts, product_url_frontier, url_classify_full, homepage_links,
+        discover_site,
     )
 }
 
@@ -365,6 +401,19 @@ ORACLES = {
                array_to_string(min([0, n_nationkey, s_suppkey, pos]), '/') AS trail
         FROM leaf GROUP BY site, l_partkey""",
     "discover_urls": f"WITH {_DISCOVERED} SELECT site, url, origin, kind, url_no FROM discovered",
+    "discover_site": f"""
+        WITH sites AS ({_SITES.format(**_NAMES)}),
+        added AS (
+            SELECT site, 0 AS origin, pos AS a, 0 AS b, url AS path, NULL AS part FROM ({_SEEDS.format(**_NAMES)})
+            UNION ALL SELECT site, 1, p_size, p_partkey, path, p_partkey FROM ({_SITE_PARTS.format(**_NAMES)})
+            UNION ALL SELECT site, 2, 0, 0, '/deals/' || site, NULL FROM sites
+            UNION ALL SELECT site, 2, 2, 0, '/about', NULL FROM sites),
+        kinds AS (SELECT *, {_kind("path")} AS kind FROM added)
+        SELECT site, base_url || path AS url, origin,
+               CASE WHEN kind <> 'unknown' THEN kind WHEN origin = 0 THEN 'category'
+                    WHEN part % 3 = 1 THEN 'product' WHEN part % 3 = 2 THEN 'category' ELSE 'unknown' END AS kind,
+               row_number() OVER (PARTITION BY site ORDER BY origin, a, b) AS url_no
+        FROM kinds JOIN sites USING (site)""",
     "crawl_frontier": f"""
         WITH {_DISCOVERED}
         SELECT site, url, kind, row_number() OVER (PARTITION BY site, kind ORDER BY url_no) AS kind_no

@@ -382,3 +382,30 @@ def test_discovery_keeps_everything_and_numbers_it(spark):
     assert sorted((r.site, r.kind_no) for r in frontier if r.kind == "product") == [(s, k) for s in range(3) for k in range(1, 11)]
     assert {r.kind for r in frontier} == {"product", "category"}
     assert L.discover_urls(sites, seeds, leaves, home, limit=4).count() == 12
+
+
+def test_a_site_from_its_stored_documents(spark):
+    """Nested prefixed sitemaps, a cycle, a missing document, a site without any."""
+    space = 'xmlns:m="' + K.SITEMAP_NAMESPACE + '"'
+
+    def index(*locs):
+        return f"<m:sitemapindex {space}>" + "".join(f"<m:sitemap><m:loc>{x}</m:loc></m:sitemap>" for x in locs) + "</m:sitemapindex>"
+
+    urls = ["/products/1", "/pages/2", "https://other.example/products/3", "/pages/9"]
+    maps = [
+        (SITE + "/a.xml", index(SITE + "/b.xml", SITE + "/gone.xml")),
+        (SITE + "/b.xml", index(SITE + "/a.xml", SITE + "/c.xml")),
+        (SITE + "/c.xml", f"<m:urlset {space}>" + "".join(f"<m:url><m:loc>{u}</m:loc></m:url>" for u in urls) + "</m:urlset>"),
+    ]
+    frames = [
+        spark.createDataFrame([(1, SITE), (2, "https://bare.example")], "site int, base_url string"),
+        spark.createDataFrame([(1, 0, "/corner")], "site int, pos int, url string"),
+        spark.createDataFrame([(1, f"Sitemap: {SITE}/a.xml")], "site int, text string"),
+        spark.createDataFrame(maps, "sitemap_url string, xml string"),
+        spark.createDataFrame([(1, '<a href="/pages/2">x</a><a href="/sale">s</a>')], "site int, html string"),
+        spark.createDataFrame([(SITE + "/pages/2", '<meta property="og:type" content="product">')], "url string, html string"),
+    ]
+    rows = L.discover_site(*frames).orderBy("url_no").collect()
+    kinds = {"/corner": "category", "/products/1": "product", "/pages/2": "product", "/pages/9": "unknown",
+             "/sale": "promotional"}
+    assert [(r.site, r.url.removeprefix(SITE), r.kind) for r in rows] == [(1, p, k) for p, k in kinds.items()]

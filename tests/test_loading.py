@@ -359,6 +359,31 @@ def test_resolve_seller_against_every_pair(spark):
     assert {(r.guess, r.slug) for r in S.resolve_seller(guesses, sellers).collect()} == want
 
 
+def test_resolve_seller_on_random_patterns(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abc-") for _ in range(rng.randint(1, 9))) + f"-{i}",
+             "".join(rng.choice("ABc d") for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    asked = sorted({"".join(rng.choice("abcd%_- ") for _ in range(rng.randint(0, 6))) for _ in range(250)})
+
+    def like(text, pattern):
+        parts = ["." if c == "_" else ".*" if c == "%" else re.escape(c) for c in pattern]
+        return re.search("".join(parts), text, re.I | re.S) is not None
+
+    want = set()
+    for g in asked:
+        slugged = g.strip().lower().replace(" ", "-").replace("_", "-")
+        loose = [s for s in rows if like(s[1], slugged) or like(s[2], g)]
+        best = min(loose, key=lambda s: (len(s[1]), s[1]), default=None)
+        if best:
+            want.add((g, best[1], best[0]))
+    sellers = spark.createDataFrame(rows, "seller_id bigint, slug string, name string")
+    guesses = spark.createDataFrame([(g,) for g in asked], "guess string")
+    got = S.resolve_seller(guesses, sellers)
+    assert {(r.guess, r.slug, r.seller_id) for r in got.collect()} == want
+    table = sellers.select("seller_id", F.lit(1).alias("row"))
+    assert {(r.guess, r.seller_id) for r in S.rows_by_guess(guesses, sellers, table).collect()} == {w[::2] for w in want}
+
+
 def test_sort_products(spark):
     listing = spark.createDataFrame(
         [(1, "b", "x", 5, True), (2, "A", "y", None, None), (3, "c", "x", 7, False)],
