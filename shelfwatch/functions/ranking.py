@@ -48,6 +48,7 @@ def number_rows(
     order: Sequence[Column],
     name: str,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    compare: tuple[str, str, Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame:
     """All rows, numbered from 1 in every ``by`` group. ``order`` must be total.
 
@@ -55,16 +56,37 @@ def number_rows(
     is many tasks: each range is numbered by itself and shifted by the sizes of
     the group's earlier ranges. ``prepare`` adds or drops costly columns once the
     rows are dealt: before that Spark reads them twice, as it samples for the ranges.
+
+    ``compare`` (column, result, function) puts function(previous, current) of the
+    column's values in a row and the row before it in place of the column.
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(
         "_range", F.spark_partition_id()
     )
     ranged = materialise(ranged if prepare is None else prepare(ranged), "ranges")
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
-        .select(*by, "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
-    )
-    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
-    numbered = ranged.withColumn(name, own).join(shifts, [*by, "_range"])
-    return numbered.withColumn(name, F.col(name) + F.col("_shift")).drop("_range", "_shift")
+    for c in by:
+        ranged = ranged.where(F.col(c).isNotNull())
+    split = ranged
+    if by:
+        # Ranges are contiguous, so two of them share one group at most: there are fewer split groups than ranges.
+        span = ranged.groupBy(*by).agg(F.min("_range").alias("_from"), F.max("_range").alias("_to"))
+        split = ranged.join(F.broadcast(span.where("_from < _to").select(*by)), [*by], "left_semi")
+    ends = [F.count(F.lit(1)).alias("_size")]
+    if compare is not None:
+        value, result, function = compare
+        ends += [f(value, F.struct(*order)).alias(n) for f, n in ((F.min_by, "_first"), (F.max_by, "_last"))]
+    parts = split.groupBy(*by, "_range").agg(*ends)
+    group = Window.partitionBy(*by).orderBy("_range")
+    shift = F.sum("_size").over(group.rowsBetween(Window.unboundedPreceding, -1)).alias("_shift")
+    met = [function(F.lag("_last").over(group), F.col("_first")).alias("_met")] if compare else []
+    shifts = parts.select(*by, "_range", shift, *met).where("_shift IS NOT NULL")
+    own = Window.partitionBy(*by, "_range").orderBy(*order)
+    numbered = ranged.withColumn(name, F.row_number().over(own))
+    if compare is not None:
+        numbered = numbered.withColumn("_previous", F.lag(value).over(own))
+    numbered = numbered.join(F.broadcast(shifts), [*by, "_range"], "left")
+    if compare is not None:
+        met = F.when((F.col(name) == 1) & F.col("_shift").isNotNull(), F.col("_met"))
+        met = met.otherwise(function(F.col("_previous"), F.col(value)))
+        numbered = numbered.withColumn(result, met).drop(value, "_previous", "_met")
+    return numbered.withColumn(name, F.col(name) + F.coalesce("_shift", F.lit(0))).drop("_range", "_shift")

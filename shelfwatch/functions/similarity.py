@@ -34,22 +34,61 @@ def context_prints(texts: pa.Array) -> pa.Array:
     have 31 bits: two pages of a thousand prints share one by chance once in two
     thousand pairs.
     """
-    parts, sizes, rows, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0
+    return _by_slices(texts, _winnow, np.int32)
+
+
+# One odd factor for every place of a piece; sums of products wrap at 2^64.
+_PIECE_FACTORS = np.random.default_rng(8).integers(2**63, size=K.CONTEXT_PIECE_CHARS, dtype=np.uint64) * 2 + 1
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def context_pieces(texts: pa.Array) -> pa.Array:
+    """Hashes of all distinct runs of eight characters, sorted.
+
+    A shorter text is one run, an empty text has none, null has no list. Hashes
+    have 64 bits.
+    """
+    return _by_slices(texts, _pieces, np.int64)
+
+
+def _by_slices(texts: pa.Array, hashes, kind: type) -> pa.Array:
+    parts, sizes, rows, held = [np.zeros(0, kind)], [np.zeros(0, np.int64)], [], 0
     for text in texts:
         rows.append(text.as_py() or "")
         held += len(rows[-1])
         if held >= SLICE_CHARS:
-            prints, found = _winnow(rows)
-            parts.append(prints), sizes.append(found)
+            found, n = hashes(rows)
+            parts.append(found), sizes.append(n)
             rows, held = [], 0
     if rows:
-        prints, found = _winnow(rows)
-        parts.append(prints), sizes.append(found)
+        found, n = hashes(rows)
+        parts.append(found), sizes.append(n)
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
     missing = np.append(np.asarray(texts.is_null()), False)
     return pa.ListArray.from_arrays(pa.array(offsets, mask=missing), pa.array(np.concatenate(parts)))
 
 
+def _pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of all texts one after another, and how many each has."""
+    size = K.CONTEXT_PIECE_CHARS
+    chars = np.array([len(t) for t in texts])
+    width = chars + size - 1  # zeros after every text: no run reaches the next one
+    codes = np.zeros(width.sum(), np.uint64)
+    given = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), width)
+    place = np.arange(len(codes)) - (np.cumsum(width) - width)[owner]
+    codes[place < chars[owner]] = given + np.uint64(1)  # no character is like the zeros
+    runs = np.zeros(len(codes) - size + 1, np.uint64)
+    for j, factor in enumerate(_PIECE_FACTORS):
+        runs += codes[j : j + len(runs)] * factor
+    starts = place[: len(runs)] < np.where(chars > 0, np.maximum(chars - size + 1, 1), 0)[owner[: len(runs)]]
+    runs, owner = runs[starts].view(np.int64), owner[: len(runs)][starts]
+    order = np.lexsort((runs, owner))
+    runs, owner = runs[order], owner[order]
+    new = np.append(True, (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1]))[: len(runs)]
+    return runs[new], np.bincount(owner[new], minlength=len(texts))
+
+
 def _winnow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The prints of all texts one after another, and how many each has."""
     size, window = K.CONTEXT_PIECE_CHARS, K.CONTEXT_WINDOW_PIECES

@@ -1,8 +1,8 @@
 """Crawl page sequences: new items and links, recycled pages, where to stop, outcome.
 
 A crawl's pages are ordered by ``page_idx``. A listing may have any number of
-pages: they are numbered in ranges, met with their predecessors by joins, and
-only a page's price context moves, never its text.
+pages: they are numbered and met with their predecessors in ranges, and only a
+page's price context moves, never its text.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.ranking import number_rows
-from ..functions.similarity import context_prints, print_similarity
+from ..functions.similarity import context_pieces, print_similarity
 from ..functions.text import price_context
+from ..session import materialise
 
 
 def first_seen(rows: DataFrame, value: str) -> DataFrame:
@@ -34,19 +35,15 @@ def new_per_page(rows: DataFrame, value: str, count_name: str) -> DataFrame:
 def _listing(pages: DataFrame, max_pages: int | None) -> DataFrame:
     """Pages with their number in the crawl and their likeness to the page before."""
 
-    def printed(dealt: DataFrame) -> DataFrame:
-        return dealt.withColumn("prints", context_prints(F.col("context"))).drop("context")
+    def cut(dealt: DataFrame) -> DataFrame:
+        return dealt.withColumn("pieces", context_pieces(F.col("context"))).drop("context")
 
-    numbered = number_rows(pages, ["crawl"], [F.col("page_idx")], "page_no", printed)
+    likeness = ("pieces", "similarity", print_similarity)
+    numbered = number_rows(pages, ["crawl"], [F.col("page_idx")], "page_no", cut, likeness)
     if max_pages is not None:
         numbered = numbered.where(F.col("page_no") <= max_pages)
-    before = numbered.select(
-        "crawl", (F.col("page_no") + 1).alias("page_no"), F.col("prints").alias("previous")
-    )
-    score = print_similarity(F.col("previous"), F.col("prints"))
-    paired = numbered.join(before, ["crawl", "page_no"], "left").withColumn("similarity", score)
     recycled = F.coalesce(F.col("similarity") > K.RECYCLED_SIMILARITY, F.lit(False))
-    return paired.withColumn("is_recycled", recycled).drop("prints", "previous")
+    return numbered.withColumn("is_recycled", recycled)
 
 
 def recycled_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
@@ -73,7 +70,7 @@ def pagination_stop(
     and then stops. A page without a next link is the last one, and so is page
     ``max_pages`` if a limit is given.
     """
-    listing = _listing(pages, max_pages)
+    listing = materialise(_listing(pages, max_pages).drop("similarity"), "listing")
     first_visit = listing.groupBy("crawl", "url").agg(F.min("page_idx").alias("first_idx"))
     listing = listing.join(first_visit, ["crawl", "url"], "left").withColumn(
         "is_revisit", F.coalesce(F.col("page_idx") > F.col("first_idx"), F.lit(False))
@@ -94,7 +91,9 @@ def pagination_stop(
     )
     if max_pages is not None:
         reason = reason.when(F.col("page_no") == max_pages, "page_cap")
-    flagged = counted.withColumn("stop_reason", reason)
+    flagged = materialise(
+        counted.select("crawl", "page_idx", "page_no", "new_items", "new_links", reason.alias("stop_reason")), "flagged"
+    )
     stops = flagged.where("stop_reason IS NOT NULL").groupBy("crawl").agg(F.min("page_no").alias("stop_at"))
     reached = flagged.join(stops, "crawl", "left").where("stop_at IS NULL OR page_no <= stop_at")
     scanned = ~F.coalesce(F.col("stop_reason").isin("revisited", "failed", "recycled"), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prices as P
 from ..functions.text import price_context as price_context_of
-from .. import constants as K, schemas
+from .. import schemas
 from ..operators import feed_import as I, matching as M, pagination as G, sellers as S, traces as T
 from ..sources import feed as feeds, sinks
 from ..session import materialise, scratch_path, spread
@@ -177,14 +177,14 @@ def new_items_per_page(spark, sf_dir):
     return G.first_seen(items, "name")
 
 
-def _links(spark, sf_dir):
-    return _items(spark, sf_dir).select(
+def _links(items):
+    return items.select(
         "crawl", "page_idx", F.concat(F.lit("/products/"), F.col("pos").cast("string")).alias("url")
     )
 
 
 def new_links_per_page(spark, sf_dir):
-    return G.new_per_page(_links(spark, sf_dir), "url", "new_links")
+    return G.new_per_page(_links(_items(spark, sf_dir)), "url", "new_links")
 
 
 def _page_texts(spark, sf_dir):
@@ -215,11 +215,10 @@ _PAGES = """
 
 
 def pagination_stop(spark, sf_dir):
-    items = _items(spark, sf_dir)
+    items = materialise(_items(spark, sf_dir).select("crawl", "page_idx", "pos", "name"), "page-items")
     pages = spark.sql(_PAGES, page_items=items).withColumn("context", price_context_of(F.col("text")))
-    return G.pagination_stop(
-        pages.drop("text"), items.select("crawl", "page_idx", "name"), _links(spark, sf_dir)
-    )
+    pages = materialise(pages.drop("text"), "listing-pages")
+    return G.pagination_stop(pages, items.select("crawl", "page_idx", "name"), _links(items))
 
 
 _UNITS = """
@@ -318,23 +317,15 @@ _MATCHED = """
 
 
 
-_WEIGHTS = [pow(K.PIECE_BASE, K.CONTEXT_PIECE_CHARS - 1 - j, K.PIECE_PRIME) for j in range(K.CONTEXT_PIECE_CHARS)]
-
-
 def _runs(source, text, keep):
-    """Least hashes of every four runs of eight characters of the price contexts of ``text``."""
-    digits = " + ".join(f"coalesce(codes[i + {j}], 0) * {w}" for j, w in enumerate(_WEIGHTS))
+    """Distinct runs of eight characters of the price contexts of ``text``."""
     return f"""
-        SELECT {keep}, CASE WHEN len(codes) = 0 THEN [] ELSE list_distinct(list_transform(
-                   range(1, greatest(len(hashes) - 3, 1) + 1), lambda i: list_min(hashes[i : i + 3]))) END AS runs
-        FROM (SELECT {keep}, codes, list_transform(range(1, greatest(len(codes) - 7, 1) + 1),
-                         lambda i: ({digits}) % {K.PIECE_PRIME}) AS hashes
-              FROM (SELECT {keep}, list_transform(range(1, length(context) + 1),
-                               lambda i: CAST(unicode(context[i]) AS BIGINT)) AS codes
-                    FROM (SELECT {keep}, array_to_string(list_transform(
-                              list_filter(range(1, length({text}) + 1), lambda i: {text}[i] = '$'), lambda i:
-                              substring({text}, greatest(1, i - 40), i - greatest(1, i - 40) + 40)), ' ') AS context
-                          FROM {source})))"""
+        SELECT {keep}, CASE WHEN context = '' THEN [] ELSE list_distinct(list_transform(
+                   range(1, greatest(length(context) - 7, 1) + 1), lambda i: substring(context, i, 8))) END AS runs
+        FROM (SELECT {keep}, array_to_string(list_transform(
+                  list_filter(range(1, length({text}) + 1), lambda i: {text}[i] = '$'), lambda i:
+                  substring({text}, greatest(1, i - 40), i - greatest(1, i - 40) + 40)), ' ') AS context
+              FROM {source})"""
 
 
 def _scored(runs, crawl, number, keep):

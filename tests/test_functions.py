@@ -6,7 +6,7 @@ from decimal import Decimal
 from urllib.parse import urljoin
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from shelfwatch import constants as K
 from shelfwatch.functions import prices as P, similarity as S, text as X, urls as U
@@ -121,6 +121,26 @@ def test_print_similarity(spark):
     assert all(r.p == (None if r.a is None else sorted(prints(r.a))) for r in rows)
 
 
+def test_context_pieces(spark):
+    """All distinct runs of eight characters have a hash of their own, the same in every text."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab$") for _ in range(rng.choice([0, 1, 7, 8, 9, 60]))) for _ in range(80)]
+    texts += ["", "ab", "ab\0", "ünï$ 😀漢字 text", "".join(rng.choices("abcdefgh $", k=1_500_000)), "last of all"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [None])], "i int, t string").coalesce(1)
+    rows = df.select("t", S.context_pieces(F.col("t")).alias("p")).collect()
+    named = {}
+    for r in rows:
+        want = {r.t[i : i + 8] for i in range(max(len(r.t) - 7, 1))} if r.t else set()
+        assert r.p == (None if r.t is None else sorted(set(r.p))) and len(r.p or []) == len(want)
+        if len(want) == 1:
+            assert named.setdefault(r.p[0], r.t) == r.t
+    score = S.print_similarity(F.lag("p").over(Window.orderBy("i")), F.col("p"))
+    pieces = df.where("length(t) < 100").withColumn("p", S.context_pieces(F.col("t")))
+    got = [r.s for r in pieces.select("i", score.alias("s")).orderBy("i").collect()]
+    sets = [{t[i : i + 8] for i in range(max(len(t) - 7, 1))} if t else set() for t in texts if len(t) < 100]
+    assert got[1:] == pytest.approx([2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(sets, sets[1:])])
+
+
 def test_prints_of_long_texts(spark):
     """A text longer than a slice of work, beside short ones; moved by one character it keeps its prints."""
     long = "".join(random.Random(1).choices("abcdefgh $", k=3_000_000))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch import schemas
 from shelfwatch.functions.ranking import number_rows, top_n
+from shelfwatch.functions.text import price_context
 from shelfwatch.operators import campaigns as C, feed_import as I, matching as M, pagination as G, sellers as S
 from shelfwatch.sources import feed, sinks
 
@@ -293,6 +294,41 @@ def test_long_listings_are_followed_to_the_end(spark):
     assert len(rows) == 60 and {r.stop_reason for r in rows} == {None}
 
 
+def likeness(a, b):
+    """Shared runs of eight characters over the mean number of runs."""
+    x, y = ({t[i : i + 8] for i in range(max(len(t) - 7, 1))} if t else set() for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
+def test_every_piece_of_a_page_counts(spark):
+    """Pages in crawls of one page, of some, and of so many that a crawl is many ranges."""
+    rng, pages = random.Random(3), []
+    for crawl, n in ((1, 1), (2, 7), (3, 600), (4, 0), (5, 3)):
+        text = "".join(rng.choices("ab $", k=60))
+        for i in range(n):
+            text = "".join(c if rng.random() < 0.95 else rng.choice("ab $漢") for c in text)
+            pages.append((crawl, 2 * i, rng.choice(["", text[:9], text, text, text, text])))
+    pages.append((None, 1, "$"))
+    df = spark.createDataFrame(pages, "crawl int, page_idx int, text string").repartition(8)
+    context = df.select("*", price_context(F.col("text")).alias("context")).collect()
+    contexts = {(r.crawl, r.page_idx): r.context for r in context}
+    rows = G.recycled_pages(df).collect()
+    assert len(rows) == len(pages) - 1  # a page of no crawl is none
+    for r in rows:
+        before = contexts.get((r.crawl, r.page_idx - 2))
+        want = None if before is None else likeness(before, contexts[r.crawl, r.page_idx])
+        assert r.similarity == (None if want is None else pytest.approx(want))
+        assert r.is_recycled == (want is not None and want > 0.5)
+
+
+def test_pages_less_than_half_alike_do_not_stop(spark):
+    """Nine of nineteen runs are shared, but four of eight and seven least hashes of every four."""
+    first, second = "now $099696082899394642459", "now $099696082892359550922"
+    assert 0.4 < likeness(first, second) < 0.5
+    rows = sequence(spark, [("1", "2", first, ["W"], []), ("2", None, second, ["X"], [])])
+    assert [r.stop_reason for r in rows] == [None, "no_next_link"]
+
+
 def test_a_limit_of_pages_is_the_callers(spark):
     pages = spark.createDataFrame(
         [("c", i, str(i), "n", f"{(i + 1) * 7919 * 104729:012d}" * 2) for i in range(9)],
