@@ -77,7 +77,8 @@ def price_context(col: Column, reach: int = K.PRICE_CONTEXT_CHARS) -> Column:
 
     Works on the pieces between dollar signs. A context reaches ``reach``
     characters each way, so it spans at most ``reach`` further pieces and only
-    the first or last ``reach`` characters of each: linear in the text.
+    the first or last ``reach`` characters of each: linear in the text. A text
+    with one dollar sign is cut at once.
     """
     pieces = F.split(col, r"\$", -1)
     heads = F.transform(pieces, lambda p: F.left(p, F.lit(reach)))
@@ -89,10 +90,14 @@ def price_context(col: Column, reach: int = K.PRICE_CONTEXT_CHARS) -> Column:
         after = F.concat(F.lit("$"), F.array_join(F.slice(heads, j + 1, F.lit(reach + 1)), "$"))
         return F.concat(F.right(before, F.lit(reach)), F.left(after, F.lit(reach)))
 
-    count = F.size(pieces) - 1
-    contexts = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), around)
-    return F.when(count >= 1, F.array_join(contexts, " ")).otherwise(
-        F.when(col.isNotNull(), F.lit(""))
+    contexts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), around)
+    spot = F.instr(col, "$")
+    start = F.greatest(F.lit(1), spot - reach)
+    only = ~F.contains(F.substring(col, spot + 1, F.length(col)), F.lit("$"))
+    return (
+        F.when(spot == 0, F.lit(""))
+        .when(only, F.substring(col, start, spot - start + reach))
+        .when(col.isNotNull(), F.array_join(contexts, " "))
     )
 
 

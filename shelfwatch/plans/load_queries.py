@@ -216,7 +216,8 @@ _PAGES = """
 
 def pagination_stop(spark, sf_dir):
     items = materialise(_items(spark, sf_dir).select("crawl", "page_idx", "pos", "name"), "page-items")
-    pages = spark.sql(_PAGES, page_items=items).withColumn("context", price_context_of(F.col("text")))
+    pages = spark.sql(_PAGES, page_items=items.select("crawl", "page_idx").distinct())
+    pages = pages.withColumn("context", price_context_of(F.col("text")))
     pages = materialise(pages.drop("text"), "listing-pages")
     return G.pagination_stop(pages, items.select("crawl", "page_idx", "name"), _links(items))
 
