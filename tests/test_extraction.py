@@ -10,12 +10,14 @@ import re
 from decimal import Decimal
 from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch import constants as K
 from shelfwatch.functions import tree as N
 from shelfwatch.operators import extraction as E, links as L
+from shelfwatch.sources import pages as sources
 from shelfwatch.sources.pages import html_nodes, page_errors, with_tree
 
 SITE = "https://plants.example"
@@ -409,3 +411,20 @@ def test_a_site_from_its_stored_documents(spark):
     kinds = {"/corner": "category", "/products/1": "product", "/pages/2": "product", "/pages/9": "unknown",
              "/sale": "promotional"}
     assert [(r.site, r.url.removeprefix(SITE), r.kind) for r in rows] == [(1, p, k) for p, k in kinds.items()]
+
+
+def test_trees_of_a_batch_are_built_slice_by_slice(monkeypatch):
+    """No more pages than a slice's are Python objects at a time; the trees are those of one slice."""
+    batch = pa.array(["<ul id=u><li>a<li class>b</ul>", None, "", "<p>a</p><![x[y]]>", "<script>1</script>"] * 300)
+    whole = sources.parse_html.func(batch).to_pylist()
+    held, made = [], sources._Trees.arrow
+    monkeypatch.setattr(sources, "SLICE_CHARS", 500)
+    monkeypatch.setattr(sources._Trees, "arrow", lambda trees: held.append(len(trees.known)) or made(trees))
+    assert sources.parse_html.func(batch).to_pylist() == whole
+    assert sum(held) == len(batch) and max(held) < 100
+    first, null, empty, odd, script = whole[:5]
+    assert [(n["id"], n["tag"], n["parent"], n["end"], dict(n["attrs"])) for n in first["nodes"]] == [
+        (0, "ul", None, 2, {"id": "u"}), (1, "li", 0, 2, {}), (2, "li", 1, 2, {"class": ""}),
+    ]
+    assert null is None and empty == {"nodes": [], "texts": [], "error": None}
+    assert odd["nodes"] == [] and odd["texts"] == [] and odd["error"] and script["nodes"][0]["raw"] == "1"
