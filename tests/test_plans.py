@@ -42,3 +42,10 @@ def test_page_extraction_has_no_key_shuffle(spark, sf_dir, name):
 def test_no_cartesian_product(spark, sf_dir, name):
     text = plan(spark, sf_dir, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["page_errors", "html_nodes", "page_links"])
+def test_pages_are_parsed_once_and_after_they_are_spread(spark, sf_dir, name):
+    text = plan(spark, sf_dir, name)
+    assert text.count("ArrowEvalPython") == 1
+    assert text.index("ArrowEvalPython") < text.index("RoundRobinPartitioning")
