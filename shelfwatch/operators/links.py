@@ -190,29 +190,26 @@ def discover_urls(
     dropped, and duplicates fall together under their normal form.
     """
     position = F.array(F.col("pos").cast("long"))
-    raw_kind = U.kind_by_path(F.col("url"))
-    seed_kind = F.when(raw_kind == "unknown", F.lit("category")).otherwise(raw_kind)
     added = (
-        seeds.select("site", "url", F.lit(0).alias("origin"), position.alias("trail"), seed_kind.alias("kind"))
-        .unionByName(
-            leaves.select("site", "url", F.lit(1).alias("origin"), "trail", raw_kind.alias("kind"))
-        )
-        .unionByName(
-            homepage.select(
-                "site", "url", F.lit(2).alias("origin"), position.alias("trail"), raw_kind.alias("kind")
-            )
-        )
+        seeds.select("site", "url", F.lit(0).alias("origin"), position.alias("trail"))
+        .unionByName(leaves.select("site", "url", F.lit(1).alias("origin"), "trail"))
+        .unionByName(homepage.select("site", "url", F.lit(2).alias("origin"), position.alias("trail")))
     )
     # One row per spelling first: it is cheaper to drop repeats than to parse them.
-    spellings = added.groupBy("site", "url").agg(
-        F.min(F.struct("origin", "trail", "kind")).alias("f")
-    )
+    spellings = added.groupBy("site", "url").agg(F.min(F.struct("origin", "trail")).alias("f"))
     bases = sites.select("site", "base_url", U.site(F.col("base_url")).alias("base_site"))
-    placed = spellings.join(bases, "site").withColumn(
-        "link", U.link_target(F.col("base_url"), F.col("url"))
+    raw_kind = U.kind_by_path(F.col("url"))
+    is_seed = (F.col("f.origin") == 0) & (raw_kind == "unknown")
+    placed = spellings.join(bases, "site").select(
+        "site",
+        "base_site",
+        U.link_target(F.col("base_url"), F.col("url")).alias("link"),
+        F.struct("f.*", F.when(is_seed, "category").otherwise(raw_kind).alias("kind")).alias("f"),
     )
     on_site = placed.where(U.site(F.col("link")) == F.col("base_site"))
-    first = on_site.groupBy("site", F.col("link").alias("url")).agg(F.min("f").alias("f"))
+    # Dealt anew before they are sorted by link: a task that has sorted spellings sorts nothing else.
+    dealt = on_site.select("site", F.col("link").alias("url"), "f").repartition("site", "url")
+    first = dealt.groupBy("site", "url").agg(F.min("f").alias("f"))
     rows = first.select("site", "url", "f.origin", "f.trail", "f.kind")
     order = [F.col("origin"), F.col("trail"), F.col("url")]
     numbered = number_rows(rows, ["site"], order, "url_no")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Broadcasting is only ever asked for below this many rows (checked by count).
 SMALL_TABLE_ROWS = 100_000
+# Bytes of files whose rows ``spread`` gives to one task, some hundred thousand short rows.
+SPREAD_BYTES = 4 << 20
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -105,8 +107,15 @@ def fits_broadcast(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
 def spread(df: DataFrame) -> DataFrame:
     """Give a costly per-row step all cores when its input has fewer files than that.
 
-    A large table has more files than cores and passes unchanged. Only the list
+    A few large files give more tasks than there are cores, so that a task's rows stay
+    as many as the input grows. A table of many files passes unchanged. Only the list
     of files is looked at, nothing runs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if len(files) >= cores:
+        return df
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(max(cores, size // SPREAD_BYTES))

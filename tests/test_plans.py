@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from shelfwatch import session
 
 
 def plan(spark, sf_dir, name):
@@ -49,3 +50,11 @@ def test_pages_are_parsed_once_and_after_they_are_spread(spark, sf_dir, name):
     text = plan(spark, sf_dir, name)
     assert text.count("ArrowEvalPython") == 1
     assert text.index("ArrowEvalPython") < text.index("RoundRobinPartitioning")
+
+
+def test_spread_gives_more_tasks_to_a_larger_file(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "one.parquet")
+    spark.range(200_000).coalesce(1).write.parquet(path)
+    assert session.spread(spark.read.parquet(path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SPREAD_BYTES", 20_000)
+    assert session.spread(spark.read.parquet(path)).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
