@@ -68,6 +68,10 @@ def _problem(columns: list[str]) -> Column:
 
 def rejects(raw: DataFrame) -> DataFrame:
     """Rows that do not parse, with the reason."""
+    # inline() makes each value once; else the filter repeats how a column is made for every time it is looked at.
+    values = F.array(F.struct(*K.FEED_COLUMNS))
+    order, kept = raw.columns, [c for c in raw.columns if c not in K.FEED_COLUMNS]
+    raw = raw.select(*kept, F.inline(values)).select(*order)
     return raw.withColumn("reason", _problem(raw.columns)).where(F.col("reason").isNotNull())
 
 
