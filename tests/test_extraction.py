@@ -428,3 +428,19 @@ def test_trees_of_a_batch_are_built_slice_by_slice(monkeypatch):
     ]
     assert null is None and empty == {"nodes": [], "texts": [], "error": None}
     assert odd["nodes"] == [] and odd["texts"] == [] and odd["error"] and script["nodes"][0]["raw"] == "1"
+
+
+def test_a_task_sends_trees_on_slice_by_slice(monkeypatch):
+    """A large batch of pages leaves in slices, not as one array; all rows come, in order."""
+    pages = [f"<ul id=u{k}><li>a</ul>" if k % 7 else None for k in range(1000)]
+    monkeypatch.setattr(sources, "SLICE_CHARS", 500)
+    sent = list(sources.parse_pages.func(iter([pa.array(pages), pa.array([], pa.string()), pa.array(pages[:3])])))
+    assert max(len(s) for s in sent) < 100
+    assert [t for s in sent for t in s.to_pylist()] == sources.parse_html.func(pa.array(pages + pages[:3])).to_pylist()
+
+
+def test_trees_of_small_slices_keep_their_rows(spark):
+    """Slices need not be the batches that Spark hands over."""
+    rows = spark.range(60).selectExpr("id AS page_id", "'<b>' || repeat('x', 50000) || '</b><i>' || id || '</i>' AS html")
+    got = with_tree(rows.coalesce(1)).selectExpr("page_id", "tree.texts[1] AS text").collect()
+    assert len(got) == 60 and all(str(r.page_id) == r.text for r in got)
