@@ -22,6 +22,8 @@ BATCH = "batch_id"
 MONTH = "month"
 BUCKETS = 16  # parts of a latest table
 HELD_ROWS = 1 << 18  # rows a task holds while it cuts them down
+STATE_GROUPS = 1 << 15  # values that the products' states share
+MOST_OF_PRODUCT = 64  # rows of a product that its group holds while it cuts them down
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -200,33 +202,49 @@ def maintain_latest(stream: DataFrame, order: list[str], path: str | None = None
 
 
 class LastTwo(StatefulProcessor):
-    """Product -> its two newest rows, the newer one first; one value a product."""
+    """Group of products -> the two newest rows of each, the newer one first; one value a group.
 
-    def __init__(self, row: T.StructType, order: list[str]):
-        self.row, self.order = row, order
+    ``rows`` are the columns of a product's row, ``group`` and ``product_id`` first.
+    """
+
+    def __init__(self, rows: T.StructType, order: list[str]):
+        self.names, self.kept = rows.names[2:], T.StructType(rows.fields[1:])
+        self.place = [self.names.index(c) for c in order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        value = T.StructType()
+        product = T.StructType([self.kept["product_id"]])
         for name in ("newest", "before"):
-            for field in self.row:
-                value.add(f"{name}_{field.name}", field.dataType)
-        self.held = handle.getValueState("held", value.add("both", T.BooleanType()))
+            for field in self.kept.fields[1:]:
+                product.add(f"{name}_{field.name}", field.dataType)
+        product.add("both", T.BooleanType())
+        self.held = handle.getValueState("held", T.StructType().add("products", T.ArrayType(product)))
+
+    def _two(self, found: list[tuple]) -> list[tuple]:
+        found.sort(key=lambda r: tuple((r[k] is not None, r[k]) for k in self.place), reverse=True)
+        return found[:2]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names, found = self.row.names, [tuple(r[c] for c in self.row.names) for r in rows]
+        n, touched = len(self.names), {}
+        for row in rows:
+            found = touched.setdefault(row[1], [])
+            found.append(tuple(row[2:]))
+            if len(found) > MOST_OF_PRODUCT:
+                touched[row[1]] = self._two(found)
         held = self.held.get()
-        if held is not None:
-            n = len(names)
-            found += [tuple(held[:n])] + ([tuple(held[n : 2 * n])] if held[2 * n] else [])
-        place = [names.index(c) for c in self.order]
-        found.sort(key=lambda r: tuple((r[k] is not None, r[k]) for k in place), reverse=True)
-        newest, before = found[0], found[1] if len(found) > 1 else None
-        self.held.update((*newest, *(before or [None] * len(names)), before is not None))
-        price = names.index("price")
-        yield Row(
-            product_id=key[0], latest_price=newest[price], previous_price=before[price] if before else None,
-            latest_at=newest[place[0]],
-        )
+        after = {p[0]: tuple(p) for p in held[0]} if held is not None else {}
+        for product, found in touched.items():
+            if product in after:
+                known = after[product][1:]
+                found += [known[:n]] + ([known[n : 2 * n]] if known[2 * n] else [])
+            newest, *before = touched[product] = self._two(found)
+            after[product] = (product, *newest, *(before[0] if before else [None] * n), bool(before))
+        self.held.update(([*after.values()],))
+        price = self.names.index("price")
+        for product, (newest, *before) in touched.items():
+            yield Row(
+                product_id=product, latest_price=newest[price], previous_price=before[0][price] if before else None,
+                latest_at=newest[self.place[0]],
+            )
 
     def close(self) -> None:
         pass
@@ -260,17 +278,19 @@ def price_changes(stream: DataFrame, order: list[str]) -> DataFrame:
 
     The first ``order`` column is the event time. Late rows take their place by
     time, so the result after any split into batches equals the batch query.
-    A product's state is one value in RocksDB, so a trigger costs what the products it
-    touches cost. Tasks send two rows a product and batch at most, so a product
-    with a third of all rows is no heavy key.
+    Products share ``STATE_GROUPS`` values in RocksDB by hash: Python asks for a value at a time,
+    which costs more than the rows do, so a trigger costs what the groups it touches cost, two
+    rows a product. With a million products a group has some thirty. Tasks send two rows a
+    product and batch at most, so a product with a third of all rows is no heavy key.
     """
     rows = stream.select("product_id", "price", *order).where("product_id IS NOT NULL")
     cut = rows.mapInPandas(_two_newest(order), rows.schema)
     price, at, key = (rows.schema[c].dataType for c in ("price", order[0], "product_id"))
     output = T.StructType().add("product_id", key).add("latest_price", price)
     output = output.add("previous_price", price).add("latest_at", at)
-    kept = T.StructType([f for f in rows.schema if f.name != "product_id"])
-    changed = cut.groupBy("product_id").transformWithState(LastTwo(kept, order), output, "update", "none")
+    group = F.pmod(F.xxhash64("product_id"), F.lit(STATE_GROUPS)).alias("group")
+    grouped = cut.select(group, "product_id", "price", *order)
+    changed = grouped.groupBy("group").transformWithState(LastTwo(grouped.schema, order), output, "update", "none")
     change = F.col("latest_price") - F.col("previous_price")
     share = change.cast("double") / F.col("previous_price").cast("double") * 100
     return changed.withColumn("price_change", change).withColumn(

@@ -147,3 +147,20 @@ def test_streams_of_empty_tables(spark, tmp_path):
     assert O.maintain_latest(stream(spark, folder), ORDER, str(tmp_path / "a")).count() == 0
     assert O.maintain_changes(stream(spark, folder), ORDER, str(tmp_path / "b")).count() == 0
     assert O.store_without_duplicates(stream(spark, folder), ORDER, str(tmp_path / "c")).count() == 0
+
+
+def test_price_change_state_is_shared_by_groups_of_products(spark, landed, tmp_path, monkeypatch):
+    """A trigger asks for a value a group, not a product; the changes are those of the batch."""
+    want = P.price_change(spark.read.parquet(landed), ORDER, "2025-12-31 00:00:00", 3650)
+    monkeypatch.setattr(O, "STATE_GROUPS", 3)
+    monkeypatch.setattr(O, "MOST_OF_PRODUCT", 3)
+    path, seen = str(tmp_path / "groups"), {}
+
+    def write(batch, number):
+        for r in batch.collect():
+            seen[r.product_id] = (r.latest_price, r.previous_price, r.latest_at)
+
+    O.run_to_end(O.price_changes(stream(spark, landed), ORDER), path, write, "update")
+    assert seen == {r.product_id: (r.latest_price, r.previous_price, r.latest_at) for r in want.collect()}
+    state = spark.read.format("statestore").option("stateVarName", "held").load(f"{path}-checkpoint")
+    assert state.count() == 3 and state.selectExpr("sum(size(value.products)) AS n").first().n == len(seen)
