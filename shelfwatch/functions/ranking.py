@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialise
+from ..session import materialise, shuffled_in, sorted_parts
 
 # Spark prunes each map task to n rows per group for limits up to this size
 # (spark.sql.optimizer.windowGroupLimitThreshold); beyond it a salted first
@@ -54,16 +54,20 @@ def number_rows(
 
     Rows are dealt in ranges of (group, order) and written once, so a hot group
     is many tasks: each range is numbered by itself and shifted by the sizes of
-    the group's earlier ranges. ``prepare`` adds or drops costly columns once the
+    the group's earlier ranges. There are more ranges the larger the input is, and a task numbers
+    about one, so it holds no more rows of a larger table. ``prepare`` adds or drops costly columns once the
     rows are dealt: before that Spark reads them twice, as it samples for the ranges.
 
     ``compare`` (column, result, function) puts function(previous, current) of the
     column's values in a row and the row before it in place of the column.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(
+    many = sorted_parts(df)
+    dealt = () if many is None else (many,)
+    ranged = df.repartitionByRange(*dealt, *[F.col(c) for c in by], *order).withColumn(
         "_range", F.spark_partition_id()
     )
-    ranged = materialise(ranged if prepare is None else prepare(ranged), "ranges")
+    with shuffled_in(df.sparkSession, many):
+        ranged = materialise(ranged if prepare is None else prepare(ranged), "ranges")
     for c in by:
         ranged = ranged.where(F.col(c).isNotNull())
     split = ranged
@@ -81,7 +85,8 @@ def number_rows(
     met = [function(F.lag("_last").over(group), F.col("_first")).alias("_met")] if compare else []
     shifts = parts.select(*by, "_range", shift, *met).where("_shift IS NOT NULL")
     own = Window.partitionBy(*by, "_range").orderBy(*order)
-    numbered = ranged.withColumn(name, F.row_number().over(own))
+    rows = ranged if many is None else ranged.repartitionByRange(many, *by, "_range")
+    numbered = rows.withColumn(name, F.row_number().over(own))
     if compare is not None:
         numbered = numbered.withColumn("_previous", F.lag(value).over(own))
     numbered = numbered.join(F.broadcast(shifts), [*by, "_range"], "left")

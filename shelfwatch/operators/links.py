@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X, tree as N, urls as U
 from ..functions.ranking import number_rows
 from .. import constants as K
-from ..session import materialise
+from ..session import materialise, sorted_parts
 from ..sources.pages import with_tree
 from .extraction import anchor_hrefs, page_kind
 
@@ -208,7 +208,9 @@ def discover_urls(
     )
     on_site = placed.where(U.site(F.col("link")) == F.col("base_site"))
     # Dealt anew before they are sorted by link: a task that has sorted spellings sorts nothing else.
-    dealt = on_site.select("site", F.col("link").alias("url"), "f").repartition("site", "url")
+    parts = sorted_parts(added)
+    dealt = on_site.select("site", F.col("link").alias("url"), "f")
+    dealt = dealt.repartition(*([] if parts is None else [parts]), "site", "url")
     first = dealt.groupBy("site", "url").agg(F.min("f").alias("f"))
     rows = first.select("site", "url", "f.origin", "f.trail", "f.kind")
     order = [F.col("origin"), F.col("trail"), F.col("url")]

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_TABLE_ROWS = 100_000
 # Bytes of files whose rows ``spread`` gives to one task, some hundred thousand short rows.
 SPREAD_BYTES = 4 << 20
+# Bytes of files whose rows one task sorts.
+SORTED_BYTES = 8 << 20
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -104,6 +106,39 @@ def fits_broadcast(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def _file_bytes(spark: SparkSession, files: list[str]) -> int:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
+def sorted_parts(df: DataFrame) -> int | None:
+    """How many parts to sort the rows of ``df`` in, so that a task's stay as many as the files grow.
+
+    None if the session's number of shuffle partitions will do. Only the list of files is looked at.
+    """
+    spark = df.sparkSession
+    parts = _file_bytes(spark, df.inputFiles()) // SORTED_BYTES
+    if parts <= spark.sparkContext.defaultParallelism:
+        return None
+    return max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@contextmanager
+def shuffled_in(spark: SparkSession, parts: int | None) -> Iterator[None]:
+    """Run what is written inside with so many shuffle partitions, none put together, if a number is given."""
+    wanted = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    if parts is not None:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a costly per-row step all cores when its input has fewer files than that.
 
@@ -115,7 +150,4 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if len(files) >= cores:
         return df
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    return df.repartition(max(cores, size // SPREAD_BYTES))
+    return df.repartition(max(cores, _file_bytes(spark, files) // SPREAD_BYTES))

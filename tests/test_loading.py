@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwatch import schemas
+from shelfwatch import schemas, session
 from shelfwatch.functions.ranking import number_rows, top_n
 from shelfwatch.functions.text import price_context
 from shelfwatch.operators import campaigns as C, feed_import as I, matching as M, pagination as G, sellers as S
@@ -453,3 +453,17 @@ def test_rejects_make_each_value_once(spark):
     assert {(r.id, r.reason) for r in found.collect()} == {(i, "unparseable price: call us") for i in (0, 3, 6)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("THEN call us") == 1
+
+
+def test_number_rows_sorts_larger_files_in_more_parts(spark, tmp_path, monkeypatch):
+    """Ranges follow the size of the files, so a task's rows do not; the session keeps its settings."""
+    path, key = str(tmp_path / "listing"), "spark.sql.shuffle.partitions"
+    spark.range(20_000).selectExpr("id % 3 AS g", "id").write.parquet(path)
+    monkeypatch.setattr(session, "SORTED_BYTES", 4_000)
+    before = spark.conf.get(key)
+    df = spark.read.parquet(path).groupBy("g", "id").count()
+    numbered = number_rows(df, ["g"], [F.col("id")], "no")
+    assert session.sorted_parts(df) > 2 * spark.sparkContext.defaultParallelism
+    assert len(numbered.inputFiles()) > 2 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
+    assert numbered.where("no <> id div 3 + 1").count() == 0 and numbered.count() == 20_000
