@@ -67,7 +67,7 @@ def import_first_run(spark, sf_dir):
     path = scratch_path(spark, "feed")
     lines = view(spark, sf_dir, "feed_rows").orderBy(*_FEED_ORDER)
     lines.select(F.expr(_CSV_LINE).alias("value")).write.text(path)
-    feed = feeds.parse_feed(feeds.read_feed(spark, path))
+    feed = materialise(feeds.parse_feed(feeds.read_feed(spark, path)), "parsed-feed")  # both imports read it
     brands = [(k, f"own-{k}", f"Own {k}") for k in range(1, 8)]
     own = spark.createDataFrame(brands, "brand_num INT, slug STRING, name STRING")
     sellers = materialise(S.upsert_own_brands(spark.createDataFrame([], schemas.SELLERS), own), "sellers")

@@ -34,10 +34,14 @@ def new_observations(incoming: DataFrame, existing: DataFrame, order: list[str])
     feed, crawled = incoming.where(is_feed), incoming.where(~is_feed)
     stored = existing.where(is_feed).select(*OBSERVATION_KEY)
     columns = [c for c in incoming.columns if c not in OBSERVATION_KEY]
+    rest = [c for c in columns if c not in order]
+    # The order, a file's name in a feed, travels once: as what is least, not inside the row as well.
     first = feed.groupBy(*OBSERVATION_KEY).agg(
-        F.min_by(F.struct(*columns), F.struct(*order)).alias("first")
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("first"), F.min(F.struct(*order)).alias("at")
+    )
+    fresh = first.join(stored, OBSERVATION_KEY, "left_anti").select(
+        *OBSERVATION_KEY, *[f"at.{c}" if c in order else f"first.{c}" for c in columns]
     )
-    fresh = first.join(stored, OBSERVATION_KEY, "left_anti").select(*OBSERVATION_KEY, "first.*")
     return fresh.unionByName(crawled)
 
 

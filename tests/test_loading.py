@@ -467,3 +467,22 @@ def test_number_rows_sorts_larger_files_in_more_parts(spark, tmp_path, monkeypat
     assert len(numbered.inputFiles()) > 2 * spark.sparkContext.defaultParallelism
     assert spark.conf.get(key) == before
     assert numbered.where("no <> id div 3 + 1").count() == 0 and numbered.count() == 20_000
+
+
+def test_first_import_parses_its_file_once(spark, sf_dir, monkeypatch):
+    """Both imports read the parsed feed, not the CSV file."""
+    from shelfwatch.plans import load_queries
+
+    seen, run = [], I.import_feed
+    monkeypatch.setattr(I, "import_feed", lambda feed, *rest: seen.append(feed.inputFiles()) or run(feed, *rest))
+    load_queries.import_first_run(spark, sf_dir)
+    assert len(seen) == 2 and all(f.endswith(".parquet") for files in seen for f in files)
+
+
+def test_new_observations_keep_their_columns(spark):
+    """The order's columns come back in place, those of the first row of a key."""
+    data = [(1, k % 2, k % 3, "internal_feed", k) for k in (5, 3, 4, 2)] + [(2, 0, 1, "crawl", 9)]
+    incoming = spark.createDataFrame(data, "product_id int, observed_at int, n int, source string, m int")
+    got = sinks.new_observations(incoming, incoming.limit(0), ["n", "m"])
+    assert sorted(got.columns) == sorted(incoming.columns)
+    assert sorted(got.select(incoming.columns).collect()) == [(1, 0, 1, "internal_feed", 4), (1, 1, 0, "internal_feed", 3), (2, 0, 1, "crawl", 9)]
