@@ -91,29 +91,32 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _tokenise(path: str | None, capacity: int):
+    @W.tidied
     def run(batches):
-        W.tidy()
         import public_tokenizers
 
-        encode = encoder(path or public_tokenizers.path(TOKENIZER))
-        for batch in batches:
-            source, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(2)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
-                for number, (at, size) in enumerate(cut(len(ids), capacity)):
-                    source.append(k)
-                    piece.append(number)
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(ids[at : at + size].tobytes()))
-            source = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(source), batch.column(1).take(source), pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                ],
-                names=["row", "id", "piece", "start", "length", "crc"],
-            )
+        try:
+            encode = encoder(path or public_tokenizers.path(TOKENIZER))
+            for batch in batches:
+                source, piece, start, length, crc = [], [], [], [], []
+                for k, text in enumerate(batch.column(2)):
+                    ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+                    for number, (at, size) in enumerate(cut(len(ids), capacity)):
+                        source.append(k)
+                        piece.append(number)
+                        start.append(at)
+                        length.append(size)
+                        crc.append(zlib.crc32(ids[at : at + size].tobytes()))
+                source = pa.array(source, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(source), batch.column(1).take(source), pa.array(piece, pa.int32()),
+                        pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+                    ],
+                    names=["row", "id", "piece", "start", "length", "crc"],
+                )
+        finally:
+            encoder.cache_clear()  # each task has its own
 
     return run
 
@@ -235,8 +238,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarr
 
 
 def _place(sent):
+    @W.tidied
     def run(batches):
-        W.tidy()
         where = sent.value
         for batch in batches:
             length, rank = (np.asarray(batch.column(batch.schema.names.index(c))) for c in ("length", "rank"))

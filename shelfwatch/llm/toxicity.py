@@ -207,8 +207,8 @@ def _sent(parts, units: int):
 def _gather(units: int):
     """Distinct pairs of words of a task, and its words' tokens in labelled texts."""
 
+    @W.tidied
     def run(batches):
-        W.tidy()
         parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             label = np.asarray(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
@@ -233,9 +233,9 @@ def _gather(units: int):
 WORDS = "word bigint, stem bigint, toxic bigint, plain bigint, contexts bigint"
 
 
+@W.tidied
 def _united(batches):
     """What is left of a partition's blobs: distinct pairs counted by word."""
-    W.tidy()
     parts: list[tuple[np.ndarray, ...]] = []
 
     def rows(merged):
@@ -281,8 +281,8 @@ def _pairs_of(column):
 PAIR = ["pair", "previous", "word", "stem", "ahead"]
 
 
+@W.tidied
 def _count_pairs(batches):
-    W.tidy()
     for batch in batches:
         for columns in _pairs_of(batch.column(0)):
             _, at = np.unique(pair_key(columns[4], columns[0]), return_index=True)
@@ -292,8 +292,8 @@ def _count_pairs(batches):
 def _count_known(sent):
     """Tokens of known pairs and of the words before them."""
 
+    @W.tidied
     def run(batches):
-        W.tidy()
         pairs, contexts = sent.value
         tokens, seen = np.zeros(len(pairs), np.int64), np.zeros(len(contexts), np.int64)
         for batch in batches:
@@ -434,8 +434,8 @@ def _sums(model: Model, column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _total(sent):
+    @W.tidied
     def run(batches):
-        W.tidy()
         for batch in batches:
             total, count = _sums(sent.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(count)], names=["label", "total", "n"])
@@ -570,8 +570,8 @@ def fit_toxicity(
 
 
 def _score(sent):
+    @W.tidied
     def run(batches):
-        W.tidy()
         for batch in batches:
             score = probability(*_sums(sent.value, batch.column(1)), sent.value.curve)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
@@ -591,8 +591,8 @@ def score_toxicity(
 
 
 def _keep(sent, at: int, threshold: float):
+    @W.tidied
     def run(batches):
-        W.tidy()
         for batch in batches:
             score = probability(*_sums(sent.value, batch.column(at)), sent.value.curve)
             yield batch.filter(pa.array(score < threshold))
