@@ -125,3 +125,14 @@ def test_numbers_are_gapless(spark):
 def test_very_long_runs(tokenizer, text):
     encode = packing.encoder(public_tokenizers.path(packing.TOKENIZER))
     assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_task_leaves_no_tokenizer_in_its_worker():
+    """Idle workers count as the executor's memory."""
+    import pyarrow as pa
+
+    from shelfwatch.llm import packing
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([7]), pa.array(["some text"])], names=["row", "id", "text"])
+    rows = list(packing._tokenise(None, 2048)(iter([batch])))
+    assert rows[0].column(1).to_pylist() == [7] and packing.encoder.cache_info().currsize == 0
