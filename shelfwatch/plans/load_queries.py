@@ -9,7 +9,7 @@ from ..functions.text import price_context as price_context_of
 from .. import schemas
 from ..operators import feed_import as I, matching as M, pagination as G, sellers as S, traces as T
 from ..sources import feed as feeds, sinks
-from ..session import materialise, scratch_path, spread
+from ..session import delete_folder, discard, lean_scratch, materialise, parts_of, scratch_path, spread
 from .tables import OBSERVATION_ORDER, oracle, portable, view
 
 _FEED_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
@@ -59,26 +59,45 @@ def feed_new_products(spark, sf_dir):
     return I.new_products(placed, known, list(_FEED_ORDER))
 
 
+def _write_feed(spark, sf_dir, path):
+    """The feed's lines in order, in folders of ``path``: one for each range of orders that is sorted at a time."""
+    rows, first = view(spark, sf_dir, "feed_rows"), _FEED_ORDER[0]
+    orders = view(spark, sf_dir, "lineitem")
+    parts = parts_of(orders)
+    cuts = orders.approxQuantile(first, [n / parts for n in range(1, parts)], 0.01) if parts > 1 else []
+    cuts = sorted({int(c) for c in cuts})
+    for n, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        some = rows if low is None else rows.where(F.col(first) >= low)
+        if high is not None:
+            below = F.col(first) < high
+            some = some.where(below | F.col(first).isNull() if low is None else below)
+        lines = some.orderBy(*_FEED_ORDER).select(F.expr(_CSV_LINE).alias("value"))
+        lines.write.option("compression", "gzip").text(f"{path}/{n:03d}")
+
+
 def import_first_run(spark, sf_dir):
     """A first import from a CSV file into empty tables, brands included, then the same file again.
 
     Shown by seller slug and sku; ``run`` 2 has rows only if the second import added any.
     """
     path = scratch_path(spark, "feed")
-    lines = view(spark, sf_dir, "feed_rows").orderBy(*_FEED_ORDER)
-    lines.select(F.expr(_CSV_LINE).alias("value")).write.text(path)
-    feed = materialise(feeds.parse_feed(feeds.read_feed(spark, path)), "parsed-feed")  # both imports read it
-    brands = [(k, f"own-{k}", f"Own {k}") for k in range(1, 8)]
-    own = spark.createDataFrame(brands, "brand_num INT, slug STRING, name STRING")
-    sellers = materialise(S.upsert_own_brands(spark.createDataFrame([], schemas.SELLERS), own), "sellers")
-    products, stored = (spark.createDataFrame([], t) for t in (schemas.PRODUCTS, schemas.OBSERVATIONS))
-    runs = []
-    for run in (1, 2):
-        added, readings = I.import_feed(feed, sellers, products, stored)
-        products = materialise(products.unionByName(added, allowMissingColumns=True), "products")
-        fresh = materialise(readings, "readings")
-        stored = stored.unionByName(fresh)
-        runs.append(fresh.withColumn("run", F.lit(run)))
+    with lean_scratch(spark):
+        _write_feed(spark, sf_dir, path)
+        feed = materialise(feeds.parse_feed(feeds.read_feed(spark, f"{path}/*")), "parsed-feed")  # both imports read it
+        delete_folder(spark, path)
+        brands = [(k, f"own-{k}", f"Own {k}") for k in range(1, 8)]
+        own = spark.createDataFrame(brands, "brand_num INT, slug STRING, name STRING")
+        sellers = materialise(S.upsert_own_brands(spark.createDataFrame([], schemas.SELLERS), own), "sellers")
+        products, stored = (spark.createDataFrame([], t) for t in (schemas.PRODUCTS, schemas.OBSERVATIONS))
+        runs = []
+        for run in (1, 2):
+            added, fresh = I.import_feed(feed, sellers, products, stored, ("row_order",), True, True)
+            before, products = products, materialise(products.unionByName(added, allowMissingColumns=True), "products")
+            discard(before)
+            discard(added)
+            stored = stored.unionByName(fresh)
+            runs.append(fresh.withColumn("run", F.lit(run)))
+        discard(feed)
     shown = runs[0].unionByName(runs[1]).join(products.select("product_id", "seller_id", "sku"), "product_id")
     return portable(shown.join(sellers.select("seller_id", "slug"), "seller_id").drop("product_id", "seller_id"))
 

@@ -7,10 +7,10 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator, Sequence
+from contextlib import AbstractContextManager, contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Broadcasting is only ever asked for below this many rows (checked by count).
 SMALL_TABLE_ROWS = 100_000
@@ -18,6 +18,10 @@ SMALL_TABLE_ROWS = 100_000
 SPREAD_BYTES = 4 << 20
 # Bytes of files whose rows one task sorts.
 SORTED_BYTES = 8 << 20
+# Bytes of files whose rows are shuffled at a time by a step that works part by part, and the most
+# parts: each reads the files once more, so a step reads them four times at most.
+PART_BYTES = 8 << 20
+MOST_PARTS = 4
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -85,20 +89,70 @@ def cleared_scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _written[before:]:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+            delete_folder(spark, path)
         del _written[before:]
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
-    spark = df.sparkSession
+    return materialise_parts([df], label)
+
+
+def materialise_parts(parts: Sequence[DataFrame], label: str) -> DataFrame:
+    """One table of all rows of ``parts``, written one after the other as ``materialise`` does.
+
+    With ``lean_scratch`` the shuffle files of only one part are on disk at a time.
+    """
+    spark = parts[0].sparkSession
     path = scratch_path(spark, label)
     _written.append(path)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for df in parts:
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing reads it any more; other files stay."""
+    read = {file.rsplit("/", 2)[-2] for file in table.inputFiles()}
+    for path in _written:
+        if path.rsplit("/", 1)[-1] in read:
+            delete_folder(table.sparkSession, path)
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def lean_scratch(spark: SparkSession) -> AbstractContextManager[None]:
+    """What is written inside leaves no shuffle files behind, else they stay until the driver collects
+    garbage, and tables are packed tighter."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    return _settings(spark, {cleanup: "true", "spark.sql.parquet.compression.codec": "zstd"})
+
+
+def parts_of(*tables: DataFrame) -> int:
+    """In how many parts to shuffle rows of ``tables``. Only the lists of files are looked at."""
+    size = sum(_file_bytes(t.sparkSession, t.inputFiles()) for t in tables)
+    return max(1, min(MOST_PARTS, size // PART_BYTES))
+
+
+def part(df: DataFrame, key: Sequence[Column], no: int, parts: int) -> DataFrame:
+    """Rows of ``df`` whose ``key`` falls in part ``no``; every row is in one part, nulls too."""
+    return df if parts == 1 else df.where(F.pmod(F.xxhash64(*key), F.lit(parts)) == no)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:

@@ -15,8 +15,8 @@ _CORRUPT = "bad_record"
 def read_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Feed rows as strings plus ``row_order``, their position in the file(s).
 
-    The order is (file, split offset, row inside the split), so it needs no
-    single-task read. ``multi_line`` is only for feeds with line breaks inside
+    The order is (file, split offset, row inside the split), with the files in the order of their
+    names, so it needs no single-task read. ``multi_line`` is only for feeds with line breaks inside
     quoted fields; such files cannot be split.
     """
     raw = (
@@ -30,12 +30,26 @@ def read_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(path)
     )
-    position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("offset"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return raw.select("*", position.alias("row_order")).fillna("", subset=K.FEED_COLUMNS)
+    placed = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_offset"),
+        F.monotonically_increasing_id().alias("_row"),
+    ).join(F.broadcast(_file_places(spark, path)), "_path", "left")
+    unlisted = F.raise_error(F.concat(F.lit("feed file not listed: "), "_path")).cast("int")
+    file = F.coalesce("_file", unlisted).alias("file")
+    position = F.struct(file, F.col("_offset").alias("offset"), F.col("_row").alias("row"))
+    return placed.select(*raw.columns, position.alias("row_order")).fillna("", subset=K.FEED_COLUMNS)
+
+
+def _file_places(spark: SparkSession, path: str) -> DataFrame:
+    """Each file's place in the order of their names, so that rows carry a number and not a long name.
+
+    The files are only listed, not read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("_metadata.file_path").collect()
+    places = [(name, n) for n, name in enumerate(sorted(f[0] for f in files))]
+    return spark.createDataFrame(places, "_path STRING, _file INT")
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -32,15 +32,17 @@ def new_observations(incoming: DataFrame, existing: DataFrame, order: list[str])
     """
     is_feed = F.col("source") == K.FEED_SOURCE
     feed, crawled = incoming.where(is_feed), incoming.where(~is_feed)
-    stored = existing.where(is_feed).select(*OBSERVATION_KEY)
+    # The source is the same in all these rows: without it the join finds the groups where they are.
+    key = [c for c in OBSERVATION_KEY if c != "source"]
+    stored = existing.where(is_feed).select(*key)
     columns = [c for c in incoming.columns if c not in OBSERVATION_KEY]
     rest = [c for c in columns if c not in order]
     # The order, a file's name in a feed, travels once: as what is least, not inside the row as well.
-    first = feed.groupBy(*OBSERVATION_KEY).agg(
+    first = feed.groupBy(*key).agg(
         F.min_by(F.struct(*rest), F.struct(*order)).alias("first"), F.min(F.struct(*order)).alias("at")
     )
-    fresh = first.join(stored, OBSERVATION_KEY, "left_anti").select(
-        *OBSERVATION_KEY, *[f"at.{c}" if c in order else f"first.{c}" for c in columns]
+    fresh = first.join(stored, key, "left_anti").select(
+        *key, F.lit(K.FEED_SOURCE).alias("source"), *[f"at.{c}" if c in order else f"first.{c}" for c in columns]
     )
     return fresh.unionByName(crawled)
 
